@@ -60,11 +60,92 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.drop("text")
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, formatted and read back."""
+    from . import chat
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat.formatted_digests(turns.unionByName(probe))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    from . import extract
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract.extract(pages, extract.fit(pages)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All urls judged by rules and by the link graph of their hosts."""
+    from . import urls
+
+    return urls.filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives and read back."""
+    from . import warc
+
+    chunks = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")), payloads=False)
+    ended = chunks.filter("last")
+    return ended.select("page_id", F.col("bytes_so_far").alias("payload_bytes"), F.col("digest_so_far").alias("payload_digest"), "record_type", "refers_to")
+
+
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every vector whose id 50 divides."""
+    from . import neighbours
+
+    return neighbours.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_bpe": op2_bpe,
+    "op3_chat_format": op3_chat_format,
+    "op4_html_text": op4_html_text,
+    "op5_url_filter": op5_url_filter,
+    "op6_warc": op6_warc,
     "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
+    "op9_nearest": op9_nearest,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_chat_format": """
+        WITH turns AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
+          UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'
+        ), said AS (
+          SELECT *, length(replace(replace(replace(text, '\\', '\\\\'), '### ', '\\### '), '</turn>', '\\</turn>'))
+                  + length(replace(replace(replace(replace(role, '\\', '\\\\'), '### ', '\\### '), '</turn>', '\\</turn>'), ':', '\\:'))
+                  + length('### ' || ': ' || '</turn>' || chr(10)) AS formatted
+          FROM turns
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               sum(formatted)::BIGINT AS formatted_chars
+        FROM said GROUP BY conv_id
+    """,
+    "op6_warc": """
+        WITH keyed AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        hashed AS (
+          SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS hex,
+                 max(page_id) OVER (PARTITION BY sha1(body)) AS best
+          FROM keyed
+        ), digits AS (
+          SELECT *, [instr('0123456789abcdef', substr(hex, k, 1)) - 1 FOR k IN range(1, 41)] AS n FROM hashed
+        )
+        SELECT page_id, payload_bytes,
+               list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                 ((((n[(5 * k) // 4 + 1] * 16 + n[(5 * k) // 4 + 2]) >> (3 - (5 * k) % 4)) & 31) + 1)::BIGINT, 1) FOR k IN range(0, 32)], 'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> best THEN best END AS refers_to
+        FROM digits
+    """,
+}
