@@ -1,6 +1,623 @@
-"""All queries of the read-level operators and the SQL that they are held against."""
+"""All queries of the read-level operators and the SQL that they are held against.
+
+The queries run over whole tables: reads are a view of lineitem, regions one of part (sources.tables).
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import patterns, vectors
+from .operators import atlases, evaluation, intervals, labelling, predictions, simulation
+from .operators import reads as read_ops
+from .sources.tables import CLASSES, reads, regions, table
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+READS = """
+reads AS (
+  SELECT *, concat('chr', (1 + l_suppkey % 5)::VARCHAR) AS chromosome, l_partkey * 16 + l_linenumber AS read_start, l_partkey * 16 + l_linenumber + 31 AS read_end,
+         translate(md5(concat('q', read_name)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS input_ids,
+         translate(md5(read_name), '0123456789abcdef', '0000111122222222') AS methylation_ids,
+         (l_suppkey % 7)::INT AS original_label, concat('f', (l_orderkey % 9)::VARCHAR) AS file
+  FROM (SELECT *, concat_ws('|', l_orderkey::VARCHAR, l_partkey::VARCHAR, l_suppkey::VARCHAR, l_linenumber::VARCHAR) AS read_name FROM lineitem)
+), regions AS (
+  SELECT concat('chr', (1 + p_partkey % 5)::VARCHAR) AS chr, p_partkey * 16 + 1 AS start_, p_partkey * 16 + 8 + p_size AS end_, concat('r', p_partkey::VARCHAR) AS name,
+         (p_size % 7)::INT AS target_label, CASE WHEN p_size % 2 = 0 THEN 'U' ELSE 'M' END AS direction
+  FROM part
+)"""
+PREPARED = READS + """, met AS (
+  SELECT r.*, g.* FROM reads r JOIN regions g ON r.chromosome = g.chr AND r.read_start < g.end_ AND r.read_end >= g.start_ - 1
+), trimmed AS (
+  SELECT read_name, chromosome, name, target_label, direction, original_label, file, greatest(read_start, start_ - 1) AS read_start, least(read_end, end_ - 1) AS read_end,
+         substr(input_ids, (greatest(read_start, start_ - 1) - read_start + 1)::INT, (least(read_end, end_ - 1) - greatest(read_start, start_ - 1) + 1)::INT) AS input_ids,
+         substr(methylation_ids, (greatest(read_start, start_ - 1) - read_start + 1)::INT, (least(read_end, end_ - 1) - greatest(read_start, start_ - 1) + 1)::INT) AS methylation_ids
+  FROM met
+), counted AS (
+  SELECT *, length(methylation_ids) - length(replace(methylation_ids, '1', '')) AS M, length(methylation_ids) - length(replace(methylation_ids, '0', '')) AS U FROM trimmed
+), prepared AS (
+  SELECT *, M + U AS NCPGS, CASE WHEN M + U > 0 THEN M / (M + U)::DOUBLE END AS M_rate,
+         CASE WHEN M + U > 0 AND M / (M + U)::DOUBLE >= 0.75 THEN 'M' WHEN M + U > 0 AND M / (M + U)::DOUBLE <= 0.25 THEN 'U' ELSE 'X' END AS state
+  FROM counted
+)"""
+POSITIONS = PREPARED + """, chars AS (
+  SELECT *, unnest(range(1, length(methylation_ids) + 1)) AS i FROM prepared
+), positions AS (
+  SELECT *, read_start + i - 1 AS pos, substr(methylation_ids, i::INT, 1)::INT AS state_ FROM chars WHERE substr(methylation_ids, i::INT, 1) IN ('0', '1')
+)"""
+SIGNED = POSITIONS + """, signed AS (
+  SELECT read_name, name, target_label, original_label, M, U, NCPGS, read_start, methylation_ids, coalesce(sig, '') AS signature
+  FROM (SELECT *, row_number() OVER () AS rid FROM prepared) p
+  LEFT JOIN (SELECT read_start AS rs, methylation_ids AS mp, string_agg(pos::VARCHAR || ':' || state_::VARCHAR, ',' ORDER BY pos) AS sig
+             FROM (SELECT DISTINCT read_start, methylation_ids, pos, state_ FROM positions) GROUP BY ALL) q
+  ON p.read_start = q.rs AND p.methylation_ids = q.mp
+)"""
+PREDICTED = PREPARED + """, predicted AS (
+  SELECT *, (M + 1) / (NCPGS + 3)::DOUBLE AS prediction_0, (U + 1) / (NCPGS + 3)::DOUBLE AS prediction_1, 1 / (NCPGS + 3)::DOUBLE AS prediction_2 FROM prepared
+)"""
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_ops.prepare(reads(spark, sf_dir), regions(spark, sf_dir))
+
+
+def signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labelling.with_signature(prepared(spark, sf_dir))
+
+
+def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("NCPGS") + 3
+    return prepared(spark, sf_dir).select("*", ((F.col("M") + 1) / n).alias("prediction_0"), ((F.col("U") + 1) / n).alias("prediction_1"), (1 / n).alias("prediction_2"))
+
+
+# --- reads and regions -------------------------------------------------------------------------
+
+
+@query(f"WITH {READS} SELECT read_name, M::INT AS M, U::INT AS U, (M + U)::INT AS NCPGS, round(CASE WHEN M + U > 0 THEN M / (M + U)::DOUBLE END, 6) AS M_rate, CASE WHEN M + U > 0 AND M / (M + U)::DOUBLE >= 0.75 THEN 'M' WHEN M + U > 0 AND M / (M + U)::DOUBLE <= 0.25 THEN 'U' ELSE 'X' END AS state FROM (SELECT read_name, length(methylation_ids) - length(replace(methylation_ids, '1', '')) AS M, length(methylation_ids) - length(replace(methylation_ids, '0', '')) AS U FROM reads)")
+def pattern_states(spark, sf_dir):
+    """Counts, rate and state of every read."""
+    rows = read_ops.annotate(reads(spark, sf_dir))
+    return rounded(rows.select("read_name", "M", "U", "NCPGS", "M_rate", "state"))
+
+
+@query(f"WITH {PREPARED} SELECT read_name, name, start_ AS region_start, end_ AS region_end, original_label FROM met")
+def read_region_overlap(spark, sf_dir):
+    """Every pair of read and region that meet."""
+    return intervals.overlap(reads(spark, sf_dir), regions(spark, sf_dir)).select("read_name", "name", "region_start", "region_end", "original_label")
+
+
+@query(f"WITH {PREPARED} SELECT read_name, name, read_start, read_end, input_ids, methylation_ids FROM trimmed")
+def trimmed_reads(spark, sf_dir):
+    """Coordinates and strings cut to the region."""
+    return read_ops.trim(intervals.overlap(reads(spark, sf_dir), regions(spark, sf_dir))).select("read_name", "name", "read_start", "read_end", "input_ids", "methylation_ids")
+
+
+@query(f"WITH {PREPARED} SELECT read_name, name, M::INT AS M, U::INT AS U, state, (original_label = target_label)::INT AS hard, CASE WHEN original_label = target_label THEN original_label ELSE 7 END::INT AS with_background, round((CASE WHEN (CASE WHEN original_label = target_label THEN original_label ELSE 7 END) = 7 THEN 0.9 ELSE 0 END) + 0.0125, 6)::DOUBLE AS smoothed_background FROM prepared")
+def hard_labels(spark, sf_dir):
+    """Prepared reads with hard, background and smoothed labels."""
+    a, b = F.col("original_label"), F.col("target_label")
+    rows = prepared(spark, sf_dir)
+    return rounded(rows.select("read_name", "name", "M", "U", "state", read_ops.hard_binary(a, b).alias("hard"), read_ops.hard_with_background(a, b, CLASSES).cast("int").alias("with_background"), F.element_at(read_ops.smoothed_with_background(a, b, CLASSES), CLASSES + 1).alias("smoothed_background")))
+
+
+@query(f"""WITH {PREPARED}, f AS (SELECT name, direction, original_label, round(count(*) FILTER (WHERE state = direction) / count(*)::DOUBLE, 3) AS x FROM prepared WHERE NCPGS >= 4 GROUP BY ALL)
+SELECT name, direction, {', '.join(f'max(x) FILTER (WHERE original_label = {k}) AS ct_{k}' for k in range(CLASSES))} FROM f GROUP BY ALL""")
+def uxm_atlas(spark, sf_dir):
+    """AG9: fraction of reads in the region's direction by region and cell type."""
+    return atlases.uxm_atlas(prepared(spark, sf_dir), CLASSES)
+
+
+@query(f"WITH {PREPARED} SELECT name, direction, original_label, count(*) FILTER (WHERE state = direction) AS matching, count(*) AS total, round(count(*) FILTER (WHERE state = direction) / count(*)::DOUBLE, 3) AS fraction FROM prepared WHERE NCPGS >= 4 GROUP BY ALL")
+def uxm_fractions(spark, sf_dir):
+    """AG9, F5, J6: the long form of the atlas."""
+    return atlases.uxm_fractions(prepared(spark, sf_dir))
+
+
+@query(f"WITH {POSITIONS} SELECT chromosome, name, pos AS start, pos + 1 AS \"end\", original_label, sum(state_)::BIGINT AS meth, count(*) AS cov FROM positions GROUP BY ALL")
+def cpg_counts(spark, sf_dir):
+    """AG10, TV7: methylated and all reads by position and cell type."""
+    return atlases.cpg_counts(prepared(spark, sf_dir))
+
+
+@query(f"WITH {POSITIONS} SELECT chromosome, name, pos AS start, pos + 1 AS \"end\", {', '.join(f'coalesce(sum(state_) FILTER (WHERE original_label = {k}), 0)::BIGINT AS \"{k}_meth\", count(*) FILTER (WHERE original_label = {k}) AS \"{k}_cov\"' for k in range(CLASSES))} FROM positions GROUP BY ALL")
+def cpg_atlas(spark, sf_dir):
+    """AG10, J8: the wide count atlas."""
+    return atlases.cpg_atlas(prepared(spark, sf_dir), CLASSES)
+
+
+@query(f"WITH {POSITIONS} SELECT name, min(chromosome) AS chr, min(pos) + 1 AS start, max(pos) + 1 AS \"end\", count(DISTINCT pos) AS n_cpgs FROM positions GROUP BY name")
+def atlas_regions(spark, sf_dir):
+    """SC11: regions derived from a count atlas."""
+    return atlases.atlas_regions(atlases.cpg_counts(prepared(spark, sf_dir)))
+
+
+@query(f"WITH {PREPARED} SELECT name, count(*) FILTER (WHERE state = 'M') AS M, count(*) FILTER (WHERE state = 'U') AS U, count(*) FILTER (WHERE state = 'X') AS X, count(*) AS count, round(count(*) FILTER (WHERE state = 'U') / count(*)::DOUBLE, 6) AS sf FROM prepared WHERE NCPGS >= 4 GROUP BY name")
+def sample_states(spark, sf_dir):
+    """AG11: a sample's states by region."""
+    return rounded(atlases.sample_states(prepared(spark, sf_dir)))
+
+
+@query(f"""WITH {POSITIONS}, a AS (SELECT DISTINCT name, pos FROM positions), s AS (SELECT name, pos, sum(state_)::BIGINT AS meth, count(*) AS cov FROM positions WHERE file = 'f0' GROUP BY ALL)
+SELECT name, pos, coalesce(meth, 0) AS meth, coalesce(cov, 0) AS cov, round(meth / cov::DOUBLE, 6) AS beta FROM a LEFT JOIN s USING (name, pos)""")
+def sample_betas(spark, sf_dir):
+    """AG12-AG14, J20: counts and betas of one sample at all atlas positions."""
+    rows = prepared(spark, sf_dir)
+    return rounded(atlases.sample_betas(rows.filter("file = 'f0'"), atlases.positions(rows, "name")))
+
+
+@query(f"WITH {READS} SELECT chromosome, min(read_start) AS start, max(read_end) AS \"end\" FROM (SELECT *, sum(fresh) OVER (PARTITION BY chromosome ORDER BY read_start, read_end ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT chromosome, read_start, read_end, CASE WHEN read_start <= max(read_end) OVER (PARTITION BY chromosome ORDER BY read_start, read_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM reads)) GROUP BY chromosome, island")
+def merged_reads(spark, sf_dir):
+    """W10, TV8: unions of overlapping reads."""
+    return intervals.merge(reads(spark, sf_dir).select("chromosome", F.col("read_start").alias("start"), F.col("read_end").alias("end")), ["chromosome"])
+
+
+@query(f"WITH {READS}, p AS (SELECT DISTINCT chromosome, unnest(range(read_start, read_end + 1)) AS pos FROM reads) SELECT chromosome, count(*) AS positions FROM p GROUP BY chromosome")
+def covered_positions(spark, sf_dir):
+    """AG20: distinct covered positions."""
+    return intervals.covered(reads(spark, sf_dir), ["chromosome"], "read_start", "read_end")
+
+
+@query(f"WITH {READS} SELECT name, least(((row_number() OVER (ORDER BY chr, start_, end_, name) - 1) * 16) // (SELECT count(*) FROM regions), 15)::INT AS region_bucket FROM regions")
+def region_buckets(spark, sf_dir):
+    """Near-equal runs of regions."""
+    return intervals.buckets(regions(spark, sf_dir), 16).select("name", "region_bucket")
+
+
+@query(f"WITH {READS} SELECT name, (dense_rank() OVER (ORDER BY chr, start_, end_) - 1)::INT AS locus, ((dense_rank() OVER (ORDER BY chr, start_, end_) - 1) // 25)::INT AS chunk FROM regions")
+def region_loci(spark, sf_dir):
+    """W3, J24, TV10: numbered places, 25 a chunk."""
+    return intervals.loci(regions(spark, sf_dir), 25).select("name", F.col("locus").cast("int"), "chunk")
+
+
+@query("WITH c AS (SELECT 'chr' || n_nationkey::VARCHAR AS contig, n_nationkey * 350000 + 17 AS len FROM nation) SELECT contig, s AS start, least(s + 1000000, len) AS \"end\" FROM (SELECT contig, len, unnest(range(0, len, 1000000)) AS s FROM c)")
+def genomic_chunks(spark, sf_dir):
+    """TV9: chunks of a million positions."""
+    contigs = table(spark, sf_dir, "nation").select(F.concat(F.lit("chr"), F.col("n_nationkey").cast("string")).alias("contig"), (F.col("n_nationkey") * 350000 + 17).cast("long").alias("length"))
+    return intervals.chunks(contigs, 1_000_000)
+
+
+@query(f"WITH {PREPARED} SELECT name, methylation_ids, original_label, count(*) AS read_count, min(read_name) AS read_name FROM prepared GROUP BY name, methylation_ids, original_label")
+def deduplicated_reads(spark, sf_dir):
+    """AG8, W1, U2: equal reads once, with their number."""
+    return read_ops.deduplicate(prepared(spark, sf_dir), ["name", "methylation_ids", "original_label"], {"read_name": "read_name"})
+
+
+@query("SELECT text, lang, count(*) AS read_count, min(doc_id) AS doc_id FROM documents GROUP BY text, lang")
+def deduplicated_documents(spark, sf_dir):
+    """AG8 on texts: nulls and long keys."""
+    return read_ops.deduplicate(table(spark, sf_dir, "documents"), ["text", "lang"], {"doc_id": "doc_id"})
+
+
+@query(f"WITH {READS} SELECT file, original_label, count(*) AS n_reads FROM reads GROUP BY ALL")
+def split_counts(spark, sf_dir):
+    """SK2, AG17: reads by file and label."""
+    return read_ops.split_counts(reads(spark, sf_dir))
+
+
+@query(f"WITH {READS} SELECT original_label, file, split, count(*) AS n FROM (SELECT *, CASE WHEN k <= round_even(n * 0.7, 0) THEN 'train' WHEN k <= round_even(n * 0.7, 0) + round_even(n * 0.15, 0) THEN 'valid' ELSE 'test' END AS split FROM (SELECT original_label, file, row_number() OVER (PARTITION BY original_label ORDER BY md5('42|' || read_name), read_name) AS k, count(*) OVER (PARTITION BY original_label) AS n FROM reads)) GROUP BY ALL")
+def read_level_split(spark, sf_dir):
+    """Seeded split of reads with half-even sizes."""
+    rows = read_ops.read_level_split(reads(spark, sf_dir), ["original_label"], ["read_name"])
+    return rows.groupBy("original_label", "file", "split").agg(F.count("*").alias("n"))
+
+
+@query()
+def split_plan(spark, sf_dir):
+    """Greedy split of files by label."""
+    return read_ops.plan_splits(read_ops.split_counts(reads(spark, sf_dir)))
+
+
+@query(f"""WITH {READS}, remap AS (SELECT * FROM (VALUES (1, 0), (3, 1), (5, 2)) v(o, n))
+SELECT read_name, name, a.n AS original_label, b.n AS target_label FROM ({'SELECT r.read_name, g.name, r.original_label, g.target_label FROM reads r JOIN regions g ON r.chromosome = g.chr AND r.read_start < g.end_ AND r.read_end >= g.start_ - 1'}) p JOIN remap a ON p.original_label = a.o JOIN remap b ON p.target_label = b.o""")
+def label_subset(spark, sf_dir):
+    """a subset of the labels with new codes."""
+    remap = spark.createDataFrame([(1, 0), (3, 1), (5, 2)], "old int, new int")
+    return read_ops.keep_labels(intervals.overlap(reads(spark, sf_dir), regions(spark, sf_dir)), remap).select("read_name", "name", "original_label", "target_label")
+
+
+@query(f"WITH {PREPARED} SELECT read_name, name, NCPGS::INT AS NCPGS FROM prepared WHERE NCPGS >= 5 AND name IN (SELECT 'r' || p_partkey::VARCHAR FROM part WHERE p_size <= 20)")
+def filtered_reads(spark, sf_dir):
+    """F1, F2, F4, SC12: least pattern length and membership of a region list."""
+    few = table(spark, sf_dir, "part").filter("p_size <= 20").select(F.concat(F.lit("r"), F.col("p_partkey").cast("string")).alias("name"))
+    return prepared(spark, sf_dir).filter("NCPGS >= 5").join(few, "name", "left_semi").select("read_name", "name", "NCPGS")
+
+
+@query("""WITH pairs AS (SELECT l_orderkey, l_linenumber, (l_orderkey % 1000) * 10 + l_linenumber * 8 AS s, substr(translate(md5(l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR), '0123456789abcdef', '0000111122222222'), 1, 12) AS p FROM lineitem),
+n AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY s, p) AS k FROM pairs),
+two AS (SELECT a.l_orderkey, a.s, a.p, b.s AS s2, b.p AS p2, unnest(range(a.s, greatest(a.s + 11, b.s + 11) + 1)) AS i FROM n a JOIN n b USING (l_orderkey) WHERE a.n = 2 AND a.k = 1 AND b.k = 2),
+st AS (SELECT l_orderkey, s, i, CASE WHEN i <= s + 11 THEN substr(p, (i - s + 1)::INT, 1) ELSE '2' END AS x, CASE WHEN i >= s2 AND i <= s2 + 11 THEN substr(p2, (i - s2 + 1)::INT, 1) ELSE '2' END AS y FROM two)
+SELECT l_orderkey, s AS read_start, s + 11 AS read_end, p AS methylation_ids FROM n WHERE n <> 2
+UNION ALL SELECT l_orderkey, s, max(i), string_agg(CASE WHEN x = y THEN x WHEN x = '2' THEN y WHEN y = '2' THEN x ELSE '2' END, '' ORDER BY i) FROM st GROUP BY l_orderkey, s""")
+def merged_mates(spark, sf_dir):
+    """Pairs of reads as one."""
+    items = table(spark, sf_dir, "lineitem")
+    start = (F.col("l_orderkey") % 1000) * 10 + F.col("l_linenumber") * 8
+    p = F.substring(F.translate(F.md5(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))), "0123456789abcdef", "0000111122222222"), 1, 12)
+    mates = items.select("l_orderkey", start.alias("read_start"), (start + 11).alias("read_end"), p.alias("methylation_ids"))
+    return read_ops.merge_mates(mates, ["l_orderkey"])
+
+
+# --- expressions over patterns and sequences ---------------------------------------------------
+
+
+@query(f"WITH {SIGNED} SELECT read_name, name, signature FROM signed")
+def signatures(spark, sf_dir):
+    """Positions and states of every prepared read."""
+    return signed(spark, sf_dir).select("read_name", "name", "signature")
+
+
+@query(f"WITH {READS} SELECT read_name, translate(input_ids, 'ATCG', 'TAGC') AS complement, list_aggregate([substr(input_ids, i, 3) FOR i IN range(1, length(input_ids) - 1)], 'string_agg', ' ') AS kmers, CASE WHEN contains(methylation_ids, '1') THEN 1 WHEN contains(methylation_ids, '0') THEN 0 ELSE 2 END AS state FROM reads")
+def kmer_strings(spark, sf_dir):
+    """K-mers, complement and one state for a list."""
+    rows = reads(spark, sf_dir)
+    states = F.transform(F.split("methylation_ids", ""), lambda x: x.cast("int"))
+    return rows.select("read_name", patterns.complement(F.col("input_ids")).alias("complement"), patterns.kmers(F.col("input_ids"), 3).alias("kmers"), patterns.collapse(states).alias("state"))
+
+
+@query("WITH f AS (SELECT doc_id, coalesce(text, '') AS t FROM documents) SELECT doc_id, s AS start, substr(t, (s + 1)::INT, 300) AS part FROM (SELECT doc_id, t, unnest(range(0, length(t), 300)) AS s FROM f)")
+def text_windows(spark, sf_dir):
+    """TV1, TV2: windows side by side over whole texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    cut = docs.withColumn("start", F.explode(patterns.windows(F.length("t"), 300)))
+    return cut.select("doc_id", F.col("start").cast("long").alias("start"), F.substring(F.col("t"), F.col("start") + 1, F.lit(300)).alias("part"))
+
+
+@query(f"WITH {READS} SELECT read_name, s AS start, substr(input_ids, (s + 1)::INT, 12) AS part FROM (SELECT DISTINCT read_name, input_ids, unnest(list_concat(range(0, 21, 5), [20])) AS s FROM (SELECT DISTINCT read_name, input_ids FROM reads))")
+def sliding_windows(spark, sf_dir):
+    """TV3, TV4: overlapping windows and a last one that ends at the end."""
+    rows = reads(spark, sf_dir).select("read_name", "input_ids").distinct()
+    cut = rows.withColumn("start", F.explode(patterns.sliding_windows(F.length("input_ids"), 12, 5)))
+    return cut.select("read_name", F.col("start").cast("long").alias("start"), F.substring(F.col("input_ids"), F.col("start") + 1, F.lit(12)).alias("part"))
+
+
+@query(f"WITH {READS}, w AS (SELECT read_name, s, length(regexp_replace(substr(methylation_ids, (s + 1)::INT, 12), '2', '', 'g')) AS n FROM (SELECT DISTINCT read_name, methylation_ids, unnest(range(0, 21)) AS s FROM reads)) SELECT read_name, s AS start, n::INT AS known FROM (SELECT *, row_number() OVER (PARTITION BY read_name ORDER BY n DESC, s) AS k FROM w WHERE n > 0) WHERE k = 1")
+def best_windows(spark, sf_dir):
+    """TV5, TV6: the window with most known positions, the first of equals."""
+    rows = reads(spark, sf_dir).select("read_name", "methylation_ids").distinct()
+    starts = F.sequence(F.lit(0), F.greatest(F.length("methylation_ids") - 12, F.lit(0)))
+    scored = F.transform(starts, lambda s: F.struct((-patterns.informative(F.substring(F.col("methylation_ids"), s + 1, F.lit(12)))).alias("k"), s.alias("s")))
+    best = rows.select("read_name", F.array_min(scored).alias("b")).filter("b.k < 0")
+    return best.select("read_name", F.col("b.s").cast("long").alias("start"), (-F.col("b.k")).cast("int").alias("known"))
+
+
+@query("WITH t AS (SELECT doc_id, crc FROM (SELECT doc_id, (doc_id * 7919) % 4096 AS crc FROM documents)) SELECT doc_id, ((crc & 3) = 3 AND (crc & 1796) = 0 AND doc_id % 60 >= 10) AS passes, (((crc & 16) <> 0) <> ((crc & 1) <> 0 AND (crc & 128) <> 0)) AS reversed, CASE WHEN doc_id % 3 = 0 THEN 'chr1' WHEN doc_id % 3 = 1 THEN '2' END AS contig FROM t")
+def alignment_flags(spark, sf_dir):
+    """Flags, strand of origin and contig names."""
+    docs = table(spark, sf_dir, "documents")
+    flag = ((F.col("doc_id") * 7919) % 4096).cast("int")
+    name = F.when(F.col("doc_id") % 3 == 0, "1").when(F.col("doc_id") % 3 == 1, "chr2").otherwise("chr9")
+    return docs.select("doc_id", patterns.passes_flags(flag, F.col("doc_id") % 60).alias("passes"), patterns.strand_reversed(flag).alias("reversed"), patterns.contig_alias(name, F.array(F.lit("chr1"), F.lit("2"))).alias("contig"))
+
+
+@query(f"WITH {READS} SELECT DISTINCT read_name, string_agg(CASE WHEN substr(input_ids, i::INT, 2) = 'CG' THEN CASE substr(methylation_ids, i::INT, 1) WHEN '0' THEN '0' WHEN '1' THEN '1' ELSE '2' END ELSE '2' END, '' ORDER BY i) AS forward FROM (SELECT DISTINCT read_name, input_ids, methylation_ids, unnest(range(1, 33)) AS i FROM reads) GROUP BY read_name, input_ids, methylation_ids")
+def bisulfite_calls(spark, sf_dir):
+    """Calls of converted reads against a reference."""
+    rows = reads(spark, sf_dir).select("read_name", "input_ids", "methylation_ids").distinct()
+    observed = F.translate("methylation_ids", "012", "TCN")
+    return rows.select("read_name", patterns.call_bisulfite(F.col("input_ids"), observed, reverse=False).alias("forward")).distinct()
+
+
+# --- predictions by region group ---------------------------------------------------------------
+
+_WAVG = "sum(greatest(NCPGS::DOUBLE, 1e-10) * {c}) / sum(greatest(NCPGS::DOUBLE, 1e-10))"
+
+
+@query(f"WITH {PREDICTED} SELECT target_label, {', '.join(f'round(avg({c}), 6) AS {c}_avg, round({_WAVG.format(c=c)}, 6) AS {c}_wavg' for c in ('prediction_0', 'prediction_1', 'prediction_2'))}, round(sum(greatest(NCPGS::DOUBLE, 1e-10)), 6) AS total_weight, count(*) AS n_reads FROM predicted GROUP BY target_label")
+def weighted_predictions(spark, sf_dir):
+    """AG1-AG3: means and weighted means of predictions by group."""
+    return rounded(predictions.aggregate(predicted(spark, sf_dir), ["target_label"], ["prediction_0", "prediction_1", "prediction_2"], "NCPGS"))
+
+
+@query(f"WITH {PREDICTED}, g AS (SELECT name, {_WAVG.format(c='prediction_0')} AS prediction_0_wavg, {_WAVG.format(c='prediction_1')} AS prediction_1_wavg, sum(greatest(NCPGS::DOUBLE, 1e-10)) AS total_weight, count(*) AS n_reads FROM predicted WHERE NCPGS >= 9 GROUP BY name) SELECT r.name, round(coalesce(prediction_0_wavg, 0.5), 6)::DOUBLE AS prediction_0_wavg, round(coalesce(prediction_1_wavg, 0.5), 6)::DOUBLE AS prediction_1_wavg, round(coalesce(total_weight, 1), 6)::DOUBLE AS total_weight, coalesce(n_reads, 0) AS n_reads, CASE WHEN n_reads IS NULL THEN -1 ELSE 0 END AS label FROM (SELECT DISTINCT name FROM regions) r LEFT JOIN g USING (name)")
+def filled_groups(spark, sf_dir):
+    """AG4, AG5, J17, J18, U6: groups without reads filled in."""
+    rows = predictions.aggregate(predicted(spark, sf_dir).filter("NCPGS >= 9"), ["name"], ["prediction_0", "prediction_1"], "NCPGS")
+    groups = rows.select("name", "prediction_0_wavg", "prediction_1_wavg", "total_weight", "n_reads")
+    return rounded(predictions.fill_missing(groups, regions(spark, sf_dir), "name", ["prediction_0_wavg", "prediction_1_wavg"], "uniform_number", 1.0))
+
+
+@query(f"WITH {PREDICTED}, g AS (SELECT name, target_label, {_WAVG.format(c='prediction_0')} AS p, count(*) AS n FROM predicted GROUP BY ALL), q AS (SELECT target_label, avg(prediction_0) AS prior FROM predicted GROUP BY ALL) SELECT name, target_label, round(n / (n + 2.0) * p + 2.0 / (n + 2.0) * prior, 6)::DOUBLE AS prediction_0_wavg, n AS n_reads FROM g JOIN q USING (target_label)")
+def blended_groups(spark, sf_dir):
+    """AG6, J19: observed values drawn to a prior."""
+    rows = predicted(spark, sf_dir)
+    groups = predictions.aggregate(rows, ["name", "target_label"], ["prediction_0"], "NCPGS").select("name", "target_label", "prediction_0_wavg", "n_reads")
+    prior = rows.groupBy("target_label").agg(F.avg("prediction_0").alias("prediction_0_wavg"))
+    return rounded(predictions.blend(groups, prior, "target_label", ["prediction_0_wavg"], 2.0))
+
+
+@query(f"WITH {PREDICTED} SELECT read_name, round(coalesce(sum(NCPGS * prediction_0) / nullif(sum(NCPGS), 0), 0), 6)::DOUBLE AS prediction_0, round(coalesce(sum(NCPGS * prediction_1) / nullif(sum(NCPGS), 0), 0), 6)::DOUBLE AS prediction_1 FROM predicted GROUP BY read_name")
+def chunks_to_reads(spark, sf_dir):
+    """AG7, J12, C14: chunk predictions back to reads."""
+    return rounded(predictions.chunks_to_reads(predicted(spark, sf_dir), "read_name", ["prediction_0", "prediction_1"], "NCPGS"))
+
+
+@query(f"WITH {PREDICTED} SELECT read_name, name, CASE WHEN prediction_0 >= prediction_1 AND prediction_0 >= prediction_2 THEN 0 WHEN prediction_1 >= prediction_2 THEN 1 ELSE 2 END AS prediction, round(greatest(prediction_0, prediction_1, prediction_2), 6) AS confidence FROM predicted")
+def final_predictions(spark, sf_dir):
+    """First largest prediction and its value."""
+    index, most = predictions.final_prediction(["prediction_0", "prediction_1", "prediction_2"])
+    return rounded(predicted(spark, sf_dir).select("read_name", "name", index.alias("prediction"), most.alias("confidence")))
+
+
+# --- vectors -----------------------------------------------------------------------------------
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four numbers a customer, some negative."""
+    x = lambda k: ((F.col("c_custkey") * k) % 1000) / 500.0 - 0.7
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array(*[x(k) for k in (37, 91, 53, 77)]).alias("v"))
+
+
+_SCORES = "s AS (SELECT c_custkey, [((c_custkey * k) % 1000) / 500.0 - 0.7 FOR k IN [37, 91, 53, 77]]::DOUBLE[] AS v FROM customer)"
+
+
+@query(f"WITH {_SCORES}, e AS (SELECT c_custkey, [exp(x - list_max(v)) FOR x IN v] AS e, [greatest(x, 0) FOR x IN v] AS p, [least(greatest(x, 0), 1) FOR x IN v] AS c, v FROM s) SELECT c_custkey, round(e[1] / list_sum(e), 6) AS softmax_0, round(p[1] / greatest(list_sum(p), 1e-12), 6)::DOUBLE AS normalised_0, round(CASE WHEN list_sum(p) > 0 THEN p[1] / list_sum(p) ELSE 0.25 END, 6)::DOUBLE AS uniform_0, round(c[1], 6)::DOUBLE AS clipped_0, (list_position(v, list_max(v)) - 1)::INT AS argmax FROM e")
+def vector_transforms(spark, sf_dir):
+    """Softmax and normalised outputs."""
+    v = F.col("v")
+    return rounded(_scores(spark, sf_dir).select("c_custkey", vectors.softmax(v)[0].alias("softmax_0"), vectors.normalised(v)[0].alias("normalised_0"), vectors.normalised_or_uniform(v)[0].alias("uniform_0"), vectors.transformed(v, "none")[0].alias("clipped_0"), vectors.argmax(v).alias("argmax")))
+
+
+@query(f"WITH {_SCORES}, u AS (SELECT c_custkey, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY x DESC, i) AS k, sum(x) OVER (PARTITION BY c_custkey ORDER BY x DESC, i ROWS UNBOUNDED PRECEDING) AS c FROM u), t AS (SELECT c_custkey, max_by((c - 1) / k, k) AS shift FROM r WHERE x > (c - 1) / k GROUP BY c_custkey) SELECT c_custkey, i::INT AS i, round(greatest(x - shift, 0), 6)::DOUBLE AS x FROM u JOIN t USING (c_custkey)")
+def simplex_points(spark, sf_dir):
+    """Nearest points of the simplex."""
+    points = _scores(spark, sf_dir).select("c_custkey", F.posexplode(vectors.simplex(F.col("v"))).alias("i", "x"))
+    return rounded(points.select("c_custkey", (F.col("i") + 1).alias("i"), "x"))
+
+
+# --- labels and classifiers --------------------------------------------------------------------
+
+
+@query(f"WITH {SIGNED} SELECT name, signature, {', '.join(f'count(*) FILTER (WHERE original_label = {k}) AS n_{k}' for k in range(CLASSES))} FROM signed GROUP BY name, signature")
+def signature_counts(spark, sf_dir):
+    """AG15, X12: class counts by region and signature."""
+    rows = labelling.class_counts(signed(spark, sf_dir), CLASSES)
+    return rows.select("name", "signature", *[F.col("counts")[k].alias(f"n_{k}") for k in range(CLASSES)])
+
+
+@query(f"WITH {PREPARED}, n AS (SELECT original_label, count(*) AS n FROM prepared GROUP BY ALL) SELECT original_label, n, round((SELECT median(n) FROM n) / (n + 1e-9), 6) AS weight FROM n")
+def class_weights(spark, sf_dir):
+    """AG16: median of the class totals over the own."""
+    return rounded(labelling.class_weights(prepared(spark, sf_dir)))
+
+
+@query(f"WITH {PREPARED}, n AS (SELECT k AS original_label, (SELECT count(*) FROM prepared p WHERE p.original_label = k) AS n FROM range(9) r(k)) SELECT original_label::INT AS original_label, round(n / (SELECT sum(n) FROM n), 6)::DOUBLE AS prior FROM n")
+def class_priors(spark, sf_dir):
+    """AG19: frequencies as priors, absent classes at 0."""
+    return rounded(labelling.class_priors(prepared(spark, sf_dir), 9))
+
+
+@query(f"WITH {SIGNED}, n AS (SELECT original_label, count(*) AS n FROM signed GROUP BY ALL), w AS (SELECT original_label, (SELECT median(n) FROM n) / (n + 1e-9) AS w FROM n), c AS (SELECT name, signature, original_label, count(*) * max(w) AS x FROM signed JOIN w USING (original_label) GROUP BY ALL) SELECT s.read_name, s.name, s.original_label, round(coalesce(max(c.x) FILTER (WHERE c.original_label = s.original_label), 0) / sum(c.x), 6)::DOUBLE AS own FROM (SELECT DISTINCT read_name, name, original_label, signature FROM signed) s JOIN c USING (name, signature) GROUP BY ALL")
+def soft_labels(spark, sf_dir):
+    """Soft labels joined back to reads; here the own class's part."""
+    rows = signed(spark, sf_dir)
+    labels = labelling.soft_labels(rows, CLASSES).select("name", "signature", "soft_label")
+    own = rows.select("read_name", "name", "original_label", "signature").distinct().join(labels, ["name", "signature"])
+    return rounded(own.select("read_name", "name", "original_label", F.element_at("soft_label", F.col("original_label") + 1).alias("own")))
+
+
+@query(f"""WITH {SIGNED}, c AS (SELECT name, signature, count(*) AS n, count(*) FILTER (WHERE original_label = 0) AS n0, string_split(signature, ',') AS parts FROM signed GROUP BY name, signature),
+d AS (SELECT a.name, a.signature, b.signature AS other, b.n, b.n0, CASE WHEN a.signature = '' AND b.signature = '' THEN 0 WHEN a.signature = '' OR b.signature = '' THEN 1
+  ELSE 1 - len(list_intersect(a.parts, b.parts)) / len(list_distinct(list_concat(a.parts, b.parts)))::DOUBLE END AS dist FROM c a JOIN c b USING (name)),
+r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY name, signature ORDER BY dist, other ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d WHERE dist <= 0.5)
+SELECT name, signature, sum(n)::BIGINT AS n, sum(n0)::BIGINT AS n_0 FROM r WHERE before < 30 GROUP BY name, signature""")
+def pooled_signatures(spark, sf_dir):
+    """Counts pooled over near signatures."""
+    rows = labelling.pooled_counts(labelling.class_counts(signed(spark, sf_dir), CLASSES), CLASSES)
+    return rows.select("name", "signature", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"), F.col("counts")[0].alias("n_0"))
+
+
+@query(f"WITH {SIGNED}, c AS (SELECT DISTINCT name, signature, string_split(signature, ',') AS parts FROM signed WHERE signature <> '') SELECT a.name, a.signature, b.signature AS other FROM c a JOIN c b USING (name) WHERE list_has_all(b.parts, a.parts)")
+def signature_supersets(spark, sf_dir):
+    """Signatures that hold others of their region."""
+    return labelling.supersets(labelling.class_counts(signed(spark, sf_dir), CLASSES))
+
+
+@query(f"""WITH {SIGNED}, o AS (SELECT name, original_label, pos, avg(state_) AS own FROM positions GROUP BY ALL), m AS (SELECT name, original_label, avg(own) AS mean FROM o GROUP BY ALL),
+g AS (SELECT name, pos, k::INT AS original_label FROM (SELECT DISTINCT name, pos FROM positions), range({CLASSES}) r(k)),
+mu AS (SELECT g.name, g.pos, g.original_label, least(greatest(coalesce(own, mean, 1.0), 1e-10), 1 - 1e-10) AS mu FROM g LEFT JOIN o USING (name, pos, original_label) LEFT JOIN m USING (name, original_label)),
+pr AS (SELECT original_label, count(*) / (SELECT count(*) FROM prepared)::DOUBLE AS prior FROM prepared GROUP BY ALL),
+sp AS (SELECT DISTINCT s.name, s.signature, p.pos, p.state_ FROM signed s JOIN positions p ON s.read_start = p.read_start AND s.methylation_ids = p.methylation_ids AND s.name = p.name),
+ll AS (SELECT name, signature, original_label, sum(ln(CASE WHEN state_ = 1 THEN mu ELSE 1 - mu END)) + max(ln(prior)) AS post FROM sp JOIN mu USING (name, pos) JOIN pr USING (original_label) GROUP BY ALL),
+e AS (SELECT *, exp(post - max(post) OVER (PARTITION BY name, signature)) AS e FROM ll)
+SELECT name, signature, original_label, round(e / sum(e) OVER (PARTITION BY name, signature), 6) AS probability FROM e""")
+def archetype_labels(spark, sf_dir):
+    """Posterior of each class for each signature."""
+    rows = prepared(spark, sf_dir)
+    return rounded(labelling.archetype_labels(rows, labelling.archetypes(rows, CLASSES), labelling.class_priors(rows, CLASSES)))
+
+
+@query()
+def lookup_predictions(spark, sf_dir):
+    """Reads of one file looked up among the others' signatures, nearest ones where unknown."""
+    rows = signed(spark, sf_dir)
+    model = labelling.class_counts(rows.filter("file <> 'f0'"), CLASSES)
+    found = labelling.lookup(rows.filter("file = 'f0'"), model, CLASSES)
+    return rounded(found.select("read_name", "name", "source", *[F.col("prediction")[k].alias(f"p_{k}") for k in range(CLASSES)]))
+
+
+@query(f"WITH {PREPARED}, k AS (SELECT *, least(greatest(M_rate, 0.01), 0.99) AS r FROM prepared WHERE NCPGS > 0) SELECT name, original_label, count(*) AS n, count(*) FILTER (WHERE M_rate = 1) AS ones, count(*) FILTER (WHERE M_rate = 0) AS zeros, sum(NCPGS)::BIGINT AS cpgs, round(sum(ln(r)), 6) AS slog, round(sum(ln(1 - r)), 6) AS slog1 FROM k GROUP BY ALL")
+def beta_statistics(spark, sf_dir):
+    """C4: sufficient statistics of the Beta fits."""
+    return rounded(labelling.beta_statistics(prepared(spark, sf_dir)))
+
+
+def _beta_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = prepared(spark, sf_dir).groupBy("name", "original_label").agg(F.sum("M").alias("m"), F.sum("U").alias("u"))
+    return grid.select("name", "original_label", (F.col("m") + 1.0).alias("eta"), (F.col("u") + 1.0).alias("rho"))
+
+
+@query(f"""WITH {PREPARED}, g AS (SELECT name, original_label, sum(M) + 1.0 AS eta, sum(U) + 1.0 AS rho FROM prepared GROUP BY ALL), pr AS (SELECT original_label, count(*) / (SELECT count(*) FROM prepared)::DOUBLE AS prior FROM prepared GROUP BY ALL),
+j AS (SELECT p.read_name, p.name, g.original_label, M * ln(eta / (eta + rho)) + U * ln(rho / (eta + rho)) + ln(prior) AS l FROM (SELECT DISTINCT read_name, name, M, U FROM prepared) p JOIN g USING (name) JOIN pr USING (original_label)),
+e AS (SELECT *, exp(l - max(l) OVER (PARTITION BY read_name, name)) AS e FROM j)
+SELECT read_name, name, round(max(e / s), 6)::DOUBLE AS confidence FROM (SELECT *, sum(e) OVER (PARTITION BY read_name, name) AS s FROM e) GROUP BY read_name, name""")
+def beta_predictions(spark, sf_dir):
+    """Posterior of the Beta model; here its largest value."""
+    rows = prepared(spark, sf_dir)
+    got = labelling.beta_predict(rows.select("read_name", "name", "M", "U").distinct(), _beta_params(spark, sf_dir), labelling.class_priors(rows, CLASSES), CLASSES)
+    return rounded(got.select("read_name", "name", F.array_max("prediction").alias("confidence")))
+
+
+# --- feature selection and imputation ----------------------------------------------------------
+
+_LONG = "l AS (SELECT target_label AS grg, original_label AS pred, (l_linenumber % 4) AS cell_type, avg(x) AS value FROM (SELECT p_size % 7 AS target_label, l_suppkey % 7 AS original_label, l_linenumber, l_quantity AS x FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY ALL)"
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return joined.groupBy((F.col("p_size") % 7).alias("grg"), (F.col("l_suppkey") % 7).alias("pred"), (F.col("l_linenumber") % 4).alias("cell_type")).agg(F.avg("l_quantity").alias("value"))
+
+
+@query(f"WITH {_LONG} SELECT grg::INT AS grg, pred::INT AS pred, round(max(value) / CASE WHEN avg(value) = 0 THEN 1e-12 ELSE avg(value) END, 6) AS ratio FROM l GROUP BY grg, pred HAVING max(value) / CASE WHEN avg(value) = 0 THEN 1e-12 ELSE avg(value) END > 1.01 OR grg = pred")
+def feature_mask(spark, sf_dir):
+    """AG21, AG22: features above the cutoff or on the diagonal."""
+    got = atlases.feature_mask(atlases.feature_ratios(_features(spark, sf_dir)), 1.01)
+    return rounded(got.select(F.col("grg").cast("int"), F.col("pred").cast("int"), "ratio"))
+
+
+@query(f"WITH {_LONG}, r AS (SELECT grg::INT AS grg, pred::INT AS pred, max(value) / avg(value) AS ratio FROM l GROUP BY grg, pred) SELECT grg, pred, round(ratio, 6) AS ratio, rank::INT AS rank FROM (SELECT *, row_number() OVER (ORDER BY (grg = pred) DESC, ratio DESC, grg, pred) AS rank FROM r) WHERE rank <= 20")
+def top_features(spark, sf_dir):
+    """The best features, guaranteed ones first."""
+    got = atlases.top_features(atlases.feature_ratios(_features(spark, sf_dir)), 20)
+    return rounded(got.select(F.col("grg").cast("int"), F.col("pred").cast("int"), "ratio", "rank"))
+
+
+@query("WITH c AS (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS x FROM customer) SELECT c_custkey, c_nationkey, round(coalesce(x, median(x) OVER (PARTITION BY c_nationkey), (SELECT median(x) FROM c)), 6) AS x FROM c")
+def imputed_values(spark, sf_dir):
+    """Medians of the group, then of all, for missing values."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal")).alias("x"))
+    return rounded(atlases.impute_by_target(rows, "c_nationkey", ["x"]))
+
+
+@query("SELECT p_brand AS target, cluster, rank::INT AS rank FROM (SELECT p_brand, p_size % 5 AS cluster, row_number() OVER (PARTITION BY p_brand ORDER BY round(avg(p_retailprice), 6) DESC, p_size % 5) - 1 AS rank FROM part GROUP BY p_brand, p_size % 5)")
+def cluster_ranks(spark, sf_dir):
+    """Rank of clusters by their own mean."""
+    means = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("target"), (F.col("p_size") % 5).alias("cluster")).agg(F.round(F.avg("p_retailprice"), 6).alias("mean"))
+    return atlases.cluster_ranks(means).select("target", "cluster", "rank")
+
+
+@query("SELECT p_partkey, (dense_rank() OVER (ORDER BY p_brand) - 1)::INT AS code FROM part")
+def region_annotations(spark, sf_dir):
+    """SC13, W9: dense codes of an annotation, ranked on its distinct values and joined back."""
+    parts = table(spark, sf_dir, "part")
+    codes = parts.select("p_brand").distinct().withColumn("code", F.dense_rank().over(Window.orderBy("p_brand")) - 1)
+    return parts.join(codes, "p_brand").select("p_partkey", "code")
+
+
+# --- evaluation --------------------------------------------------------------------------------
+
+
+def _estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of order value by status class as targets, those of the order count as predictions."""
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 200).alias("sample"), (F.col("o_orderkey") % 5).alias("cell_type"), (F.col("o_orderkey") % 3).alias("method"), "o_totalprice")
+    g = o.groupBy("method", "sample", "cell_type").agg(F.sum("o_totalprice").alias("a"), F.count("*").alias("b"))
+    w = Window.partitionBy("method", "sample")
+    return g.select("method", "sample", "cell_type", (F.col("a") / F.sum("a").over(w)).alias("target"), (F.col("b") / F.sum("b").over(w)).alias("predicted"))
+
+
+_EST = """e0 AS (SELECT o_orderkey % 3 AS method, o_custkey % 200 AS sample, o_orderkey % 5 AS cell_type, sum(o_totalprice) AS a, count(*) AS b FROM orders GROUP BY ALL),
+e AS (SELECT method, sample, cell_type, a / sum(a) OVER (PARTITION BY method, sample) AS target, b / (sum(b) OVER (PARTITION BY method, sample))::DOUBLE AS predicted FROM e0),
+d AS (SELECT *, predicted - target AS d, greatest(target, 1e-8) AS t, greatest(predicted, 1e-8) AS p FROM e)"""
+
+
+@query(f"WITH {_EST}, m AS (SELECT *, avg(target) OVER (PARTITION BY method, cell_type) AS m FROM d) SELECT method, round(avg(abs(d)), 6) AS mae, round(avg(d * d), 6) AS mse, round(sum(t * ln(t / p)) / count(DISTINCT sample), 6) AS kl, round(max(abs(d)), 6) AS max_error, round(1 - sum(d * d) / sum((target - m) * (target - m)), 6) AS r2, round(avg(d), 6) + 0.0 AS bias, round(avg(d) - 1.96 * stddev_samp(d), 6) AS low, round(avg(d) + 1.96 * stddev_samp(d), 6) AS high FROM m GROUP BY method")
+def deconvolution_metrics(spark, sf_dir):
+    """Errors of estimated proportions by method."""
+    return rounded(evaluation.deconvolution_metrics(_estimates(spark, sf_dir))).withColumn("bias", F.col("bias") + 0.0)  # no negative zero
+
+
+@query(f"WITH {_EST} SELECT method, sample, round(avg(abs(d)), 6) AS mae, round(avg(d * d), 6) AS mse, round(sum(t * ln(t / p)), 6) AS kl, round(sum(target * predicted) / (sqrt(sum(target * target)) * sqrt(sum(predicted * predicted))), 6) AS cosine FROM d GROUP BY method, sample")
+def sample_metrics(spark, sf_dir):
+    """E5: errors by sample."""
+    return rounded(evaluation.sample_metrics(_estimates(spark, sf_dir)))
+
+
+@query(f"WITH {_EST} SELECT cell_type, round(regr_slope(target, predicted), 6) AS slope, round(regr_intercept(target, predicted), 6) AS intercept, round(corr(target, predicted), 6) AS r FROM d GROUP BY cell_type")
+def linear_calibrators(spark, sf_dir):
+    """K1: a line for each cell type."""
+    return rounded(evaluation.linear_calibrator(_estimates(spark, sf_dir)))
+
+
+@query(f"WITH {_EST}, k AS (SELECT cell_type, regr_slope(target, predicted) AS s, regr_intercept(target, predicted) AS i FROM d GROUP BY cell_type), c AS (SELECT d.*, greatest(s * predicted + i, 0) AS raw FROM d JOIN k USING (cell_type)) SELECT method, sample, cell_type, round(raw / greatest(sum(raw) OVER (PARTITION BY method, sample), 1e-12), 6) AS calibrated FROM c")
+def calibrated_estimates(spark, sf_dir):
+    """Calibrated proportions."""
+    rows = _estimates(spark, sf_dir)
+    return rounded(evaluation.calibrate(rows, evaluation.linear_calibrator(rows)).select("method", "sample", "cell_type", "calibrated"))
+
+
+@query(f"WITH {_EST}, q AS (SELECT cell_type, method, avg(predicted) AS p FROM d GROUP BY ALL), t AS (SELECT cell_type, median(p) AS median, avg(p) AS mean, min(p) AS min, max(p) AS max, quantile_cont(p, 0.25) AS q25, quantile_cont(p, 0.75) AS q75 FROM q GROUP BY cell_type) SELECT cell_type, round(median, 6) AS median, round(mean, 6) AS mean, round(min, 6) AS min, round(max, 6) AS max, round(q25, 6) AS q25, round(q75, 6) AS q75, (row_number() OVER (ORDER BY median DESC, cell_type))::INT AS rank FROM t")
+def method_report(spark, sf_dir):
+    """AG18: the report over methods."""
+    return rounded(evaluation.report(_estimates(spark, sf_dir).withColumnRenamed("predicted", "proportion")))
+
+
+@query(f"WITH {_EST}, q AS (SELECT cell_type, method, avg(predicted) AS p FROM d GROUP BY ALL), m AS (SELECT *, median(p) OVER (PARTITION BY cell_type) AS m FROM q) SELECT method, round(sum(abs(p - m)), 6) AS divergence FROM m GROUP BY method")
+def method_divergence(spark, sf_dir):
+    """AG18: distance of each method from the consensus."""
+    return rounded(evaluation.divergence(_estimates(spark, sf_dir).withColumnRenamed("predicted", "proportion")))
+
+
+@query("WITH c AS (SELECT l_suppkey % 4 AS truth, l_partkey % 4 AS predicted, count(*)::DOUBLE AS n FROM lineitem GROUP BY ALL), k AS (SELECT k, (SELECT sum(n) FROM c WHERE truth = k) AS t, (SELECT sum(n) FROM c WHERE predicted = k) AS p, (SELECT coalesce(sum(n), 0) FROM c WHERE truth = k AND predicted = k) AS h FROM range(4) r(k)), s AS (SELECT sum(t) AS s, sum(h) AS c, sum(t * p) AS tp, sum(t * t) AS tt, sum(p * p) AS pp, avg(h / p) AS precision, avg(h / t) AS recall, avg(2 * h / (p + t)) AS f1 FROM k) SELECT round(c / s, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round((c * s - tp) / sqrt((s * s - pp) * (s * s - tt)), 6) AS mcc FROM s")
+def classifier_metrics(spark, sf_dir):
+    """Metrics from the confusion table."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 4).alias("truth"), (F.col("l_partkey") % 4).alias("predicted"))
+    return rounded(evaluation.classifier_metrics(rows))
+
+
+@query("WITH r AS (SELECT l_discount * 10 AS confidence, CASE WHEN l_tax > 0.04 THEN 1 ELSE 0 END AS correct FROM lineitem), b AS (SELECT len(list_filter([k / 10.0::DOUBLE FOR k IN range(1, 10)], lambda e: e < confidence)) AS bin, count(*) AS n, avg(confidence) AS c, avg(correct) AS a FROM r GROUP BY ALL) SELECT round(sum(n * abs(c - a)) / sum(n), 6) AS ece, round(max(abs(c - a)), 6) AS mce, (SELECT round(avg((confidence - correct) * (confidence - correct)), 6) FROM r) AS brier FROM b")
+def calibration_errors(spark, sf_dir):
+    """Calibration errors over equal bins."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_discount") * 10).alias("confidence"), F.when(F.col("l_tax") > 0.04, 1).otherwise(0).alias("correct"))
+    return rounded(evaluation.calibration_errors(rows))
+
+
+@query("WITH l AS (SELECT user_id % 20 AS run, CASE WHEN event_type IN ('click', 'view') THEN 'val_loss' ELSE 'val_f1' END AS metric, event_id AS epoch, value FROM events) SELECT run, metric, CASE WHEN metric = 'val_loss' THEN arg_min(epoch, (value, epoch)) ELSE arg_min(epoch, (-value, epoch)) END AS epoch, round(CASE WHEN metric = 'val_loss' THEN min(value) ELSE max(value) END, 6) AS value FROM l GROUP BY run, metric")
+def best_epochs(spark, sf_dir):
+    """Best epochs of a log."""
+    log = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("run"), F.when(F.col("event_type").isin("click", "view"), "val_loss").otherwise("val_f1").alias("metric"), F.col("event_id").alias("epoch"), "value")
+    return rounded(evaluation.best_epoch(log))
+
+
+# --- simulation --------------------------------------------------------------------------------
+
+
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepared(spark, sf_dir).groupBy("original_label", F.col("target_label").alias("grg")).agg(F.count("*").alias("n_reads"))
+
+
+@query(f"WITH {PREPARED}, g AS (SELECT original_label, target_label AS grg, count(*) AS n_reads FROM prepared GROUP BY ALL), t AS (SELECT pb AS pb_index, k AS original_label, (1 + (pb * 31 + k * 17) % 10) / (SELECT sum(1 + (pb * 31 + j * 17) % 10) FROM range(7) q(j))::DOUBLE AS target FROM range(10) a(pb), range(7) b(k)) SELECT pb_index, original_label::INT AS original_label, grg, floor(floor(target * 5000) / n)::BIGINT AS quota FROM t JOIN (SELECT *, count(*) OVER (PARTITION BY original_label) AS n FROM g) USING (original_label)")
+def group_quotas(spark, sf_dir):
+    """Equal shares of the quota over non-empty groups."""
+    grid = spark.range(10).select(F.col("id").alias("pb_index"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("original_label"))
+    weight = 1 + (F.col("pb_index") * 31 + F.col("original_label") * 17) % 10
+    targets = grid.withColumn("target", weight / F.sum(weight).over(Window.partitionBy("pb_index")))
+    return simulation.quotas(targets, _groups(spark, sf_dir), 5000)
+
+
+@query()
+def simulated_mixtures(spark, sf_dir):
+    """Ten mixtures drawn from the reads, their weighted predictions by group."""
+    rows = predicted(spark, sf_dir).withColumn("row_id", F.xxhash64("read_name", "name")).withColumnRenamed("target_label", "grg")
+    unique = rows.groupBy("row_id", "original_label", "grg").agg(F.count("*").alias("read_count"), F.first("prediction_0").alias("prediction_0"), F.first("NCPGS").alias("NCPGS"))
+    targets = simulation.target_proportions(spark, 10, CLASSES, 42)
+    groups = unique.groupBy("original_label", "grg").agg(F.sum("read_count").alias("n_reads"))
+    drawn = simulation.draw(unique, simulation.quotas(targets, groups, 5000), 42)
+    weighed = drawn.join(unique.select("row_id", "prediction_0", "NCPGS"), "row_id").withColumn("w", F.col("times") * F.col("NCPGS"))
+    return rounded(weighed.groupBy("pb_index", "grg").agg((F.sum(F.col("w") * F.col("prediction_0")) / F.sum("w")).alias("prediction_0_wavg"), F.sum("times").alias("n_reads")))
