@@ -32,8 +32,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     numbered = settle_wide(docs.select(*COLUMNS).withColumn("rid", F.monotonically_increasing_id()))
     prints = settle(simhash.with_fingerprints(numbered.select("rid", "doc_id", "text")))
     grouped = simhash.groups(prints)
-    kept = grouped.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(F.min("rid").alias("rid"))
-    return numbered.join(kept.select("rid"), "rid", "left_semi").select(*COLUMNS)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "rid"))
+    kept = grouped.groupBy("root").agg(first.alias("first")).select("first.rid")
+    return numbered.join(kept, "rid", "left_semi").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

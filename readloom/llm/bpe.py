@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts
+from .common import parts, schema_with
 
 #: Words of a generation; a worker keeps this one and the one before.
 KEPT = 250_000
@@ -261,8 +261,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 decoded = pa.array([" ".join([x[1] for x in words]) for words in found], pa.string())
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), ids, decoded], [*(f.name for f in keep), "ids", "decoded"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "ids array<int>, decoded string"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema_with(keep, "ids array<int>, decoded string"))
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -10,12 +10,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: A word: a run of characters other than the space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+def schema_with(fields: list[StructField], new: str) -> StructType:
+    """Given fields and new ones, the latter as DDL."""
+    return StructType([*fields, *StructType.fromDDL(new).fields])
+
+
 def n_words(text) -> "F.Column":
     """Number of words of a text column (null: 0), without building the words.
 

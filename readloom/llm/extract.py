@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts
+from .common import parts, schema_with
 
 SAMPLE = 160
 SAMPLE_BYTES = 40_000
@@ -326,5 +326,4 @@ def extract(pages: DataFrame, model: Labeller) -> DataFrame:
                 texts = [" ".join(b[1] for b, y in zip(x, mark, strict=True) if y) for x, mark in zip(found, marks, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), pa.array(texts, pa.string())], [*(f.name for f in keep), "text"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "text string"])
-    return pages.mapInArrow(run, schema)
+    return pages.mapInArrow(run, schema_with(keep, "text string"))

@@ -29,6 +29,7 @@ SHARD = 4096
 CHUNKS = 512
 CELLS = 1024
 ROUNDS = 16
+INTERNAL = ("text", "rid", "size", "th", "chunk", "upto", "start", "sid", "source_size", "target", "taken", "pieces")
 FINE = 1 << 30
 
 
@@ -79,9 +80,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     """The mix of docs (doc_id, text, source, others).
 
     Null texts have size 0, null is a source of its own (the last), and repeated rows each count. Sources
-    without words and empty tables give no slots.
+    without words and empty tables give no slots. Columns of docs with the names of the mix's own are left out.
     """
-    other = [c for c in docs.columns if c not in ("text", "rid", "size", "th")]
+    other = [c for c in docs.columns if c not in INTERNAL]
     sized = settle(docs.select(*other, n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("th")).withColumn("rid", F.monotonically_increasing_id()))
     return _mix(sized, weights, share, cap, block, shard, seed)
 
@@ -179,7 +180,8 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     A document that an epoch takes whole keeps its text; of others the taken words stay, in order, one
     space between. Columns are those of docs; n_chars, if there, is set anew.
     """
-    names = docs.columns
+    names = [c for c in docs.columns if c == "text" or c not in INTERNAL]
+    docs = docs.select(*names)
     numbered = settle_wide(docs.withColumn("rid", F.monotonically_increasing_id()))
     sized = settle(numbered.select("rid", "doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("th")))
     made = _mix(sized, **({"weights": WEIGHTS, "share": 1.5, "cap": 2.0, "block": BLOCK, "shard": SHARD, "seed": 11} | how))

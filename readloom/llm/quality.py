@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, segment_sums, text_bytes
+from .common import parts, schema_with, segment_sums, text_bytes
 
 BUCKETS = 1 << 16
 TRUSTED = 20_000
@@ -159,5 +159,4 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) ->
                 made = [words, chars, segment_sums(symbol[raw], offsets), lines, repeats, llr, failed, ~failed & (llr >= threshold)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in have), *map(pa.array, made)], [*(f.name for f in have), *new])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in have), *(f"{k} {v}" for k, v in new.items())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema_with(have, ", ".join(f"{k} {v}" for k, v in new.items())))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import components
-from .common import parts, settle
+from .common import parts, schema_with, settle
 
 SEED = 42
 GROUPS = ((0, 21), (21, 21), (42, 22))
@@ -55,8 +55,9 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 
 def with_fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """docs with ``fp`` (the fingerprint's bits as a signed long) instead of ``text``; one pass, no shuffle."""
-    keep = [c for c in docs.columns if c != "text"]
+    """docs with ``fp`` (the fingerprint's bits as a signed long) instead of ``text``; one pass, no shuffle. Null texts are empty; a column named fp is replaced."""
+    fields = [f for f in docs.schema if f.name not in ("text", "fp")]
+    keep = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -64,8 +65,7 @@ def with_fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
                 fps = np.array([fingerprint(t, width) for t in batch.column("text").to_pylist()], dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fps.view(np.int64))], [*keep, "fp"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(run, f"{schema}, fp long" if keep else "fp long")
+    return docs.mapInArrow(run, schema_with(fields, "fp long"))
 
 
 def hamming15() -> tuple[np.ndarray, np.ndarray]:
@@ -202,15 +202,17 @@ def links(fps: DataFrame, threshold: int = 4) -> DataFrame:
 
 
 def groups(fingerprints: DataFrame, threshold: int = 4) -> DataFrame:
-    """fingerprints (doc_id, fp, any others) with ``component_id``: the smallest doc_id that links reach, itself included.
+    """fingerprints (doc_id, fp, any others) with ``component_id``: the smallest doc_id that links reach, itself included, and ``root``: a fingerprint that names the class.
 
-    Null doc_ids take part and lose against any other id; a class of null ids alone has component_id null.
+    Null doc_ids take part and lose against any other id; a class of null ids alone has component_id null. Repeated
+    rows are in one class. Columns named component_id or root are replaced.
     """
+    fingerprints = fingerprints.drop("component_id", "root", "_fp")
     fps = settle(fingerprints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     edges = settle(links(fps, threshold))
     roots = components.connected(edges)  # (node, root)
     named = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # only classes of several fingerprints need their least id looked up
     several = named.filter(F.col("fp").isNotNull()).groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(several, "root").select(F.col("fp").alias("_fp"), "component_id")
+    classes = named.join(several, "root").select(F.col("fp").alias("_fp"), "component_id", "root")
     return fingerprints.join(classes, F.col("fp") == F.col("_fp"), "left").drop("_fp")

@@ -26,12 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, settle_wide
+from .common import parts, schema_with, settle_wide
 
 SAMPLE = 12_000
 TERMS = 2_000
-LEAST_G = 14.0
+LEAST_G = 11.0
 LEAST_DOCS = 2
+LEAST_SHARE = 0.015  # of the toxic documents: names and copied passages that a few of them share are no lexicon
+#: Of the documents with a term, at least this many are toxic for each clean one.
+PURITY = 20
 PREFIXES = (4, 5, 6)
 CUT = 0.7
 #: Harmless phrases that contain words of abuse.
@@ -89,23 +92,26 @@ class Lexicon:
         return self._made
 
     def rate(self, text: str | None) -> float:
-        """Weight of the matched words per word."""
+        """Weight of the matched words per word. A term that is said over and over counts three times more often than all others together at most."""
         plain = folded(text)
-        found: dict[int, float] = {}
+        found: dict[int, tuple[float, int]] = {}
         excused = []
         if len(self.automaton()):
             for end, (size, w) in self.automaton().iter(plain):
                 at = end - size + 1
                 if w < 0:
                     excused.append((at, end))
-                elif w > found.get(at, 0.0):
-                    found[at] = w
+                elif w > found.get(at, (0.0, 0))[0]:
+                    found[at] = (w, size)
         if not found:
             return 0.0
         for lo, hi in excused:
             for at in [k for k in found if lo <= k < hi]:
                 del found[at]
-        return math.fsum(found.values()) / max(1, plain.count(" ") - 1)
+        times = Counter((w, plain[at : at + size]) for at, (w, size) in found.items())
+        most, n = max(times.items(), key=lambda x: (x[1], x[0]), default=((0.0, ""), 0))
+        surplus = max(0, n - (sum(times.values()) - n) - 3)
+        return (math.fsum(w * k for (w, _), k in times.items()) - surplus * most[0]) / max(1, plain.count(" ") - 1)
 
     def score(self, rate: float) -> float:
         """0 without a match, CUT at the middle rate, towards 1 above."""
@@ -123,6 +129,12 @@ def g_statistic(a: float, c: float, pos: float, neg: float) -> float:
     return out
 
 
+def log_odds(a: float, c: float, pos: float, neg: float) -> float:
+    """Lower end (one standard error) of a term's log odds between toxic and clean documents: what few documents say counts less."""
+    a, c = a + 0.5, c + 0.5
+    return math.log(a / (pos + 1)) - math.log(c / (neg + 1)) - math.sqrt(1 / a + 1 / c)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """(text, toxic) of a bounded sample of labelled documents outside the held-out third (crc32 of the id as text mod 3 = 1)."""
     ids = (
@@ -150,9 +162,9 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPT
     if not pos or not neg:
         return Lexicon({}, exceptions)
     counts = sample.mapInArrow(count, "term string, a long, c long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
-    rows = counts.filter((F.col("a") >= LEAST_DOCS) & (F.col("a") * neg > 8 * F.col("c") * pos)).orderBy(F.desc("a"), "c", "term").limit(4 * TERMS).collect()  # bounded
+    rows = counts.filter((F.col("a") >= max(LEAST_DOCS, LEAST_SHARE * pos)) & (F.col("a") > PURITY * F.col("c"))).orderBy(F.desc("a"), "c", "term").limit(4 * TERMS).collect()  # bounded
     graded = sorted(((g_statistic(r.a, r.c, pos, neg), r.term, r.a, r.c) for r in rows), key=lambda x: (-x[0], x[1]))
-    weights = {term: math.log((a + 0.5) / (pos + 1)) - math.log((c + 0.5) / (neg + 1)) for g, term, a, c in graded[:TERMS] if g >= LEAST_G}
+    weights = {term: log_odds(a, c, pos, neg) for g, term, a, c in graded[:TERMS] if g >= LEAST_G}
     lexicon = Lexicon({k: w for k, w in weights.items() if w > 0}, exceptions)
     pairs = rates(sample, lexicon).select("toxic", "rate").collect()  # as many as the sample has
     lexicon.middle = middle_rate([r.rate for r in pairs if r.toxic <= 0], [r.rate for r in pairs if r.toxic > 0])
@@ -160,14 +172,15 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPT
 
 
 def middle_rate(clean: list[float], toxic: list[float]) -> float:
-    """The rate that parts the sample with the fewest errors; of several the geometric middle of the widest gap."""
+    """The rate that parts the sample with the fewest errors, from an eighth of the toxic median on; of several the geometric middle of the widest gap."""
     points = sorted({x for x in [*clean, *toxic] if x > 0})
     if not points or not toxic:
         return 0.01
-    least = points[0]
+    floor = float(np.median(toxic)) / 8
+    points = [floor, *(x for x in points if x > floor)]
     clean_s, toxic_s = np.sort(clean), np.sort(toxic)
-    best = (math.inf, 0.0, 0.01)
-    for lo, hi in zip([least / 4, *points[:-1]], points, strict=True):
+    best = (math.inf, 0.0, floor or 0.01)
+    for lo, hi in zip(points[:-1], points[1:], strict=True):
         cut = math.sqrt(lo * hi)
         wrong = len(clean_s) - np.searchsorted(clean_s, cut) + np.searchsorted(toxic_s, cut)
         best = min(best, (wrong, -hi / lo, cut))
@@ -186,8 +199,7 @@ def _mapped(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
                 made = [pa.array(rate, pa.float64()), pa.array([own.score(r) for r in rate], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in have), *made], [*(f.name for f in have), "rate", "score"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in have), "rate double, score double"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema_with(have, "rate double, score double"))
 
 
 def rates(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
