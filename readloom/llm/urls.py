@@ -70,13 +70,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     """
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     out = both.groupBy("kind", "src").agg(F.sum("n").alias("all"))
-    steps = settle(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all")).alias("share")))
+    steps = settle(both.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("n") / F.col("all")).alias("share")))
     ranks = seeds.select("kind", "host", F.col("seed").alias("rank"))
     if not steps.limit(1).count():  # no links: the seeds are all there is
         return ranks.withColumn("rank", F.col("rank") * (1 - damping))
     base = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"))
     for k in range(rounds):
-        moved = ranks.join(steps, (ranks.kind == steps.kind) & (ranks.host == steps.src)).select(steps.kind, F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
+        moved = ranks.join(steps, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
         ranks = moved.unionByName(base).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         if k % 2:
             ranks = settle(ranks)

@@ -1,0 +1,79 @@
+import math
+
+import numpy as np
+
+from readloom.llm import neighbours
+from readloom.llm.queries import op9_nearest
+from tests.llm.helpers import SF
+
+VECTORS = "vec_id long, embedding array<float>"
+
+
+def brute(rows, every=50, k=5):
+    good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    out = {}
+    for i, q in good:
+        if i % every == 0:
+            scored = sorted((-float((v * q).sum() / (np.sqrt((v * v).sum()) * np.sqrt((q * q).sum()))), j) for j, v in good if j != i)
+            out[i] = [(j, -s) for s, j in scored[:k]]
+    return out
+
+
+def test_recall_of_the_query(spark):
+    for folder in (SF, "/root/testdata/sf0.01"):
+        rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
+        want, got = brute(rows), {}
+        for r in op9_nearest(spark, folder).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        assert set(got) == set(want)
+        hits = sum(len({j for j, _ in want[q]} & {j for _, j, _ in got[q]}) for q in want)
+        assert hits >= 0.9 * sum(map(len, want.values()))
+        for q, found in got.items():
+            found.sort()
+            assert [f[0] for f in found] == list(range(1, len(found) + 1))
+            assert [(-f[2], f[1]) for f in found] == sorted((-f[2], f[1]) for f in found)
+
+
+def test_recall_at_a_size_with_many_lists():
+    rng = np.random.default_rng(3)
+    x = neighbours.unit(rng.standard_normal((8000, 32)))
+    own = neighbours.centres(x[:4000], 128)
+    near = x @ own.T
+    probed = math.ceil(neighbours.SHARE * 128 + neighbours.EXTRA * math.sqrt(128))
+    turned, hits = x @ neighbours.rotation(32), 0
+    for q in range(50):
+        s = x @ x[q]
+        s[q] = -9
+        top = set(np.argsort(-s)[:5].tolist())
+        lists = set(np.argsort(-near[q])[:probed].tolist())
+        kept = set(neighbours.scan(turned[q], turned, 2 - 2 * np.sort(s)[-5]).tolist())
+        hits += sum(near[j].argmax() in lists and j in kept for j in top)
+    assert hits >= 0.9 * 250
+
+
+def test_ties_and_unusable_vectors(spark):
+    one = [1.0, 2.0, 3.0]
+    rows = [(0, one), (50, [3.0, 1.0, 0.0]), *[(k, one) for k in range(1, 9)], (100, None), (150, [0.0, 0.0, 0.0]), (200, [1.0, None, 2.0]), (250, [float("nan"), 1.0, 1.0]), (300, [float("inf"), 1.0, 1.0]), (None, one), (350, []), (400, [1e-30, 2e-30, 0.0]), (450, [1e30, 0.0, 0.0])]
+    got = {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, VECTORS)).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    want = brute([(i, None if v is None else [x if x is None else float(np.float32(x)) for x in v]) for i, v in rows])
+    assert {q: [f[1] for f in sorted(v)] for q, v in got.items()} == {q: [j for j, _ in v] for q, v in want.items()}
+    assert [f[1] for f in sorted(got[0])] == [1, 2, 3, 4, 5]
+    assert all(abs(f[2] - s) < 1e-12 for q in want for f, (_, s) in zip(sorted(got[q]), want[q], strict=True))
+
+
+def test_many_tiles_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(k, [float(x) for x in rng.standard_normal(8)] if k % 3 else [1.0] * 8) for k in range(900)]
+    table = spark.createDataFrame(rows, VECTORS)
+    one = sorted(map(tuple, neighbours.nearest(table, share=1.0).collect()))
+    monkeypatch.setattr(neighbours, "TILE", 40)
+    assert sorted(map(tuple, neighbours.nearest(table, share=1.0).collect())) == one
+
+
+def test_few_rows_and_empty_table(spark):
+    assert neighbours.nearest(spark.createDataFrame([], VECTORS)).count() == 0
+    got = neighbours.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], VECTORS)).collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(0, 1, 1)]
+    assert neighbours.nearest(spark.createDataFrame([(0, [1.0, 0.0])], VECTORS)).count() == 0

@@ -1,0 +1,79 @@
+import re
+from collections import Counter
+
+import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from readloom.llm import quality
+from readloom.llm.common import text_bytes
+from readloom.llm.queries import op10_quality_rules
+from tests.llm.helpers import WORDS, docs, odd_texts
+
+SF = "/root/testdata/sf0.01"
+
+
+def brute(text):
+    text = text or ""
+    words = re.findall(WORDS, text)
+    windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+    n = Counter(windows)
+    repeated = {k + j for k, w in enumerate(windows) if n[w] > 1 for j in range(3)}
+    lines, seen, dup = [x for x in text.split("\n") if re.search(WORDS, x)], set(), 0
+    for x in lines:
+        dup += x in seen
+        seen.add(x)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(repeated)
+
+
+def test_query_against_brute_force(spark):
+    got = {r.doc_id: r for r in op10_quality_rules(spark, SF).collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    kept = Counter()
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        g = got[r.doc_id]
+        want = brute(r.text)
+        assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) == want
+        failed = want[0] < 50 or 100 * want[4] > 50 * want[0]
+        assert g.base_failed == failed and (not failed or not g.kept)
+        if not failed and r.doc_id in labels:
+            kept[labels[r.doc_id], g.kept] += 1
+    assert kept[1, False] == 0  # no good document goes
+    assert kept[0, True] <= 0.1 * (kept[0, True] + kept[0, False])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="ab \n\té😀|\x0b", max_size=30)), min_size=1, max_size=5))
+def test_counts_of_any_texts(texts):
+    words, chars, repeats = quality.repeated_words(*text_bytes(pa.array(texts, pa.string())))
+    for k, t in enumerate(texts):
+        want = brute(t)
+        assert (words[k], chars[k], repeats[k]) == (want[0], want[1], want[4])
+        assert quality.repeated_lines(t) == want[3]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="abé", max_size=8), min_size=1, max_size=6))
+def test_trigrams_do_not_cross_texts(texts):
+    got, after = quality.buckets(*text_bytes(pa.array(texts, pa.string())))
+    alone = [quality.buckets(*text_bytes(pa.array([t], pa.string())))[0].tolist() for t in texts]
+    assert [got[a:b].tolist() for a, b in zip(after[:-1], after[1:], strict=True)] == alone
+
+
+def test_odd_rows(spark):
+    rows = docs(spark, odd_texts()).selectExpr("*", "1 as llr", "'x' as kept")
+    labels = spark.createDataFrame([(6, 1, 0), (None, 1, 0), (4, None, None)], "doc_id long, quality int, toxic int")
+    got = quality.score(rows, quality.fit(rows, labels)).collect()
+    assert len(got) == len(odd_texts())
+    for r, (_, text, _) in zip(sorted(got, key=lambda r: str((r.doc_id, r.text))), sorted(odd_texts(), key=lambda x: str((x[0], x[1]))), strict=True):
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute(text)
+    empty = docs(spark, [])
+    assert quality.score(empty, quality.fit(empty, labels.limit(0))).count() == 0
+
+
+def test_scores_do_not_hang_on_partitions(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    a = quality.score(table, quality.fit(table, labels)).select("doc_id", "llr").collect()
+    b = quality.score(table.repartition(9), quality.fit(table.repartition(5), labels)).select("doc_id", "llr").collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
