@@ -82,7 +82,7 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
                 linked += len(plain)
         elif m["raw"] is not None:
             name = re.match(r"<(\w+)", m[0])[1]
-            ends = re.compile(rf"</{name}[\s/>][^>]*>?|</{name}>", re.IGNORECASE).search(page, at)
+            ends = re.compile(rf"</{name}(?:[\s/][^>]*)?>", re.IGNORECASE).search(page, at)
             at = ends.end() if ends else len(page)
         elif m["name"] is not None:
             name = m["name"].lower()

@@ -51,7 +51,7 @@ def test_odd_pages(spark, model):
 
 def test_blocks():
     page = "<body><nav><ul><li><a href=x>Home</a></ul></nav><style>p{}</style><p>A &amp; b<b>c</b>\n d<br>e<p>f</p><script>var t='</p>'</script><!-- no --><footer>&copy; z</footer>"
-    assert [(p[-1], t) for p, t, _ in extract.blocks(page)] == [("a", "Home"), ("p", "A & bc d"), ("p", "e"), ("p", "f"), ("footer", "© z")]
+    assert [(p[-1], t) for p, t, _ in extract.blocks(page)] == [("li", "Home"), ("p", "A & bc d"), ("p", "e"), ("p", "f"), ("footer", "© z")]
 
 
 def test_gradients():
