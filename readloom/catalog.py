@@ -424,6 +424,13 @@ def pooled_signatures(spark, sf_dir):
     return rows.select("name", "signature", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"), F.col("counts")[0].alias("n_0"))
 
 
+@query()
+def superset_pooled_signatures(spark, sf_dir):
+    """L3: counts pooled over signatures that hold the own one, then over near ones."""
+    rows = labelling.superset_pooled_counts(labelling.class_counts(signed(spark, sf_dir), CLASSES), CLASSES)
+    return rows.select("name", "signature", "pooled", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
+
+
 @query(f"WITH {SIGNED}, c AS (SELECT DISTINCT name, signature, string_split(signature, ',') AS parts FROM signed WHERE signature <> '') SELECT a.name, a.signature, b.signature AS other FROM c a JOIN c b USING (name) WHERE list_has_all(b.parts, a.parts)")
 def signature_supersets(spark, sf_dir):
     """Signatures that hold others of their region."""
@@ -444,12 +451,19 @@ def archetype_labels(spark, sf_dir):
     return rounded(labelling.archetype_labels(rows, labelling.archetypes(rows, CLASSES), labelling.class_priors(rows, CLASSES)))
 
 
-@query()
+@query(f"""WITH {SIGNED}, s AS (SELECT signed.*, p.file FROM (SELECT DISTINCT * FROM signed) signed JOIN (SELECT DISTINCT read_name, file FROM reads) p USING (read_name)),
+m AS (SELECT name, signature AS other, string_split(signature, ',') AS parts, {', '.join(f'count(*) FILTER (WHERE original_label = {k}) AS c{k}' for k in range(CLASSES))} FROM s WHERE file <> 'f0' GROUP BY name, signature),
+q AS (SELECT DISTINCT read_name, name, signature, string_split(signature, ',') AS parts FROM s WHERE file = 'f0'),
+d AS (SELECT q.read_name, q.name, q.signature, m.*  EXCLUDE (name, parts), m.name IS NOT NULL AS known, CASE WHEN q.signature = other THEN 0 WHEN q.signature = '' OR other = '' THEN 1
+  ELSE 1 - len(list_intersect(q.parts, m.parts)) / len(list_distinct(list_concat(q.parts, m.parts)))::DOUBLE END AS dist FROM q LEFT JOIN m ON q.name = m.name),
+r AS (SELECT *, rank() OVER (PARTITION BY read_name, name, signature ORDER BY dist) AS k FROM d),
+t AS (SELECT read_name, name, signature, CASE WHEN NOT bool_and(known) THEN 'none' WHEN min(dist) = 0 THEN 'exact' ELSE '1nn' END AS source, {', '.join(f'CASE WHEN bool_and(known) THEN sum(c{k}) ELSE 1 END::DOUBLE AS c{k}' for k in range(CLASSES))} FROM r WHERE k = 1 GROUP BY read_name, name, signature)
+SELECT read_name, name, source, {', '.join(f'round(c{k} / ({" + ".join(f"c{j}" for j in range(CLASSES))}), 6) AS p_{k}' for k in range(CLASSES))} FROM t""")
 def lookup_predictions(spark, sf_dir):
     """Reads of one file looked up among the others' signatures, nearest ones where unknown."""
     rows = signed(spark, sf_dir)
     model = labelling.class_counts(rows.filter("file <> 'f0'"), CLASSES)
-    found = labelling.lookup(rows.filter("file = 'f0'"), model, CLASSES)
+    found = labelling.lookup(rows.filter("file = 'f0'").select("read_name", "name", "signature").distinct(), model, CLASSES)
     return rounded(found.select("read_name", "name", "source", *[F.col("prediction")[k].alias(f"p_{k}") for k in range(CLASSES)]))
 
 

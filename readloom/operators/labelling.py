@@ -168,3 +168,41 @@ def supersets(counts: DataFrame) -> DataFrame:
 
 def label_vector(label: Column, classes: int) -> Column:
     return vectors.one_hot(label, classes)
+
+
+def superset_pooled_counts(counts: DataFrame, classes: int, min_reads: int = 30, max_distance: float = 0.5) -> DataFrame:
+    """(name, signature, counts, pooled): counts pooled first over all signatures that hold the own one, whatever their number.
+
+    Where min_reads are still not there, near signatures follow, the nearest first (ties by signature). One that is taken puts the
+    signatures that hold it before all that wait, so these come next, the last of them first; the first that is beyond
+    max_distance ends the search. The order hangs on what was taken before, so a region's distinct signatures are pooled in one
+    grouped function; regions are the unit of parallelism.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def pool(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("signature").reset_index(drop=True)
+        sets = [frozenset(s.split(",")) if s else frozenset() for s in part["signature"]]
+        table, n = np.stack(part["counts"].to_numpy()), len(part)
+        totals = table.sum(axis=1)
+        out, sizes = np.zeros_like(table), np.zeros(n, int)
+        holders = [[k for k in range(n) if sets[i] <= sets[k]] for i in range(n)]
+        for i in range(n):
+            taken = dict.fromkeys(holders[i])
+            reads = int(totals[list(taken)].sum())
+            if reads < min_reads:
+                apart = [1 - len(sets[i] & s) / len(sets[i] | s) if sets[i] | s else 0.0 for s in sets]
+                waiting = sorted(range(n), key=lambda k: (-apart[k], -k))
+                while waiting and reads < min_reads:
+                    k = waiting.pop()
+                    if apart[k] > max_distance:
+                        break
+                    if k not in taken:
+                        taken[k] = None
+                        reads += int(totals[k])
+                        waiting += [h for h in holders[k] if h not in taken]
+            out[i], sizes[i] = table[list(taken)].sum(axis=0), len(taken)
+        return pd.DataFrame({"name": part["name"], "signature": part["signature"], "counts": list(out), "pooled": sizes})
+
+    return counts.select("name", "signature", "counts").groupBy("name").applyInPandas(pool, "name string, signature string, counts array<long>, pooled int")

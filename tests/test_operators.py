@@ -156,3 +156,12 @@ def test_columns_are_resolved(spark):
     assert read_ops.resolve(rows, "input_ids") == "seq" and read_ops.resolve(rows, "methylation_ids") == "methyl_seq"
     with pytest.raises(ValueError):
         read_ops.resolve(rows, "chromosome")
+
+
+def test_superset_pooling(spark):
+    rows = [("r", "a,b", [1, 0]), ("r", "a,b,c", [0, 2]), ("r", "a,b,c,d", [4, 0]), ("r", "a,x", [8, 0]), ("r", "z", [0, 16])]
+    counts = spark.createDataFrame(rows, "name string, signature string, counts array<long>")
+    got = {r.signature: (r.counts, r.pooled) for r in labelling.superset_pooled_counts(counts, 2, 8, 0.7).collect()}
+    assert got["a,b"] == ([13, 2], 4)  # itself and two that hold it give 7; then a,x at distance 2/3
+    assert got["a,x"] == ([8, 0], 1) and got["z"] == ([0, 16], 1)
+    assert got["a,b,c,d"] == ([5, 2], 3)  # nearest a,b,c, then a,b; a,x is too far
