@@ -292,10 +292,8 @@ def sliding_windows(spark, sf_dir):
 def best_windows(spark, sf_dir):
     """TV5, TV6: the window with most known positions, the first of equals."""
     rows = reads(spark, sf_dir).select("read_name", "methylation_ids").distinct()
-    starts = F.sequence(F.lit(0), F.greatest(F.length("methylation_ids") - 12, F.lit(0)))
-    scored = F.transform(starts, lambda s: F.struct((-patterns.informative(F.substring(F.col("methylation_ids"), s + 1, F.lit(12)))).alias("k"), s.alias("s")))
-    best = rows.select("read_name", F.array_min(scored).alias("b")).filter("b.k < 0")
-    return best.select("read_name", F.col("b.s").cast("long").alias("start"), (-F.col("b.k")).cast("int").alias("known"))
+    best = patterns.best_window(rows, ["read_name", "methylation_ids"], "methylation_ids", 12)
+    return best.select("read_name", F.col("start").cast("long").alias("start"), "known")
 
 
 @query("WITH t AS (SELECT doc_id, crc FROM (SELECT doc_id, (doc_id * 7919) % 4096 AS crc FROM documents)) SELECT doc_id, ((crc & 3) = 3 AND (crc & 1796) = 0 AND doc_id % 60 >= 10) AS passes, (((crc & 16) <> 0) <> ((crc & 1) <> 0 AND (crc & 128) <> 0)) AS reversed, CASE WHEN doc_id % 3 = 0 THEN 'chr1' WHEN doc_id % 3 = 1 THEN '2' END AS contig FROM t")

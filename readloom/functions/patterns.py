@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -157,3 +157,14 @@ def jaccard_distance(a: Column, b: Column) -> Column:
 
 def contains_all(whole: Column, part: Column) -> Column:
     return F.size(F.array_except(part, whole)) == 0
+
+
+def best_window(rows: DataFrame, keys: list[str], pattern: str, width: int) -> DataFrame:
+    """(keys, start, known): the window with most known positions, the first of equals; rows without a known position go.
+
+    A row a window, scored in generated code and combined before the shuffle.
+    """
+    start = F.explode(F.sequence(F.lit(0), F.greatest(F.length(pattern) - width, F.lit(0))))
+    known = F.length(F.replace(F.substring(F.col(pattern), F.col("start") + 1, F.lit(width)), F.lit("2"), F.lit("")))
+    best = rows.withColumn("start", start).withColumn("known", known).filter("known > 0").groupBy(*keys).agg(F.min(F.struct((-F.col("known")).alias("k"), F.col("start").alias("s"))).alias("b"))
+    return best.select(*keys, F.col("b.s").alias("start"), (-F.col("b.k")).cast("int").alias("known"))
