@@ -17,6 +17,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+def thinned(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """About ``most`` rows, a tenth more rather than less: those whose hash of the keys falls into a share that the number of rows sets.
+
+    Taken before an order and a limit, so that each task passes on its part of the sample only, not a whole sample.
+    """
+    n = rows.count()
+    share = 1.1 * most / n + 8 * most**0.5 / n if n else 1.0
+    return rows if share >= 1 else rows.filter(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
 def schema_with(fields: list[StructField], new: str) -> StructType:
     """Given fields and new ones, the latter as DDL."""
     return StructType([*fields, *StructType.fromDDL(new).fields])

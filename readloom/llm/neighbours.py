@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, thinned
 
 SAMPLE = 8_192
 LISTS = 256
@@ -163,7 +163,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, lists: int = LISTS,
     null ids. Tables with fewer than 64 k vectors are searched whole. Of repeated rows each is a candidate once by id.
     """
     rows = settle(usable(vectors))
-    sample = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(SAMPLE).select("v").toPandas()["v"]  # SAMPLE rows at most
+    sample = thinned(rows, ["vec_id", "v"], SAMPLE).orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(SAMPLE).select("v").toPandas()["v"]  # SAMPLE rows at most
     if not len(sample):
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     own = centres(unit(np.stack(sample.to_numpy())), max(1, min(lists, len(sample) // 32)))
