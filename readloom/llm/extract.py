@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, schema_with
+from .common import parts, schema_with, thinned
 
 SAMPLE = 160
 SAMPLE_BYTES = 40_000
@@ -291,8 +291,8 @@ def relaid(found: list[tuple[tuple[str, ...], str, int]], labels: list[int], rng
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
-    """Train on a bounded sample of pages (page_id, html): those with the smallest hashes among pages of at most SAMPLE_BYTES bytes."""
-    rows = pages.filter(F.octet_length("html").between(1, SAMPLE_BYTES)).select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()
+    """Train on a bounded sample of pages (page_id, html): those with the smallest hashes, without pages of more than SAMPLE_BYTES bytes."""
+    rows = thinned(pages.select("page_id", "html"), ["page_id"], sample).filter(F.octet_length("html").between(1, SAMPLE_BYTES)).orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()
     rng, cache, made = random.Random(9), {}, []
     for row in rows:
         found = blocks(row.html)

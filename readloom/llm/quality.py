@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, schema_with, segment_sums, text_bytes
+from .common import parts, schema_with, segment_sums, text_bytes, thinned
 
 BUCKETS = 1 << 16
 TRUSTED = 20_000
@@ -47,8 +47,8 @@ def buckets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
     """Ids of good documents: the ``most`` with the smallest hashes."""
-    good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("trusted", F.lit(True))
+    good = labels.filter("quality = 1 and doc_id is not null").select("doc_id")
+    return thinned(good, ["doc_id"], most).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("trusted", F.lit(True))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:

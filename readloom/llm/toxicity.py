@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, schema_with, settle_wide
+from .common import parts, schema_with, settle_wide, thinned
 
 SAMPLE = 12_000
 TERMS = 2_000
@@ -137,10 +137,9 @@ def log_odds(a: float, c: float, pos: float, neg: float) -> float:
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """(text, toxic) of a bounded sample of labelled documents outside the held-out third (crc32 of the id as text mod 3 = 1)."""
+    train = labels.filter("doc_id is not null and toxic is not null").filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     ids = (
-        labels.filter("doc_id is not null and toxic is not null")
-        .filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
-        .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+        thinned(train, ["doc_id"], most).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")
