@@ -44,7 +44,7 @@ def n_words(text) -> "F.Column":
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``; a new one only where none is set (tests)."""
     sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="readloom-checkpoint-")
     if not sc.getCheckpointDir():
