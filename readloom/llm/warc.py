@@ -115,9 +115,10 @@ def write_archives(pages: DataFrame, at: str | None = None, least: int = 0) -> D
     spark = pages.sparkSession
     at = at or f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     digested = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    types = record_types(pages, least).select(F.col("page_id").alias("id"), F.col("digest").alias("d"), "bytes", "winner", "shared")
-    typed = digested.join(types, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d"))).drop("id", "d")
-    typed = typed.repartition("page_id", "digest").sortWithinPartitions("page_id", "digest", "url")
+    key = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    types = record_types(pages, least).select(key.alias("key"), "digest", "bytes", "winner", "shared")
+    # the payloads are dealt once, by the keys of the join; rows that agree in both are neighbours for the writer
+    typed = digested.withColumn("key", key).repartition("key", "digest").join(types, ["key", "digest"]).sortWithinPartitions("key", "digest", "url").drop("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
