@@ -144,8 +144,10 @@ def slots(sources: DataFrame, shard: int, seed: int) -> DataFrame:
         .select("sid", "k", F.row_number().over(Window.orderBy(F.xxhash64("sid", "k", F.lit(seed)), "sid", "k")).alias("e"))
     )
     late = excess.join(short, "e").select("shard", "sid", F.col("k").alias("first"), F.lit(1).cast("long").alias("keep"))
+    # dealt by shard before the runs become slots: otherwise a source's slots all come from the task of its window
     return (
         kept.unionByName(late)
+        .repartition(max(spark.sparkContext.defaultParallelism, total >> 20), "shard")
         .withColumn("k", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("keep") - 1)))
         .join(sources.select("sid", "blocks"), "sid")
         .select("shard", "sid", F.expr("k div blocks").alias("epoch"), permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.col("sid"), seed).alias("block"))
