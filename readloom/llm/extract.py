@@ -16,6 +16,7 @@ import html as entities
 import random
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,14 @@ EDGE = 8  # elements at either end of a tag path that are read
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-RAW = "script|style|noscript|template|iframe|object|svg|canvas|head"
+RAW = "script|style"
+UNSEEN = frozenset("head title noscript template iframe object svg canvas".split())
+IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
+#: Elements whose end tag may be omitted: what a start tag closes, up to the next of STOPS, or in cells up to the table.
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
+STOPS = (CLOSES_P - {"address", "div", "p"}) | UNSEEN | frozenset("html body li dt dd option optgroup select datalist button td th tr tbody thead tfoot caption".split())
+CELLS = ("td", "th", "caption", "colgroup")
+CLOSES_CELLS = {"td": CELLS, "th": CELLS, "tr": ("tr", *CELLS)} | dict.fromkeys(("tbody", "thead", "tfoot"), ("tbody", "thead", "tfoot", "tr", *CELLS))
 
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?:{RAW})(?=[\s/>])(?P<raw>)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)", re.DOTALL | re.IGNORECASE
@@ -52,20 +60,39 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     """(tag path, text, characters of it in links) of each block with text, in page order.
 
     A path holds elements like ``div.ad``: a name and the words of class, id and role. Content of scripts,
-    styles, the head and the like is no text. Character references are decoded, white space becomes one space.
+    styles, the head and the like is no text. The head ends at its end tag, at the body, or at the first thing
+    that may not stand in it; the text of another hidden element is dropped when its end tag comes, so one that
+    never ends hides nothing. Character references are decoded, white space becomes one space.
     """
     page = page or ""
     path: list[str] = []
-    out, text, linked, links, skip_to = [], [], 0, 0, 0
+    names: list[str] = []
+    places: defaultdict[str, list[int]] = defaultdict(list)  # where on the path the open elements of a name are
+    solid: list[int] = []  # places of elements that are not inline
+    stops: list[int] = []  # places of elements that an omitted end tag does not reach over
+    hidden: list[tuple[int, int, list[str], int]] = []  # place, and what there was before the element
+    out, text, linked = [], [], 0
 
     def close() -> None:
-        nonlocal linked
-        plain = " ".join("".join(text).split())
-        if plain:
-            at = path if len(path) <= 2 * EDGE else path[:EDGE] + path[-EDGE:]
-            out.append((tuple(at), plain, min(linked, len(plain))))
-        text.clear()
-        linked = 0
+        nonlocal text, linked
+        if text:
+            out.append((tuple(path if len(path) <= 2 * EDGE else path[:EDGE] + path[-EDGE:]), text, linked))
+        text, linked = [], 0  # another list: the one before may have to come back
+
+    def cut(to: int, ended: bool = False) -> None:
+        """Take the elements from a place on off the path; ``ended``: the one there has ended, so what it hides goes."""
+        nonlocal text, linked
+        for name in names[to:]:
+            places[name].pop()
+        del names[to:], path[to:]
+        for kind in (solid, stops):
+            while kind and kind[-1] >= to:
+                kind.pop()
+        while hidden and hidden[-1][0] >= to:
+            place, n, before, count = hidden.pop()
+            if ended and place == to:
+                del out[n:]
+                text, linked = before, count
 
     at = 0
     while at < len(page):
@@ -77,8 +104,10 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         at = m.end()
         if m["text"] is not None:
             plain = entities.unescape(m["text"])
+            if names and names[-1] == "head" and plain.strip():
+                cut(len(names) - 1, True)
             text.append(plain)
-            if links:
+            if places["a"]:
                 linked += len(plain)
         elif m["raw"] is not None:
             name = re.match(r"<(\w+)", m[0])[1]
@@ -86,33 +115,44 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
             at = ends.end() if ends else len(page)
         elif m["name"] is not None:
             name = m["name"].lower()
+            empty = name in VOID or m["attrs"].rstrip().endswith("/")
+            if name in UNSEEN and not m["end"]:
+                if empty:
+                    continue
+                before = len(out), text, linked
             if name not in INLINE:
                 close()
             if m["end"]:
-                names = [x.split(".", 1)[0] for x in path[-64:]]
-                if name in names:
-                    back = len(names) - 1 - names[::-1].index(name)
-                    if name in INLINE and any(x not in INLINE for x in names[back:]):
-                        continue  # an inline end does not close blocks
-                    links -= sum(x == "a" for x in names[back:])
-                    del path[len(path) - len(names) + back :]
+                if places[name] and not (name in INLINE and solid and solid[-1] > places[name][-1]):  # an inline end does not close blocks
+                    cut(places[name][-1], True)
                 continue
-            if name in CLOSES_P or name == "li":
-                goal = "li" if name == "li" else "p"
-                names = [x.split(".", 1)[0] for x in path[-64:]]
-                for back in range(len(names) - 1, -1, -1):
-                    if names[back] == goal:
-                        links -= sum(x == "a" for x in names[back:])
-                        del path[len(path) - len(names) + back :]
-                        break
-                    if names[back] not in INLINE:
-                        break
-            if name not in VOID and not m["attrs"].rstrip().endswith("/"):
+            if places["head"] and (name == "body" or (names[-1] == "head" and name not in IN_HEAD)):
+                cut(places["head"][-1], True)
+            if name in CLOSES_P and solid and names[solid[-1]] == "p":
+                cut(solid[-1])
+            if name in CLOSES:
+                while stops and names[stops[-1]] in CLOSES[name]:
+                    cut(stops[-1])
+            elif name in CLOSES_CELLS:
+                table = places["table"][-1] if places["table"] else -1
+                for other in CLOSES_CELLS[name]:
+                    while places[other] and places[other][-1] > table:
+                        cut(places[other][-1])
+            if not empty:
                 words = NAME.findall(" ".join(x or y or z for x, y, z in ATTRIBUTE.findall(m["attrs"])).lower()) if m["attrs"] else []
+                place = len(path)
                 path.append(".".join([name, *words[:8]]))
-                links += name == "a"
+                names.append(name)
+                places[name].append(place)
+                if name not in INLINE:
+                    solid.append(place)
+                if name in STOPS:
+                    stops.append(place)
+                if name in UNSEEN:
+                    hidden.append((place, *before))
     close()
-    return out
+    found = ((where, " ".join("".join(pieces).split()), n) for where, pieces, n in out)
+    return [(where, plain, min(n, len(plain))) for where, plain, n in found if plain]
 
 
 def weak_labels(found: list[tuple[tuple[str, ...], str, int]]) -> list[int] | None:

@@ -54,6 +54,36 @@ def test_blocks():
     assert [(p[-1], t) for p, t, _ in extract.blocks(page)] == [("li", "Home"), ("p", "A & bc d"), ("p", "e"), ("p", "f"), ("footer", "© z")]
 
 
+def test_elements_that_never_end_hide_nothing():
+    last = lambda page: [(p[-1], t) for p, t, _ in extract.blocks(page)]
+    for page in ("<html><head><title>t</title><meta charset=x><body><p>A b", "<head><title>t</title><script>s</script><article><p>A b</article>", "<head><noscript><img src=x></noscript><title>t</title><p>A b"):
+        assert last(page) == [("p", "A b")], page
+    assert [t for _, t, _ in extract.blocks("<head><title>t</title>A b<p>c")] == ["A b", "c"]
+    for name in ("noscript", "iframe", "object", "svg", "canvas", "template"):
+        assert [t for _, t in last(f"<p>a</p><div><{name} id=x></div><p>b</p><p>c</p>")] == ["a", "b", "c"], name
+        assert [t for _, t in last(f"<{name}><p>b</p><{name}>no</{name}><p>c</p>")] == ["b", "c"], name
+        assert last(f"<p>a<{name}>no<div>no</div></{name}> b</p>") == [("p", "a b")], name
+        assert last(f"<p>a<{name} /> b</p>") == [("p", "a b")], name
+
+
+def test_omitted_end_tags():
+    many = range(300)
+    inner = {
+        "select": "".join(f"<option>c{k}" for k in many),
+        "table": "".join(f"<tr><td>a{k}<td><b>b{k}" for k in many),
+        "dl": "".join(f"<dt>t{k}<dd><p>d{k}" for k in many),
+        "ul": "".join(f"<li><p>t{k}" for k in many),
+        "div": "<div><i>x" * 300,
+    }
+    for name, what in inner.items():
+        for around in ("form", "nav", "aside"):
+            found = extract.blocks(f"<body><{around}><{name}>{what}</{name}></{around}><article><p>Body text</article>")
+            assert found[-1] == (("body", "article", "p"), "Body text", 0), (name, around)
+            assert name == "div" or max(len(p) for p, _, _ in found) <= 7
+    nested = extract.blocks("<table><tr><td>a<table><tr><td>b<td>c</table>d<td>e</table>f")
+    assert [("/".join(p), t) for p, t, _ in nested] == [("table/tr/td", "a"), ("table/tr/td/table/tr/td", "b"), ("table/tr/td/table/tr/td", "c"), ("table/tr/td", "d"), ("table/tr/td", "e"), ("", "f")]
+
+
 def test_gradients():
     import numpy as np
 
