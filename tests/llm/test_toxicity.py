@@ -24,6 +24,19 @@ def test_rates_and_exceptions():
     assert lexicon.rate("clown " * 50 + "word " * 50) <= 4 * once
 
 
+def test_repeated_abuse_is_toxic():
+    lexicon = toxicity.Lexicon({toxicity.folded("clown"): 2.0, toxicity.folded("moron"): 1.0}, middle=0.1)
+    for said in ("clown ", "you are a clown. ", "you clown, you utter moron! "):
+        once = lexicon.rate(said)
+        for n in (2, 100, 1000, 20_000):
+            assert lexicon.rate(said * n) == once and lexicon.score(lexicon.rate(said * n)) >= toxicity.CUT, (said, n)
+    assert lexicon.rate("you clown and what a clown") == 2 * 2.0 / 6  # other words before it: said twice
+    long = "word " * 400
+    rates = [lexicon.rate(long + "clown " * n) for n in (1, 3, 30, 3000)]
+    assert rates == sorted(rates)
+    assert lexicon.rate("".join(f"n{k} clown " for k in range(100))) == 1.0
+
+
 def test_held_out_accuracy(spark):
     rows = op7_toxicity(spark, SF).toPandas()
     labels = duckdb.sql(f"select doc_id, toxic from '{SF}/labels.parquet'").df()
