@@ -15,6 +15,7 @@ scoring is one pass over all whole texts with the lexicon (``TERMS`` at most) br
 
 from __future__ import annotations
 
+import logging
 import math
 import re
 from collections import Counter
@@ -24,18 +25,19 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import parts, schema_with, settle_wide, thinned
 
+LOG = logging.getLogger(__name__)
+
 SAMPLE = 12_000
 TERMS = 2_000
 LEAST_G = 11.0
 LEAST_DOCS = 2
-LEAST_SHARE = 0.015  # of the toxic documents: names and copied passages that a few of them share are no lexicon
-#: Of the documents with a term, at least this many are toxic for each clean one.
-PURITY = 20
+#: A term's share of the toxic documents is at least so many times its share of the clean ones (half a document added to each).
+RATIO = 8
 PREFIXES = (4, 5, 6)
 CUT = 0.7
 #: Harmless phrases that contain words of abuse.
@@ -126,13 +128,13 @@ class Lexicon:
         return a / (a + b) if a else 0.0
 
 
-def g_statistic(a: float, c: float, pos: float, neg: float) -> float:
-    """G of a term in a of pos toxic and c of neg clean documents."""
-    total, out = pos + neg, 0.0
+def g_statistic(pos: float, neg: float) -> Column:
+    """G of a term in a of pos toxic and c of neg clean documents (columns a, c)."""
+    a, c = F.col("a").cast("double"), F.col("c").cast("double")
+    share, out = (a + c) / (pos + neg), F.lit(0.0)
     for seen, of in ((a, pos), (c, neg)):
-        for k, share in ((seen, (a + c) / total), (of - seen, 1 - (a + c) / total)):
-            if k and of and share:
-                out += 2 * k * math.log(k / (of * share))
+        for k, part in ((seen, share), (F.lit(of) - seen, 1 - share)):
+            out += F.when(k > 0, 2 * k * F.log(k / (of * part))).otherwise(0.0)
     return out
 
 
@@ -166,12 +168,16 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPT
     size = sample.agg(F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("pos"), F.count("*").alias("n")).first()
     pos, neg = size.pos or 0, size.n - (size.pos or 0)
     if not pos or not neg:
+        LOG.warning("%d toxic and %d clean documents to learn from: every score is 0", pos, neg)
         return Lexicon({}, exceptions)
     counts = sample.mapInArrow(count, "term string, a long, c long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
-    rows = counts.filter((F.col("a") >= max(LEAST_DOCS, LEAST_SHARE * pos)) & (F.col("a") > PURITY * F.col("c"))).orderBy(F.desc("a"), "c", "term").limit(4 * TERMS).collect()  # bounded
-    graded = sorted(((g_statistic(r.a, r.c, pos, neg), r.term, r.a, r.c) for r in rows), key=lambda x: (-x[0], x[1]))
-    weights = {term: log_odds(a, c, pos, neg) for g, term, a, c in graded[:TERMS] if g >= LEAST_G}
+    more = (F.col("a") + 0.5) * (neg + 1) > RATIO * (F.col("c") + 0.5) * (pos + 1)
+    graded = counts.filter((F.col("a") >= LEAST_DOCS) & more).withColumn("g", g_statistic(pos, neg)).filter(F.col("g") >= LEAST_G)
+    rows = graded.orderBy(F.desc("g"), "term").limit(TERMS).collect()  # bounded
+    weights = {r.term: log_odds(r.a, r.c, pos, neg) for r in rows}
     lexicon = Lexicon({k: w for k, w in weights.items() if w > 0}, exceptions)
+    if not lexicon.weights:
+        LOG.warning("no term parts %d toxic from %d clean documents: every score is 0", pos, neg)
     pairs = rates(sample, lexicon).select("toxic", "rate").collect()  # as many as the sample has
     lexicon.middle = middle_rate([r.rate for r in pairs if r.toxic <= 0], [r.rate for r in pairs if r.toxic > 0])
     return lexicon

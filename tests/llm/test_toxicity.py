@@ -55,6 +55,24 @@ def test_labels_of_the_held_out_third_are_not_read(spark):
     assert toxicity.fit(d, labels).weights == toxicity.fit(d, flipped).weights
 
 
+def test_fit_at_low_prevalence_with_flipped_labels(spark, caplog):
+    slurs = ["grunkler", "vostenpuk", "dramfitzer", "quolbeast"]
+    rows, labels = [], []
+    for k in range(3000):
+        bad = k % 100 == 0  # 1 %
+        said = [slurs[(k // 100) % 3], slurs[(k // 100 + 1) % 3], *([slurs[3]] if k % 900 == 0 else [])] if bad else []
+        rows.append((k, " ".join([*(f"word{(k * 7 + j * j) % 211}" for j in range(20)), *said]), "a"))
+        labels.append((k, 1, int(bad != (k % 700 == 0 or k % 997 == 5))))  # some of either kind are labelled wrong
+    frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    table = docs(spark, rows)
+    lexicon = toxicity.fit(table, frame)
+    assert all(toxicity.folded(x) in lexicon.weights for x in slurs)
+    got = {r.doc_id: r.predicted for r in toxicity.score(table, lexicon).collect()}
+    assert sum(got[k] for k in range(0, 3000, 100)) == 30 and sum(got.values()) <= 35
+    assert not caplog.records
+    assert toxicity.fit(table, frame.withColumn("toxic", (frame.doc_id % 2).cast("int"))).weights == {} and "every score is 0" in caplog.text
+
+
 def test_odd_rows(spark):
     rows = docs(spark, odd_texts()).selectExpr("*", "1 as score", "2 as rate", "3 as predicted")
     labels = spark.createDataFrame([(6, 1, 0), (7, 1, 1), (None, 0, 1), (4, None, None)], "doc_id long, quality int, toxic int")
