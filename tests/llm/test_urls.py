@@ -57,5 +57,25 @@ def test_pagerank_against_brute_force(spark):
     assert {r.host: round(r["rank"], 9) for r in got} == {h: round(v, 9) for h, v in rank.items()}
 
 
+def test_long_chains_and_single_bad_links(spark):
+    link = lambda to: f'<a href="http://{to}/x">y</a>'
+    rows = [(0, "http://bad.net/x", "")]
+    rows += [(k, f"http://c{k}.com/x", link("bad.net" if k == 1 else f"c{k - 1}.com")) for k in range(1, 16)]  # 15 links from a bad host
+    rows += [(100, "http://clean.com/x", link("bad.net") + "".join(link(f"o{k}.com") for k in range(2000)))]  # one bad link of 2,001
+    rows += [(101, "http://fan.com/x", link("clean.com"))]
+    got = {r.page_id: r.verdict for r in urls.filter_urls(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(got[k] == "block" for k in range(16))
+    assert got[100] == got[101] == "allow"
+
+
+def test_ranks_stand_still(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, n long")
+    seeds = spark.createDataFrame([("trust", "a", 1.0), ("distrust", "a", 1.0)], "kind string, host string, seed double")
+    got = {(r.kind, r.host): r["rank"] for r in urls.propagate(edges, seeds, tolerance=urls.TOLERANCE).collect()}
+    d = urls.DAMPING
+    want = {"a": (1 - d) / (1 - d * d), "b": d * (1 - d) / (1 - d * d)}
+    assert all(abs(v - want[host]) < 1e-6 for (_, host), v in got.items()) and len(got) == 4
+
+
 def test_empty_table(spark):
     assert urls.filter_urls(spark.createDataFrame([], PAGES)).count() == 0
