@@ -616,7 +616,7 @@ def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PREPARED}, g AS (SELECT original_label, target_label AS grg, count(*) AS n_reads FROM prepared GROUP BY ALL), t AS (SELECT pb AS pb_index, k AS original_label, (1 + (pb * 31 + k * 17) % 10) / (SELECT sum(1 + (pb * 31 + j * 17) % 10) FROM range(7) q(j))::DOUBLE AS target FROM range(10) a(pb), range(7) b(k)) SELECT pb_index, original_label::INT AS original_label, grg, floor(floor(target * 5000) / n)::BIGINT AS quota FROM t JOIN (SELECT *, count(*) OVER (PARTITION BY original_label) AS n FROM g) USING (original_label)")
 def group_quotas(spark, sf_dir):
-    """Equal shares of the quota over non-empty groups."""
+    """Equal shares of the quota over non-empty groups (G3, the draw over groups, is in simulated_mixtures)."""
     grid = spark.range(10).select(F.col("id").alias("pb_index"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("original_label"))
     weight = 1 + (F.col("pb_index") * 31 + F.col("original_label") * 17) % 10
     targets = grid.withColumn("target", weight / F.sum(weight).over(Window.partitionBy("pb_index")))
@@ -630,6 +630,6 @@ def simulated_mixtures(spark, sf_dir):
     unique = rows.groupBy("row_id", "original_label", "grg").agg(F.count("*").alias("read_count"), F.first("prediction_0").alias("prediction_0"), F.first("NCPGS").alias("NCPGS"))
     targets = simulation.target_proportions(spark, 10, CLASSES, 42)
     groups = unique.groupBy("original_label", "grg").agg(F.sum("read_count").alias("n_reads"))
-    drawn = simulation.draw(unique, simulation.quotas(targets, groups, 5000), 42)
+    drawn = simulation.draw(unique, simulation.drawn_quotas(targets, groups, 5000, 42), 42)
     weighed = drawn.join(unique.select("row_id", "prediction_0", "NCPGS"), "row_id").withColumn("w", F.col("times") * F.col("NCPGS"))
     return rounded(weighed.groupBy("pb_index", "grg").agg((F.sum(F.col("w") * F.col("prediction_0")) / F.sum("w")).alias("prediction_0_wavg"), F.sum("times").alias("n_reads")))

@@ -32,6 +32,28 @@ def quotas(targets: DataFrame, groups: DataFrame, n: int) -> DataFrame:
     return per_class.join(filled, "original_label").select("pb_index", "original_label", "grg", F.floor(F.col("_n") / F.col("_g")).cast("long").alias("quota"))
 
 
+def drawn_quotas(targets: DataFrame, groups: DataFrame, n: int, seed: int) -> DataFrame:
+    """(pb_index, original_label, grg, quota): each of int(n p) reads of a class draws one of all groups, all as likely.
+
+    What falls on groups where the class has no reads is spread in equal shares over those where it has; only the remainder
+    of that is lost. groups: original_label, grg, n_reads.
+    """
+    every = groups.select("grg").distinct().select("grg", (F.row_number().over(Window.orderBy("grg")) - 1).cast("long").alias("_at"))  # as many rows as groups
+    filled = groups.filter("n_reads > 0").select("original_label", "grg").distinct()
+    reads = (
+        targets.withColumn("_n", F.floor(F.col("target") * n).cast("long")).filter("_n > 0").crossJoin(F.broadcast(every.agg(F.count("*").alias("_all"))))
+        .withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+        .withColumn("_at", F.floor(uniform(F.lit(seed), F.lit("g"), "pb_index", "original_label", "k") * F.col("_all")).cast("long"))
+    )
+    counts = reads.groupBy("pb_index", "original_label", "_at").agg(F.count("*").alias("_q")).join(every, "_at").drop("_at")
+    own = counts.join(filled, ["original_label", "grg"], "left_semi").select("pb_index", "original_label", "grg", "_q")
+    lost = counts.join(filled, ["original_label", "grg"], "left_anti").groupBy("pb_index", "original_label").agg(F.sum("_q").alias("_lost"))
+    sizes = filled.groupBy("original_label").agg(F.count("*").alias("_g"))
+    cells = targets.select("pb_index", "original_label").join(filled, "original_label").join(sizes, "original_label").join(own, ["pb_index", "original_label", "grg"], "left").join(lost, ["pb_index", "original_label"], "left")
+    quota = F.coalesce("_q", F.lit(0)) + F.floor(F.coalesce("_lost", F.lit(0)) / F.col("_g"))
+    return cells.select("pb_index", "original_label", "grg", quota.cast("long").alias("quota"))
+
+
 def require_reads(targets: DataFrame, groups: DataFrame) -> DataFrame:
     missing = targets.join(groups.filter("n_reads > 0").select("original_label").distinct(), "original_label", "left_anti").select("original_label").distinct().take(5)
     if missing:

@@ -59,7 +59,7 @@ def generate_pseudobulk(spark: SparkSession, config: dict) -> DataFrame:
     classes, seed = int(config.get("classes", 7)), int(config.get("seed", 42))
     targets = simulation.target_proportions(spark, int(config["mixtures"]), classes, seed)
     groups = reads.groupBy("original_label", "grg").agg(F.sum("read_count").alias("n_reads"))
-    wanted = simulation.quotas(simulation.require_reads(targets, groups), groups, int(config["reads_per_mixture"]))
+    wanted = simulation.drawn_quotas(simulation.require_reads(targets, groups), groups, int(config["reads_per_mixture"]), seed)
     files.publish(simulation.draw(reads, wanted, seed), config["output_dir"])
     return spark.read.parquet(config["output_dir"])
 

@@ -165,3 +165,16 @@ def test_superset_pooling(spark):
     assert got["a,b"] == ([13, 2], 4)  # itself and two that hold it give 7; then a,x at distance 2/3
     assert got["a,x"] == ([8, 0], 1) and got["z"] == ([0, 16], 1)
     assert got["a,b,c,d"] == ([5, 2], 3)  # nearest a,b,c, then a,b; a,x is too far
+
+
+def test_drawn_quotas(spark):
+    from readloom.operators import simulation
+
+    targets = spark.createDataFrame([(0, 0, 0.2), (0, 1, 0.8), (1, 1, 1.0)], "pb_index long, original_label int, target double")
+    cells = [(0, g, 5) for g in range(250)] + [(1, g, 5 if g < 200 else 0) for g in range(250)]
+    got = simulation.drawn_quotas(targets, spark.createDataFrame(cells, "original_label int, grg int, n_reads long"), 1000, 7).toPandas()
+    sums = got.groupby(["pb_index", "original_label"]).quota.sum().to_dict()
+    assert sums[0, 0] == 200  # fewer reads than groups: none is lost
+    assert 800 - 200 < sums[0, 1] <= 800 and 1000 - 200 < sums[1, 1] <= 1000  # the remainder of empty groups' quota
+    assert got[got.original_label == 1].grg.max() == 199
+    assert got[got.original_label == 0].quota.nunique() > 2  # depth differs by group
