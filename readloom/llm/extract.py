@@ -13,6 +13,7 @@ go to the tasks. A page of any length is labelled whole; work and memory are lin
 from __future__ import annotations
 
 import html as entities
+import logging
 import random
 import re
 import zlib
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import parts, schema_with, thinned
 
+LOG = logging.getLogger(__name__)
+
 SAMPLE = 160
 SAMPLE_BYTES = 40_000
 PATH_SIZE, WORD_SIZE, NUMBERS = 96, 32, 4
@@ -332,7 +335,8 @@ def relaid(found: list[tuple[tuple[str, ...], str, int]], labels: list[int], rng
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
     """Train on a bounded sample of pages (page_id, html): those with the smallest hashes, without pages of more than SAMPLE_BYTES bytes."""
-    rows = thinned(pages.select("page_id", "html"), ["page_id"], sample).filter(F.octet_length("html").between(1, SAMPLE_BYTES)).orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()
+    short = pages.select("page_id", "html").filter(F.octet_length("html").between(1, SAMPLE_BYTES))  # first: the share is of those that may be taken
+    rows = thinned(short, ["page_id"], sample).orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()
     rng, cache, made = random.Random(9), {}, []
     for row in rows:
         found = blocks(row.html)
@@ -341,6 +345,7 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
             for page, marks in [(found, labels), (found, labels), *(relaid(found, labels, rng) for _ in range(2))]:
                 made.append((features(page, cache), np.array(marks, np.float32)))
     if not made:  # no page says what its article is: train on layouts of invented blocks
+        LOG.warning("none of %d training pages says what its article is: training on invented blocks", len(rows))
         for k in range(sample):
             body = [(("article", "p"), " ".join(f"w{rng.randint(0, 999)}" for _ in range(rng.randint(5, 60))), 0) for _ in range(rng.randint(2, 12))]
             page, marks = relaid([*body, (("nav",), "menu home about", 0)], [1] * len(body) + [0], rng)

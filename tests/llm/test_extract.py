@@ -112,3 +112,14 @@ def test_gradients():
 def test_without_pages(spark):
     pages = spark.createDataFrame([], "page_id long, html string")
     assert extract.extract(pages, extract.fit(pages, 20)).count() == 0
+
+
+def test_long_pages_leave_the_sample_whole(spark, monkeypatch, caplog):
+    trained = []
+    monkeypatch.setattr(extract.Labeller, "fit", lambda self, pages: trained.append(len(pages)))
+    page = "<article><p>Some text here</article><nav>x</nav>"
+    rows = [(k, page if k % 20 == 0 else page + "<!-- " + "x" * extract.SAMPLE_BYTES) for k in range(1200)]
+    extract.fit(spark.createDataFrame(rows, "page_id long, html string"), 20)
+    assert trained == [4 * 20] and not caplog.records
+    extract.fit(spark.createDataFrame([(1, "<p>x")], "page_id long, html string"), 20)
+    assert "invented blocks" in caplog.text
