@@ -42,10 +42,12 @@ def n_words(text) -> "F.Column":
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a new one only where none is set (tests)."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a new one only on a local master that names none (tests)."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
         at = "file://" + tempfile.mkdtemp(prefix="readloom-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)

@@ -1,24 +1,26 @@
 """Main text of HTML pages by a recurrent block labeller.
 
 A page is cut into blocks: the text between block-level tags. A block is read as two hashed vectors (the
-names, classes and ids on its tag path; its words) and a few numbers. A bidirectional LSTM in numpy reads
+names, classes and ids on its whole tag path; its words) and a few numbers. A bidirectional LSTM in numpy reads
 the blocks of the whole page in order and labels each as article or not; the article blocks are the text.
 
 The network is trained here, on the driver, on a bounded sample of pages (``SAMPLE`` pages of at most
 ``SAMPLE_BYTES`` bytes) whose markup says which blocks are article, and on the same blocks dealt into other
 page layouts. Scale: pages are labelled where they are read, nothing is shuffled; the weights (some 100 kB)
-go to the tasks. A page of any length is labelled whole; work and memory are linear in it.
+go to the tasks. A page of any length is labelled whole; work and memory are linear in it, however its tags nest
+and whether they end or not.
 """
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import logging
 import random
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +33,8 @@ LOG = logging.getLogger(__name__)
 
 SAMPLE = 160
 SAMPLE_BYTES = 40_000
-PATH_SIZE, WORD_SIZE, NUMBERS = 96, 32, 4
+PATH_SIZE, WORD_SIZE, NUMBERS = 256, 32, 4
 HIDDEN = 20
-EDGE = 8  # elements at either end of a tag path that are read
 
 # Names of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,9 +49,11 @@ STOPS = (CLOSES_P - {"address", "div", "p"}) | UNSEEN | frozenset("html body li
 CELLS = ("td", "th", "caption", "colgroup")
 CLOSES_CELLS = {"td": CELLS, "th": CELLS, "tr": ("tr", *CELLS)} | dict.fromkeys(("tbody", "thead", "tfoot"), ("tbody", "thead", "tfoot", "tr", *CELLS))
 
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?:{RAW})(?=[\s/>])(?P<raw>)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)", re.DOTALL | re.IGNORECASE
-)
+#: What stands at a place of a page; where the attributes of a tag end is for ``Tags`` to say.
+TOKEN = re.compile(rf"<!--(?:.*?-->|.*)|<(?:{RAW})(?=[\s/>])(?P<raw>)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)|<[!?/][^>]*+>|(?P<text>[^<]++|<)", re.DOTALL | re.IGNORECASE)
+PLAIN = re.compile("[^>\"']*+")
+OPEN = re.compile(rf"<!--|<(?:{RAW})(?=[\s/>])", re.IGNORECASE)
+LOOSE = re.compile("<[^<]*+")
 ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 NAME = re.compile(r"[a-z]+")
 
@@ -59,16 +62,91 @@ OTHER_ELEMENTS = frozenset("nav aside footer header form menu button select dial
 OTHER_NAMES = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies disclaimer footer header login menu nav navigation newsletter notice popup promo related replies reply share sharing sidebar signup social sponsor sponsored subscribe widget".split())
 
 
-def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
-    """(tag path, text, characters of it in links) of each block with text, in page order.
+@functools.lru_cache(maxsize=1 << 14)
+def traits(element: str) -> tuple[int, bool, bool]:
+    """Of an element: a bit for each of its hashed parts, whether it is an article's, whether it is something other."""
+    name, *words = element.split(".")
+    mask = 0
+    for part in filter(None, (name, *words)):
+        mask |= 1 << bucket(part, PATH_SIZE)
+    return mask, name in ("article", "main"), name in OTHER_ELEMENTS or not OTHER_NAMES.isdisjoint(words)
 
-    A path holds elements like ``div.ad``: a name and the words of class, id and role. Content of scripts,
+
+class Place:
+    """The end of a tag path: an element like ``div.ad`` (a name and the words of class, id and role) under another place.
+
+    Paths share what they have in common, so a block costs the same however deep it stands.
+    """
+
+    __slots__ = ("element", "inside", "mask", "other", "over")
+
+    def __init__(self, element: str, over: Place | None):
+        self.element, self.over = element, over
+        self.mask, self.inside, self.other = traits(element)
+        if over is not None:
+            self.mask |= over.mask
+            self.inside |= over.inside
+            self.other |= over.other
+
+    def path(self) -> tuple[str, ...]:
+        out, at = [], self
+        while at is not None and at.over is not None:
+            out.append(at.element)
+            at = at.over
+        return tuple(reversed(out))
+
+
+def place_of(path: Sequence[str]) -> Place:
+    at = Place("", None)
+    for element in path:
+        at = Place(element, at)
+    return at
+
+
+class Tags:
+    """Where the tags of a page end: at the first > outside quotes. Attempts that failed are not walked again.
+
+    Two attempts that reach the same > or quote outside quotes go on alike, so it is enough to note where one that
+    failed has been; at any place there are three ways to go on at most (outside, in either kind of quotes).
+    """
+
+    def __init__(self, page: str):
+        self.page, self.lost, self.seen = page, set(), (0, -1)
+
+    def end(self, at: int) -> int:
+        """The place after the > of a tag whose attributes begin at a place; -1 if it never ends. Places are asked in rising order."""
+        page, been = self.page, []
+        while True:
+            if self.seen[0] <= at <= self.seen[1]:
+                stop = self.seen[1]
+            else:
+                stop = PLAIN.match(page, at).end()
+                if not been:
+                    self.seen = (at, stop)
+            if stop in self.lost:
+                break
+            been.append(stop)
+            if stop == len(page):
+                break
+            if page[stop] == ">":
+                return stop + 1
+            at = page.find(page[stop], stop + 1) + 1
+            if not at:
+                break
+        self.lost.update(been)
+        return -1
+
+
+def blocks(page: str | None) -> list[tuple[Place, str, int]]:
+    """(place, text, characters of it in links) of each block with text, in page order.
+
+    Content of scripts,
     styles, the head and the like is no text. The head ends at its end tag, at the body, or at the first thing
     that may not stand in it; the text of another hidden element is dropped when its end tag comes, so one that
     never ends hides nothing. Character references are decoded, white space becomes one space.
     """
     page = page or ""
-    path: list[str] = []
+    path: list[Place] = [place_of(())]  # one more than names
     names: list[str] = []
     places: defaultdict[str, list[int]] = defaultdict(list)  # where on the path the open elements of a name are
     solid: list[int] = []  # places of elements that are not inline
@@ -79,7 +157,7 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     def close() -> None:
         nonlocal text, linked
         if text:
-            out.append((tuple(path if len(path) <= 2 * EDGE else path[:EDGE] + path[-EDGE:]), text, linked))
+            out.append((path[-1], text, linked))
         text, linked = [], 0  # another list: the one before may have to come back
 
     def cut(to: int, ended: bool = False) -> None:
@@ -87,7 +165,7 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         nonlocal text, linked
         for name in names[to:]:
             places[name].pop()
-        del names[to:], path[to:]
+        del names[to:], path[to + 1 :]
         for kind in (solid, stops):
             while kind and kind[-1] >= to:
                 kind.pop()
@@ -97,28 +175,42 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
                 del out[n:]
                 text, linked = before, count
 
-    at = 0
+    def add(raw: str) -> None:
+        nonlocal linked
+        plain = entities.unescape(raw)
+        if names and names[-1] == "head" and plain.strip():
+            cut(len(names) - 1, True)
+        text.append(plain)
+        if places["a"]:
+            linked += len(plain)
+
+    at, tags, last = 0, Tags(page), page.rfind(">")
     while at < len(page):
+        if at > last:  # no further tag ends
+            m = OPEN.search(page, at)
+            add(page[at : m.start() if m else len(page)])
+            break
         m = TOKEN.match(page, at)
-        if m is None:  # a tag that never ends
-            text.append(page[at])
-            at += 1
+        end = tags.end(m.end()) if m and m["name"] is not None else m.end() if m else -1
+        if end < 0 and m and m["end"]:
+            at = page.find(">", at) + 1
+            continue
+        if end < 0:  # a tag that never ends is text
+            m = LOOSE.match(page, at)
+            add(m[0])
+            at = m.end()
             continue
-        at = m.end()
+        at = end
         if m["text"] is not None:
-            plain = entities.unescape(m["text"])
-            if names and names[-1] == "head" and plain.strip():
-                cut(len(names) - 1, True)
-            text.append(plain)
-            if places["a"]:
-                linked += len(plain)
+            add(m["text"])
         elif m["raw"] is not None:
             name = re.match(r"<(\w+)", m[0])[1]
-            ends = re.compile(rf"</{name}(?:[\s/][^>]*)?>", re.IGNORECASE).search(page, at)
-            at = ends.end() if ends else len(page)
+            ends = re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE).search(page, at)
+            at = page.find(">", ends.end()) + 1 if ends else 0
+            at = at or len(page)
         elif m["name"] is not None:
-            name = m["name"].lower()
-            empty = name in VOID or m["attrs"].rstrip().endswith("/")
+            name, attrs = m["name"].lower(), page[m.end() : at - 1]
+            empty = name in VOID or attrs.rstrip().endswith("/")
             if name in UNSEEN and not m["end"]:
                 if empty:
                     continue
@@ -142,9 +234,9 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
                     while places[other] and places[other][-1] > table:
                         cut(places[other][-1])
             if not empty:
-                words = NAME.findall(" ".join(x or y or z for x, y, z in ATTRIBUTE.findall(m["attrs"])).lower()) if m["attrs"] else []
-                place = len(path)
-                path.append(".".join([name, *words[:8]]))
+                words = NAME.findall(" ".join(x or y or z for x, y, z in ATTRIBUTE.findall(attrs)).lower()) if attrs else []
+                place = len(names)
+                path.append(Place(".".join([name, *words]), path[-1]))
                 names.append(name)
                 places[name].append(place)
                 if name not in INLINE:
@@ -158,14 +250,9 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     return [(where, plain, min(n, len(plain))) for where, plain, n in found if plain]
 
 
-def weak_labels(found: list[tuple[tuple[str, ...], str, int]]) -> list[int] | None:
+def weak_labels(found: list[tuple[Place, str, int]]) -> list[int] | None:
     """1 for blocks that the markup places in the article; None if it names none."""
-    out = []
-    for path, _, _ in found:
-        names = [x.split(".") for x in path]
-        inside = any(x[0] in ("article", "main") for x in names)
-        other = any(x[0] in OTHER_ELEMENTS or OTHER_NAMES & set(x[1:]) for x in names)
-        out.append(int(inside and not other))
+    out = [int(place.inside and not place.other) for place, _, _ in found]
     return out if any(out) else None
 
 
@@ -173,15 +260,12 @@ def bucket(key: str, size: int) -> int:
     return zlib.crc32(key.encode("utf-8", "surrogatepass")) % size
 
 
-def features(found: list[tuple[tuple[str, ...], str, int]], cache: dict[str, int]) -> np.ndarray:
+def features(found: list[tuple[Place, str, int]]) -> np.ndarray:
     """A row a block: hashed tag path, hashed words (shares), length, share of links, words, place on the page."""
     x = np.zeros((len(found), PATH_SIZE + WORD_SIZE + NUMBERS), np.float32)
-    for k, (path, text, linked) in enumerate(found):
-        for element in path:
-            for part in element.split("."):
-                if (b := cache.get(part)) is None:
-                    b = cache[part] = bucket(part, PATH_SIZE)
-                x[k, b] = 1.0
+    masks = np.frombuffer(b"".join(place.mask.to_bytes(PATH_SIZE // 8, "little") for place, _, _ in found), np.uint8)
+    x[:, :PATH_SIZE] = np.unpackbits(masks.reshape(-1, PATH_SIZE // 8), axis=1, bitorder="little")
+    for k, (_, text, linked) in enumerate(found):
         words = text.split()
         got = [bucket(w, WORD_SIZE) for w in words]
         x[k, PATH_SIZE : PATH_SIZE + WORD_SIZE] = np.bincount(got, minlength=WORD_SIZE) / len(words)
@@ -301,9 +385,17 @@ AROUND = ("nav.ul.li.a", "nav div.a", "header h1", "header p", "div.ad", "div.ad
 ARTICLES = ("article p", "article section p", "main p", "main article p", "main div p", "div.content p", "div.post.body p", "div.article p", "article div.entry p", "div.main p")
 
 
-def relaid(found: list[tuple[tuple[str, ...], str, int]], labels: list[int], rng: random.Random) -> tuple[list, list[int]]:
+def other_layouts() -> list[str]:
+    """Paths of what is no article: the list above, and the elements and names that weak labels know."""
+    inner = ("p", "a", "ul li", "div", "span")
+    named = [f"div.{name} {inner[k % 5]}" for k, name in enumerate(sorted(OTHER_NAMES))] + [f"section.{name} {inner[(k + 2) % 5]}" for k, name in enumerate(sorted(OTHER_NAMES))]
+    return [*AROUND, *named, *(f"{name} {x}" for name in sorted(OTHER_ELEMENTS) for x in inner)]
+
+
+def relaid(found: list[tuple[Place, str, int]], labels: list[int], rng: random.Random, articles: Sequence[str] = ARTICLES, around_paths: Sequence[str] | None = None) -> tuple[list, list[int]]:
     """The blocks of a page in another layout: its article under another path, other blocks before, within and after."""
-    kind = rng.choice(ARTICLES).split()
+    around_paths = around_paths or (AROUND if rng.random() < 0.5 else other_layouts())
+    kind = rng.choice(articles).split()
     body = [b for b, y in zip(found, labels, strict=True) if y]
     rest = [b[1] for b, y in zip(found, labels, strict=True) if not y] or ["..."]
     words = [w for t in rest for w in t.split()]
@@ -311,23 +403,23 @@ def relaid(found: list[tuple[tuple[str, ...], str, int]], labels: list[int], rng
     def around(n: int, under: tuple[str, ...] = ()) -> list:
         out = []
         for _ in range(n):
-            path = rng.choice(AROUND).replace(".ul.li.a", " ul li a").replace("div.a", "div a").split()
+            path = rng.choice(around_paths).replace(".ul.li.a", " ul li a").replace("div.a", "div a").split()
             long = path[-1] == "p" and rng.random() < 0.5
             text = rng.choice(body)[1] if long else " ".join(rng.choices(words, k=rng.randint(1, 8)))
             for _ in range(rng.randint(1, 4)):
-                out.append((("html", "body", *under, *path), text, len(text) if path[-1] == "a" else 0))
+                out.append((place_of(("html", "body", *under, *path)), text, len(text) if path[-1] == "a" else 0))
         return out
 
     out, marks = around(rng.randint(1, 4)), []
     marks += [0] * len(out)
     inner = rng.randint(0, len(body)) if rng.random() < 0.3 else -1
-    for k, (path, text, linked) in enumerate(body):
+    for k, (place, text, linked) in enumerate(body):
         if k == inner:
             extra = around(1, ("article",))
             out += extra
             marks += [0] * len(extra)
-        last = path[-1] if path and path[-1].split(".")[0] in ("h1", "h2", "h3", "li", "b", "blockquote", "pre", "td") else kind[-1]
-        out.append((("html", "body", *kind[:-1], last), text, linked))
+        last = place.element if place.element.split(".")[0] in ("h1", "h2", "h3", "li", "b", "blockquote", "pre", "td") else kind[-1]
+        out.append((place_of(("html", "body", *kind[:-1], last)), text, linked))
         marks.append(1)
     after = around(rng.randint(1, 4))
     return out + after, marks + [0] * len(after)
@@ -337,19 +429,19 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
     """Train on a bounded sample of pages (page_id, html): those with the smallest hashes, without pages of more than SAMPLE_BYTES bytes."""
     short = pages.select("page_id", "html").filter(F.octet_length("html").between(1, SAMPLE_BYTES))  # first: the share is of those that may be taken
     rows = thinned(short, ["page_id"], sample).orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()
-    rng, cache, made = random.Random(9), {}, []
+    rng, made = random.Random(9), []
     for row in rows:
         found = blocks(row.html)
         labels = weak_labels(found)
         if labels is not None:
-            for page, marks in [(found, labels), (found, labels), *(relaid(found, labels, rng) for _ in range(2))]:
-                made.append((features(page, cache), np.array(marks, np.float32)))
+            for page, marks in [(found, labels), (found, labels), *(relaid(found, labels, rng) for _ in range(4))]:
+                made.append((features(page), np.array(marks, np.float32)))
     if not made:  # no page says what its article is: train on layouts of invented blocks
         LOG.warning("none of %d training pages says what its article is: training on invented blocks", len(rows))
         for k in range(sample):
-            body = [(("article", "p"), " ".join(f"w{rng.randint(0, 999)}" for _ in range(rng.randint(5, 60))), 0) for _ in range(rng.randint(2, 12))]
-            page, marks = relaid([*body, (("nav",), "menu home about", 0)], [1] * len(body) + [0], rng)
-            made.append((features(page, cache), np.array(marks, np.float32)))
+            body = [(place_of(("article", "p")), " ".join(f"w{rng.randint(0, 999)}" for _ in range(rng.randint(5, 60))), 0) for _ in range(rng.randint(2, 12))]
+            page, marks = relaid([*body, (place_of(("nav",)), "menu home about", 0)], [1] * len(body) + [0], rng)
+            made.append((features(page), np.array(marks, np.float32)))
     model = Labeller()
     model.fit(made)
     return model
@@ -361,13 +453,11 @@ def extract(pages: DataFrame, model: Labeller) -> DataFrame:
     shared = pages.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, cache = shared.value, {}
+        own = shared.value
         for whole in batches:
             for batch in parts(whole, "html", 2 << 20):
-                if len(cache) > 100_000:
-                    cache.clear()
                 found = [blocks(t) for t in batch.column("html").to_pylist()]
-                marks = own.label([features(x, cache) for x in found])
+                marks = own.label([features(x) for x in found])
                 texts = [" ".join(b[1] for b, y in zip(x, mark, strict=True) if y) for x, mark in zip(found, marks, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), pa.array(texts, pa.string())], [*(f.name for f in keep), "text"])
 

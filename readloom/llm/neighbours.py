@@ -10,9 +10,9 @@ the hypothesis test against the distance of the fifth best so far are given up.
 exactly, as the cosine of the original vectors in double precision.
 
 Scale: queries and vectors meet by list; lists with more than ``TILE`` rows are dealt over several tiles
-(by a hash of the id) and their queries visit each, so one vector that a third of all rows share does
-not make one task. A tile is streamed in batches; a query keeps its best five, and the tiles' best are
-merged by a window over a few rows a query.
+(by a hash of the row) and their queries visit each, so neither one vector nor one id that a third of all
+rows share makes one task. A tile is streamed in batches; a query keeps its best five ids, and the tiles'
+best are merged by a window over a few rows a query.
 """
 
 from __future__ import annotations
@@ -95,8 +95,11 @@ def scan(query: np.ndarray, turned: np.ndarray, bound: float) -> np.ndarray:
 
 
 def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
+    """The k best different ids, each with its best score."""
+    order = np.lexsort((ids, -scores))
+    if len(set(ids[order[:k]].tolist())) < min(k, len(ids)):  # repeated rows
+        order = order[np.sort(np.unique(ids[order], return_index=True)[1])]
+    return ids[order[:k]], scores[order[:k]]
 
 
 def search_tiles(rows: DataFrame, k: int, d: int) -> DataFrame:
@@ -160,9 +163,11 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, lists: int = LISTS,
 
     vectors: vec_id, embedding. Queries are the rows whose vec_id ``every`` divides, candidates all others than
     the query's own vec_id. Vectors that are null, zero or hold null or non-finite components take no part, nor do
-    null ids. Tables with fewer than 64 k vectors are searched whole. Of repeated rows each is a candidate once by id.
+    null ids. A cosine needs vectors of one length: those of another than the commonest (of several the smallest) take
+    no part either. Tables with fewer than 64 k vectors are searched whole. Rows of one vec_id, equal or not, are one
+    result with the best of their scores, as queries and as candidates. Other columns are left out; empty tables give no rows.
     """
-    rows = settle(usable(vectors))
+    rows = settle(usable(vectors).withColumn("rid", F.monotonically_increasing_id()))
     sample = thinned(rows, ["vec_id", "v"], SAMPLE).orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(SAMPLE).select("v").toPandas()["v"]  # SAMPLE rows at most
     if not len(sample):
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
@@ -172,23 +177,23 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, lists: int = LISTS,
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
+                ids, rid = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "rid"))
                 near = unit(matrix(batch.column("v"))) @ own.T
                 home = near.argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(ids), pa.array(np.zeros(len(ids), bool)), batch.column("v")], ["list", "vec_id", "asks", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(ids), pa.array(rid), pa.array(np.zeros(len(ids), bool)), batch.column("v")], ["list", "vec_id", "rid", "asks", "v"])
                 ask = np.flatnonzero(ids % every == 0)
                 if len(ask):
                     visits = np.argsort(-near[ask], axis=1, kind="stable")[:, :probed].ravel()
                     who = np.repeat(ask, probed)
-                    yield pa.RecordBatch.from_arrays([pa.array(visits.astype(np.int32)), pa.array(ids[who]), pa.array(np.ones(len(who), bool)), batch.column("v").take(pa.array(who))], ["list", "vec_id", "asks", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(visits.astype(np.int32)), pa.array(ids[who]), pa.array(rid[who]), pa.array(np.ones(len(who), bool)), batch.column("v").take(pa.array(who))], ["list", "vec_id", "rid", "asks", "v"])
 
-    dealt = rows.mapInArrow(place, "list int, vec_id long, asks boolean, v array<double>")
+    dealt = rows.mapInArrow(place, "list int, vec_id long, rid long, asks boolean, v array<double>")
     sizes = dealt.filter("not asks").groupBy("list").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    tiles = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(F.pmod(F.xxhash64("vec_id"), F.col("tiles")).cast("int")))
+    tiles = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(F.pmod(F.xxhash64("vec_id", "rid"), F.col("tiles")).cast("int")))
     met = (
         dealt.join(sizes, "list").withColumn("tile", F.explode(tiles)).select("list", "tile", "vec_id", "asks", "v")
         .repartition("list", "tile").sortWithinPartitions("list", "tile", F.desc("asks"))
     )
-    found = search_tiles(met, k, len(sample[0])).distinct()
+    found = search_tiles(met, k, len(sample[0])).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -3,16 +3,20 @@
 A page that a rule fits has the rule's verdict (the longest rule wins). Other pages have their host's
 verdict: hosts most of whose pages are blocked by rules seed distrust, hosts most of whose pages are
 allowed seed trust; personalised PageRank carries trust along the links between hosts, and distrust goes
-against them, in Spark, until the ranks stand still. A host takes over the distrust of the hosts that it
+against them, in Spark, until the ranks stand still (a number of rounds that the seeds bound). A host takes over the distrust of the hosts that it
 links to by their shares of its own links, so one bad link of many weighs little. A host is blocked if its
 distrust exceeds its trust by ``MARGIN`` of a seed. Other hosts and pages without a host are allowed.
 
 DataFrame operations only. Scale: links are counted by (host, host) before they are shuffled; a round is one
-join and one sum over host edges, both kinds of rank at once; pages meet hosts in one join at the end.
+join and one sum over host edges, both kinds of rank at once. Pages meet the blocked hosts in one join at the
+end: those are broadcast while they take ``BROADCAST`` bytes at most, else pages of a host are dealt over
+``SALTS`` tasks, so a host with a third of all pages is not one task.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +26,11 @@ DAMPING = 0.85
 ROUNDS = 8  # between two tests whether the ranks stand still
 TOLERANCE = 1e-6  # of a seed
 MARGIN = 0.01  # of a seed: one bad link of 85, or 28 links away from a bad host by hosts with no other links
-LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*([^"'\s>]+)"""
+BROADCAST = 32 << 20
+SALTS = 16
+#: A link's address. What is read before it ends at the next tag, so tags that never end cost no more than their length.
+LINK = r"""(?i)<a\s[^<>]*?(?<![\w-])href\s*=\s*["']?\s*([^"'\s>]+)"""
+ABSOLUTE = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
 
@@ -59,9 +67,9 @@ def judged(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> Data
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, n) of links between different hosts. pages: host, html. Links without :// stay on their host."""
-    links = pages.filter("host <> ''").select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("url")).filter(F.col("url").contains("://"))
-    return links.select("src", host_of(F.col("url")).alias("dst")).filter("dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    """(src, dst, n) of links between different hosts. pages: host, html. Links that name no host (with or without a scheme) stay on theirs."""
+    links = pages.filter("host <> ''").select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("url")).filter(F.col("url").rlike(ABSOLUTE))
+    return links.select("src", host_of(F.regexp_replace("url", "^//", "http://")).alias("dst")).filter("dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float | None = None) -> DataFrame:
@@ -78,7 +86,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     if not steps.limit(1).count():  # no links: the seeds are all there is
         return ranks.withColumn("rank", F.col("rank") * (1 - damping))
     base = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"))
+    # what a round moves is at most the damping's share of what the one before moved, and that began with all seeds
+    most = math.inf if tolerance is None else 2 * rounds + math.log(max(2.0, 2 * (seeds.agg(F.sum("seed")).first()[0] or 0)) / (tolerance * (1 - damping))) / -math.log(damping)
+    gone = 0
     while True:
+        if gone > most:
+            raise RuntimeError(f"ranks still move after {gone} rounds")
+        gone += rounds
         before = ranks
         for k in range(rounds):
             moved = ranks.join(steps, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
@@ -108,11 +122,18 @@ def host_verdicts(pages: DataFrame) -> DataFrame:
 
 
 def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
-    """pages (page_id, url, html) with host, path, rule and verdict instead of html.
+    """(page_id, host, path, rule, verdict) of all pages (page_id, url, html).
 
-    Null urls and urls without :// have empty host and path and are allowed. Repeated rows are each judged.
+    Null urls and urls without :// have empty host and path and are allowed; null html holds no links. Repeated rows
+    and null ids are each judged. Other columns, whatever their names, are left out; an empty table gives no rows.
     """
     known = judged(pages.select("page_id", "url", "html"), rules)
-    hosts = host_verdicts(known.select("host", "html", "by_rule"))
+    blocked = settle(host_verdicts(known.select("host", "html", "by_rule")).filter("host_verdict = 'block'"))
     rows = known.select("page_id", "host", "path", "rule", "by_rule")
-    return rows.join(hosts, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("by_rule", "host_verdict", F.lit("allow")).alias("verdict"))
+    size = blocked.agg(F.coalesce(F.sum(F.octet_length("host") + 64), F.lit(0))).first()[0]
+    if size <= BROADCAST:
+        met = rows.join(F.broadcast(blocked), "host", "left")
+    else:
+        salts = blocked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int")).join(salts, ["host", "salt"], "left")
+    return met.select("page_id", "host", "path", "rule", F.coalesce("by_rule", "host_verdict", F.lit("allow")).alias("verdict"))

@@ -77,3 +77,32 @@ def test_few_rows_and_empty_table(spark):
     got = neighbours.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], VECTORS)).collect()
     assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(0, 1, 1)]
     assert neighbours.nearest(spark.createDataFrame([(0, [1.0, 0.0])], VECTORS)).count() == 0
+
+
+def test_repeated_rows_are_one_result(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    row = lambda: [float(x) for x in rng.standard_normal(6)]
+    rows = [(0, row()), *[(1, row())] * 6, *[(k, row()) for k in range(2, 9)]]
+    rows += [(3, rows[0][1]), (50, row()), (50, row()), (0, rows[0][1])] + [(7, [float(np.float32(x)) for x in rows[0][1]])] * 500
+    table = spark.createDataFrame(rows, VECTORS).selectExpr("*", "1 as rid", "2 as list", "'x' as v", "3 as rank")
+
+    def best(q, j):
+        return max(float(a @ b / np.sqrt((a @ a) * (b @ b))) for i, v in rows if i == q for k, w in rows if k == j for a, b in [(np.float32(v).astype(float), np.float32(w).astype(float))])
+
+    for tile in (neighbours.TILE, 3):
+        monkeypatch.setattr(neighbours, "TILE", tile)
+        got = {}
+        for r in neighbours.nearest(table).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        for q in (0, 50):
+            want = sorted((-best(q, j), j) for j in {i for i, _ in rows} - {q})[:5]
+            found = sorted(got[q])
+            assert [f[0] for f in found] == [1, 2, 3, 4, 5]
+            assert all(abs(f[2] + s) < 1e-12 for f, (s, _) in zip(found, want, strict=True))
+            assert {f[1] for f in found if f[2] < 1 - 1e-9} == {j for s, j in want if -s < 1 - 1e-9}
+
+
+def test_vectors_of_another_length_take_no_part(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [1.0, 2.0, 3.0]), (50, [1.0]), (3, [0.0, 1.0])]
+    got = neighbours.nearest(spark.createDataFrame(rows, VECTORS)).collect()
+    assert [(r.query_id, r.vec_id) for r in sorted(got, key=lambda r: r["rank"])] == [(0, 1), (0, 3)]

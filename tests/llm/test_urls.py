@@ -77,5 +77,87 @@ def test_ranks_stand_still(spark):
     assert all(abs(v - want[host]) < 1e-6 for (_, host), v in got.items()) and len(got) == 4
 
 
+def test_ranks_against_a_dense_solution(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    hosts = [f"h{k}" for k in range(40)] + [f"c{k}" for k in range(50)]
+    links = {(f"c{k}", f"c{k - 1}"): 1 for k in range(1, 50)} | {("c0", "h3"): 2, ("h5", "c49"): 1}
+    while len(links) < 200:
+        a, b = rng.choice(40, 2, replace=False)
+        links[f"h{a}", f"h{b}"] = int(rng.integers(1, 4))
+    seeds = {"trust": ["h1", "h2"], "distrust": ["h3", "h7", "h9"]}
+    at, share = {h: k for k, h in enumerate(hosts)}, np.zeros((90, 90))
+    for (a, b), n in links.items():
+        share[at[a], at[b]] = n
+    share /= np.maximum(share.sum(axis=1, keepdims=True), 1)
+    d, eye = urls.DAMPING, np.eye(90)
+    want = {}
+    for kind, matrix in (("trust", share.T), ("distrust", share)):
+        start = np.array([float(h in seeds[kind]) for h in hosts])
+        rank = np.linalg.solve(eye - d * matrix, (1 - d) * start)
+        want |= {(kind, h): r for h, r in zip(hosts, rank, strict=True)}
+    table = spark.createDataFrame([(a, b, n) for (a, b), n in links.items()], "src string, dst string, n long")
+    given = spark.createDataFrame([(k, h, 1.0) for k, hs in seeds.items() for h in hs], "kind string, host string, seed double")
+    got = {(r.kind, r.host): r["rank"] for r in urls.propagate(table, given, tolerance=urls.TOLERANCE).collect()}
+    assert all(abs(got.get(key, 0.0) - r) < 1e-6 for key, r in want.items())
+    assert got["distrust", "c40"] > 0
+
+
+def test_the_query_against_a_dense_solution(spark):
+    """Pages, links and rules whole: verdicts by a dense solve over the hosts."""
+    import re
+
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    hosts = [f"s{k}.net" for k in range(3)] + [f"t{k}.org" for k in range(3)] + [f"m{k}.com" for k in range(24)]
+    rows = []
+    for k in range(160):
+        own = hosts[int(rng.integers(len(hosts)))]
+        linked = [hosts[int(x)] for x in rng.integers(len(hosts), size=int(rng.integers(0, 4)))]
+        forms = ('<a href="http://{}/x">', "<a class=b href='//{}/fr/y?z'>", "<A data-href=\"http://no.net/\" HREF=https://{}#q>", '<a href="/go?to=http://{}/">')
+        html = "".join(forms[int(rng.integers(4))].format(h) for h in linked)
+        rows.append((k, f"http://{own}{'/fr/a' if rng.random() < 0.7 else '/b'}", html))
+    rows += [(900, None, "x"), (901, "no host", '<a href="http://s0.net">')]
+    count = np.zeros((len(hosts), len(hosts)))
+    pages = {h: [] for h in hosts}
+    for _, url, html in rows:
+        host, path, best = judge(url)
+        if host:
+            pages[host].append(best and best[1])
+            for tag in re.findall(r"<[aA][^>]*>", html):
+                to = re.search(r"(?i)\shref=[\"']?(?:https?:)?//([^/\"'>#?]+)", tag)
+                if to and to[1] != host:
+                    count[hosts.index(host), hosts.index(to[1])] += 1
+    share = count / np.maximum(count.sum(axis=1, keepdims=True), 1)
+    d, eye, score = urls.DAMPING, np.eye(len(hosts)), 0
+    for verdict, matrix, sign in (("block", share, 1), ("allow", share.T, -1)):
+        seed = np.array([float(2 * pages[h].count(verdict) > len(pages[h])) for h in hosts])
+        score = score + sign * np.linalg.solve(eye - d * matrix, (1 - d) * seed)
+    assert np.abs(score - urls.MARGIN * (1 - d)).min() > 1e-5  # none is near the border
+    table = spark.createDataFrame(rows, PAGES).selectExpr("*", "'x' as host", "'y' as verdict", "1 as salt")
+    for most in (urls.BROADCAST, -1):
+        urls_broadcast, urls.BROADCAST = urls.BROADCAST, most
+        try:
+            got = {r.page_id: r for r in urls.filter_urls(table).collect()}
+        finally:
+            urls.BROADCAST = urls_broadcast
+        assert len(got) == len(rows)
+        for k, url, _ in rows:
+            host, path, best = judge(url)
+            by_host = "block" if host and score[hosts.index(host)] > urls.MARGIN * (1 - d) else "allow"
+            assert (got[k].host, got[k].path, got[k].verdict) == (host, path, best[1] if best else by_host), k
+
+
+def test_tags_that_never_end_cost_their_length(spark):
+    import time
+
+    pages = spark.createDataFrame([(1, "http://a.com/", "<a " * 400_000), (2, "http://b.com/", "<a href=" * 200_000), (3, "http://c.com/", "<a title='" * 200_000)], PAGES)
+    began = time.time()
+    assert urls.filter_urls(pages).count() == 3
+    assert time.time() - began < 30
+
+
 def test_empty_table(spark):
     assert urls.filter_urls(spark.createDataFrame([], PAGES)).count() == 0
