@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the folder of ``spark.checkpoint.dir``; a new folder only where none is set (tests)."""
+    """df with its lineage cut by a reliable checkpoint in the folder of ``spark.checkpoint.dir``; a new folder only on a local master that names none (tests)."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="readloom-checkpoint-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
+        sc.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="readloom-checkpoint-"))
     return df.checkpoint()
