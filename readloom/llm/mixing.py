@@ -1,16 +1,18 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
-Each source's words are packed into blocks of ``block`` words (the last one may be shorter). A source's
-target is turned into a quota of slots, one block each. Output shards of ``shard`` slots draw their source
+Each source's words are packed into blocks of one length (the last one may be shorter): ``block`` words, or
+for a source with a small target the part ``FINENESS`` of it, one word at least, so that whole blocks come
+within 1 % or one word of any target. The target is turned into a quota of slots, one block each. Output shards of ``shard`` slots draw their source
 counts from the multinomial of the quotas: every slot draws by a hash of its number. Draws that exceed a
 source's quota are handed to sources that fell short, so the totals meet the quotas exactly. The k-th slot
 of a source takes block ``p(k mod blocks)``, where p is a pseudorandom permutation of the source's block
 indices (swap-or-not rounds keyed by hashes), and slots join the blocks' documents by index. A quota never
 exceeds twice the number of blocks, so no block is taken more than twice.
 
-Scale: a source's words are numbered by chunk (``CHUNKS`` hash classes of each source) and then inside the
-chunk, so a source that holds most rows is spread over all tasks; draws are counted before they are
-shuffled; a document meets only its own blocks. Every choice hangs on hashes of ids, texts, sources and
+Scale: a source's words are numbered by chunk (hash classes of each source, ``CHUNKS`` or more: one for each
+``CHUNK_ROWS`` rows of the table) and then inside the chunk, so a source that holds most rows is spread over
+all tasks; so are the running sums over a source's shards, by runs of ``RUN`` shards. Draws are counted before
+they are shuffled; a document meets only its own blocks. The sources themselves are a table of one row each. Every choice hangs on hashes of ids, texts, sources and
 the seed, not on partitions: reruns agree. Rows that agree in id, text and source are interchangeable.
 """
 
@@ -25,22 +27,24 @@ from .common import SPACE, n_words, settle, settle_wide
 
 WEIGHTS = (3, 1, 2)
 BLOCK = 128
+FINENESS = 1 / 250
 SHARD = 4096
 CHUNKS = 512
+CHUNK_ROWS = 1 << 17
+RUN = 4096
 CELLS = 1024
 ROUNDS = 16
-INTERNAL = ("text", "rid", "size", "th", "chunk", "upto", "start", "sid", "source_size", "target", "taken", "pieces")
+INTERNAL = ("text", "rid", "size", "th", "chunk", "upto", "start", "sid", "length", "block", "source_size", "target", "taken", "pieces")
 FINE = 1 << 30
 
 
 @dataclass
 class Mix:
-    """rows: rid, the rows' columns without text, size, sid, start; sources: one row each; slots: shard, sid, epoch, block."""
+    """rows: rid, the rows' columns without text, size, sid, start, length (of the source's blocks); sources: one row each; slots: shard, sid, epoch, block."""
 
     rows: DataFrame
     sources: DataFrame
     slots: DataFrame
-    block: int
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
@@ -81,6 +85,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
 
     Null texts have size 0, null is a source of its own (the last), and repeated rows each count. Sources
     without words and empty tables give no slots. Columns of docs with the names of the mix's own are left out.
+    A text of any length is one row; its words lie in as many blocks as they fill.
     """
     other = [c for c in docs.columns if c not in INTERNAL]
     sized = settle(docs.select(*other, n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("th")).withColumn("rid", F.monotonically_increasing_id()))
@@ -89,12 +94,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
 
 def _mix(sized: DataFrame, weights: tuple[int, ...], share: float, cap: float, block: int, shard: int, seed: int) -> Mix:
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
-    blocks = F.ceil(F.col("source_size") / block)
-    sources = sources.withColumn("blocks", blocks.cast("long")).withColumn("slots", F.when(F.col("source_size") > 0, F.round(F.col("target") * F.col("blocks") / F.col("source_size"))).otherwise(0).cast("long"))
+    length = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("target") * F.lit(FINENESS)))).cast("long")
+    sources = sources.withColumn("length", length).withColumn("blocks", F.ceil(F.col("source_size") / F.col("length")).cast("long")).withColumn("slots", F.when(F.col("source_size") > 0, F.round(F.col("target") * F.col("blocks") / F.col("source_size"))).otherwise(0).cast("long"))
     sources = settle(sources.coalesce(1))
 
     # where each document's words begin in its source's stream
-    spread = sized.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size", "th"), F.lit(CHUNKS)).cast("int"))
+    spread = sized.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size", "th"), F.lit(max(CHUNKS, sized.count() // CHUNK_ROWS))).cast("int"))
     first = Window.partitionBy("source").orderBy("chunk")
     chunks = spread.groupBy("source", "chunk").agg(F.sum("size").alias("words")).withColumn("base", F.sum("words").over(first) - F.col("words"))
     inside = Window.partitionBy("source", "chunk").orderBy("doc_id", "size", "th", "rid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -102,10 +107,20 @@ def _mix(sized: DataFrame, weights: tuple[int, ...], share: float, cap: float, b
     rows = (
         a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.chunk") == F.col("b.chunk")))
         .select("a.*", (F.col("b.base") + F.col("a.upto") - F.col("a.size")).alias("start")).drop("chunk", "upto").alias("r")
-        .join(sources.select("sid", "source").alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
-        .select("r.*", "s.sid")
+        .join(sources.select("sid", "source", "length").alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
+        .select("r.*", "s.sid", "s.length")
     )
-    return Mix(rows, sources, slots(sources, shard, seed), block)
+    return Mix(rows, sources, slots(sources, shard, seed))
+
+
+def running(counts: DataFrame, run: int = RUN) -> DataFrame:
+    """counts (shard, sid, n) with ``upto``: the sum of n over a source's shards up to this one, by runs of shards and then inside each."""
+    marked = counts.withColumn("run", F.expr(f"shard div {run}"))
+    before = Window.partitionBy("sid").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    bases = marked.groupBy("sid", "run").agg(F.sum("n").alias("all")).withColumn("base", F.coalesce(F.sum("all").over(before), F.lit(0))).drop("all")
+    inside = Window.partitionBy("sid", "run").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = marked.withColumn("own", F.sum("n").over(inside))
+    return own.join(bases, ["sid", "run"]).select("shard", "sid", "n", (F.col("base") + F.col("own")).alias("upto"))
 
 
 def slots(sources: DataFrame, shard: int, seed: int) -> DataFrame:
@@ -130,8 +145,7 @@ def slots(sources: DataFrame, shard: int, seed: int) -> DataFrame:
         .filter("lo <= u and u < hi")
         .groupBy("shard", "sid").agg(F.count("*").alias("n"))
     )
-    upto = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    drawn = settle(drawn.withColumn("upto", F.sum("n").over(upto)))
+    drawn = settle(running(settle(drawn)))
     quota = sources.select("sid", F.col("slots").alias("quota"))
     held = drawn.join(quota, "sid").withColumn("first", F.col("upto") - F.col("n")).withColumn("keep", F.least("n", F.greatest(F.lit(0), F.col("quota") - F.col("first"))))
     kept = held.filter("keep > 0").select("shard", "sid", "first", "keep")
@@ -156,10 +170,10 @@ def slots(sources: DataFrame, shard: int, seed: int) -> DataFrame:
 
 def spans(made: Mix) -> DataFrame:
     """(rid, sid, block, at, length) of every piece of a document in a block: words at .. at + length - 1."""
-    b = made.block
+    b = F.col("length")
     return (
         made.rows.filter("size > 0")
-        .withColumn("block", F.explode(F.sequence(F.expr(f"start div {b}"), F.expr(f"(start + size - 1) div {b}"))))
+        .withColumn("block", F.explode(F.sequence(F.expr("start div length"), F.expr("(start + size - 1) div length"))))
         .withColumn("at", F.greatest(F.lit(0), F.col("block") * b - F.col("start")))
         .select("rid", "sid", "block", "at", (F.least(F.col("size"), (F.col("block") + 1) * b - F.col("start")) - F.col("at")).alias("length"))
     )
@@ -180,7 +194,8 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix as documents: for each epoch a row of each document that the mix takes words of, with the taken words.
 
     A document that an epoch takes whole keeps its text; of others the taken words stay, in order, one
-    space between. Columns are those of docs; n_chars, if there, is set anew.
+    space between. Columns are those of docs but the mix's own; n_chars, if there, is set anew. Null, empty and
+    blank texts have no words and give no rows; repeated rows and null ids each count; an empty table gives none.
     """
     names = [c for c in docs.columns if c == "text" or c not in INTERNAL]
     docs = docs.select(*names)
@@ -193,8 +208,9 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     )
     pieces = pieces.join(made.rows.select("rid", "size"), "rid").withColumn("pieces", F.when(F.col("words") < F.col("size"), F.col("pieces")))
     # a text starts with white space or not; without it the split has no empty first word
-    words = F.split(F.regexp_replace("text", f"^{SPACE}", ""), SPACE)
-    cut = F.array_join(F.flatten(F.transform("pieces", lambda p: F.slice(words, (p["at"] + 1).cast("int"), p["length"].cast("int")))), " ")
+    split = F.array(F.split(F.regexp_replace("text", f"^{SPACE}", ""), SPACE))  # one array of words: a lambda's variable, so a text is split once
+    chosen = F.transform(split, lambda words: F.flatten(F.transform("pieces", lambda p: F.slice(words, (p["at"] + 1).cast("int"), p["length"].cast("int")))))
+    cut = F.array_join(chosen[0], " ")
     out = numbered.join(pieces.select("rid", "pieces"), "rid").withColumn("text", F.when(F.col("pieces").isNull(), F.col("text")).otherwise(cut))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
