@@ -63,10 +63,41 @@ def test_archives_are_plain_gzip_members(spark):
 def test_a_changed_payload_is_found():
     out = io.BytesIO()
     digest = base64.b32encode(hashlib.sha1(b"other").digest()).decode()
+    record = warc.Record(out, 1, "u", digest, 5, None, False)
+    record.add(b"hel")
+    record.add(b"lo")
     with pytest.raises(ValueError):
-        warc.write_record(out, 1, "u", "hello", digest, 5, None, False)
+        record.end()
 
 
-def test_empty_table(spark):
+def test_empty_table_and_clashing_columns(spark):
     _, chunks = back(spark, [])
     assert chunks.count() == 0
+    rows = spark.createDataFrame([(1, "u", "a"), (2, "u", "a"), (3, None, None)], PAGES).selectExpr("*", "1 as digest", "'x' as chunk", "2 as row", "3 as key", "4 as winner")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.read_archives(warc.write_archives(rows)).filter("last").collect()}
+    assert got == {1: ("revisit", 2), 2: ("response", None), 3: ("response", None)}
+
+
+def test_chunk_rows(spark):
+    texts = [None, "", "abc", "é😀" * 5, "x" * 12, "y" * 13]
+    rows = spark.createDataFrame([(k, "u", t) for k, t in enumerate(texts)], PAGES)
+    got = {}
+    for r in sorted(warc.chunk_rows(rows, 4).collect(), key=lambda r: (r.page_id, r.chunk_no)):
+        got.setdefault(r.page_id, []).append(bytes(r.chunk))
+    for k, t in enumerate(texts):
+        raw = (t or "").encode()
+        assert got[k] == ([raw[i : i + 4] for i in range(0, len(raw), 4)] or [b""])
+
+
+def test_hot_digests_and_identifiers(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HOT", 3)
+    rows = [(k if k % 5 else None, "u", ("", None, "same", f"own{k}")[k % 4]) for k in range(60)]
+    manifest, chunks = back(spark, rows)
+    got = sorted(((r.page_id, r.bytes_so_far, r.digest_so_far, r.record_type, r.refers_to) for r in chunks.filter("last").collect()), key=str)
+    nulls = {h for i, _, h in rows if i is None} - {h for i, _, h in rows if i is not None}
+    want = [(i, n, d, "response" if i is None and h in nulls else t, r) for (i, n, d, t, r), (_, _, h) in zip(brute(rows), rows, strict=True)]
+    assert got == sorted(want, key=str)
+    raw = b"".join(gzip.open(r.file.removeprefix("file://")).read() for r in manifest.collect()).decode()
+    names = [line.split(": ", 1)[1] for line in raw.split("\r\n") if line.startswith("WARC-Record-ID")]
+    assert len(set(names)) == len(names) == len(rows)
+    assert {line.split(": ", 1)[1] for line in raw.split("\r\n") if line.startswith("WARC-Refers-To")} <= set(names)
