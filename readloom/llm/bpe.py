@@ -247,6 +247,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """docs with ``ids`` (array of ints) and ``decoded`` (the tokens' strings, one space between) instead of ``text``.
 
     Null texts are empty: no ids, empty decoded text. Texts are encoded whole; columns named ids or decoded are replaced.
+    Repeated rows and null ids give a row each, an empty table none.
     """
     keep = [f for f in docs.schema if f.name not in ("text", "ids", "decoded")]
 
@@ -265,10 +266,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 
 def digests(encoded: DataFrame) -> DataFrame:
-    """n_tokens, ids_sha256 and decoded_sha256 of what encode() returns."""
+    """n_tokens, ids_sha256 and decoded_sha256 of what encode() returns; columns of those names are replaced."""
+    made = ("ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256")
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return encoded.select(
-        *[c for c in encoded.columns if c not in ("ids", "decoded")],
+        *[c for c in encoded.columns if c not in made],
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),

@@ -2,15 +2,18 @@
 
 Folding lower-cases, maps homoglyphs (Cyrillic, Greek, full-width) and digit substitutions to Latin
 letters, and writes l, 1, ! and | like i, so ``1D10T`` and ``idiot`` are the same string. The lexicon
-holds whole words and beginnings of words. It is learned from labelled documents: a term's weight is its
-log odds between toxic and clean documents, and only terms whose G statistic is large enter. A document's
+holds whole words of any length and beginnings of words. It is learned from labelled documents: a term's weight is
+its log odds between toxic and clean documents, and only terms whose G statistic is large enter. Exception phrases,
+a matched word with the word before or after it, are learned from the same documents: those where the term's documents
+are toxic far less often than elsewhere; the caller may add others. A document's
 rate is the weight of its matched words (each by its heaviest term; words inside an exception phrase count
 nothing) over its number of words. A passage up to a matched word that the text repeats word for word counts
 once, in the weight as in the number of words: saying the same again changes nothing. The score is 0.7 at the rate that best parts the labelled
 sample, and rises with the rate.
 
-Fitting reads a bounded sample of labelled rows (``SAMPLE`` rows with the smallest hashes of their ids);
-scoring is one pass over all whole texts with the lexicon (``TERMS`` at most) broadcast.
+Fitting reads a bounded sample of labelled rows (``SAMPLE`` rows with the smallest hashes of their ids), which bounds
+the lexicon: a term is in ``LEAST_DOCS`` toxic ones of them. Scoring is one pass over all whole texts with the lexicon
+broadcast.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import logging
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -28,19 +31,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, schema_with, settle_wide, thinned
+from .common import parts, schema_with, settle, settle_wide, thinned
 
 LOG = logging.getLogger(__name__)
 
 SAMPLE = 12_000
-TERMS = 2_000
 LEAST_G = 11.0
 LEAST_DOCS = 2
 #: A term's share of the toxic documents is at least so many times its share of the clean ones (half a document added to each).
 RATIO = 8
 PREFIXES = (4, 5, 6)
 CUT = 0.7
-#: Harmless phrases that contain words of abuse.
+#: Harmless phrases that contain words of abuse, beside those that are learned.
 EXCEPTIONS = ("clown fish", "circus clown", "trash can", "trash bin", "trash bag", "pond scum")
 
 # Characters that look like Latin letters or stand for them.
@@ -66,10 +68,8 @@ def terms(text: str | None) -> set[str]:
     """Candidate lexicon entries of a text: its words (with both spaces) and beginnings of its words (with the space before)."""
     out = set()
     for w in set(folded(text).split()):
-        if len(w) >= min(PREFIXES):
-            if len(w) <= 24:
-                out.add(f" {w} ")
-            out.update(f" {w[:k]}" for k in PREFIXES if k <= len(w))
+        out.add(f" {w} ")
+        out.update(f" {w[:k]}" for k in PREFIXES if k <= len(w))
     return out
 
 
@@ -94,9 +94,8 @@ class Lexicon:
             self._made.make_automaton()
         return self._made
 
-    def rate(self, text: str | None) -> float:
-        """Weight of the matched words per word, without passages (from one match to the next) that were there before."""
-        plain = folded(text)
+    def matches(self, plain: str) -> dict[int, tuple[float, int]]:
+        """Of folded text: where (the space before) matched words outside exception phrases are, with weight and length of the heaviest term."""
         found: dict[int, tuple[float, int]] = {}
         excused = []
         if len(self.automaton()):
@@ -106,11 +105,30 @@ class Lexicon:
                     excused.append((at, end))
                 elif w > found.get(at, (0.0, 0))[0]:
                     found[at] = (w, size)
-        if not found:
-            return 0.0
         for lo, hi in excused:
-            for at in [k for k in found if lo <= k < hi]:
-                del found[at]
+            at = lo
+            while 0 <= at < hi:  # the words of the phrase
+                found.pop(at, None)
+                at = plain.find(" ", at + 1)
+        return found
+
+    def phrases(self, text: str | None) -> set[tuple[str, str]]:
+        """(term, phrase) of the matched words with a neighbour each, and (term, '') of the terms."""
+        plain, out = folded(text), set()
+        for at, (_, size) in self.matches(plain).items():
+            term, end = plain[at : at + size], plain.index(" ", at + 1)
+            before, after = plain.rfind(" ", 0, at), plain.find(" ", end + 1)
+            out.add((term, ""))
+            if before >= 0:
+                out.add((term, plain[before : end + 1]))
+            if after >= 0:
+                out.add((term, plain[at : after + 1]))
+        return out
+
+    def rate(self, text: str | None) -> float:
+        """Weight of the matched words per word, without passages (from one match to the next) that were there before."""
+        plain = folded(text)
+        found = self.matches(plain)
         said, weights, words, done = set(), [], plain.count(" ") - 1, 0
         for at in sorted(found):
             end = plain.index(" ", at + 1)
@@ -128,16 +146,43 @@ class Lexicon:
         return a / (a + b) if a else 0.0
 
 
-def g_statistic(pos: float, neg: float) -> Column:
+def g_statistic(pos: Column, neg: Column) -> Column:
     """G of a term in a of pos toxic and c of neg clean documents (columns a, c)."""
     a, c = F.col("a").cast("double"), F.col("c").cast("double")
     share, out = (a + c) / (pos + neg), F.lit(0.0)
     for seen, of in ((a, pos), (c, neg)):
-        for k, part in ((seen, share), (F.lit(of) - seen, 1 - share)):
+        for k, part in ((seen, share), (of - seen, 1 - share)):
             out += F.when(k > 0, 2 * k * F.log(k / (of * part))).otherwise(0.0)
     return out
 
 
+def counted(sample: DataFrame, entries: Callable[[str | None], set], names: list[str]) -> DataFrame:
+    """(names, a, c): in how many toxic and clean documents of sample (text, toxic) each entry is."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        for batch in batches:
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                seen[int(toxic > 0)].update(entries(text))
+        rows = list(seen[0].keys() | seen[1].keys())
+        columns = list(zip(*rows, strict=True)) or [()] * len(names) if len(names) > 1 else [rows]
+        made = [pa.array(x, pa.string()) for x in columns] + [pa.array([seen[k][x] for x in rows], pa.int64()) for k in (1, 0)]
+        yield pa.RecordBatch.from_arrays(made, [*names, "a", "c"])
+
+    schema = ", ".join(f"{x} string" for x in names) + ", a long, c long"
+    return sample.mapInArrow(count, schema).groupBy(*names).agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
+
+
+def learned_exceptions(sample: DataFrame, lexicon: Lexicon) -> tuple[str, ...]:
+    """Phrases whose documents are toxic by odds that are RATIO times smaller than those of the term's other documents, by the G statistic."""
+    counts = settle(counted(sample, lexicon.phrases, ["term", "phrase"]))
+    whole = counts.filter("phrase = ''").select("term", F.col("a").alias("pos"), F.col("c").alias("neg"))
+    a, c, pos, neg = (F.col(x) for x in ("a", "c", "pos", "neg"))
+    less = (a + 0.5) * (neg - c + 0.5) * RATIO < (c + 0.5) * (pos - a + 0.5)
+    found = counts.filter(f"phrase <> '' and c >= {LEAST_DOCS}").join(whole, "term").filter(less).filter(g_statistic(pos, neg) >= LEAST_G)
+    return tuple(sorted({r.phrase for r in found.select("phrase").collect()}))  # as many as the sample holds
+
+
 def log_odds(a: float, c: float, pos: float, neg: float) -> float:
     """Lower end (one standard error) of a term's log odds between toxic and clean documents: what few documents say counts less."""
     a, c = a + 0.5, c + 0.5
@@ -155,29 +200,23 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Dat
 
 
 def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, most: int = SAMPLE) -> Lexicon:
+    """The lexicon of docs (doc_id, text) and labels (doc_id, toxic). Null ids and labels teach nothing; of several labels of an id the largest holds."""
     sample = settle_wide(training_rows(docs, labels, most).repartition(8))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                seen[int(toxic > 0)].update(terms(text))
-        names = list(seen[0].keys() | seen[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[1][x] for x in names], pa.int64()), pa.array([seen[0][x] for x in names], pa.int64())], ["term", "a", "c"])
-
     size = sample.agg(F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("pos"), F.count("*").alias("n")).first()
     pos, neg = size.pos or 0, size.n - (size.pos or 0)
     if not pos or not neg:
         LOG.warning("%d toxic and %d clean documents to learn from: every score is 0", pos, neg)
         return Lexicon({}, exceptions)
-    counts = sample.mapInArrow(count, "term string, a long, c long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
+    counts = counted(sample, terms, ["term"])
     more = (F.col("a") + 0.5) * (neg + 1) > RATIO * (F.col("c") + 0.5) * (pos + 1)
-    graded = counts.filter((F.col("a") >= LEAST_DOCS) & more).withColumn("g", g_statistic(pos, neg)).filter(F.col("g") >= LEAST_G)
-    rows = graded.orderBy(F.desc("g"), "term").limit(TERMS).collect()  # bounded
+    graded = counts.filter((F.col("a") >= LEAST_DOCS) & more).filter(g_statistic(F.lit(float(pos)), F.lit(float(neg))) >= LEAST_G)
+    rows = graded.collect()  # as many as the sample holds
     weights = {r.term: log_odds(r.a, r.c, pos, neg) for r in rows}
     lexicon = Lexicon({k: w for k, w in weights.items() if w > 0}, exceptions)
     if not lexicon.weights:
         LOG.warning("no term parts %d toxic from %d clean documents: every score is 0", pos, neg)
+    else:
+        lexicon = Lexicon(lexicon.weights, (*exceptions, *learned_exceptions(sample, lexicon)))
     pairs = rates(sample, lexicon).select("toxic", "rate").collect()  # as many as the sample has
     lexicon.middle = middle_rate([r.rate for r in pairs if r.toxic <= 0], [r.rate for r in pairs if r.toxic > 0])
     return lexicon
@@ -200,7 +239,7 @@ def middle_rate(clean: list[float], toxic: list[float]) -> float:
 
 
 def _mapped(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # TERMS entries at most
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # as large as the labelled sample makes it
     have = [f for f in docs.schema if f.name in keep and f.name not in ("rate", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

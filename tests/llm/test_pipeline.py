@@ -1,3 +1,5 @@
+import hashlib
+
 import corpus_pipeline as p
 from readloom.llm import quality, toxicity
 from readloom.llm.queries import table
@@ -44,6 +46,22 @@ def test_odd_documents_pass_every_stage(spark):
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_what_odd_documents_become(spark):
+    plain = " ".join(f"word{k} and" for k in range(90))
+    rows = docs(spark, [*odd_texts(), (9, plain, None), (9, plain, None), (None, plain, "d")]).selectExpr("*", "1 as rid", "2 as fp", "3 as score", "4 as kept", "5 as root", "6 as length")
+    ids = lambda df: sorted((str(r.doc_id), len((r.text or "").split())) for r in df.collect())
+    kept = {(i, n) for i, n in ids(p.quality_rules(spark, rows, SF))}
+    assert kept <= {("9", 180), ("None", 180)}  # all others have fewer than 50 words, or repeat themselves
+    assert len(ids(p.toxic_words(spark, rows, SF))) == rows.count()
+    assert [x for x in ids(p.near_duplicates(spark, rows, SF)) if x[0] in "123459None"] == [("1", 0), ("4", 3), ("9", 180), ("None", 4)]
+    mixed = p.mix_sources(spark, rows, SF).collect()
+    assert mixed and not any(r.doc_id in (1, 2, 3) for r in mixed) and {r.source for r in mixed} >= {None, "a", "b", "c", "d"}
+    coded = p.encode_texts(spark, rows, SF).collect()
+    assert len(coded) == rows.count()
+    nothing = hashlib.sha256(b"").hexdigest()
+    assert all((r.n_tokens, r.ids_sha256, r.decoded_sha256, r.token_ids) == (0, nothing, nothing, []) for r in coded if r.doc_id in (1, 2, 3))
+
+
 def test_one_of_each_group_stays(spark):
     same = [(3, "a b c d e", "x"), (2, "a b c d e", "x"), (2, "a b c d e", "x"), (None, "a b c d e", "x"), (None, "only this one", "y"), (None, "only this one", "y")]
     got = p.near_duplicates(spark, docs(spark, same), SF).collect()

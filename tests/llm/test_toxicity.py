@@ -1,7 +1,11 @@
+import random
+import zlib
+
 import duckdb
 
 from readloom.llm import toxicity
 from readloom.llm.queries import op7_toxicity
+from tests.llm.helpers import SF as SMALL
 from tests.llm.helpers import docs, odd_texts
 
 SF = "/root/testdata/sf0.01"
@@ -24,6 +28,69 @@ def test_rates_and_exceptions():
     assert lexicon.rate("clown " * 50 + "word " * 50) <= 4 * once
 
 
+def brute_rate(text, weights, exceptions):
+    """The rate by looking at every word for every term and phrase."""
+    words = toxicity.folded(text).split()
+    hit = [max((w for t, w in weights.items() if (t == f" {x} " if t.endswith(" ") else x.startswith(t[1:]))), default=None) for x in words]
+    for phrase in exceptions:
+        said = toxicity.folded(phrase).split()
+        for k in range(len(words) - len(said) + 1):
+            if words[k : k + len(said)] == said:
+                hit[k : k + len(said)] = [None] * len(said)
+    total, n, seen, passage = 0.0, len(words), set(), []
+    for x, w in zip(words, hit, strict=True):
+        passage.append(x)
+        if w is not None:
+            key = tuple(passage)
+            if key in seen:
+                n -= len(passage)
+            else:
+                seen.add(key)
+                total += w
+            passage = []
+    return total / max(1, n)
+
+
+def test_rates_against_brute_force():
+    rng = random.Random(7)
+    words = ["clown", "clowns", "fish", "trash", "trashy", "can", "idiot", "1d10t", "a", "b", "CLOWN!", "pond", "scum", "so-and-so", "x" * 40]
+    weights = {toxicity.folded(t): w for t, w in (("clown", 2.0), ("idiot", 1.5), ("b", 0.5), ("x" * 40, 3.0))} | {" tras": 1.0, " ciow": 0.25, " scum": 0.75}
+    lexicon = toxicity.Lexicon(weights, exceptions=("clown fish", "trash can", "pond scum", "a b a"))
+    for _ in range(2000):
+        text = "".join(rng.choice(words) + rng.choice((" ", ", ", "\n", ". ")) for _ in range(rng.randint(0, 14)))
+        assert abs(lexicon.rate(text) - brute_rate(text, weights, lexicon.exceptions)) < 1e-12, text
+
+
+def test_the_query_against_brute_force(spark):
+    table, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    lexicon = toxicity.fit(table, labels)
+    got = {r.doc_id: (r.score, r.predicted, r.held_out) for r in op7_toxicity(spark, SMALL).collect()}
+    rows = table.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        rate = brute_rate(r.text, lexicon.weights, lexicon.exceptions)
+        score = 0.0 if not rate else 0.7 * rate**2 / (0.7 * rate**2 + 0.3 * lexicon.middle**2)
+        assert abs(got[r.doc_id][0] - score) < 1e-9 and got[r.doc_id][1:] == (int(got[r.doc_id][0] >= 0.7), zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_exceptions_are_learned(spark):
+    rows, labels = [], []
+    for k in range(1500):
+        bad, fish = k % 10 == 0, k % 10 == 5
+        said = "you grunkler go" if bad else "the grunkler fish swims" if fish and k % 20 == 5 else ""
+        rows.append((k, " ".join([*(f"word{(k * 7 + j * j) % 211}" for j in range(10)), said, *(f"word{(k * 3 + j) % 97}" for j in range(10))]), "a"))
+        labels.append((k, 1, int(bad)))
+    lexicon = toxicity.fit(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), exceptions=())
+    assert toxicity.folded("grunkler fish") in lexicon.exceptions
+    assert not any("you" in x or " go " in x for x in lexicon.exceptions)
+    assert lexicon.rate("a grunkler fish here") == 0.0 < lexicon.rate("you grunkler")
+
+
+def test_terms_of_any_length():
+    long = "w" * 60
+    assert {" a ", " ox ", f" {long} ", " wwww"} <= toxicity.terms(f"a ox {long}")
+
+
 def test_repeated_abuse_is_toxic():
     lexicon = toxicity.Lexicon({toxicity.folded("clown"): 2.0, toxicity.folded("moron"): 1.0}, middle=0.1)
     for said in ("clown ", "you are a clown. ", "you clown, you utter moron! "):
