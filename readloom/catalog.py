@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import patterns, vectors
 from .operators import atlases, evaluation, intervals, labelling, predictions, simulation
 from .operators import reads as read_ops
+from .session import settled
 from .sources.tables import CLASSES, reads, regions, table
 
 QUERIES: dict = {}
@@ -402,37 +403,57 @@ def class_priors(spark, sf_dir):
     return rounded(labelling.class_priors(prepared(spark, sf_dir), 9))
 
 
-@query(f"WITH {SIGNED}, n AS (SELECT original_label, count(*) AS n FROM signed GROUP BY ALL), w AS (SELECT original_label, (SELECT median(n) FROM n) / (n + 1e-9) AS w FROM n), c AS (SELECT name, signature, original_label, count(*) * max(w) AS x FROM signed JOIN w USING (original_label) GROUP BY ALL) SELECT s.read_name, s.name, s.original_label, round(coalesce(max(c.x) FILTER (WHERE c.original_label = s.original_label), 0) / sum(c.x), 6)::DOUBLE AS own FROM (SELECT DISTINCT read_name, name, original_label, signature FROM signed) s JOIN c USING (name, signature) GROUP BY ALL")
+_WEIGHTS = "n AS (SELECT original_label, count(*) AS n FROM signed GROUP BY ALL), w AS (SELECT original_label, (SELECT median(n) FROM n) / (n + 1e-9) AS w FROM n)"
+_CLASSES = range(CLASSES)
+
+
+def _vector(column: str, prefix: str) -> list:
+    return [F.col(column)[k].alias(f"{prefix}_{k}") for k in _CLASSES]
+
+
+@query(f"""WITH {SIGNED}, {_WEIGHTS}, c AS (SELECT name, signature, original_label, count(*) * max(w) AS x FROM signed JOIN w USING (original_label) GROUP BY ALL),
+p AS (SELECT name, signature, {', '.join(f'coalesce(max(x) FILTER (WHERE original_label = {k}), 0) / sum(x) AS s_{k}' for k in _CLASSES)} FROM c GROUP BY ALL)
+SELECT s.read_name, s.name, s.original_label, {', '.join(f'round(s_{k}, 6)::DOUBLE AS s_{k}' for k in _CLASSES)} FROM (SELECT DISTINCT read_name, name, original_label, signature FROM signed) s JOIN p USING (name, signature)""")
 def soft_labels(spark, sf_dir):
-    """Soft labels joined back to reads; here the own class's part."""
-    rows = signed(spark, sf_dir)
-    labels = labelling.soft_labels(rows, CLASSES).select("name", "signature", "soft_label")
-    own = rows.select("read_name", "name", "original_label", "signature").distinct().join(labels, ["name", "signature"])
-    return rounded(own.select("read_name", "name", "original_label", F.element_at("soft_label", F.col("original_label") + 1).alias("own")))
+    """Soft labels joined back to reads."""
+    rows = settled(signed(spark, sf_dir).select("read_name", "name", "original_label", "signature"))
+    got = labelling.label_reads(rows.distinct(), labelling.soft_labels(rows, CLASSES), CLASSES)
+    return rounded(got.select("read_name", "name", "original_label", *_vector("soft_label", "s")))
 
 
-@query(f"""WITH {SIGNED}, c AS (SELECT name, signature, count(*) AS n, count(*) FILTER (WHERE original_label = 0) AS n0, string_split(signature, ',') AS parts FROM signed GROUP BY name, signature),
-d AS (SELECT a.name, a.signature, b.signature AS other, b.n, b.n0, CASE WHEN a.signature = '' AND b.signature = '' THEN 0 WHEN a.signature = '' OR b.signature = '' THEN 1
+_POOLED = f"""c AS (SELECT name, signature, count(*) AS n, {', '.join(f'count(*) FILTER (WHERE original_label = {k}) AS n{k}' for k in _CLASSES)}, string_split(signature, ',') AS parts FROM signed GROUP BY name, signature),
+d AS (SELECT a.name, a.signature, b.signature AS other, b.n, {', '.join(f'b.n{k}' for k in _CLASSES)}, CASE WHEN a.signature = '' AND b.signature = '' THEN 0 WHEN a.signature = '' OR b.signature = '' THEN 1
   ELSE 1 - len(list_intersect(a.parts, b.parts)) / len(list_distinct(list_concat(a.parts, b.parts)))::DOUBLE END AS dist FROM c a JOIN c b USING (name)),
-r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY name, signature ORDER BY dist, other ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d WHERE dist <= 0.5)
-SELECT name, signature, sum(n)::BIGINT AS n, sum(n0)::BIGINT AS n_0 FROM r WHERE before < 30 GROUP BY name, signature""")
+r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY name, signature ORDER BY dist, other ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d WHERE dist <= {{most}}),
+pooled AS (SELECT name, signature, sum(n)::BIGINT AS n, {', '.join(f'sum(n{k})::BIGINT AS n_{k}' for k in _CLASSES)} FROM r WHERE before < 30 GROUP BY name, signature)"""
+
+
+@query(f"WITH {SIGNED}, {_POOLED.format(most=0.5)} SELECT * FROM pooled")
 def pooled_signatures(spark, sf_dir):
     """Counts pooled over near signatures."""
-    rows = labelling.pooled_counts(labelling.class_counts(signed(spark, sf_dir), CLASSES), CLASSES)
-    return rows.select("name", "signature", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"), F.col("counts")[0].alias("n_0"))
+    counts = settled(labelling.class_counts(signed(spark, sf_dir), CLASSES))
+    rows = labelling.pooled_counts(counts, CLASSES)
+    return rows.select("name", "signature", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"), *_vector("counts", "n"))
+
+
+@query(f"""WITH {SIGNED}, {_WEIGHTS}, {_POOLED.format(most=0.41)}, v AS (SELECT name, signature, {', '.join(f'n_{k} * coalesce((SELECT w FROM w WHERE original_label = {k}), 0) AS v{k}' for k in _CLASSES)} FROM pooled)
+SELECT name, signature, {', '.join(f"round(v{k} / ({' + '.join(f'v{j}' for j in _CLASSES)}), 6)::DOUBLE AS s_{k}" for k in _CLASSES)} FROM v""")
+def fitted_lookup(spark, sf_dir):
+    """The table of a soft lookup, counts pooled over near signatures and weighed by class."""
+    return rounded(labelling.fit_lookup(signed(spark, sf_dir), CLASSES).select("name", "signature", *_vector("counts", "s")))
 
 
 @query()
 def superset_pooled_signatures(spark, sf_dir):
     """L3: counts pooled over signatures that hold the own one, then over near ones."""
     rows = labelling.superset_pooled_counts(labelling.class_counts(signed(spark, sf_dir), CLASSES), CLASSES)
-    return rows.select("name", "signature", "pooled", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
+    return rows.select("name", "signature", "pooled", *_vector("counts", "n"))
 
 
 @query(f"WITH {SIGNED}, c AS (SELECT DISTINCT name, signature, string_split(signature, ',') AS parts FROM signed WHERE signature <> '') SELECT a.name, a.signature, b.signature AS other FROM c a JOIN c b USING (name) WHERE list_has_all(b.parts, a.parts)")
 def signature_supersets(spark, sf_dir):
     """Signatures that hold others of their region."""
-    return labelling.supersets(labelling.class_counts(signed(spark, sf_dir), CLASSES))
+    return labelling.supersets(settled(labelling.class_counts(signed(spark, sf_dir), CLASSES)))
 
 
 @query(f"""WITH {SIGNED}, o AS (SELECT name, original_label, pos, avg(state_) AS own FROM positions GROUP BY ALL), m AS (SELECT name, original_label, avg(own) AS mean FROM o GROUP BY ALL),
@@ -445,8 +466,9 @@ e AS (SELECT *, exp(post - max(post) OVER (PARTITION BY name, signature)) AS e F
 SELECT name, signature, original_label, round(e / sum(e) OVER (PARTITION BY name, signature), 6) AS probability FROM e""")
 def archetype_labels(spark, sf_dir):
     """Posterior of each class for each signature."""
-    rows = prepared(spark, sf_dir)
-    return rounded(labelling.archetype_labels(rows, labelling.archetypes(rows, CLASSES), labelling.class_priors(rows, CLASSES)))
+    rows = settled(signed(spark, sf_dir).select("name", "original_label", "signature", "read_start", "methylation_ids"))
+    got = labelling.archetype_labels(rows, labelling.archetypes(rows, CLASSES), labelling.class_priors(rows, CLASSES), CLASSES)
+    return rounded(got.select("name", "signature", F.posexplode("probabilities").alias("original_label", "probability")))
 
 
 @query(f"""WITH {SIGNED}, s AS (SELECT signed.*, p.file FROM (SELECT DISTINCT * FROM signed) signed JOIN (SELECT DISTINCT read_name, file FROM reads) p USING (read_name)),
@@ -459,7 +481,7 @@ t AS (SELECT read_name, name, signature, CASE WHEN NOT bool_and(known) THEN 'non
 SELECT read_name, name, source, {', '.join(f'round(c{k} / ({" + ".join(f"c{j}" for j in range(CLASSES))}), 6) AS p_{k}' for k in range(CLASSES))} FROM t""")
 def lookup_predictions(spark, sf_dir):
     """Reads of one file looked up among the others' signatures, nearest ones where unknown."""
-    rows = signed(spark, sf_dir)
+    rows = settled(signed(spark, sf_dir).select("read_name", "name", "signature", "original_label", "file"))
     model = labelling.class_counts(rows.filter("file <> 'f0'"), CLASSES)
     found = labelling.lookup(rows.filter("file = 'f0'").select("read_name", "name", "signature").distinct(), model, CLASSES)
     return rounded(found.select("read_name", "name", "source", *[F.col("prediction")[k].alias(f"p_{k}") for k in range(CLASSES)]))
@@ -471,20 +493,15 @@ def beta_statistics(spark, sf_dir):
     return rounded(labelling.beta_statistics(prepared(spark, sf_dir)))
 
 
-def _beta_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = prepared(spark, sf_dir).groupBy("name", "original_label").agg(F.sum("M").alias("m"), F.sum("U").alias("u"))
-    return grid.select("name", "original_label", (F.col("m") + 1.0).alias("eta"), (F.col("u") + 1.0).alias("rho"))
-
-
 @query(f"""WITH {PREPARED}, g AS (SELECT name, original_label, sum(M) + 1.0 AS eta, sum(U) + 1.0 AS rho FROM prepared GROUP BY ALL), pr AS (SELECT original_label, count(*) / (SELECT count(*) FROM prepared)::DOUBLE AS prior FROM prepared GROUP BY ALL),
-j AS (SELECT p.read_name, p.name, g.original_label, M * ln(eta / (eta + rho)) + U * ln(rho / (eta + rho)) + ln(prior) AS l FROM (SELECT DISTINCT read_name, name, M, U FROM prepared) p JOIN g USING (name) JOIN pr USING (original_label)),
-e AS (SELECT *, exp(l - max(l) OVER (PARTITION BY read_name, name)) AS e FROM j)
-SELECT read_name, name, round(max(e / s), 6)::DOUBLE AS confidence FROM (SELECT *, sum(e) OVER (PARTITION BY read_name, name) AS s FROM e) GROUP BY read_name, name""")
+j AS (SELECT p.read_name, p.name, M, U, g.original_label, M * ln(eta / (eta + rho)) + U * ln(rho / (eta + rho)) + ln(prior) AS l FROM (SELECT DISTINCT read_name, name, M, U FROM prepared) p JOIN g USING (name) JOIN pr USING (original_label)),
+e AS (SELECT *, exp(l - max(l) OVER (PARTITION BY read_name, name, M, U)) AS e FROM j)
+SELECT read_name, name, M, U, {', '.join(f'round(coalesce(max(e / s) FILTER (WHERE original_label = {k}), 0), 6)::DOUBLE AS p_{k}' for k in _CLASSES)} FROM (SELECT *, sum(e) OVER (PARTITION BY read_name, name, M, U) AS s FROM e) GROUP BY read_name, name, M, U""")
 def beta_predictions(spark, sf_dir):
-    """Posterior of the Beta model; here its largest value."""
-    rows = prepared(spark, sf_dir)
-    got = labelling.beta_predict(rows.select("read_name", "name", "M", "U").distinct(), _beta_params(spark, sf_dir), labelling.class_priors(rows, CLASSES), CLASSES)
-    return rounded(got.select("read_name", "name", F.array_max("prediction").alias("confidence")))
+    """Posterior of the Beta model."""
+    rows = settled(prepared(spark, sf_dir).select("read_name", "name", "original_label", "M", "U"))
+    got = labelling.beta_predict(rows.select("read_name", "name", "M", "U").distinct(), labelling.added_one_beta(rows), labelling.class_priors(rows, CLASSES), CLASSES)
+    return rounded(got.select("read_name", "name", "M", "U", *_vector("prediction", "p")))
 
 
 # --- feature selection and imputation ----------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns, vectors
+from ..session import settled
 from .atlases import positions
 
 
@@ -28,6 +29,14 @@ def class_weights(rows: DataFrame) -> DataFrame:
     return totals.join(middle, "_one").select("original_label", "n", (F.col("_m") / (F.col("n") + 1e-9)).alias("weight"))
 
 
+def counted_weights(counts: DataFrame, classes: int) -> DataFrame:
+    """class_weights() from a table of counts."""
+    totals = counts.agg(*[F.sum(F.col("counts")[k]).alias(f"n{k}") for k in range(classes)])
+    long = totals.select(F.posexplode(F.array(*[F.col(f"n{k}") for k in range(classes)])).alias("original_label", "n")).filter("n > 0")
+    middle = long.agg(F.median("n").alias("_m"))
+    return long.join(F.broadcast(middle), F.lit(True)).select("original_label", "n", (F.col("_m") / (F.col("n") + 1e-9)).alias("weight"))
+
+
 def class_priors(rows: DataFrame, classes: int, kind: str = "frequency") -> DataFrame:
     """(original_label, prior): uniform, frequency or inverse (0 for absent classes; uniform if all are)."""
     codes = rows.sparkSession.range(classes).select(F.col("id").cast("int").alias("original_label"))
@@ -49,27 +58,52 @@ def _weighed(counts: DataFrame, weights: DataFrame, classes: int) -> DataFrame:
 
 def soft_labels(rows: DataFrame, classes: int) -> DataFrame:
     """(name, signature, counts, soft_label) from the reads' own classes."""
-    return _weighed(class_counts(rows, classes), class_weights(rows), classes)
+    counts = settled(class_counts(rows, classes))
+    return _weighed(counts, counted_weights(counts, classes), classes)
 
 
-def pooled_counts(counts: DataFrame, classes: int, min_reads: int = 30, max_distance: float = 0.5) -> DataFrame:
-    """counts summed over a signature's neighbours in its region, nearest first (Jaccard, ties by signature), until min_reads are there; none beyond max_distance.
+def label_reads(rows: DataFrame, labels: DataFrame, classes: int, fallback: DataFrame | None = None) -> DataFrame:
+    """rows with the soft_label of their (name, signature); one that labels lack has the fallback: priors (original_label, prior), or a uniform vector."""
+    joined = rows.join(labels.select("name", "signature", "soft_label"), ["name", "signature"], "left")
+    if fallback is None:
+        return joined.withColumn("soft_label", F.coalesce("soft_label", F.array_repeat(F.lit(1.0 / classes), classes)))
+    given = F.broadcast(fallback.agg(F.map_from_entries(F.collect_list(F.struct("original_label", "prior"))).alias("_f")))  # one row, an entry a class
+    vector = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda k: F.coalesce(F.try_element_at(F.col("_f"), k), F.lit(0.0)))
+    return joined.join(given, F.lit(True)).withColumn("soft_label", F.coalesce("soft_label", vector)).drop("_f")
+
+
+def _parts(counts: DataFrame) -> DataFrame:
+    """(name, signature, size, part, place): a row a part of each signature, numbered from the rarest of the region on. Empty signatures have none."""
+    words = counts.filter("signature <> ''").select("name", "signature", F.explode(F.split("signature", ",")).alias("part"))
+    often = words.groupBy("name", "part").agg(F.count("*").alias("_n"))
+    own = Window.partitionBy("name", "signature")
+    ranked = words.join(often, ["name", "part"]).withColumn("place", F.row_number().over(own.orderBy("_n", "part"))).withColumn("size", F.count("*").over(own))
+    return ranked.drop("_n")
+
+
+def near_pairs(counts: DataFrame, max_distance: float, of: DataFrame | None = None) -> DataFrame:
+    """(name, signature, other, distance): signatures of one region at a Jaccard distance of max_distance at most, itself included; two empty ones have distance 0.
 
-    Pairs that share a position and state are found by it; pairs that share none have distance 1 and never count below a
-    max_distance of 1, so signatures are not compared all with all. Empty signatures only meet each other.
+    of: (name, signature) whose neighbours are wanted, all by default. Two sets that are so near share one of their rarest
+    parts: of a set of n parts the n - ceil((1 - max_distance) n) + 1 rarest are enough to find it by, and sizes further apart than
+    that ratio are not compared. Only what so meets is compared whole.
     """
     if max_distance >= 1:
         raise ValueError("neighbours are found by what they share: max_distance is below 1")
-    sized = counts.withColumn("parts", F.split("signature", ",")).withColumn("size", F.when(F.col("signature") == "", 0).otherwise(F.size("parts")))
-    words = sized.select("name", "signature", "size", "counts", F.explode("parts").alias("part"))
-    a, b = words.alias("a"), words.alias("b")
-    pairs = (
-        a.join(b, (F.col("a.name") == F.col("b.name")) & (F.col("a.part") == F.col("b.part")))
-        .groupBy(F.col("a.name").alias("name"), F.col("a.signature").alias("signature"), F.col("b.signature").alias("other"))
-        .agg(F.count("*").alias("common"), F.first("a.size").alias("sa"), F.first("b.size").alias("sb"), F.first("b.counts").alias("counts"))
-        .withColumn("distance", F.when(F.col("sa") == 0, 0.0).otherwise(1 - F.col("common") / (F.col("sa") + F.col("sb") - F.col("common"))))
-        .filter(F.col("distance") <= max_distance)
-    )
+    like = 1.0 - max_distance
+    prefix = _parts(counts).filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * like - 1e-9) + 1).select("name", "part", "signature", "size")
+    asked = prefix if of is None else prefix.join(of, ["name", "signature"], "left_semi")
+    others = prefix.withColumnsRenamed({"signature": "other", "size": "_size"})
+    met = asked.join(others, ["name", "part"]).filter((F.col("_size") >= F.col("size") * like - 1e-9) & (F.col("size") >= F.col("_size") * like - 1e-9)).select("name", "signature", "other").distinct()
+    common = F.size(F.array_intersect(F.split("signature", ","), F.split("other", ",")))
+    apart = met.withColumn("_c", common).withColumn("distance", 1 - F.col("_c") / (F.size(F.split("signature", ",")) + F.size(F.split("other", ",")) - F.col("_c")))
+    empty = (counts if of is None else of).filter("signature = ''").select("name", "signature", F.lit("").alias("other"), F.lit(0.0).alias("distance"))
+    return apart.filter(F.col("distance") <= max_distance).select("name", "signature", "other", "distance").unionByName(empty)
+
+
+def pooled_counts(counts: DataFrame, classes: int, min_reads: int = 30, max_distance: float = 0.5) -> DataFrame:
+    """counts summed over a signature's neighbours in its region, nearest first (Jaccard, ties by signature), until min_reads are there; none beyond max_distance."""
+    pairs = near_pairs(counts, max_distance).join(counts.select("name", F.col("signature").alias("other"), "counts"), ["name", "other"])
     n = F.aggregate("counts", F.lit(0).cast("long"), lambda acc, x: acc + x)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("name", "signature").orderBy("distance", "other").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     used = pairs.withColumn("n", n).withColumn("before", before).filter(F.col("before") < min_reads)
@@ -77,7 +111,30 @@ def pooled_counts(counts: DataFrame, classes: int, min_reads: int = 30, max_dist
 
 
 def pooled_soft_labels(rows: DataFrame, classes: int, min_reads: int = 30, max_distance: float = 0.5) -> DataFrame:
-    return _weighed(pooled_counts(class_counts(rows, classes), classes, min_reads, max_distance), class_weights(rows), classes)
+    """soft_labels() with the counts pooled over near signatures; class weights are those of the reads."""
+    counts = settled(class_counts(rows, classes))
+    return _weighed(pooled_counts(counts, classes, min_reads, max_distance), counted_weights(counts, classes), classes)
+
+
+def fit_lookup(rows: DataFrame, classes: int, min_reads: int = 30, max_distance: float = 0.41) -> DataFrame:
+    """(name, signature, counts): the model of a soft lookup. counts are soft labels: pooled over near signatures and weighed by class."""
+    return pooled_soft_labels(rows, classes, min_reads, max_distance).select("name", "signature", F.col("soft_label").alias("counts"))
+
+
+def fit_hard_lookup(rows: DataFrame, classes: int, least: float = 10.0) -> DataFrame:
+    """(name, signature, counts): the model of a hard lookup: 1 for the class with the largest weighed count, shared by classes that tie.
+
+    Raises where the largest is not ``least`` times the next smaller one, unless classes tie: such a table is not fit for hard calls.
+    """
+    counts = settled(class_counts(rows, classes))
+    soft = settled(_weighed(counts, counted_weights(counts, classes), classes).select("name", "signature", "soft_label"))
+    most = F.array_max("soft_label")
+    ties = F.size(F.filter("soft_label", lambda x: x >= most - 1e-9))
+    next_one = F.coalesce(F.array_max(F.filter("soft_label", lambda x: x < most - 1e-9)), F.lit(0.0))
+    bad = soft.filter((ties == 1) & (most < least * next_one)).take(3)
+    if bad:
+        raise ValueError(f"signatures without a clear class: {[(r.name, r.signature) for r in bad]}")
+    return soft.select("name", "signature", F.transform("soft_label", lambda x: F.when(x >= most - 1e-9, 1.0 / ties).otherwise(0.0)).alias("counts"))
 
 
 def archetypes(rows: DataFrame, classes: int, epsilon: float = 1e-10) -> DataFrame:
@@ -93,24 +150,26 @@ def archetypes(rows: DataFrame, classes: int, epsilon: float = 1e-10) -> DataFra
     return full.select("name", "original_label", "pos", F.least(F.greatest(mu, F.lit(epsilon)), F.lit(1 - epsilon)).alias("mu"))
 
 
-def archetype_labels(rows: DataFrame, models: DataFrame, priors: DataFrame) -> DataFrame:
-    """(name, signature, original_label, probability) for distinct signatures: Bayes over classes with log-sum-exp. priors: original_label, prior (0 stays 0)."""
-    distinct = with_signature(rows).select("name", "signature", "read_start", "methylation_ids").groupBy("name", "signature").agg(F.min_by("methylation_ids", "read_start").alias("methylation_ids"), F.min("read_start").alias("read_start"))
-    scored = (
-        positions(distinct, "name", "signature").join(models, ["name", "pos"])
-        .groupBy("name", "signature", "original_label").agg(F.sum(F.log(F.when(F.col("state") == 1, F.col("mu")).otherwise(1 - F.col("mu")))).alias("ll"))
-        .join(priors, "original_label")
-    )
-    w = Window.partitionBy("name", "signature")
-    post = F.when(F.col("prior") > 0, F.col("ll") + F.log(F.when(F.col("prior") > 0, F.col("prior"))))
-    shifted = scored.withColumn("post", post).withColumn("e", F.coalesce(F.exp(F.col("post") - F.max("post").over(w)), F.lit(0.0)))
-    return shifted.withColumn("probability", F.col("e") / F.sum("e").over(w)).select("name", "signature", "original_label", "probability")
+def archetype_labels(rows: DataFrame, models: DataFrame, priors: DataFrame, classes: int) -> DataFrame:
+    """(name, signature, probabilities) for distinct signatures: Bayes over classes with log-sum-exp. priors: original_label, prior (0 stays 0).
+
+    A position's model is one row with an array of all classes' logarithms, so signatures are joined and summed once a position.
+    """
+    log = lambda x: F.array_sort(F.collect_list(F.struct("original_label", F.log(x).alias("x"))))
+    packed = models.groupBy("name", "pos").agg(log(F.col("mu")).alias("l1"), log(1 - F.col("mu")).alias("l0"))
+    parts = rows.select("name", "signature").distinct().withColumn("_p", F.explode(F.split("signature", ","))).filter("signature <> ''")
+    told = parts.select("name", "signature", F.split("_p", ":")[0].cast("long").alias("pos"), F.split("_p", ":")[1].alias("state"))
+    mine = lambda k: F.when(F.col("state") == "1", F.col("l1")[k]["x"]).otherwise(F.col("l0")[k]["x"])
+    summed = told.join(packed, ["name", "pos"]).groupBy("name", "signature").agg(F.array(*[F.sum(mine(k)) for k in range(classes)]).alias("_ll"))
+    prior = F.broadcast(priors.agg(F.map_from_entries(F.collect_list(F.struct("original_label", "prior"))).alias("_prior")))  # one row, an entry a class
+    post = F.transform("_ll", lambda x, k: F.when(F.coalesce(F.try_element_at(F.col("_prior"), k), F.lit(0.0)) > 0, x + F.log(F.try_element_at(F.col("_prior"), k))).otherwise(float("-inf")))
+    return summed.join(prior, F.lit(True)).select("name", "signature", vectors.softmax(post).alias("probabilities"))
 
 
-def lookup(reads: DataFrame, model: DataFrame, classes: int) -> DataFrame:
-    """reads (read_name, name, signature) with prediction (array) and source: exact, 1nn (all nearest signatures of the region pooled, Jaccard), or none (uniform: region unseen).
+def lookup(reads: DataFrame, model: DataFrame, classes: int, hard: bool = False) -> DataFrame:
+    """reads (read_name, name, signature) with prediction (array) and source: exact, 1nn (all nearest signatures of the region pooled, Jaccard), or none (region unseen: uniform, or the last class with ``hard``).
 
-    model: name, signature, counts. Only reads whose signature is unknown are compared with their region's signatures that share a part;
+    model: name, signature, counts (numbers of reads, or what fit_lookup() and fit_hard_lookup() make of them). Only reads whose signature is unknown are compared with their region's signatures that share a part;
     where none shares any, all of the region are at distance 1 and pool.
     """
     exact = model.select("name", "signature", F.col("counts").alias("hit"))
@@ -130,7 +189,8 @@ def lookup(reads: DataFrame, model: DataFrame, classes: int) -> DataFrame:
     nearest = near.groupBy("name", "signature").agg(pool().alias("near"))
     region = model.groupBy("name").agg(pool().alias("all"))
     joined = first.join(nearest, ["name", "signature"], "left").join(region, "name", "left")
-    chosen = F.coalesce("hit", "near", "all", F.array_repeat(F.lit(1).cast("long"), classes))
+    unseen = F.array(*[F.lit(0.0 if hard and k < classes - 1 else 1.0) for k in range(classes)])
+    chosen = F.coalesce(*[F.col(c).cast("array<double>") for c in ("hit", "near", "all")], unseen)
     source = F.when(F.col("hit").isNotNull(), "exact").when(F.col("all").isNotNull(), "1nn").otherwise("none")
     total = F.aggregate("_c", F.lit(0.0), lambda a, x: a + x)
     return joined.withColumn("_c", chosen).withColumn("source", source).select("read_name", "name", "source", F.transform("_c", lambda x: x / total).alias("prediction"))
@@ -145,8 +205,14 @@ def beta_statistics(rows: DataFrame, clip: float = 0.01) -> DataFrame:
     )
 
 
+def added_one_beta(rows: DataFrame) -> DataFrame:
+    """(name, original_label, eta, rho): one more than the known positions of either state, a model without a fit."""
+    grid = rows.groupBy("name", "original_label").agg(F.sum("M").alias("m"), F.sum("U").alias("u"))
+    return grid.select("name", "original_label", (F.col("m") + 1.0).alias("eta"), (F.col("u") + 1.0).alias("rho"))
+
+
 def beta_predict(rows: DataFrame, params: DataFrame, priors: DataFrame, classes: int) -> DataFrame:
-    """(read_name, name, prediction): posterior over classes of a read with M and U known positions.
+    """(read_name, name, M, U, prediction): posterior over classes of a read with M and U known positions; 0 for a class that a region's params lack.
 
     The Beta functions of the likelihood cancel to (eta / (eta + rho))^M (rho / (eta + rho))^U. params: name, original_label, eta, rho.
     """
@@ -154,16 +220,21 @@ def beta_predict(rows: DataFrame, params: DataFrame, priors: DataFrame, classes:
     table = params.join(priors, "original_label").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("original_label", share[0].alias("lm"), share[1].alias("lu"), F.log("prior").alias("lp")))).alias("classes"))
     joined = rows.join(table, "name")
     logs = F.transform("classes", lambda c: F.col("M") * c["lm"] + F.col("U") * c["lu"] + c["lp"])
-    return joined.select("read_name", "name", vectors.softmax(logs).alias("prediction"))
+    known = F.map_from_arrays(F.transform("classes", lambda c: c["original_label"].cast("int")), vectors.softmax(logs))
+    every = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda k: F.coalesce(F.try_element_at(known, k), F.lit(0.0)))
+    return joined.select("read_name", "name", "M", "U", every.alias("prediction"))
 
 
-def supersets(counts: DataFrame) -> DataFrame:
-    """(name, signature, other): other signatures of the region that hold all of it, itself included."""
-    words = counts.filter("signature <> ''").withColumn("part", F.explode(F.split("signature", ",")))
-    a, b = words.alias("a"), words.alias("b")
-    pairs = a.join(b, (F.col("a.name") == F.col("b.name")) & (F.col("a.part") == F.col("b.part")))
-    grouped = pairs.groupBy(F.col("a.name").alias("name"), F.col("a.signature").alias("signature"), F.col("b.signature").alias("other")).agg(F.count("*").alias("common"))
-    return grouped.filter(F.col("common") == F.size(F.split("signature", ","))).select("name", "signature", "other")
+def supersets(counts: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(name, signature, other): signatures of the region that hold all of one, itself included. of: (name, signature) whose holders are wanted, all by default.
+
+    What holds a signature holds its rarest part, so each is met by that one part only. Empty signatures are left out.
+    """
+    words = _parts(counts).select("name", "part", "signature", "place")
+    first = words.filter("place = 1").drop("place")
+    first = first if of is None else first.join(of, ["name", "signature"], "left_semi")
+    met = first.join(words.select("name", "part", F.col("signature").alias("other")), ["name", "part"])
+    return met.filter(F.size(F.array_except(F.split("signature", ","), F.split("other", ","))) == 0).select("name", "signature", "other")
 
 
 def label_vector(label: Column, classes: int) -> Column:
@@ -173,36 +244,46 @@ def label_vector(label: Column, classes: int) -> Column:
 def superset_pooled_counts(counts: DataFrame, classes: int, min_reads: int = 30, max_distance: float = 0.5) -> DataFrame:
     """(name, signature, counts, pooled): counts pooled first over all signatures that hold the own one, whatever their number.
 
-    Where min_reads are still not there, near signatures follow, the nearest first (ties by signature). One that is taken puts the
-    signatures that hold it before all that wait, so these come next, the last of them first; the first that is beyond
-    max_distance ends the search. The order hangs on what was taken before, so a region's distinct signatures are pooled in one
-    grouped function; regions are the unit of parallelism.
+    Where fewer than min_reads are so there, near signatures follow, the nearest first (Jaccard, ties by signature), each with
+    the signatures that hold it, nearest first, right behind it. One that is there already is passed over; the first that is
+    beyond max_distance ends the search, as do min_reads reads. Empty signatures are held by all of their region.
+
+    Every signature has a read at least, so no more than min_reads of either list are ever needed: what is folded for a
+    signature is bounded, whatever its region holds.
     """
-    import numpy as np
-    import pandas as pd
-
-    def pool(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("signature").reset_index(drop=True)
-        sets = [frozenset(s.split(",")) if s else frozenset() for s in part["signature"]]
-        table, n = np.stack(part["counts"].to_numpy()), len(part)
-        totals = table.sum(axis=1)
-        out, sizes = np.zeros_like(table), np.zeros(n, int)
-        holders = [[k for k in range(n) if sets[i] <= sets[k]] for i in range(n)]
-        for i in range(n):
-            taken = dict.fromkeys(holders[i])
-            reads = int(totals[list(taken)].sum())
-            if reads < min_reads:
-                apart = [1 - len(sets[i] & s) / len(sets[i] | s) if sets[i] | s else 0.0 for s in sets]
-                waiting = sorted(range(n), key=lambda k: (-apart[k], -k))
-                while waiting and reads < min_reads:
-                    k = waiting.pop()
-                    if apart[k] > max_distance:
-                        break
-                    if k not in taken:
-                        taken[k] = None
-                        reads += int(totals[k])
-                        waiting += [h for h in holders[k] if h not in taken]
-            out[i], sizes[i] = table[list(taken)].sum(axis=0), len(taken)
-        return pd.DataFrame({"name": part["name"], "signature": part["signature"], "counts": list(out), "pooled": sizes})
-
-    return counts.select("name", "signature", "counts").groupBy("name").applyInPandas(pool, "name string, signature string, counts array<long>, pooled int")
+    each = F.aggregate("counts", F.lit(0).cast("long"), lambda acc, x: acc + x)
+    sized = settled(counts.select("name", "signature", "counts", each.alias("reads")).filter("reads > 0"))
+    own = sized.select("name", F.col("signature").alias("other"), "counts", "reads")
+    empty = sized.filter("signature = ''").select("name", "signature").join(own.select("name", "other"), "name")
+    held = supersets(sized).unionByName(empty)
+    summed = [F.sum(F.col("counts")[k]) for k in range(classes)]
+    base = settled(held.join(own, ["name", "other"]).groupBy("name", "signature").agg(F.array(*summed).alias("counts"), F.sum("reads").alias("reads"), F.count("*").cast("int").alias("pooled")))
+    few = base.filter(F.col("reads") < min_reads)  # these are held by fewer than min_reads signatures
+    wanted = settled(held.join(few, ["name", "signature"], "left_semi").groupBy("name", "signature").agg(F.collect_list("other").alias("taken")))
+    short = few.join(wanted, ["name", "signature"])
+
+    # neighbours, and behind each of them what holds it: the first min_reads of either that are not taken yet
+    near = near_pairs(sized, max_distance, wanted.select("name", "signature")).join(wanted, ["name", "signature"]).filter(~F.array_contains("taken", F.col("other")))
+    order = Window.partitionBy("name", "signature").orderBy("distance", "other")
+    near = settled(near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= min_reads))
+    above = supersets(sized, near.select("name", F.col("other").alias("signature")).distinct()).filter("signature <> other").select("name", F.col("signature").alias("other"), F.col("other").alias("holder"))
+    common = F.size(F.array_intersect(F.split("signature", ","), F.split("holder", ",")))
+    union = F.size(F.split("signature", ",")) + F.size(F.split("holder", ",")) - common
+    behind = near.join(above, ["name", "other"]).filter(~F.array_contains("taken", F.col("holder"))).withColumn("apart", 1 - common / union)
+    behind = behind.withColumn("after", F.row_number().over(Window.partitionBy("name", "signature", "place").orderBy("apart", "holder"))).filter(F.col("after") <= min_reads)
+    line = near.select("name", "signature", "place", F.lit(0).alias("after"), "distance", "other").unionByName(behind.select("name", "signature", "place", "after", F.col("apart").alias("distance"), F.col("holder").alias("other")))
+    queue = line.join(own, ["name", "other"]).groupBy("name", "signature").agg(F.array_sort(F.collect_list(F.struct("place", "after", "distance", "other", "reads", "counts"))).alias("queue"))
+
+    def step(acc: Column, x: Column) -> Column:
+        ends = acc["done"] | (x["distance"] > max_distance)
+        skip = ends | F.array_contains(acc["taken"], x["other"])
+        reads = F.when(skip, acc["reads"]).otherwise(acc["reads"] + x["reads"])
+        return F.struct(
+            F.when(skip, acc["counts"]).otherwise(F.zip_with(acc["counts"], x["counts"], lambda a, b: a + b)).alias("counts"), reads.alias("reads"),
+            F.when(skip, acc["pooled"]).otherwise(acc["pooled"] + 1).alias("pooled"), F.when(skip, acc["taken"]).otherwise(F.concat(acc["taken"], F.array(x["other"]))).alias("taken"), (ends | (reads >= min_reads)).alias("done"),
+        )
+
+    start = F.struct("counts", "reads", "pooled", "taken", F.lit(False).alias("done"))
+    folded = short.join(queue, ["name", "signature"], "left").withColumn("_f", F.aggregate(F.coalesce("queue", F.array().cast(queue.schema["queue"].dataType)), start, step))
+    more = folded.select("name", "signature", F.col("_f.counts").alias("counts"), F.col("_f.pooled").alias("pooled"))
+    return base.filter(F.col("reads") >= min_reads).select("name", "signature", "counts", "pooled").unionByName(more)

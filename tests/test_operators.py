@@ -1,6 +1,7 @@
 """Semantics that the driver's tables do not reach."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -158,13 +159,71 @@ def test_columns_are_resolved(spark):
         read_ops.resolve(rows, "chromosome")
 
 
+def pooled_by_brute_force(region, min_reads, most):
+    """signature -> (counts, number of signatures) of one region, from the definition."""
+    sets = {s: frozenset(s.split(",")) if s else frozenset() for s in region}
+    apart = lambda a, b: 1 - len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] | sets[b] else 0.0
+    out = {}
+    for own in region:
+        taken = {s for s in region if sets[own] <= sets[s]}
+        if sum(map(sum, (region[s] for s in taken))) < min_reads:
+            near = sorted((apart(own, s), s) for s in region if s not in taken)
+            for d, s in near:
+                line = [(d, s), *sorted((apart(own, h), h) for h in region if sets[s] < sets[h] and h not in taken)]
+                for far, member in line:
+                    if far > most or sum(map(sum, (region[t] for t in taken))) >= min_reads:
+                        break
+                    taken.add(member)
+                else:
+                    continue
+                break
+        out[own] = ([sum(c) for c in zip(*(region[s] for s in taken))], len(taken))
+    return out
+
+
 def test_superset_pooling(spark):
-    rows = [("r", "a,b", [1, 0]), ("r", "a,b,c", [0, 2]), ("r", "a,b,c,d", [4, 0]), ("r", "a,x", [8, 0]), ("r", "z", [0, 16])]
+    rng = random.Random(3)
+    regions = {"r": {"a,b": [1, 0], "a,b,c": [0, 2], "a,b,c,d": [4, 0], "a,x": [8, 0], "z": [0, 16]}}
+    for k in range(12):
+        regions[f"q{k}"] = {",".join(sorted(rng.sample("abcdefgh", rng.randint(0, 5)))): [rng.randint(1, 3), rng.randint(0, 2)] for _ in range(40)}
+    rows = [(name, s, c) for name, region in regions.items() for s, c in region.items()]
     counts = spark.createDataFrame(rows, "name string, signature string, counts array<long>")
-    got = {r.signature: (r.counts, r.pooled) for r in labelling.superset_pooled_counts(counts, 2, 8, 0.7).collect()}
-    assert got["a,b"] == ([13, 2], 4)  # itself and two that hold it give 7; then a,x at distance 2/3
-    assert got["a,x"] == ([8, 0], 1) and got["z"] == ([0, 16], 1)
-    assert got["a,b,c,d"] == ([5, 2], 3)  # nearest a,b,c, then a,b; a,x is too far
+    for least, most in ((8, 0.7), (12, 0.5), (30, 0.6)):
+        got = {(r.name, r.signature): (r.counts, r.pooled) for r in labelling.superset_pooled_counts(counts, 2, least, most).collect()}
+        assert got == {(name, s): v for name, region in regions.items() for s, v in pooled_by_brute_force(region, least, most).items()}
+
+
+def test_near_pairs_and_supersets(spark):
+    rng = random.Random(5)
+    sets = sorted({",".join(sorted(rng.sample("abcdefghij", rng.randint(0, 6)))) for _ in range(80)})
+    counts = spark.createDataFrame([("r", s, [1]) for s in sets], "name string, signature string, counts array<long>")
+    parts = lambda s: set(s.split(",")) - {""}
+    apart = lambda a, b: 1 - len(parts(a) & parts(b)) / len(parts(a) | parts(b)) if parts(a) | parts(b) else 0.0
+    for most in (0.0, 0.41, 0.5, 0.8, 0.99):
+        got = {(r.signature, r.other): r.distance for r in labelling.near_pairs(counts, most).collect()}
+        want = {(a, b): apart(a, b) for a in sets for b in sets if apart(a, b) <= most}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+    assert {(r.signature, r.other) for r in labelling.supersets(counts).collect()} == {(a, b) for a in sets for b in sets if a and parts(a) <= parts(b)}
+
+
+def test_fitted_lookups(spark):
+    rows = spark.createDataFrame([("r", "1:0", 0)] * 40 + [("r", "1:1", 1)] * 20 + [("r", "2:1", 0)] * 2 + [("r", "2:1", 1)], "name string, signature string, original_label int")
+    soft = {r.signature: r.counts for r in labelling.fit_lookup(rows, 2).collect()}
+    assert soft["1:0"] == [1.0, 0.0] and [round(x, 6) for x in soft["2:1"]] == [0.5, 0.5]  # 2 x 31.5 / 42, 1 x 31.5 / 21
+    hard = labelling.fit_hard_lookup(rows, 2)
+    assert {r.signature: r.counts for r in hard.collect()} == {"1:0": [1.0, 0.0], "1:1": [0.0, 1.0], "2:1": [0.5, 0.5]}
+    reads = spark.createDataFrame([("a", "r", "1:1"), ("b", "q", "1:1")], "read_name string, name string, signature string")
+    assert {r.read_name: r.prediction for r in labelling.lookup(reads, hard, 2, hard=True).collect()} == {"a": [0.0, 1.0], "b": [0.0, 1.0]}
+    with pytest.raises(ValueError):
+        labelling.fit_hard_lookup(rows.unionByName(spark.createDataFrame([("r", "3:1", 0), ("r", "3:1", 1), ("r", "3:1", 1)], rows.schema)), 2)
+
+
+def test_labels_of_reads_without_one(spark):
+    rows = spark.createDataFrame([("a", "r", "x"), ("b", "r", "y")], "read_name string, name string, signature string")
+    labels = spark.createDataFrame([("r", "x", [0.25, 0.75])], "name string, signature string, soft_label array<double>")
+    priors = spark.createDataFrame([(0, 0.9), (1, 0.1)], "original_label int, prior double")
+    got = lambda f: {r.read_name: r.soft_label for r in labelling.label_reads(rows, labels, 2, f).collect()}
+    assert got(None) == {"a": [0.25, 0.75], "b": [0.5, 0.5]} and got(priors) == {"a": [0.25, 0.75], "b": [0.9, 0.1]}
 
 
 def test_drawn_quotas(spark):
