@@ -467,7 +467,7 @@ SELECT name, signature, original_label, round(e / sum(e) OVER (PARTITION BY name
 def archetype_labels(spark, sf_dir):
     """Posterior of each class for each signature."""
     rows = settled(signed(spark, sf_dir).select("name", "original_label", "signature", "read_start", "methylation_ids"))
-    got = labelling.archetype_labels(rows, labelling.archetypes(rows, CLASSES), labelling.class_priors(rows, CLASSES), CLASSES)
+    got = labelling.archetype_labels(rows, labelling.archetype_models(rows, CLASSES), labelling.class_priors(rows, CLASSES), CLASSES)
     return rounded(got.select("name", "signature", F.posexplode("probabilities").alias("original_label", "probability")))
 
 

@@ -137,30 +137,32 @@ def fit_hard_lookup(rows: DataFrame, classes: int, least: float = 10.0) -> DataF
     return soft.select("name", "signature", F.transform("soft_label", lambda x: F.when(x >= most - 1e-9, 1.0 / ties).otherwise(0.0)).alias("counts"))
 
 
-def archetypes(rows: DataFrame, classes: int, epsilon: float = 1e-10) -> DataFrame:
-    """(name, original_label, pos, mu): methylated share by region, class and position.
+def archetype_models(rows: DataFrame, classes: int, epsilon: float = 1e-10) -> DataFrame:
+    """(name, pos, mu): at each position of a region an array with the methylated share of every class.
 
-    A class without reads in the region has 1, one without reads at a position its mean over the region's positions; all are clipped to [e, 1 - e].
+    A class without reads in the region has 1, one without reads at a position its mean over the region's positions; all are
+    clipped to [e, 1 - e]. A position is one row with all classes, so nothing is multiplied by their number.
     """
-    seen = positions(rows, "name", "original_label").groupBy("name", "original_label", "pos").agg(F.avg("state").alias("own"))
-    means = seen.groupBy("name", "original_label").agg(F.avg("own").alias("mean"))
-    grid = seen.select("name", "pos").distinct().withColumn("original_label", F.explode(F.array(*map(F.lit, range(classes)))))
-    full = grid.join(seen, ["name", "original_label", "pos"], "left").join(means, ["name", "original_label"], "left")
-    mu = F.coalesce("own", "mean", F.lit(1.0))
-    return full.select("name", "original_label", "pos", F.least(F.greatest(mu, F.lit(epsilon)), F.lit(1 - epsilon)).alias("mu"))
+    own = lambda k: F.avg(F.when(F.col("original_label") == k, F.col("state")))
+    seen = positions(rows, "name", "original_label").groupBy("name", "pos").agg(F.array(*[own(k) for k in range(classes)]).alias("own"))
+    means = seen.groupBy("name").agg(F.array(*[F.avg(F.col("own")[k]) for k in range(classes)]).alias("mean"))
+    clipped = lambda x: F.least(F.greatest(x, F.lit(epsilon)), F.lit(1 - epsilon))
+    mu = F.zip_with("own", "mean", lambda a, b: clipped(F.coalesce(a, b, F.lit(1.0))))
+    return seen.join(means, "name").select("name", "pos", mu.alias("mu"))
 
 
-def archetype_labels(rows: DataFrame, models: DataFrame, priors: DataFrame, classes: int) -> DataFrame:
-    """(name, signature, probabilities) for distinct signatures: Bayes over classes with log-sum-exp. priors: original_label, prior (0 stays 0).
+def archetypes(rows: DataFrame, classes: int, epsilon: float = 1e-10) -> DataFrame:
+    """(name, original_label, pos, mu): archetype_models() with a row a class."""
+    return archetype_models(rows, classes, epsilon).select("name", F.posexplode("mu").alias("original_label", "mu"), "pos").select("name", "original_label", "pos", "mu")
 
-    A position's model is one row with an array of all classes' logarithms, so signatures are joined and summed once a position.
-    """
-    log = lambda x: F.array_sort(F.collect_list(F.struct("original_label", F.log(x).alias("x"))))
-    packed = models.groupBy("name", "pos").agg(log(F.col("mu")).alias("l1"), log(1 - F.col("mu")).alias("l0"))
+
+def archetype_labels(rows: DataFrame, models: DataFrame, priors: DataFrame, classes: int) -> DataFrame:
+    """(name, signature, probabilities) for distinct signatures: Bayes over classes with log-sum-exp. models: name, pos, mu; priors: original_label, prior (0 stays 0)."""
+    logs = models.select("name", "pos", F.transform("mu", lambda x: F.log(x)).alias("l1"), F.transform("mu", lambda x: F.log(1 - x)).alias("l0"))
     parts = rows.select("name", "signature").distinct().withColumn("_p", F.explode(F.split("signature", ","))).filter("signature <> ''")
     told = parts.select("name", "signature", F.split("_p", ":")[0].cast("long").alias("pos"), F.split("_p", ":")[1].alias("state"))
-    mine = lambda k: F.when(F.col("state") == "1", F.col("l1")[k]["x"]).otherwise(F.col("l0")[k]["x"])
-    summed = told.join(packed, ["name", "pos"]).groupBy("name", "signature").agg(F.array(*[F.sum(mine(k)) for k in range(classes)]).alias("_ll"))
+    mine = F.when(F.col("state") == "1", F.col("l1")).otherwise(F.col("l0"))
+    summed = told.join(logs, ["name", "pos"]).select("name", "signature", mine.alias("_l")).groupBy("name", "signature").agg(F.array(*[F.sum(F.col("_l")[k]) for k in range(classes)]).alias("_ll"))
     prior = F.broadcast(priors.agg(F.map_from_entries(F.collect_list(F.struct("original_label", "prior"))).alias("_prior")))  # one row, an entry a class
     post = F.transform("_ll", lambda x, k: F.when(F.coalesce(F.try_element_at(F.col("_prior"), k), F.lit(0.0)) > 0, x + F.log(F.try_element_at(F.col("_prior"), k))).otherwise(float("-inf")))
     return summed.join(prior, F.lit(True)).select("name", "signature", vectors.softmax(post).alias("probabilities"))
