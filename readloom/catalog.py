@@ -220,10 +220,22 @@ def read_level_split(spark, sf_dir):
     return rows.groupBy("original_label", "file", "split").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {READS}, c AS (SELECT original_label, file, count(*) AS n FROM reads WHERE original_label <> 2 OR file <= 'f1' GROUP BY ALL), few AS (SELECT * FROM c WHERE original_label <> 3 OR file = 'f4'),
+f AS (SELECT *, row_number() OVER (PARTITION BY original_label ORDER BY n DESC, file) AS i, count(*) OVER (PARTITION BY original_label) AS m, (sum(n) OVER (PARTITION BY original_label))::DOUBLE AS total FROM few),
+g AS (
+  SELECT original_label, 0::BIGINT AS i, NULL::VARCHAR AS split, 0::DOUBLE AS a, 0::DOUBLE AS b, 0::DOUBLE AS t, 0 AS ca, 0 AS cb, 0 AS ct FROM f WHERE i = 1 AND m >= 3
+  UNION ALL
+  SELECT original_label, i, s, a + CASE WHEN s = 'train' THEN n ELSE 0 END, b + CASE WHEN s = 'valid' THEN n ELSE 0 END, t + CASE WHEN s = 'test' THEN n ELSE 0 END, ca + (s = 'train')::INT, cb + (s = 'valid')::INT, ct + (s = 'test')::INT
+  FROM (SELECT g.original_label, f.i, f.n, a, b, t, ca, cb, ct, CASE WHEN (ca = 0)::INT + (cb = 0)::INT + (ct = 0)::INT >= m - g.i THEN CASE WHEN ca = 0 THEN 'train' WHEN cb = 0 THEN 'valid' ELSE 'test' END
+    WHEN total * 0.7 - a >= total * 0.15 - b AND total * 0.7 - a >= total * 0.15 - t THEN 'train' WHEN total * 0.15 - b >= total * 0.15 - t THEN 'valid' ELSE 'test' END AS s FROM g JOIN f ON f.original_label = g.original_label AND f.i = g.i + 1)
+)
+SELECT f.original_label, f.file, CASE WHEN m >= 3 THEN g.split WHEN m = 2 AND f.i = 1 THEN 'train' ELSE 'by_read' END AS split, CASE WHEN m = 1 THEN 0.7 WHEN m = 2 AND f.i = 2 THEN 0.0 END::DOUBLE AS train_share,
+  round(CASE WHEN m = 1 THEN 0.15 WHEN m = 2 AND f.i = 2 THEN 0.5 END, 6)::DOUBLE AS valid_share
+FROM f LEFT JOIN g ON f.original_label = g.original_label AND f.i = g.i""")
 def split_plan(spark, sf_dir):
-    """Greedy split of files by label."""
-    return read_ops.plan_splits(read_ops.split_counts(reads(spark, sf_dir)))
+    """Split of files by label; one label has two files and one a single file."""
+    counts = read_ops.split_counts(reads(spark, sf_dir).filter("(original_label <> 2 or file <= 'f1') and (original_label <> 3 or file = 'f4')"))
+    return rounded(read_ops.plan_splits(counts))
 
 
 @query(f"""WITH {READS}, remap AS (SELECT * FROM (VALUES (1, 0), (3, 1), (5, 2)) v(o, n))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns, vectors
 from . import intervals
 
+# Names under which files hold the two columns.
 ALIASES = {
     "input_ids": ("input_ids", "genome_sequence", "seq", "dna", "original_seq"),
     "methylation_ids": ("methylation_ids", "cpg_methylation_sequence", "pattern", "methyl_seq", "methylation_encoding"),
@@ -101,38 +102,77 @@ def split_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("file", "original_label").agg(F.count("*").alias("n_reads"))
 
 
-def read_level_split(rows: DataFrame, keys: list[str], by: list[str], train: float = 0.7, valid: float = 0.15, seed: str = "42") -> DataFrame:
+def numbered(rows: DataFrame, keys: list[str], by: list[str], seed: str) -> DataFrame:
+    """rows with _place (from 1, in a seeded order of each group) and _n (rows of the group).
+
+    The order is that of a hash; a group is cut into 4,096 ranges of it, numbered inside a range and from the counts of the
+    ranges before, so a group of any size is many tasks.
+    """
+    digest = F.md5(F.concat_ws("|", F.lit(seed), *(F.col(c).cast("string") for c in by)))
+    cut = rows.withColumn("_h", digest).withColumn("_b", F.substring("_h", 1, 3))
+    ranges = cut.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(*keys).orderBy("_b")
+    ranges = ranges.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], F.col("_b").alias("_kb"), (F.sum("_c").over(before) - F.col("_c")).alias("_before"), F.sum("_c").over(Window.partitionBy(*keys)).alias("_n"))
+    inside = cut.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_h", *by)))
+    meets = F.col("_b") == F.col("_kb")
+    for n, k in enumerate(keys):
+        meets = meets & F.col(k).eqNullSafe(F.col(f"_k{n}"))
+    return inside.join(ranges, meets).withColumn("_place", F.col("_before") + F.col("_at")).drop("_h", "_b", "_kb", "_at", "_before", *[f"_k{n}" for n in range(len(keys))])
+
+
+def read_level_split(rows: DataFrame, keys: list[str], by: list[str], train: float | Column = 0.7, valid: float | Column = 0.15, seed: str = "42") -> DataFrame:
     """rows with split: in each group a seeded order, cut at half-even rounded sizes."""
-    w = Window.partitionBy(*keys)
-    place = F.row_number().over(w.orderBy(F.md5(F.concat_ws("|", F.lit(seed), *(F.col(c).cast("string") for c in by))), *by))
-    n = F.count("*").over(w)
-    first, second = F.bround(n * train), F.bround(n * valid)
-    return rows.withColumn("split", F.when(place <= first, "train").when(place <= first + second, "valid").otherwise("test"))
+    first, second = (F.bround(F.col("_n") * share) for share in (train, valid))
+    split = F.when(F.col("_place") <= first, "train").when(F.col("_place") <= first + second, "valid").otherwise("test")
+    return numbered(rows, keys, by, seed).withColumn("split", split).drop("_place", "_n")
 
 
-def plan_splits(counts: DataFrame, train: float = 0.7, valid: float = 0.15) -> DataFrame:
-    """(original_label, file, split) of whole files, by label: largest files first, each to the split that lacks most of its quota.
+def plan_splits(counts: DataFrame, train: float = 0.7, valid: float = 0.15, test: float = 0.15) -> DataFrame:
+    """(original_label, file, split, train_share, valid_share) of whole files, by label. counts: file, original_label, n_reads.
 
-    With two files the larger trains; one file is split by reads ('by_read'). The state of the greedy choice is three sums, folded over the label's files.
+    Three files or more: the largest first, each to the split that lacks most of its quota; when no more files are left than
+    splits without one, to the empty split with the largest quota, so that none stays empty. Two files: the larger one trains, the
+    other is split by reads between valid and test. One file is split by reads ('by_read') three ways. Files of equal size follow
+    by name. The state of the greedy choice is three sums and counts, folded over the label's files.
     """
-    files = counts.groupBy("original_label").agg(F.array_sort(F.collect_list(F.struct((-F.col("n_reads")).alias("k"), F.col("file").alias("f")))).alias("files"), F.sum("n_reads").alias("all"))
-    names = ("train", "valid", "test")
-    quota = {"train": F.col("all") * train, "valid": F.col("all") * valid, "test": F.col("all") * (1 - train - valid)}
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n_reads")).alias("k"), F.col("file").alias("f"))))
+    files = counts.groupBy("original_label").agg(ordered.alias("files"), F.sum("n_reads").alias("all"))
+    names, shares = ("train", "valid", "test"), {"train": train, "valid": valid, "test": test}
 
-    def step(acc: Column, x: Column) -> Column:
-        lack = {n: quota[n] - acc[n] for n in names}
-        most = F.greatest(*lack.values())
-        to = F.when(lack["train"] == most, "train").when(lack["valid"] == most, "valid").otherwise("test")
-        return F.struct(*[(acc[n] + F.when(to == n, (-x["k"]).cast("double")).otherwise(0.0)).alias(n) for n in names], F.concat(acc["out"], F.array(F.struct(x["f"].alias("file"), to.alias("split")))).alias("out"))
+    def largest(of: dict[str, Column]) -> Column:
+        most = F.greatest(*of.values())
+        return F.when(of["train"] == most, "train").when(of["valid"] == most, "valid").otherwise("test")
 
-    start = F.struct(*[F.lit(0.0).alias(n) for n in names], F.array().cast("array<struct<file:string,split:string>>").alias("out"))
+    def step(acc: Column, x: Column) -> Column:
+        empty = {n: acc[f"{n}_files"] == 0 for n in names}
+        left = F.size("files") - acc["done"]
+        pressed = sum((e.cast("int") for e in empty.values()), F.lit(0)) >= left
+        to = F.when(pressed, largest({n: F.when(empty[n], shares[n]) for n in names})).otherwise(largest({n: F.col("all") * shares[n] - acc[n] for n in names}))
+        sums = [(acc[n] + F.when(to == n, (-x["k"]).cast("double")).otherwise(0.0)).alias(n) for n in names]
+        sizes = [(acc[f"{n}_files"] + (to == n).cast("int")).alias(f"{n}_files") for n in names]
+        return F.struct(*sums, *sizes, (acc["done"] + 1).alias("done"), F.concat(acc["out"], F.array(entry(x["f"], to))).alias("out"))
+
+    def entry(file: Column, split: Column, train_share: float | None = None, valid_share: float | None = None) -> Column:
+        return F.struct(file.alias("file"), split.alias("split"), F.lit(train_share).cast("double").alias("train_share"), F.lit(valid_share).cast("double").alias("valid_share"))
+
+    start = F.struct(*[F.lit(0.0).alias(n) for n in names], *[F.lit(0).alias(f"{n}_files") for n in names], F.lit(0).alias("done"), F.array().cast("array<struct<file:string,split:string,train_share:double,valid_share:double>>").alias("out"))
     several = F.aggregate("files", start, step, lambda acc: acc["out"])
-    two = F.transform("files", lambda x, i: F.struct(x["f"].alias("file"), F.when(i == 0, "train").otherwise("valid").alias("split")))
-    one = F.transform("files", lambda x: F.struct(x["f"].alias("file"), F.lit("by_read").alias("split")))
+    by_read = F.lit("by_read")
+    rest = valid / (valid + test)
+    two = F.transform("files", lambda x, i: F.when(i == 0, entry(x["f"], F.lit("train"))).otherwise(entry(x["f"], by_read, 0.0, rest)))
+    one = F.transform("files", lambda x: entry(x["f"], by_read, train, rest * (1 - train)))
     chosen = F.when(F.size("files") >= 3, several).when(F.size("files") == 2, two).otherwise(one)
     return files.select("original_label", F.inline(chosen))
 
 
+def apply_splits(rows: DataFrame, plan: DataFrame, by: list[str], seed: str = "42") -> DataFrame:
+    """rows (file, original_label, others) with split: that of their file, or by reads where the plan says so. by: columns that tell reads apart."""
+    placed = rows.join(plan, ["original_label", "file"])
+    whole = placed.filter("split <> 'by_read'").drop("train_share", "valid_share")
+    reads = placed.filter("split = 'by_read'").drop("split")
+    return whole.unionByName(read_level_split(reads, ["original_label", "file"], by, F.col("train_share"), F.col("valid_share"), seed).drop("train_share", "valid_share"))
+
+
 def merge_mates(reads: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of exactly two rows a key become one read over both; other rows stay.
 

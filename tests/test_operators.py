@@ -67,12 +67,42 @@ def test_deduplicate_sums_counts_and_groups_nulls(spark):
     assert {(r.k, r.x): r.read_count for r in read_ops.deduplicate(rows, ["k", "x"]).collect()} == {("a", None): 5, ("b", 1): 1}
 
 
+def planned_by_hand(sizes, shares=(("train", 0.7), ("valid", 0.15), ("test", 0.15))):
+    """file -> split of three files or more."""
+    quota, total = dict(shares), sum(sizes.values())
+    got, files = {n: [] for n in quota}, sorted(sizes, key=lambda f: (-sizes[f], f))
+    for k, f in enumerate(files):
+        empty = [n for n in quota if not got[n]]
+        lack = {n: total * quota[n] - sum(sizes[x] for x in got[n]) for n in quota}
+        best = max(empty, key=quota.get) if len(empty) >= len(files) - k else max(lack, key=lack.get)
+        got[best].append(f)
+    return {f: n for n, fs in got.items() for f in fs}
+
+
 def test_split_plans(spark):
-    counts = [("f1", 0, 70), ("f2", 0, 20), ("f3", 0, 10), ("f1", 1, 5), ("f2", 1, 9), ("f1", 2, 3)]
-    rows = spark.createDataFrame(counts, "file string, original_label int, n_reads long")
-    got = {(r.original_label, r.file): r.split for r in read_ops.plan_splits(rows).collect()}
-    assert got[1, "f2"] == "train" and got[1, "f1"] == "valid" and got[2, "f1"] == "by_read"
-    assert got[0, "f1"] == "train" and {got[0, "f2"], got[0, "f3"]} == {"valid", "test"}
+    rng = random.Random(2)
+    tables = {k: {f"f{j}": rng.choice((1, 5, 10, 100, 1000)) for j in range(rng.randint(3, 8))} for k in range(30)} | {90: {"a": 9, "b": 7}, 91: {"a": 100}, 92: {"a": 1000, "b": 1, "c": 1}}
+    counts = spark.createDataFrame([(f, k, n) for k, t in tables.items() for f, n in t.items()], "file string, original_label int, n_reads long")
+    plan = {(r.original_label, r.file): (r.split, r.train_share, r.valid_share) for r in read_ops.plan_splits(counts).collect()}
+    for k, t in tables.items():
+        if len(t) >= 3:
+            assert {f: plan[k, f][0] for f in t} == planned_by_hand(t)
+            assert {plan[k, f][0] for f in t} == {"train", "valid", "test"}
+    assert plan[90, "a"] == ("train", None, None) and plan[90, "b"] == ("by_read", 0.0, 0.5)
+    assert plan[91, "a"][0] == "by_read" and [round(x, 9) for x in plan[91, "a"][1:]] == [0.7, 0.15]
+
+
+def test_splits_are_applied(spark):
+    rows = [(k, "a" if k < 600 else "b", 0) for k in range(1000)] + [(k, "a", 1) for k in range(1000, 2000)]
+    table = spark.createDataFrame(rows, "read_name long, file string, original_label int")
+    plan = read_ops.plan_splits(read_ops.split_counts(table))
+    one = {r.read_name: r.split for r in read_ops.apply_splits(table, plan, ["read_name"]).collect()}
+    assert one == {r.read_name: r.split for r in read_ops.apply_splits(table.repartition(7), plan, ["read_name"]).collect()}
+    assert len(one) == 2000 and all(one[k] == "train" for k in range(600))
+    tail = [one[k] for k in range(600, 1000)]
+    assert (tail.count("valid"), tail.count("test"), tail.count("train")) == (200, 200, 0)
+    alone = [one[k] for k in range(1000, 2000)]
+    assert (alone.count("train"), alone.count("valid"), alone.count("test")) == (700, 150, 150)
 
 
 def test_mates(spark):
