@@ -30,14 +30,32 @@ def overlap(reads: DataFrame, regions: DataFrame, width: int = BIN) -> DataFrame
     return both.filter(meets & (binned_reads._bin == first)).drop("_bin", "_chr")
 
 
-def merge(rows: DataFrame, keys: list[str], start: str = "start", end: str = "end", gap: int = 0) -> DataFrame:
-    """Unions of intervals that overlap or are at most ``gap`` apart, by keys."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
+def merge(rows: DataFrame, keys: list[str], start: str = "start", end: str = "end", gap: int = 0, width: int = 1 << 16) -> DataFrame:
+    """Unions of intervals that overlap or are at most ``gap`` apart, by keys.
+
+    Intervals are merged inside bins of their starts first, then the islands that are left over the bins: how far earlier bins
+    reach, and how many islands begin in them, are sums over a table of one row a bin. So a chromosome is as many tasks as it has bins.
+    """
+    bins = [*keys, "_bin"]
+    order = Window.partitionBy(*bins).orderBy(start, end)
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(F.col(start) <= reach + gap, 0).otherwise(1)
-    island = F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    marked = rows.withColumn("_fresh", fresh).withColumn("_island", island)
-    return marked.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+    marked = rows.select(*keys, start, end).withColumn("_bin", F.floor(F.col(start) / width)).withColumn("_fresh", F.when(F.col(start) <= reach + gap, 0).otherwise(1))
+    inside = marked.withColumn("_island", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*bins, "_island").agg(F.min(start).alias(start), F.max(end).alias(end))
+    over = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+
+    def with_bins(table: DataFrame, value: Column, name: str) -> DataFrame:
+        """table with what the window over its bins gives."""
+        own = table.groupBy(*bins).agg(value.alias("_v")).withColumn(name, (F.max("_v") if name == "_reach" else F.sum("_v")).over(over)).drop("_v")
+        own = own.withColumnsRenamed({c: f"_k_{c}" for c in bins})
+        meets = F.lit(True)
+        for c in bins:
+            meets = meets & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+        return table.join(own, meets).drop(*[f"_k_{c}" for c in bins])
+
+    fresh = with_bins(inside, F.max(end), "_reach").withColumn("_fresh", F.when(F.col(start) <= F.col("_reach") + gap, 0).otherwise(1))
+    numbered = with_bins(fresh, F.sum("_fresh"), "_base")
+    island = F.coalesce("_base", F.lit(0)) + F.sum("_fresh").over(Window.partitionBy(*bins).orderBy(start).rowsBetween(Window.unboundedPreceding, 0))
+    return numbered.withColumn("_id", island).groupBy(*keys, "_id").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_id")
 
 
 def covered(rows: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:

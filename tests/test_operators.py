@@ -267,3 +267,20 @@ def test_drawn_quotas(spark):
     assert 800 - 200 < sums[0, 1] <= 800 and 1000 - 200 < sums[1, 1] <= 1000  # the remainder of empty groups' quota
     assert got[got.original_label == 1].grg.max() == 199
     assert got[got.original_label == 0].quota.nunique() > 2  # depth differs by group
+
+
+def test_merged_intervals_over_bins(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(("a", "b", None)), s, s + rng.choice((0, 3, 10, 200))) for s in (rng.randint(0, 3000) for _ in range(400))]
+    table = spark.createDataFrame(rows, "chromosome string, start long, end long")
+    for gap in (0, 1, 7):
+        want = []
+        for key in ("a", "b", None):
+            for _, s, e in sorted((r for r in rows if r[0] == key), key=lambda r: r[1:]):
+                if want and want[-1][0] == key and s <= want[-1][2] + gap:
+                    want[-1][2] = max(want[-1][2], e)
+                else:
+                    want.append([key, s, e])
+        for width in (16, 100, 1 << 16):
+            got = [list(r) for r in intervals.merge(table, ["chromosome"], gap=gap, width=width).collect()]
+            assert sorted(got, key=str) == sorted(want, key=str), (gap, width)
