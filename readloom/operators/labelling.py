@@ -17,8 +17,9 @@ def with_signature(rows: DataFrame) -> DataFrame:
 
 
 def class_counts(rows: DataFrame, classes: int, keys: tuple[str, ...] = ("name", "signature")) -> DataFrame:
-    """keys and counts: an array with the number of reads of each class."""
-    at = [F.count_if(F.col("original_label") == k) for k in range(classes)]
+    """keys and counts: an array with the number of reads of each class; a row stands for read_count reads where rows have it."""
+    mine = lambda k: F.col("original_label") == k
+    at = [F.sum(F.when(mine(k), F.col("read_count")).otherwise(0)).cast("long") if "read_count" in rows.columns else F.count_if(mine(k)) for k in range(classes)]
     return rows.groupBy(*keys).agg(F.array(*at).alias("counts"))
 
 

@@ -65,6 +65,22 @@ def blend(groups: DataFrame, prior: DataFrame, key: str, columns: list[str], wei
     return rows.drop(*[f"_p_{c}" for c in columns])
 
 
+def group_features(groups: DataFrame, sample: list[str], key: str, columns: list[str]) -> DataFrame:
+    """(sample columns, feature, value): a row for each group and column of aggregate()'s weighted means; the feature is their name."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("_c"), F.col(f"{c}_wavg").alias("value")) for c in columns])
+    long = groups.select(*sample, key, F.inline(pairs))
+    return long.select(*sample, F.concat_ws("/", F.col(key).cast("string"), "_c").alias("feature"), "value")
+
+
+def pure_profiles(rows: DataFrame, key: str, columns: list[str], weight: str, classes: int) -> DataFrame:
+    """(feature, cell_type, value): the features of samples that hold one class each, for solvers; a group that a class has no reads of has 1 / classes."""
+    seen = group_features(aggregate(rows, ["original_label", key], columns, weight), ["original_label"], key, columns)
+    kinds = rows.sparkSession.range(classes).select(F.col("id").cast("int").alias("cell_type"))
+    grid = seen.select("feature").distinct().crossJoin(F.broadcast(kinds))  # a row a class
+    joined = grid.join(seen.withColumnRenamed("original_label", "cell_type"), ["feature", "cell_type"], "left")
+    return joined.select("feature", "cell_type", F.coalesce(nan_as_null(F.col("value")), F.lit(1.0 / classes)).alias("value"))
+
+
 def chunks_to_reads(rows: DataFrame, key: str, columns: list[str], weight: str) -> DataFrame:
     """Weighted mean of chunk predictions by read; 0 where the weights sum to 0."""
     w = F.col(weight).cast("double")

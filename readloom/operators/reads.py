@@ -32,7 +32,7 @@ def require(df: DataFrame, columns: list[str]) -> DataFrame:
 def adapt(raw: DataFrame, codes: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Recovered reads (ref_name, ref_pos, original_seq, methyl_seq, ctype) in the common form; read_end is the last position.
 
-    codes: name, code; aliases: alias, name. Cell types without a code go.
+    codes: name, code; aliases: alias, name. Cell types without a code go. A column file stays.
     """
     require(raw, ["ref_name", "ref_pos", "original_seq", "methyl_seq", "ctype"])
     named = raw
@@ -41,9 +41,15 @@ def adapt(raw: DataFrame, codes: DataFrame, aliases: DataFrame | None = None) ->
     return named.join(codes, named.ctype == codes.name).select(
         F.col("ref_name").alias("chromosome"), F.col("ref_pos").alias("read_start"), (F.col("ref_pos") + F.length("original_seq") - 1).alias("read_end"),
         F.col("original_seq").alias("input_ids"), F.col("methyl_seq").alias("methylation_ids"), F.col("code").cast("int").alias("original_label"),
+        *[F.col(c) for c in ("file",) if c in raw.columns],
     )
 
 
+def with_informative(rows: DataFrame) -> DataFrame:
+    """rows with NCPGS, from the pattern where it is not there."""
+    return rows if "NCPGS" in rows.columns else rows.withColumn("NCPGS", patterns.informative(F.col("methylation_ids")))
+
+
 def trim(overlaps: DataFrame) -> DataFrame:
     """Reads cut to their region, coordinates and strings."""
     start = F.greatest("read_start", F.col("region_start") - 1)

@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation, intervals, labelling, mixtures, predictions, simulation
 from ..operators import reads as read_ops
+from ..session import settled
 from ..sources import files
 
+MODELS = ("lookup", "hard_lookup", "beta")
+
 REQUIRED = {
     "build-dataset": ["input", "regions", "codes", "output_dir"],
+    "classifier-fit": ["input", "output_dir"],
     "inference": ["input", "regions", "model", "output_dir"],
+    "deconvolute-pseudobulk": ["pseudobulk", "reads", "profiles", "output_dir"],
     "generate-pseudobulk": ["input", "output_dir", "mixtures", "reads_per_mixture"],
     "fit-deconvolution": ["pseudobulk", "output_dir"],
     "fit-calibration": ["estimates", "output_dir"],
@@ -28,28 +33,101 @@ def validate(task: str, config: dict) -> dict:
 
 
 def build_dataset(spark: SparkSession, config: dict) -> DataFrame:
-    """Recovered reads to labelled, split, bucketed Parquet: one plan, no loop over buckets."""
+    """Recovered reads to labelled, split, bucketed Parquet: one plan, no loop over buckets.
+
+    Reads are split before they meet regions, whole files where a label has enough of them, so neither a file nor a read that
+    lies in two regions is in two splits. Equal reads of a region and split are one row with their number.
+    """
     codes = spark.read.parquet(config["codes"])
     regions = intervals.buckets(spark.read.parquet(config["regions"]), int(config.get("buckets", 16)))
-    rows = read_ops.prepare(read_ops.adapt(files.recovered_reads(spark, config["input"]), codes), regions)
-    rows = rows.filter(F.col("NCPGS") >= int(config.get("min_cpgs", 1)))
-    rows = read_ops.read_level_split(rows, ["original_label"], ["name", "read_start", "methylation_ids"])
+    raw = settled(read_ops.adapt(files.recovered_reads(spark, config["input"]), codes))
+    split = read_ops.apply_splits(raw, read_ops.plan_splits(read_ops.split_counts(raw)), ["chromosome", "read_start", "methylation_ids", "input_ids"])
+    rows = read_ops.prepare(split, regions).filter(F.col("NCPGS") >= int(config.get("min_cpgs", 1)))
+    rows = read_ops.deduplicate(rows, [c for c in rows.columns if c != "file"])
     rows = rows.withColumn("label", read_ops.hard_binary(F.col("original_label"), F.col("target_label")))
     files.write_buckets(rows, config["output_dir"])
     return spark.read.parquet(config["output_dir"])
 
 
+def predicted(rows: DataFrame, model: DataFrame, kind: str, classes: int) -> DataFrame:
+    """rows (read_name, name, signature, M, U, others) with prediction_0 ... of a model that classifier-fit wrote; reads without a prediction go."""
+    if kind == "beta":
+        priors = labelling.class_priors(model, classes, "uniform")
+        found = labelling.beta_predict(rows.select("read_name", "name", "M", "U").distinct(), model, priors, classes).drop("M", "U")
+    else:
+        found = labelling.lookup(rows.select("read_name", "name", "signature").distinct(), model, classes, hard=kind == "hard_lookup").drop("source")
+    both = rows.join(found.dropDuplicates(["read_name", "name"]), ["read_name", "name"]).filter("prediction is not null")
+    return both.select("*", *[F.col("prediction")[k].alias(f"prediction_{k}") for k in range(classes)]).drop("prediction")
+
+
+def classifier_fit(spark: SparkSession, config: dict) -> DataFrame:
+    """Training rows of a built dataset to a model table (soft lookup, hard lookup or Beta) and the profiles of its classes for solvers."""
+    kind, classes = config.get("model", "lookup"), int(config.get("classes", 7))
+    if kind not in MODELS:
+        raise ValueError(f"unknown model {kind!r}; known: {', '.join(MODELS)}")
+    required = ["name", "read_start", "methylation_ids", "original_label", "target_label"]
+    rows = files.training_rows(spark, config["input"], config.get("split", "train"), required, int(config.get("min_cpgs", 1)))
+    rows = settled(read_ops.annotate(labelling.with_signature(rows.drop("NCPGS"))))
+    if kind == "beta":
+        each = rows.withColumn("_one", F.explode(F.sequence(F.lit(1), F.col("read_count").cast("int"))))
+        model = mixtures.beta_fit(labelling.beta_statistics(each))
+    else:
+        model = (labelling.fit_lookup if kind == "lookup" else labelling.fit_hard_lookup)(rows, classes)
+    files.publish(model, f"{config['output_dir']}/model")
+    named = rows.withColumn("read_name", F.concat_ws("|", F.col("read_start").cast("string"), "methylation_ids", F.col("original_label").cast("string"), F.col("target_label").cast("string")))
+    wide = predicted(named, spark.read.parquet(f"{config['output_dir']}/model"), kind, classes).withColumn("_w", F.col("NCPGS") * F.col("read_count"))
+    files.publish(predictions.pure_profiles(wide, "target_label", _names(classes), "_w", classes), f"{config['output_dir']}/profiles")
+    return spark.read.parquet(f"{config['output_dir']}/model")
+
+
+def _names(classes: int) -> list[str]:
+    return [f"prediction_{k}" for k in range(classes)]
+
+
 def inference(spark: SparkSession, config: dict) -> DataFrame:
-    """Parsed reads to proportions: overlap, classify by lookup, aggregate by group, solve."""
+    """Parsed reads to proportions: overlap, classify, aggregate by group, and solve where profiles are given.
+
+    model: a table of classifier-fit or of class counts. With profiles the result is (sample, cell_type, method, proportion) and the
+    groups are stored beside it; without, it is the groups' predictions.
+    """
     reads = files.parsed_reads(spark, config["input"])
     rows = labelling.with_signature(read_ops.prepare(reads, spark.read.parquet(config["regions"])))
-    model = spark.read.parquet(config["model"])
     classes = int(config.get("classes", 7))
-    found = labelling.lookup(rows.select("read_name", "name", "signature"), model, classes)
-    wide = rows.select("read_name", "name", "target_label", "NCPGS").join(found, ["read_name", "name"])
-    wide = wide.select("target_label", "NCPGS", *[F.col("prediction")[k].alias(f"prediction_{k}") for k in range(classes)])
-    grouped = predictions.aggregate(wide, ["target_label"], [f"prediction_{k}" for k in range(classes)], "NCPGS")
-    files.publish(grouped, config["output_dir"])
+    wide = predicted(rows, spark.read.parquet(config["model"]), config.get("kind", "lookup"), classes)
+    grouped = predictions.aggregate(wide, ["target_label"], _names(classes), "NCPGS")
+    if "profiles" not in config:
+        files.publish(grouped, config["output_dir"])
+        return spark.read.parquet(config["output_dir"])
+    files.publish(grouped, f"{config['output_dir']}/groups")
+    groups = spark.read.parquet(f"{config['output_dir']}/groups").withColumn("sample", F.lit(config.get("sample", "sample")))
+    samples = predictions.group_features(groups, ["sample"], "target_label", _names(classes))
+    files.publish(solved(samples, spark.read.parquet(config["profiles"]), config), f"{config['output_dir']}/proportions")
+    return spark.read.parquet(f"{config['output_dir']}/proportions")
+
+
+def solved(samples: DataFrame, profiles: DataFrame, config: dict) -> DataFrame:
+    """(sample, cell_type, method, proportion) by each of the configured methods."""
+    out = None
+    for method in config.get("methods", ["nnls", "psls"]):
+        rows = mixtures.estimate(samples, profiles, method).withColumn("method", F.lit(method))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def deconvolute_pseudobulk(spark: SparkSession, config: dict) -> DataFrame:
+    """Stored mixtures replayed and solved: (pb_index, cell_type, method, proportion, actual).
+
+    pseudobulk: what generate-pseudobulk wrote; reads: row_id, grg, weight and prediction_0 ... of the reads it drew from;
+    profiles: of classifier-fit. A mixture's reads are found by row_id, each as often as it was drawn.
+    """
+    classes = int(config.get("classes", 7))
+    drawn, reads = spark.read.parquet(config["pseudobulk"]), spark.read.parquet(config["reads"])
+    replayed = drawn.select("pb_index", "row_id", "times").join(reads.select("row_id", "grg", "weight", *_names(classes)), "row_id").withColumn("_w", F.col("weight") * F.col("times"))
+    groups = predictions.aggregate(replayed, ["pb_index", "grg"], _names(classes), "_w")
+    samples = predictions.group_features(groups, ["pb_index"], "grg", _names(classes)).withColumnRenamed("pb_index", "sample")
+    found = solved(samples, spark.read.parquet(config["profiles"]), config).withColumnRenamed("sample", "pb_index")
+    actual = simulation.actual_proportions(drawn).select("pb_index", F.col("original_label").cast("int").alias("cell_type"), "actual")
+    files.publish(found.join(actual, ["pb_index", "cell_type"], "left").na.fill(0.0, ["actual"]), config["output_dir"])
     return spark.read.parquet(config["output_dir"])
 
 
@@ -67,11 +145,7 @@ def generate_pseudobulk(spark: SparkSession, config: dict) -> DataFrame:
 def fit_deconvolution(spark: SparkSession, config: dict) -> DataFrame:
     """Proportions of stored samples by each method. pseudobulk: a folder with samples and reference tables."""
     samples, reference = (spark.read.parquet(f"{config['pseudobulk']}/{t}") for t in ("samples", "reference"))
-    out = None
-    for method in config.get("methods", ["nnls", "psls"]):
-        rows = mixtures.estimate(samples, reference, method).withColumn("method", F.lit(method))
-        out = rows if out is None else out.unionByName(rows)
-    files.publish(out, config["output_dir"])
+    files.publish(solved(samples, reference, config), config["output_dir"])
     return spark.read.parquet(config["output_dir"])
 
 
@@ -89,7 +163,9 @@ def confidence_intervals(spark: SparkSession, config: dict) -> DataFrame:
 
 TASKS = {
     "build-dataset": build_dataset,
+    "classifier-fit": classifier_fit,
     "inference": inference,
+    "deconvolute-pseudobulk": deconvolute_pseudobulk,
     "generate-pseudobulk": generate_pseudobulk,
     "fit-deconvolution": fit_deconvolution,
     "fit-calibration": fit_calibration,

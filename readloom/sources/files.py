@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import reads as read_ops
+
 RECOVERED = "ref_name string, ref_pos long, original_seq string, methyl_seq string, ctype string"
 PARSED = "read_name string, chromosome string, read_start long, seq string, methylation_encoding string"
 REGION = ["chr", "start", "end", "target", "name"]
@@ -14,8 +16,8 @@ CHROMOSOMES = frozenset([*(f"chr{k}" for k in range(1, 23)), "chrX", "chrY"])
 
 
 def recovered_reads(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated reads; patterns stay strings though they look like numbers."""
-    return spark.read.csv(path, sep="\t", header=True, schema=RECOVERED)
+    """Tab-separated reads with the name of their file; patterns stay strings though they look like numbers."""
+    return spark.read.csv(path, sep="\t", header=True, schema=RECOVERED).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
 
 
 def parsed_reads(spark: SparkSession, path: str) -> DataFrame:
@@ -55,6 +57,14 @@ def split_rows(spark: SparkSession, path: str, split: str, columns: list[str] |
     return rows.select(*columns) if columns else rows
 
 
+def training_rows(spark: SparkSession, path: str, split: str, required: list[str], min_cpgs: int = 0, distinct: bool = True) -> DataFrame:
+    """Rows of a split for a fit: required columns tested, NCPGS derived where it is missing, reads with fewer than min_cpgs known positions gone, equal ones as one with read_count."""
+    rows = read_ops.with_informative(read_ops.require(split_rows(spark, path, split), required)).filter(F.col("NCPGS") >= min_cpgs)
+    if not rows.take(1):
+        raise FileNotFoundError(f"no rows of split {split!r} at {path}")
+    return read_ops.deduplicate(rows, [*dict.fromkeys([*required, "NCPGS"])]) if distinct else rows
+
+
 def atlas(spark: SparkSession, path: str, cell_types: list[str], include: list[str] | None = None, ignore: list[str] | None = None) -> DataFrame:
     """A region table: tab-separated, regions of known chromosomes whose target is a cell type, minus ignored targets."""
     fixed = "chr string, start long, end long, startCpG long, endCpG long, target string, name string, direction string"

@@ -93,12 +93,36 @@ def test_tasks(spark, tmp_path):
     assert {x.split for x in built.select("split").distinct().collect()} == {"train", "valid", "test"}
     assert {x.original_label for x in built.select("original_label").distinct().collect()} == {0, 1}
 
+    assert built.select("read_count").agg(F.sum("read_count")).first()[0] >= built.count()
+    for kind in ("lookup", "beta"):
+        tasks.run(spark, "classifier-fit", {"input": f"{tmp_path}/built", "model": kind, "classes": 2, "output_dir": f"{tmp_path}/fit_{kind}"})
+        profiles = spark.read.parquet(f"{tmp_path}/fit_{kind}/profiles").collect()
+        assert {x.cell_type for x in profiles} == {0, 1} and all(0 <= x.value <= 1 for x in profiles)
+    with pytest.raises(ValueError):
+        tasks.run(spark, "classifier-fit", {"input": f"{tmp_path}/built", "model": "other", "output_dir": f"{tmp_path}/x"})
+
     from readloom.catalog import signed
 
     labelling.class_counts(signed(spark, SF), 7).write.parquet(f"{tmp_path}/model")
     r.select("read_name", "chromosome", "read_start", F.col("input_ids").alias("seq"), F.col("methylation_ids").alias("methylation_encoding")).write.parquet(f"{tmp_path}/parsed")
     got = tasks.run(spark, "inference", {"input": f"{tmp_path}/parsed", "regions": f"{tmp_path}/regions", "model": f"{tmp_path}/model", "output_dir": f"{tmp_path}/inferred"})
     assert got.count() == 7 and all(abs(sum(x[f"prediction_{k}_avg"] for k in range(7)) - 1) < 1e-9 for x in got.collect())
+    solved = tasks.run(spark, "inference", {"input": f"{tmp_path}/parsed", "regions": f"{tmp_path}/regions", "model": f"{tmp_path}/fit_lookup/model", "profiles": f"{tmp_path}/fit_lookup/profiles", "classes": 2, "output_dir": f"{tmp_path}/solved"}).collect()
+    assert {(x["method"], x.cell_type) for x in solved} == {(m, k) for m in ("nnls", "psls") for k in (0, 1)}
+    assert all(abs(sum(x.proportion for x in solved if x["method"] == m) - 1) < 1e-9 for m in ("nnls", "psls"))
+
+
+def test_mixtures_are_replayed_and_solved(spark, tmp_path):
+    """Reads that say their class outright: the proportions come back."""
+    rows = [(k, k % 2, (k // 2) % 3, 1, 2.0, 0.9 - 0.8 * (k % 2), 0.1 + 0.8 * (k % 2)) for k in range(300)]
+    reads_ = spark.createDataFrame(rows, "row_id long, original_label int, grg int, read_count int, weight double, prediction_0 double, prediction_1 double")
+    reads_.write.parquet(f"{tmp_path}/reads")
+    from readloom.operators import predictions
+
+    predictions.pure_profiles(reads_, "grg", ["prediction_0", "prediction_1"], "weight", 2).write.parquet(f"{tmp_path}/profiles")
+    tasks.run(spark, "generate-pseudobulk", {"input": f"{tmp_path}/reads", "mixtures": 4, "reads_per_mixture": 4000, "classes": 2, "output_dir": f"{tmp_path}/drawn"})
+    got = tasks.run(spark, "deconvolute-pseudobulk", {"pseudobulk": f"{tmp_path}/drawn", "reads": f"{tmp_path}/reads", "profiles": f"{tmp_path}/profiles", "classes": 2, "output_dir": f"{tmp_path}/out"}).collect()
+    assert len(got) == 4 * 2 * 2 and all(abs(x.proportion - x.actual) < 0.05 for x in got)
 
 
 def test_command_line(tmp_path):
