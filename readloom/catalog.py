@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import patterns, vectors
-from .operators import atlases, evaluation, intervals, labelling, predictions, simulation
+from .operators import atlases, evaluation, intervals, labelling, mixtures, predictions, simulation
 from .operators import reads as read_ops
 from .session import settled
 from .sources.tables import CLASSES, reads, regions, table
@@ -590,9 +590,9 @@ def sample_metrics(spark, sf_dir):
     return rounded(evaluation.sample_metrics(_estimates(spark, sf_dir)))
 
 
-@query(f"WITH {_EST} SELECT cell_type, round(regr_slope(target, predicted), 6) AS slope, round(regr_intercept(target, predicted), 6) AS intercept, round(corr(target, predicted), 6) AS r FROM d GROUP BY cell_type")
+@query(f"WITH {_EST}, k AS (SELECT cell_type, regr_slope(target, predicted) AS slope, regr_intercept(target, predicted) AS intercept, corr(target, predicted) AS r, regr_syy(target, predicted) / regr_sxx(target, predicted) AS q, count(*) AS n FROM d GROUP BY cell_type) SELECT cell_type, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r, 6) AS r, round(sqrt((1 - r * r) * q / (n - 2)), 6) AS stderr, n FROM k")
 def linear_calibrators(spark, sf_dir):
-    """K1: a line for each cell type."""
+    """K1: a line for each cell type, with its standard error (p is tested apart)."""
     return rounded(evaluation.linear_calibrator(_estimates(spark, sf_dir)))
 
 
@@ -636,6 +636,123 @@ def best_epochs(spark, sf_dir):
     return rounded(evaluation.best_epoch(log))
 
 
+_BY_LABEL = """r AS (SELECT k AS label, CASE WHEN l_partkey % 4 = k THEN 1 ELSE 0 END AS correct, ((l_quantity::INT * (k + 3) + l_linenumber * 7) % 101) / 101.0::DOUBLE AS confidence, (1 + l_linenumber % 3)::DOUBLE AS weight FROM lineitem, range(4) q(k))"""
+
+
+def _by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four rows a line: whether a label is its own, and a made probability of it."""
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"), F.explode(F.array(*[F.lit(k).cast("long") for k in range(4)])).alias("label"))
+    chance = ((F.col("q") * (F.col("label") + 3) + F.col("l_linenumber") * 7) % 101) / F.lit(101.0)
+    return rows.select("label", F.when(F.col("l_partkey") % 4 == F.col("label"), 1).otherwise(0).alias("correct"), chance.alias("confidence"), (1 + F.col("l_linenumber") % 3).cast("double").alias("weight"))
+
+
+@query(f"WITH {_BY_LABEL}, c AS (SELECT label, confidence, sum(correct * weight) AS p, sum(weight) AS w FROM r GROUP BY ALL), s AS (SELECT label, p, sum(p) OVER a AS tp, sum(w) OVER a AS n, sum(p) OVER (PARTITION BY label) AS total FROM c WINDOW a AS (PARTITION BY label ORDER BY confidence DESC)), l AS (SELECT label, sum(p / total * tp / n) AS ap FROM s GROUP BY label) SELECT round(avg(ap), 6) AS average_precision FROM l")
+def average_precisions(spark, sf_dir):
+    """Macro average precision, weighted."""
+    return rounded(evaluation.average_precision(_by_label(spark, sf_dir).withColumnRenamed("correct", "hit").withColumnRenamed("confidence", "score")))
+
+
+@query(f"WITH {_BY_LABEL}, e AS (SELECT label, quantile_cont(confidence, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS edges FROM r GROUP BY label), b AS (SELECT label, bins, bin, count(*) AS n, abs(avg(confidence) - avg(correct)) AS gap FROM (SELECT label, 'equal' AS bins, confidence, correct, len(list_filter([k / 10.0::DOUBLE FOR k IN range(1, 10)], lambda x: x < confidence)) AS bin FROM r UNION ALL SELECT label, 'quantile', confidence, correct, len(list_filter(edges, lambda x: x < confidence)) FROM r JOIN e USING (label)) GROUP BY ALL), l AS (SELECT bins, label, sum(n * gap) / sum(n) AS ece FROM b GROUP BY ALL) SELECT bins, round(avg(ece), 6) AS classwise_ece FROM l GROUP BY bins")
+def classwise_errors(spark, sf_dir):
+    """Mean calibration error by label, over equal bins and between quantiles."""
+    rows = _by_label(spark, sf_dir).drop("weight")
+    both = evaluation.classwise_error(rows).withColumn("bins", F.lit("equal")).unionByName(evaluation.classwise_error(rows, equal_counts=True).withColumn("bins", F.lit("quantile")))
+    return rounded(both)
+
+
+@query(f"WITH {PREDICTED}, v AS (SELECT read_name, name, original_label, target_label, [prediction_0, prediction_1, prediction_2] AS p FROM predicted) SELECT read_name, name, (CASE WHEN list_max(p) < 0.5 THEN 3 ELSE list_position(p, list_max(p)) - 1 END)::INT AS prediction, round(1 - list_max(p), 6) AS background, round(CASE WHEN original_label = target_label AND target_label < 3 THEN p[target_label + 1] END, 6) AS on_target FROM v")
+def background_predictions(spark, sf_dir):
+    """Predictions with a background class, and the score of on-target reads."""
+    v = F.array("prediction_0", "prediction_1", "prediction_2")
+    return rounded(predicted(spark, sf_dir).select("read_name", "name", evaluation.with_background(v).alias("prediction"), F.element_at(evaluation.background_probability(v), -1).alias("background"), evaluation.on_target_score(v, F.col("target_label"), F.col("original_label")).alias("on_target")))
+
+
+@query(f"WITH {_EST}, g AS (SELECT DISTINCT method * 1000 + sample AS sample FROM e) SELECT g.sample, label::INT AS label, round(coalesce(p, 0), 4) AS proportion FROM g CROSS JOIN range(7) l(label) LEFT JOIN (SELECT method * 1000 + sample AS sample, cell_type, predicted AS p FROM e) x ON x.sample = g.sample AND x.cell_type = (label + 3) % 7")
+def ordered_proportions(spark, sf_dir):
+    """Proportions in the order of labels, rounded for output."""
+    labels = spark.range(7).select(F.col("id").cast("int").alias("label"), ((F.col("id") + 3) % 7).alias("cell_type"))
+    rows = _estimates(spark, sf_dir).select((F.col("method") * 1000 + F.col("sample")).alias("sample"), "cell_type", F.col("predicted").alias("proportion"))
+    return rounded(evaluation.in_label_order(rows, labels), 4)
+
+
+# --- solvers on cases with a closed form, baseline inputs --------------------------------------
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty samples of at most twelve features: mean order values."""
+    o = table(spark, sf_dir, "orders")
+    return o.groupBy((F.col("o_custkey") % 40).alias("sample"), (F.col("o_orderkey") % 12).alias("feature")).agg((F.avg("o_totalprice") / 300000).alias("value"))
+
+
+_MIXED = "b AS (SELECT o_custkey % 40 AS sample, o_orderkey % 12 AS feature, avg(o_totalprice) / 300000 AS value FROM orders GROUP BY ALL)"
+
+
+@query(f"WITH {_MIXED}, x AS (SELECT sample, feature % 3 AS cell_type, sum((1 + feature / 10.0::DOUBLE) * value) / sum((1 + feature / 10.0::DOUBLE) * (1 + feature / 10.0::DOUBLE)) AS x FROM b GROUP BY ALL) SELECT sample, k AS cell_type, round(coalesce(x, 0) / sum(coalesce(x, 0)) OVER (PARTITION BY sample), 6) AS proportion FROM (SELECT DISTINCT sample FROM b) CROSS JOIN range(3) q(k) LEFT JOIN x USING (sample) WHERE x.cell_type = k")
+def separate_estimates(spark, sf_dir):
+    """Non-negative least squares where each feature belongs to one cell type, so that each is solved alone."""
+    grid = spark.range(12).select(F.col("id").alias("feature"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("cell_type"))
+    reference = grid.withColumn("value", F.when(F.col("feature") % 3 == F.col("cell_type"), 1 + F.col("feature") / 10).otherwise(0.0))
+    return rounded(mixtures.estimate(_mixed(spark, sf_dir), reference, "nnls").filter("proportion > 0"))
+
+
+@query(f"WITH {_MIXED}, a AS (SELECT feature, (feature % 5) / 5.0::DOUBLE + 0.1 AS a0, (feature * 3 % 7) / 7.0::DOUBLE + 0.2 AS a1 FROM range(12) f(feature)), x AS (SELECT sample, least(1, greatest(0, sum((a0 - a1) * (value - a1)) / sum((a0 - a1) * (a0 - a1)))) AS x FROM b JOIN a USING (feature) GROUP BY sample) SELECT sample, k AS cell_type, round(CASE WHEN k = 0 THEN x ELSE 1 - x END, 5) AS proportion FROM x, range(2) q(k)")
+def two_type_estimates(spark, sf_dir):
+    """Least squares on the simplex of two cell types, a clipped projection on a line."""
+    f = F.col("feature")
+    features = spark.range(12).select(F.col("id").alias("feature"))
+    first, second = features.select(f, F.lit(0).cast("long").alias("cell_type"), ((f % 5) / 5 + 0.1).alias("value")), features.select(f, F.lit(1).cast("long").alias("cell_type"), ((f * 3 % 7) / 7 + 0.2).alias("value"))
+    return rounded(mixtures.estimate(_mixed(spark, sf_dir), first.union(second), "psls"), 5)
+
+
+@query(f"WITH {PREPARED}, s AS (SELECT file AS sample, name, count_if(state = 'M') AS m, count_if(state = 'U') AS u, count(*) AS n FROM prepared WHERE NCPGS >= 4 GROUP BY ALL) SELECT sample, name || '/' || direction AS feature, round(CASE WHEN direction = 'U' THEN u ELSE m END / n::DOUBLE, 6) AS value, (n * n)::DOUBLE AS weight FROM s JOIN regions USING (name)")
+def marker_samples(spark, sf_dir):
+    """A sample's shares of marker reads joined to the markers, with the weights of its reads."""
+    rows = prepared(spark, sf_dir).filter("NCPGS >= 4")
+    one = lambda s: F.count_if(F.col("state") == s)
+    states = rows.groupBy(F.col("file").alias("sample"), "name").agg(one("M").alias("M"), one("U").alias("U"), F.count("*").alias("count"))
+    return rounded(atlases.marker_samples(states, regions(spark, sf_dir)))
+
+
+@query(f"WITH {POSITIONS} SELECT chromosome, name, original_label, sum(state_)::BIGINT AS meth, count(*) AS cov FROM positions GROUP BY ALL")
+def region_counts(spark, sf_dir):
+    """AG12: counts of positions summed by region."""
+    return atlases.region_sums(atlases.cpg_counts(prepared(spark, sf_dir)))
+
+
+@query(f"WITH {PREPARED} SELECT read_name, prepared.name, p_brand AS target, CASE WHEN p_brand = 'Brand#11' THEN 'Brand#12' ELSE p_brand END AS target_matched, c.label::INT AS target_label, p_type FROM prepared JOIN part ON prepared.name = 'r' || p_partkey::VARCHAR JOIN (SELECT p_brand AS cell_type, row_number() OVER (ORDER BY p_brand) - 1 AS label FROM (SELECT DISTINCT p_brand FROM part WHERE p_brand <> 'Brand#13')) c ON c.cell_type = CASE WHEN p_brand = 'Brand#11' THEN 'Brand#12' ELSE p_brand END")
+def annotated_reads(spark, sf_dir):
+    """Names, codes and annotations of regions on their reads."""
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("r"), "p_partkey").alias("name"), F.col("p_brand").alias("target"), "p_type")
+    brands = parts.filter("target <> 'Brand#13'").select(F.col("target").alias("cell_type")).distinct()  # some dozens
+    codes = brands.withColumn("label", F.row_number().over(Window.orderBy("cell_type")) - 1)
+    got = labelling.annotate_regions(prepared(spark, sf_dir), parts, codes, {"Brand#11": "Brand#12"}, ["p_type"])
+    return got.select("read_name", "name", "target", "target_matched", "target_label", "p_type")
+
+
+@query(f"WITH {READS}, w AS (SELECT read_name, s AS start, substr(methylation_ids, s::INT + 1, 12) AS t FROM reads, range(0, 21, 4) q(s)), c AS (SELECT read_name, start, length(t) - length(replace(replace(t, '0', ''), '1', '')) AS known, (length(t) - length(replace(t, '1', ''))) AS ones FROM w), e AS (SELECT *, CASE WHEN ones IN (0, known) THEN 0 ELSE -(ones / known::DOUBLE) * log2(ones / known::DOUBLE) - (1 - ones / known::DOUBLE) * log2(1 - ones / known::DOUBLE) END AS entropy FROM c WHERE known >= 5), r AS (SELECT *, row_number() OVER (PARTITION BY read_name ORDER BY round(entropy + 0.1 / known, 9), start) AS k FROM e) SELECT read_name, coalesce(start, 0)::INT AS start, coalesce(known, 0)::INT AS known, round(entropy, 6) AS entropy FROM (SELECT DISTINCT read_name FROM reads) LEFT JOIN (SELECT * FROM r WHERE k = 1) USING (read_name)")
+def entropy_windows(spark, sf_dir):
+    """TV5: windows of least entropy."""
+    return rounded(patterns.lowest_entropy_window(reads(spark, sf_dir), ["read_name"], "methylation_ids", 12, 5, 4))
+
+
+@query(f"WITH {PREPARED} SELECT file AS split, count(*)::BIGINT AS n_reads, count(*) AS n_rows, count(DISTINCT original_label) AS n_unique_labels, count(DISTINCT target_label) AS n_unique_grg FROM prepared GROUP BY file")
+def split_statistics(spark, sf_dir):
+    """AG24: numbers of a table by split (the watermark is tested apart)."""
+    return predictions.table_statistics(prepared(spark, sf_dir), "file").withColumnRenamed("file", "split").drop("watermark")
+
+
+@query(f"WITH {PREPARED}, i AS (SELECT file, count(*) AS n_in FROM reads GROUP BY file), o AS (SELECT file, count(*) AS n_out FROM prepared GROUP BY file) SELECT file, n_in, coalesce(n_out, 0) AS n_out, round(coalesce(n_out, 0) / n_in::DOUBLE, 6) AS duplication_factor FROM i LEFT JOIN o USING (file)")
+def duplication_factors(spark, sf_dir):
+    """AG25: rows after the overlap for each read."""
+    return rounded(predictions.duplication_factor(reads(spark, sf_dir), prepared(spark, sf_dir), "file"))
+
+
+@query(f"WITH {PREDICTED}, g AS (SELECT original_label, target_label, sum(greatest(NCPGS, 1e-10) * prediction_0) / sum(greatest(NCPGS, 1e-10)) AS p0, sum(greatest(NCPGS, 1e-10) * prediction_1) / sum(greatest(NCPGS, 1e-10)) AS p1 FROM predicted GROUP BY ALL), f AS (SELECT target_label::VARCHAR || '/prediction_0' AS feature, p0 AS v FROM g UNION ALL SELECT target_label::VARCHAR || '/prediction_1', p1 FROM g) SELECT feature, round((sum(v) + (7 - count(*)) / 7.0::DOUBLE) / 7, 6) AS value FROM f GROUP BY feature")
+def uniform_priors(spark, sf_dir):
+    """AG23, G7: pure profiles of the classes, and their mean."""
+    return rounded(predictions.uniform_prior(predictions.pure_profiles(predicted(spark, sf_dir), "target_label", ["prediction_0", "prediction_1"], "NCPGS", CLASSES)))
+
+
 # --- simulation --------------------------------------------------------------------------------
 
 

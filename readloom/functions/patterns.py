@@ -168,3 +168,27 @@ def best_window(rows: DataFrame, keys: list[str], pattern: str, width: int) -> D
     known = F.length(F.replace(F.substring(F.col(pattern), F.col("start") + 1, F.lit(width)), F.lit("2"), F.lit("")))
     best = rows.withColumn("start", start).withColumn("known", known).filter("known > 0").groupBy(*keys).agg(F.min(F.struct((-F.col("known")).alias("k"), F.col("start").alias("s"))).alias("b"))
     return best.select(*keys, F.col("b.s").alias("start"), (-F.col("b.k")).cast("int").alias("known"))
+
+
+def lowest_entropy_window(rows: DataFrame, keys: list[str], pattern: str, width: int, least: int = 5, stride: int = 50, factor: float = 0.1) -> DataFrame:
+    """(keys, start, known, entropy): the window whose states have least entropy (bits) plus factor / known, the first of equals.
+
+    Only windows with ``least`` known positions count; a read without one has start and known 0 and entropy null.
+    """
+    part = F.substring(F.col(pattern), F.col("start") + 1, F.lit(width))
+    cut = rows.select(*keys, pattern, F.explode(F.sequence(F.lit(0), F.greatest(F.length(pattern) - width, F.lit(0)), F.lit(stride))).alias("start"))
+    counted = cut.withColumn("known", informative(part)).withColumn("_one", count_of(part, "1").cast("double"))
+
+    def bits(n: Column) -> Column:
+        p = F.try_divide(n, F.col("known").cast("double"))  # a share of counts, so that windows of mirrored states are equal
+        return F.when(p > 0, -p * F.log2(p)).otherwise(0.0)
+
+    scored = counted.withColumn("entropy", bits(F.col("_one")) + bits(F.col("known") - F.col("_one")))
+    score = F.when(F.col("known") >= least, F.struct((F.col("entropy") + factor / F.col("known")).alias("score"), "start", "known", "entropy"))
+    best = scored.groupBy(*keys).agg(F.min(score).alias("_b"))
+    return best.select(*keys, F.coalesce("_b.start", F.lit(0)).alias("start"), F.coalesce("_b.known", F.lit(0)).alias("known"), "_b.entropy")
+
+
+def complete_calls(sequence: Column, likelihoods: Column) -> Column:
+    """True if a read has one likelihood for each CG of its forward sequence."""
+    return F.size(likelihoods) == F.regexp_count(sequence, F.lit("CG"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns
+from . import ranks
 
 
 def uxm_fractions(prepared: DataFrame, min_cpgs: int = 4) -> DataFrame:
@@ -61,15 +62,37 @@ def sample_betas(sample: DataFrame, atlas: DataFrame) -> DataFrame:
 
 
 def impute_by_target(rows: DataFrame, target: str, columns: list[str]) -> DataFrame:
-    """Nulls become the median of the target, else the overall median."""
-    inner = rows.groupBy(target).agg(*[F.median(c).alias(f"_m_{c}") for c in columns])
-    overall = rows.agg(*[F.median(c).alias(f"_g_{c}") for c in columns]).withColumn("_one", F.lit(1))
-    joined = rows.join(inner, target, "left").withColumn("_one", F.lit(1)).join(overall, "_one")
+    """Nulls become the median of the target, else the overall median. Medians are found by ranks, so no target is one task."""
+    joined = rows.withColumn("_one", F.lit(1))
     for c in columns:
-        joined = joined.withColumn(c, F.coalesce(c, f"_m_{c}", f"_g_{c}"))
+        own = ranks.quantiles(rows, [target], c, [0.5]).select(target, F.col("q")[0].alias(f"_m_{c}"))
+        overall = ranks.quantiles(rows.withColumn("_one", F.lit(1)), ["_one"], c, [0.5]).select("_one", F.col("q")[0].alias(f"_g_{c}"))
+        joined = joined.join(own, target, "left").join(overall, "_one", "left").withColumn(c, F.coalesce(c, f"_m_{c}", f"_g_{c}"))
     return joined.select(*rows.columns)
 
 
+def region_sums(positions: DataFrame) -> DataFrame:
+    """(keys, name, meth, cov): counts of positions summed by region, with whatever stands before name as keys. positions: of sample_betas or cpg_counts."""
+    keys = [c for c in positions.columns if c in ("sample", "chromosome", "name", "original_label")]
+    return positions.groupBy(*keys).agg(F.sum("meth").alias("meth"), F.sum("cov").alias("cov"))
+
+
+def marker_samples(states: DataFrame, markers: DataFrame) -> DataFrame:
+    """(sample, feature, value, weight) for the solvers: the share of reads in the marker's direction, weighted by the square of their number.
+
+    states: sample, name, M, U, count; markers: name, direction. Markers that a sample has no reads of are not among its rows.
+    """
+    share = F.when(F.col("direction") == "U", F.col("U")).otherwise(F.col("M")) / F.col("count")
+    known = states.join(markers.select("name", "direction").distinct(), "name").filter("count > 0")
+    return known.select("sample", F.concat_ws("/", "name", "direction").alias("feature"), share.alias("value"), (F.col("count") * F.col("count")).cast("double").alias("weight"))
+
+
+def marker_reference(fractions: DataFrame) -> DataFrame:
+    """(feature, cell_type, value) of uxm_fractions; of a repeated marker and cell type the first by value. Features that a cell type lacks are left to the solver, which drops them."""
+    named = fractions.select(F.concat_ws("/", "name", "direction").alias("feature"), F.col("original_label").alias("cell_type"), F.col("fraction").alias("value"))
+    return named.groupBy("feature", "cell_type").agg(F.min("value").alias("value"))
+
+
 def cluster_ranks(means: DataFrame) -> DataFrame:
     """Rank of a cluster in its target by descending mean, ties by number. means: target, cluster, mean."""
     return means.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("mean"), "cluster")) - 1)

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settled
+from . import ranks
+
 
 def deconvolution_metrics(rows: DataFrame) -> DataFrame:
     """One row: mae, mse, kl, max_error, r2 (variance-weighted), bias and limits of agreement, by method. rows: method, sample, cell_type, target, predicted."""
@@ -79,9 +85,103 @@ def calibration_errors(rows: DataFrame, bins: int = 10, least: int = 1) -> DataF
     return binned.join(brier, "_one").select("ece", "mce", "brier")
 
 
+def classwise_error(rows: DataFrame, bins: int = 10, equal_counts: bool = False) -> DataFrame:
+    """One row: classwise_ece, the mean over labels of the calibration error of the label's own probability. rows: label, confidence, correct (0 or 1).
+
+    Bins are of equal width, or between quantiles of a label's confidences (equal edges hold nothing between them).
+    """
+    if equal_counts:
+        edges = ranks.quantiles(rows, ["label"], "confidence", [k / bins for k in range(1, bins)])
+        binned = rows.join(edges, "label").withColumn("bin", F.size(F.filter("q", lambda e: e < F.col("confidence"))))
+    else:
+        binned = rows.withColumn("bin", bin_of(F.col("confidence"), bins))
+    table = binned.groupBy("label", "bin").agg(F.count("*").alias("n"), F.abs(F.avg("confidence") - F.avg("correct")).alias("gap"))
+    per = table.groupBy("label").agg((F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("ece"))
+    return per.agg(F.avg("ece").alias("classwise_ece"))
+
+
+def average_precision(rows: DataFrame) -> DataFrame:
+    """One row: average_precision, the mean over labels of the area under precision by recall. rows: label, hit (0 or 1), score, weight.
+
+    Equal scores are one threshold. Labels that all rows or none have are left out; without any other label the result is null.
+    """
+    cells = rows.groupBy("label", (-F.col("score")).alias("_v")).agg(F.sum(F.col("hit") * F.col("weight")).alias("pos"), F.sum("weight").alias("w"))
+    ranked = ranks.running(cells, ["label"], "_v", ["pos", "w"]).filter("all_pos > 0 and all_pos < all_w")
+    per = ranked.groupBy("label").agg(F.sum(F.col("pos") / F.col("all_pos") * F.coalesce(F.try_divide("upto_pos", "upto_w"), F.lit(0.0))).alias("ap"))
+    return per.agg(F.avg("ap").alias("average_precision"))
+
+
+def with_background(values: Column, threshold: float = 0.5) -> Column:
+    """Index of the first largest entry, or the number of entries if the largest is below the threshold; -100 (ignored) if the entries sum to less than 0."""
+    most = F.array_max(values)
+    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    return F.when(total < 0, -100).when(most < threshold, F.size(values)).otherwise(F.array_position(values, most).cast("int") - 1)
+
+
+def background_probability(values: Column) -> Column:
+    """values with 1 - its largest entry behind them."""
+    return F.concat(values, F.array(1 - F.array_max(values)))
+
+
+def on_target_score(values: Column, region_label: Column, read_label: Column) -> Column:
+    """The entry of the region's own label for reads of that label, else null."""
+    return F.when(region_label == read_label, F.try_element_at(values, region_label + 1))
+
+
 def linear_calibrator(rows: DataFrame) -> DataFrame:
-    """slope, intercept and r of target on predicted, by cell type. A constant predictor has null slope."""
-    return rows.groupBy("cell_type").agg(F.regr_slope("target", "predicted").alias("slope"), F.regr_intercept("target", "predicted").alias("intercept"), F.corr("target", "predicted").alias("r"))
+    """slope, intercept, r and the slope's standard error of target on predicted, by cell type, with n. A constant predictor has null slope."""
+    r, n = F.corr("target", "predicted"), F.count(F.col("target") + F.col("predicted"))
+    spread = F.try_divide(F.regr_syy("target", "predicted"), F.regr_sxx("target", "predicted"))
+    error = F.sqrt(F.try_divide(F.greatest(1 - r * r, F.lit(0.0)) * spread, (n - 2).cast("double")))
+    return rows.groupBy("cell_type").agg(F.regr_slope("target", "predicted").alias("slope"), F.regr_intercept("target", "predicted").alias("intercept"), r.alias("r"), error.alias("stderr"), n.alias("n"))
+
+
+def slope_p_values(model: DataFrame) -> DataFrame:
+    """model (of linear_calibrator) with p, two-sided, that the slope is 0: the incomplete beta function of 1 - r^2. A row a cell type; null for fewer than three points."""
+
+    def tail(x: float, a: float, b: float = 0.5) -> float:
+        """I_x(a, b) by the continued fraction, evaluated from its far end."""
+        if x <= 0 or x >= 1:
+            return min(max(x, 0.0), 1.0)
+        if x > (a + 1) / (a + b + 2):
+            return 1 - tail(1 - x, b, a)
+        f = 1.0
+        for m in range(200, 0, -1):
+            f = 1 + m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) / f
+            f = 1 - (a + m - 1) * (a + b + m - 1) * x / ((a + 2 * m - 2) * (a + 2 * m - 1)) / f
+        front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+        return front / a / f
+
+    def values(batches):
+        for part in batches:
+            known = (part["n"] > 2) & part["r"].notna()
+            p = [tail(1 - r * r, (n - 2) / 2) if ok else None for r, n, ok in zip(part["r"], part["n"], known, strict=True)]
+            yield part.assign(p=pd.Series(p, index=part.index, dtype="float64"))
+
+    return model.mapInPandas(values, ", ".join(f"`{c}` {t}" for c, t in model.dtypes) + ", p double")
+
+
+def fit_parts(rows: DataFrame) -> DataFrame:
+    """(method, sample, explained, total): the squares that R2 is a ratio of, by sample, around each cell type's mean target."""
+    means = rows.groupBy("method", "cell_type").agg(F.avg("target").alias("_m"))
+    d, t = F.col("predicted") - F.col("target"), F.col("target") - F.col("_m")
+    return rows.join(means, ["method", "cell_type"]).groupBy("method", "sample").agg((F.sum(t * t) - F.sum(d * d)).alias("explained"), F.sum(t * t).alias("total"))
+
+
+def in_label_order(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sample, label, proportion): a row for each sample and label, 0 where the sample lacks it. rows: sample, cell_type, proportion; labels: label, cell_type, some dozens."""
+    grid = rows.select("sample").distinct().crossJoin(F.broadcast(labels.select("label", "cell_type")))
+    return grid.join(rows.select("sample", "cell_type", "proportion"), ["sample", "cell_type"], "left").na.fill(0.0, ["proportion"]).select("sample", "label", "proportion")
+
+
+def grid_search(rows: DataFrame, key: str, grid: list[dict], fit, score, folds: int = 5, seed: int = 42) -> tuple[dict, list[float]]:
+    """(best setting, mean score of each): fit(train, **setting) and score(model, held) over folds dealt by a hash of the key; smaller is better, the first of equals."""
+    dealt = settled(rows.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(folds))))
+    means = []
+    for setting in grid:
+        found = [score(fit(dealt.filter(F.col("_fold") != k).drop("_fold"), **setting), dealt.filter(F.col("_fold") == k).drop("_fold")) for k in range(folds)]
+        means.append(sum(found) / folds)
+    return grid[min(range(len(grid)), key=means.__getitem__)], means
 
 
 def calibrate(rows: DataFrame, model: DataFrame) -> DataFrame:

@@ -290,3 +290,18 @@ def superset_pooled_counts(counts: DataFrame, classes: int, min_reads: int = 30,
     folded = short.join(queue, ["name", "signature"], "left").withColumn("_f", F.aggregate(F.coalesce("queue", F.array().cast(queue.schema["queue"].dataType)), start, step))
     more = folded.select("name", "signature", F.col("_f.counts").alias("counts"), F.col("_f.pooled").alias("pooled"))
     return base.filter(F.col("reads") >= min_reads).select("name", "signature", "counts", "pooled").unionByName(more)
+
+
+def annotate_regions(reads: DataFrame, regions: DataFrame, codes: DataFrame, aliases: dict[str, str] | None = None, extra: list[str] | None = None) -> DataFrame:
+    """reads with target, target_matched, target_label and extra columns of their region; reads whose region or target has no code go.
+
+    regions: name, target and extra; codes: label, cell_type. Columns of these names that reads already have are replaced. aliases: other names of cell types.
+    """
+    extra = extra or []
+    if missing := [c for c in extra if c not in regions.columns]:
+        raise ValueError(f"regions lack {', '.join(missing)}")
+    known = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair]) if aliases else None
+    matched = F.coalesce(F.try_element_at(known, F.col("target")), "target") if aliases else F.col("target")
+    named = regions.select("name", "target", *extra).withColumn("target_matched", matched)
+    coded = named.join(codes.select(F.col("cell_type").alias("target_matched"), F.col("label").cast("int").alias("target_label")), "target_matched")
+    return reads.drop("target", "target_matched", "target_label", *extra).join(coded, "name")

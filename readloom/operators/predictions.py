@@ -100,3 +100,53 @@ def prediction_columns(names: list[str]) -> list[str]:
     """prediction_<digits> in numeric order, then methylation_level."""
     found = sorted((c for c in names if c.startswith("prediction_") and c.removeprefix("prediction_").isdigit()), key=lambda c: int(c.removeprefix("prediction_")))
     return found + (["methylation_level"] if "methylation_level" in names else [])
+
+
+def known_predictions(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows without a null or NaN prediction."""
+    return rows.dropna(subset=columns)
+
+
+def unpadded(rows: DataFrame, label: str = "label") -> DataFrame:
+    """Rows whose label is not the mark of padding, -100; a null label is none."""
+    return rows.filter(F.col(label) != -100)
+
+
+def require_predictions(groups: DataFrame, classes: int) -> list[str]:
+    """The weighted means of all classes, or KeyError naming the first that a table lacks."""
+    names = [f"prediction_{k}_wavg" for k in range(classes)]
+    for n in names:
+        if n not in groups.columns:
+            raise KeyError(n)
+    return names
+
+
+def target_columns(groups: DataFrame) -> DataFrame:
+    """The columns that a mixture's groups are stored with, those that are there: region label and name, weighted means, total_weight, n_reads."""
+    means = [f"{c}_wavg" for c in prediction_columns([n.removesuffix("_wavg") for n in groups.columns if n.endswith("_wavg")])]
+    wanted = ["target_label", "target", *means, "total_weight", "n_reads"]
+    return groups.select(*[c for c in wanted if c in groups.columns])
+
+
+def uniform_prior(profiles: DataFrame) -> DataFrame:
+    """(feature, value): the mean of pure profiles over the classes."""
+    return profiles.groupBy("feature").agg(F.avg("value").alias("value"))
+
+
+def replayed(drawn: DataFrame, reads: DataFrame) -> DataFrame:
+    """Reads of stored mixtures, one row a read and mixture with times. drawn: pb_index, row_id, times, as simulation.draw returns; reads: row_id and whatever is known of them."""
+    return drawn.select("pb_index", "row_id", "times").join(reads, "row_id")
+
+
+def table_statistics(rows: DataFrame, split: str = "split") -> DataFrame:
+    """(split, n_reads, n_rows, n_unique_labels, n_unique_grg, watermark): the watermark is the same for the same rows in any order."""
+    count = F.col("read_count") if "read_count" in rows.columns else F.lit(1)
+    number = lambda c: F.countDistinct(c) if c in rows.columns else F.lit(0).cast("long")
+    mark = F.sum(F.xxhash64(*sorted(rows.columns)).cast("decimal(20,0)")).cast("string")
+    return rows.groupBy(split).agg(F.sum(count).cast("long").alias("n_reads"), F.count("*").alias("n_rows"), number("original_label").alias("n_unique_labels"), number("target_label").alias("n_unique_grg"), mark.alias("watermark"))
+
+
+def duplication_factor(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """(key, n_in, n_out, duplication_factor): rows that came out for each that went in; 0 if none went in."""
+    both = before.groupBy(key).agg(F.count("*").alias("n_in")).join(after.groupBy(key).agg(F.count("*").alias("n_out")), key, "full").na.fill(0, ["n_in", "n_out"])
+    return both.withColumn("duplication_factor", F.coalesce(F.try_divide("n_out", "n_in"), F.lit(0.0)))

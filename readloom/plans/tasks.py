@@ -122,7 +122,7 @@ def deconvolute_pseudobulk(spark: SparkSession, config: dict) -> DataFrame:
     """
     classes = int(config.get("classes", 7))
     drawn, reads = spark.read.parquet(config["pseudobulk"]), spark.read.parquet(config["reads"])
-    replayed = drawn.select("pb_index", "row_id", "times").join(reads.select("row_id", "grg", "weight", *_names(classes)), "row_id").withColumn("_w", F.col("weight") * F.col("times"))
+    replayed = predictions.replayed(drawn, reads.select("row_id", "grg", "weight", *_names(classes))).withColumn("_w", F.col("weight") * F.col("times"))
     groups = predictions.aggregate(replayed, ["pb_index", "grg"], _names(classes), "_w")
     samples = predictions.group_features(groups, ["pb_index"], "grg", _names(classes)).withColumnRenamed("pb_index", "sample")
     found = solved(samples, spark.read.parquet(config["profiles"]), config).withColumnRenamed("sample", "pb_index")
@@ -150,15 +150,36 @@ def fit_deconvolution(spark: SparkSession, config: dict) -> DataFrame:
 
 
 def fit_calibration(spark: SparkSession, config: dict) -> DataFrame:
+    """Calibrated estimates: a line a cell type, or vector scaling (kind: vector). The lines, with errors and p, are written beside them."""
     rows = spark.read.parquet(config["estimates"])
-    files.publish(evaluation.calibrate(rows, evaluation.linear_calibrator(rows)), config["output_dir"])
+    if config.get("kind", "linear") == "vector":
+        keys = ["method", "sample"]
+        packed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("cell_type", c))), lambda x: x[c])
+        whole = settled(rows.groupBy(*keys).agg(packed("predicted").alias("predicted"), packed("target").alias("target"), F.array_sort(F.collect_list("cell_type")).alias("types")))
+        classes = whole.agg(F.max(F.size("types"))).first()[0] or 0
+        delta, bias = mixtures.vector_scaling(whole, classes)
+        out = whole.select(*keys, F.inline(F.arrays_zip(F.col("types").alias("cell_type"), mixtures.scaled(F.col("predicted"), delta, bias).alias("calibrated"))))
+        files.publish(rows.join(out, [*keys, "cell_type"]), config["output_dir"])
+        return spark.read.parquet(config["output_dir"])
+    model = evaluation.slope_p_values(evaluation.linear_calibrator(rows))
+    if "model_dir" in config:
+        files.publish(model, config["model_dir"])
+    files.publish(evaluation.calibrate(rows, model), config["output_dir"])
     return spark.read.parquet(config["output_dir"])
 
 
 def confidence_intervals(spark: SparkSession, config: dict) -> DataFrame:
-    rows = evaluation.sample_metrics(spark.read.parquet(config["estimates"])).select("method", F.col("mae").alias("value"))
-    files.publish(mixtures.bootstrap(rows, int(config.get("resamples", 10_000))), config["output_dir"])
-    return spark.read.parquet(config["output_dir"])
+    """(method, mean, low, high, metric) for mse, mae, kl and r2; with sheet_dir also as CSV."""
+    rows, resamples = spark.read.parquet(config["estimates"]), int(config.get("resamples", 10_000))
+    each = evaluation.sample_metrics(rows)
+    out = mixtures.bootstrap(evaluation.fit_parts(rows).withColumnRenamed("explained", "value"), resamples, of="total").withColumn("metric", F.lit("r2"))
+    for metric in ("mse", "mae", "kl"):
+        out = out.unionByName(mixtures.bootstrap(each.select("method", F.col(metric).alias("value")), resamples).withColumn("metric", F.lit(metric)))
+    files.publish(out, config["output_dir"])
+    found = spark.read.parquet(config["output_dir"])
+    if "sheet_dir" in config:
+        files.write_sheet(found, config["sheet_dir"])
+    return found
 
 
 TASKS = {

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -105,14 +106,14 @@ def write_buckets(rows: DataFrame, path: str) -> None:
     rows.withColumn("bucket", F.col("region_bucket")).repartition("region_bucket").sortWithinPartitions("name").write.partitionBy("region_bucket").parquet(path)
 
 
-def publish(rows: DataFrame, path: str, **options: str) -> None:
-    """Write beside the target and rename, so that readers see all or nothing."""
-    spark = rows.sparkSession
-    side = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    rows.write.options(**{"compression": "zstd", **options}).parquet(side)
-    jvm = spark._jvm
-    source, target = jvm.org.apache.hadoop.fs.Path(side), jvm.org.apache.hadoop.fs.Path(path)
-    fs = source.getFileSystem(spark._jsc.hadoopConfiguration())
+def _paths(spark: SparkSession, *paths: str) -> tuple:
+    """The file system of the first path, and all as its paths."""
+    found = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    return found[0].getFileSystem(spark._jsc.hadoopConfiguration()), *found
+
+
+def _moved(spark: SparkSession, side: str, path: str) -> None:
+    fs, source, target = _paths(spark, side, path)
     if fs.exists(target):
         fs.delete(source, True)
         raise FileExistsError(path)
@@ -120,6 +121,61 @@ def publish(rows: DataFrame, path: str, **options: str) -> None:
         raise OSError(f"{side} could not be renamed to {path}")
 
 
+def publish(rows: DataFrame, path: str, **options: str) -> None:
+    """Write beside the target and rename, so that readers see all or nothing."""
+    side = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    rows.write.options(**{"compression": "zstd", **options}).parquet(side)
+    _moved(rows.sparkSession, side, path)
+
+
+def write_store(spark: SparkSession, path: str, tables: dict[str, DataFrame], attributes: dict | None = None) -> None:
+    """A store: one Parquet folder a table (zstd at level 9) and a manifest.json with schemas, row numbers and attributes; all appear at once."""
+    side = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    listed = {}
+    for name, rows in sorted(tables.items()):
+        rows.write.options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}).parquet(f"{side}/{name}")
+        listed[name] = {"columns": dict(rows.dtypes), "rows": spark.read.parquet(f"{side}/{name}").count()}
+    fs, file = _paths(spark, f"{side}/manifest.json")
+    out = fs.create(file)
+    out.write(bytearray(json.dumps({"tables": listed, "attributes": attributes or {}}, sort_keys=True).encode()))
+    out.close()
+    _moved(spark, side, path)
+
+
+def store_kind(spark: SparkSession, path: str) -> str:
+    """'columnar' for a folder with a manifest; ValueError for HDF5 files, which no reader here takes, and for all else."""
+    fs, root, manifest = _paths(spark, path, f"{path.rstrip('/')}/manifest.json")
+    if not fs.exists(root):
+        raise FileNotFoundError(path)
+    if fs.exists(manifest):
+        return "columnar"
+    raise ValueError(f"HDF5 stores are not read: {path}" if path.endswith((".h5", ".hdf5")) else f"no store at {path}")
+
+
+def read_store(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict]:
+    """(tables by name, attributes); a table whose columns differ from the manifest raises."""
+    store_kind(spark, path)
+    manifest = json.loads(spark.read.text(f"{path}/manifest.json", wholetext=True).first()[0])
+    tables = {}
+    for name, want in manifest["tables"].items():
+        tables[name] = spark.read.parquet(f"{path}/{name}")
+        if dict(tables[name].dtypes) != want["columns"]:
+            raise ValueError(f"{path}/{name} is not as its manifest says")
+    return tables, manifest["attributes"]
+
+
+def write_sheet(rows: DataFrame, path: str, places: int = 4) -> None:
+    """Results as CSV with a header, numbers rounded, ordered by their keys (columns that are no decimals); nulls are empty."""
+    rounded = [F.round(c, places).alias(c) if t in ("double", "float") else F.col(c) for c, t in rows.dtypes]
+    rows.select(*rounded).orderBy(*[c for c, t in rows.dtypes if t not in ("double", "float")]).write.csv(path, header=True)
+
+
+def listed_files(files: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files that groups list, files that it does not, listed ones that are not there), by file."""
+    named = groups.select("file").distinct()
+    return files.join(named, "file", "left_semi"), files.join(named, "file", "left_anti"), named.join(files, "file", "left_anti")
+
+
 def write_tsv(rows: DataFrame, path: str) -> None:
     """Tab-separated with NA for null."""
     rows.write.csv(path, sep="\t", header=True, nullValue="NA")

@@ -3,11 +3,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from readloom.functions import patterns, vectors
-from readloom.operators import atlases, evaluation, intervals, labelling, predictions
+from readloom.operators import atlases, evaluation, intervals, labelling, predictions, ranks
 from readloom.operators import reads as read_ops
 
 
@@ -284,3 +285,76 @@ def test_merged_intervals_over_bins(spark):
         for width in (16, 100, 1 << 16):
             got = [list(r) for r in intervals.merge(table, ["chromosome"], gap=gap, width=width).collect()]
             assert sorted(got, key=str) == sorted(want, key=str), (gap, width)
+
+
+def test_quantiles_are_exact_whatever_the_ranges(spark):
+    rng = np.random.default_rng(0)
+    rows = [(k, float(v)) for k in range(3) for v in [*rng.exponential(3.0, 200 + k), *[1.5] * 50, 1e6]] + [(3, 2.0), (4, None), (None, 1.0)]
+    shares = [0.0, 0.1, 0.37, 0.5, 0.9, 1.0]
+    got = {r.k: r.q for r in ranks.quantiles(spark.createDataFrame(rows, "k int, v double"), ["k"], "v", shares).collect()}
+    assert sorted(got) == [0, 1, 2, 3] and got[3] == [2.0] * 6
+    for k in range(3):
+        assert np.allclose(got[k], np.quantile([v for i, v in rows if i == k], shares))
+
+
+def test_running_sums_over_ranges(spark):
+    cells = spark.createDataFrame([("a", float(v), v) for v in range(100)] + [("b", 5.0, 1)], "k string, v double, n long")
+    for n in (1, 7, 1024):
+        got = ranks.running(cells, ["k"], "v", ["n"], n).collect()
+        assert all(r.upto_n == (r.v * (r.v + 1) / 2 if r.k == "a" else 1) and r.all_n == (4950 if r.k == "a" else 1) for r in got)
+
+
+def test_average_precision_by_hand(spark):
+    rows = [(0, 1, 0.9, 1.0), (0, 0, 0.8, 1.0), (0, 1, 0.8, 1.0), (0, 0, 0.1, 1.0), (1, 1, 0.5, 1.0)]
+    frame = spark.createDataFrame(rows, "label int, hit int, score double, weight double")
+    assert abs(evaluation.average_precision(frame).first()[0] - (0.5 * 1 + 0.5 * 2 / 3)) < 1e-12  # label 1 has no other rows
+    doubled = frame.withColumn("weight", F.when(F.col("hit") == 1, 2.0).otherwise(1.0))
+    assert abs(evaluation.average_precision(doubled).first()[0] - (0.5 * 1 + 0.5 * 4 / 5)) < 1e-12
+    assert evaluation.average_precision(frame.filter("label = 1")).first()[0] is None
+
+
+def test_p_values_of_slopes(spark):
+    rows = spark.createDataFrame([("t", (2.228139**2 / (2.228139**2 + 10)) ** 0.5, 12), ("zero", 0.0, 9), ("line", 1.0, 9), ("few", 0.5, 2), ("none", None, 5), ("two", -(1 / 3**0.5), 4)], "cell_type string, r double, n long")
+    got = {r.cell_type: r.p for r in evaluation.slope_p_values(rows).collect()}
+    assert abs(got["t"] - 0.05) < 1e-6 and got["zero"] == 1 and got["line"] == 0 and got["few"] is None and got["none"] is None
+    assert abs(got["two"] - (1 - 1 / 3**0.5)) < 1e-9  # two degrees of freedom have a closed form
+
+
+def test_background_and_order(spark):
+    rows = spark.createDataFrame([([0.2, 0.6],), ([0.4, 0.4],), ([0.5, 0.5],), ([-100.0, -100.0],)], "v array<double>")
+    assert [r[0] for r in rows.select(evaluation.with_background(F.col("v"))).collect()] == [1, 2, 0, -100]
+    labels = spark.createDataFrame([(0, "x"), (1, "y")], "label int, cell_type string")
+    found = spark.createDataFrame([("s", "y", 1.0), ("t", "x", 0.3), ("t", "y", 0.7)], "sample string, cell_type string, proportion double")
+    assert sorted(map(tuple, evaluation.in_label_order(found, labels).collect())) == [("s", 0, 0.0), ("s", 1, 1.0), ("t", 0, 0.3), ("t", 1, 0.7)]
+
+
+def test_grid_search_takes_the_best(spark):
+    rows = spark.range(40).select("id", (F.col("id") % 4).cast("double").alias("y"))
+    fit = lambda train, shift: train.agg(F.avg("y")).first()[0] + shift
+    score = lambda model, held: held.agg(F.avg((F.col("y") - model) * (F.col("y") - model))).first()[0]
+    best, means = evaluation.grid_search(rows, "id", [{"shift": 3.0}, {"shift": 0.0}], fit, score, folds=3)
+    assert best == {"shift": 0.0} and means[1] < means[0]
+
+
+def test_stored_groups(spark):
+    groups = spark.createDataFrame([(1, 0.5, 0.5, 3)], "target_label int, prediction_1_wavg double, prediction_0_wavg double, n_reads long")
+    assert predictions.target_columns(groups).columns == ["target_label", "prediction_0_wavg", "prediction_1_wavg", "n_reads"]
+    assert predictions.require_predictions(groups, 2) == ["prediction_0_wavg", "prediction_1_wavg"]
+    with pytest.raises(KeyError):
+        predictions.require_predictions(groups, 3)
+    rows = spark.createDataFrame([("a", 1, 2), ("a", 2, 3), ("b", 1, 1)], "split string, original_label int, read_count int")
+    first, again = (sorted(map(tuple, predictions.table_statistics(r).collect())) for r in (rows, rows.orderBy(F.desc("read_count")).repartition(3)))
+    assert first == again and first[0][:5] == ("a", 5, 2, 2, 0)
+    assert predictions.unpadded(spark.createDataFrame([(-100,), (1,), (None,)], "label int")).count() == 1
+    assert predictions.known_predictions(spark.createDataFrame([(None,), (1.0,), (float("nan"),)], "p double"), ["p"]).count() == 1
+
+
+def test_calls_are_complete(spark):
+    rows = spark.createDataFrame([("ACGCG", [1, 2]), ("ACGCG", [1]), ("AA", [])], "s string, ml array<int>")
+    assert [r[0] for r in rows.select(patterns.complete_calls(F.col("s"), F.col("ml"))).collect()] == [True, False, True]
+
+
+def test_windows_of_least_entropy(spark):
+    rows = spark.createDataFrame([(1, "0101" + "1111"), (2, "2222"), (3, "01")], "id int, p string")
+    got = {r.id: (r.start, r.known, r.entropy) for r in patterns.lowest_entropy_window(rows, ["id"], "p", 4, 2, 2).collect()}
+    assert got == {1: (4, 4, 0.0), 2: (0, 0, None), 3: (0, 2, 1.0)}

@@ -130,3 +130,45 @@ def test_command_line(tmp_path):
     path.write_text(json.dumps({"estimates": "x"}))
     assert cli.main(["fit-calibration", str(path), "--dry-run"]) == 1
     assert cli.main(["fit-calibration", str(path), "--set", f"output_dir={tmp_path}/o", "--dry-run"]) == 0
+
+
+def test_stores(spark, tmp_path):
+    path = str(tmp_path / "store")
+    tables = {"features": spark.createDataFrame([(1, 0.5)], "pb_index long, value double"), "counts": spark.createDataFrame([(1, 7)], "pb_index long, n long")}
+    files.write_store(spark, path, tables, {"seed": 42})
+    got, attributes = files.read_store(spark, path)
+    assert attributes == {"seed": 42} and sorted(got) == ["counts", "features"] and got["counts"].collect() == [(1, 7)]
+    with pytest.raises(FileExistsError):
+        files.write_store(spark, path, tables)
+    assert [p.name for p in tmp_path.iterdir()] == ["store"]
+    (tmp_path / "old.h5").write_text("")
+    for bad, error in (("old.h5", ValueError), ("nowhere", FileNotFoundError)):
+        with pytest.raises(error):
+            files.store_kind(spark, str(tmp_path / bad))
+    spark.createDataFrame([(1, "x")], "pb_index long, value string").write.mode("overwrite").parquet(f"{path}/features")
+    with pytest.raises(ValueError):
+        files.read_store(spark, path)
+
+
+def test_sheets_and_listed_files(spark, tmp_path):
+    files.write_sheet(spark.createDataFrame([("b", 0.123456), ("a", None)], "sample string, p double"), str(tmp_path / "sheet"))
+    assert spark.read.csv(str(tmp_path / "sheet"), header=True).collect() == [("a", None), ("b", "0.1235")]
+    here, named = spark.createDataFrame([("x",), ("y",)], "file string"), spark.createDataFrame([("y", 1), ("z", 2)], "file string, grp int")
+    assert [[r[0] for r in part.collect()] for part in files.listed_files(here, named)] == [["y"], ["x"], ["z"]]
+
+
+def test_calibration_and_intervals_tasks(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    t = rng.dirichlet(np.ones(3), 30)
+    p = np.abs(t + rng.normal(0, 0.03, t.shape))
+    p /= p.sum(axis=1, keepdims=True)
+    spark.createDataFrame([("m", s, k, float(t[s, k]), float(p[s, k])) for s in range(30) for k in range(3)], "method string, sample int, cell_type int, target double, predicted double").write.parquet(f"{tmp_path}/e")
+    for kind in ("linear", "vector"):
+        out = tasks.run(spark, "fit-calibration", {"estimates": f"{tmp_path}/e", "output_dir": f"{tmp_path}/{kind}", "kind": kind, "model_dir": f"{tmp_path}/{kind}_model"})
+        sums = [r[0] for r in out.groupBy("sample").agg(F.sum("calibrated")).select("sum(calibrated)").collect()]
+        assert len(sums) == 30 and max(abs(s - 1) for s in sums) < 1e-9
+    assert spark.read.parquet(f"{tmp_path}/linear_model").filter("p < 0.01").count() == 3
+    got = tasks.run(spark, "confidence-intervals", {"estimates": f"{tmp_path}/e", "output_dir": f"{tmp_path}/ci", "resamples": 500, "sheet_dir": f"{tmp_path}/ci_csv"})
+    assert sorted(r.metric for r in got.collect()) == ["kl", "mae", "mse", "r2"] and got.filter("low <= mean and mean <= high").count() == 4
