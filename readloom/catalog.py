@@ -753,6 +753,13 @@ def uniform_priors(spark, sf_dir):
     return rounded(predictions.uniform_prior(predictions.pure_profiles(predicted(spark, sf_dir), "target_label", ["prediction_0", "prediction_1"], "NCPGS", CLASSES)))
 
 
+@query(f"WITH {READS}, t AS (SELECT read_name, list_filter([{{'t': substr(replace(input_ids, 'TT', 'NN'), i, 3), 'm': substr(methylation_ids, i + 1, 1)}} FOR i IN range(1, 31)], lambda x: NOT contains(x.t, 'N')) AS k FROM reads), w AS (SELECT read_name, k, unnest(list_distinct(list_concat(range(0, greatest(len(k) - 12, 0) + 1, 6), [greatest(len(k) - 12, 0)]))) AS start FROM t WHERE len(k) > 0), c AS (SELECT read_name, start, [x.t FOR x IN k[start + 1 : start + 12]] AS t, array_to_string([x.m FOR x IN k[start + 1 : start + 12]], '') AS states FROM w) SELECT read_name, start::INT AS start, array_to_string(t, ' ') AS dna, states, (length(states) - length(replace(replace(states, '0', ''), '1', '')))::INT AS ncpgs_marked FROM c")
+def token_windows(spark, sf_dir):
+    """TV4, P26: windows of k-mers without Ns, with the state of each middle base."""
+    rows = reads(spark, sf_dir).withColumn("input_ids", F.replace(F.col("input_ids"), F.lit("TT"), F.lit("NN")))
+    return patterns.token_rows(rows, ["read_name"], 3, 12, 6).select("read_name", "start", F.array_join("tokens", " ").alias("dna"), "states", "ncpgs_marked")
+
+
 # --- simulation --------------------------------------------------------------------------------
 
 

@@ -192,3 +192,35 @@ def lowest_entropy_window(rows: DataFrame, keys: list[str], pattern: str, width:
 def complete_calls(sequence: Column, likelihoods: Column) -> Column:
     """True if a read has one likelihood for each CG of its forward sequence."""
     return F.size(likelihoods) == F.regexp_count(sequence, F.lit("CG"))
+
+
+def token_vocabulary(k: int) -> list[str]:
+    """Five special entries, then all k-mers in order; an entry's place is its number."""
+    words = [""]
+    for _ in range(k):
+        words = [w + b for w in words for b in "ACGT"]
+    return ["<pad>", "<unk>", "<eos>", "<sos>", "<mask>", *words]
+
+
+def token_numbers(tokens: Column, k: int) -> Column:
+    """Places in token_vocabulary(k), computed from the letters; 1 for what is no k-mer of A, C, G and T."""
+    place = lambda t: F.aggregate(F.split(F.translate(t, "ACGT", "0123"), ""), F.lit(0), lambda n, c: n * 4 + c.cast("int")) + 5
+    return F.transform(tokens, lambda t: F.when(t.rlike(f"^[ACGT]{{{k}}}$"), place(t)).otherwise(1))
+
+
+def token_rows(rows: DataFrame, keys: list[str], k: int = 3, width: int = 150, step: int = 75) -> DataFrame:
+    """(keys, start, tokens, states, ncpgs_marked): overlapping windows of a read's k-mers, each with the state of its middle base.
+
+    rows: keys, input_ids, methylation_ids. K-mers with an N are left out before windows are laid; reads without any other go.
+    """
+    at = F.sequence(F.lit(1), F.greatest(F.length("input_ids") - (k - 1), F.lit(1)))
+    pairs = F.transform(at, lambda i: F.struct(F.substring(F.col("input_ids"), i, F.lit(k)).alias("t"), F.substring(F.col("methylation_ids"), i + k // 2, F.lit(1)).alias("m")))
+    known = rows.select(*keys, F.filter(pairs, lambda p: ~F.contains(p["t"], F.lit("N")) & (F.length(p["t"]) == k)).alias("_k")).filter(F.size("_k") > 0)
+    cut = known.select(*keys, "_k", F.explode(sliding_windows(F.size("_k"), width, step)).alias("start")).withColumn("_w", F.slice("_k", F.col("start") + 1, width))
+    states = F.array_join(F.transform("_w", lambda p: p["m"]), "")
+    return cut.select(*keys, "start", F.transform("_w", lambda p: p["t"]).alias("tokens"), states.alias("states"), informative(states).alias("ncpgs_marked"))
+
+
+def cg_weight(sequence: Column) -> Column:
+    """CGs of a sequence, 1 at least: the weight of a window among those of its read."""
+    return F.greatest(F.regexp_count(sequence, F.lit("CG")), F.lit(1))

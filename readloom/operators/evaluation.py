@@ -71,15 +71,20 @@ def bin_of(x: Column, bins: int) -> Column:
     return F.size(F.filter(edges, lambda e: e < x))
 
 
-def reliability(rows: DataFrame, bins: int = 10) -> DataFrame:
-    """(bin, n, confidence, accuracy). rows: confidence, correct (0 or 1)."""
-    return rows.groupBy(bin_of(F.col("confidence"), bins).alias("bin")).agg(F.count("*").alias("n"), F.avg("confidence").alias("confidence"), F.avg("correct").alias("accuracy"))
+def reliability(rows: DataFrame, bins: int = 10, equal_counts: bool = False) -> DataFrame:
+    """(bin, n, confidence, accuracy). rows: confidence, correct (0 or 1). Bins are of equal width, or between quantiles of the confidences."""
+    binned = rows.select("confidence", "correct", bin_of(F.col("confidence"), bins).alias("bin"))
+    if equal_counts:
+        one = rows.select("confidence", "correct", F.lit(1).alias("_one"))
+        edges = ranks.quantiles(one, ["_one"], "confidence", [k / bins for k in range(1, bins)])
+        binned = one.join(edges, "_one").withColumn("bin", F.size(F.filter("q", lambda e: e < F.col("confidence"))))
+    return binned.groupBy("bin").agg(F.count("*").alias("n"), F.avg("confidence").alias("confidence"), F.avg("correct").alias("accuracy"))
 
 
-def calibration_errors(rows: DataFrame, bins: int = 10, least: int = 1) -> DataFrame:
+def calibration_errors(rows: DataFrame, bins: int = 10, least: int = 1, equal_counts: bool = False) -> DataFrame:
     """ece, mce (bins of ``least`` rows) and Brier score."""
     gap = F.abs(F.col("confidence") - F.col("accuracy"))
-    table = reliability(rows, bins).withColumn("_one", F.lit(1))
+    table = reliability(rows, bins, equal_counts).withColumn("_one", F.lit(1))
     binned = table.groupBy("_one").agg((F.sum(F.col("n") * gap) / F.sum("n")).alias("ece"), F.max(F.when(F.col("n") >= least, gap)).alias("mce"))
     brier = rows.agg(F.avg((F.col("confidence") - F.col("correct")) * (F.col("confidence") - F.col("correct"))).alias("brier")).withColumn("_one", F.lit(1))
     return binned.join(brier, "_one").select("ece", "mce", "brier")

@@ -48,7 +48,7 @@ def class_priors(rows: DataFrame, classes: int, kind: str = "frequency") -> Data
     return weighed.join(total, "_one").select("original_label", F.when(F.col("_t") > 0, F.col("_v") / F.col("_t")).otherwise(1.0 / classes).alias("prior"))
 
 
-def _weighed(counts: DataFrame, weights: DataFrame, classes: int) -> DataFrame:
+def weighed(counts: DataFrame, weights: DataFrame, classes: int) -> DataFrame:
     """counts with soft_label: weighted counts over their sum (all 0 if there are none)."""
     table = weights.agg(F.map_from_entries(F.collect_list(F.struct("original_label", "weight"))).alias("_w")).withColumn("_one", F.lit(1))  # one entry a class
     v = F.transform("counts", lambda c, k: c * F.coalesce(F.try_element_at(F.col("_w"), k), F.lit(0.0)))
@@ -60,7 +60,7 @@ def _weighed(counts: DataFrame, weights: DataFrame, classes: int) -> DataFrame:
 def soft_labels(rows: DataFrame, classes: int) -> DataFrame:
     """(name, signature, counts, soft_label) from the reads' own classes."""
     counts = settled(class_counts(rows, classes))
-    return _weighed(counts, counted_weights(counts, classes), classes)
+    return weighed(counts, counted_weights(counts, classes), classes)
 
 
 def label_reads(rows: DataFrame, labels: DataFrame, classes: int, fallback: DataFrame | None = None) -> DataFrame:
@@ -114,7 +114,7 @@ def pooled_counts(counts: DataFrame, classes: int, min_reads: int = 30, max_dist
 def pooled_soft_labels(rows: DataFrame, classes: int, min_reads: int = 30, max_distance: float = 0.5) -> DataFrame:
     """soft_labels() with the counts pooled over near signatures; class weights are those of the reads."""
     counts = settled(class_counts(rows, classes))
-    return _weighed(pooled_counts(counts, classes, min_reads, max_distance), counted_weights(counts, classes), classes)
+    return weighed(pooled_counts(counts, classes, min_reads, max_distance), counted_weights(counts, classes), classes)
 
 
 def fit_lookup(rows: DataFrame, classes: int, min_reads: int = 30, max_distance: float = 0.41) -> DataFrame:

@@ -86,7 +86,10 @@ def smoothed_with_background(label: Column, target: Column, classes: int, epsilo
 
 
 def keep_labels(rows: DataFrame, remap: DataFrame) -> DataFrame:
-    """Rows whose read label and target both survive, with new codes. remap: old, new (0 .. K - 1)."""
+    """Rows whose read label and target both survive, with new codes. remap: old, new; new codes other than 0 .. K - 1, once each, raise."""
+    codes = sorted(r.new for r in remap.select("new").collect())  # a row a class
+    if codes != list(range(len(codes))):
+        raise ValueError(f"new codes are 0 to {len(codes) - 1}, not {codes}")
     a = remap.select(F.col("old").alias("_a"), F.col("new").alias("_na"))
     b = remap.select(F.col("old").alias("_b"), F.col("new").alias("_nb"))
     both = rows.join(a, rows.original_label == a._a).join(b, rows.target_label == b._b)
@@ -197,3 +200,18 @@ def merge_mates(reads: DataFrame, keys: list[str]) -> DataFrame:
     state = lambda x, y: F.when(x == y, x).when(x == "2", y).when(y == "2", x).otherwise("2")
     joined = a.join(b, keys).select(*keys, "read_start", end.alias("read_end"), F.array_join(F.zip_with(F.split(first, ""), F.split(second, ""), state), "").alias("methylation_ids"))
     return rows.filter("_n <> 2").drop("_n", "_k").unionByName(joined)
+
+
+def mean_weights(rows: DataFrame) -> DataFrame:
+    """rows with weight: their read_count over the mean read_count of all."""
+    return rows.withColumn("_one", F.lit(1)).join(rows.agg(F.avg("read_count").alias("_mean")).withColumn("_one", F.lit(1)), "_one").withColumn("weight", F.col("read_count") / F.col("_mean")).drop("_one", "_mean")
+
+
+def thinned(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """n of the reads that rows stand for, without replacement, as rows with the read_count that is left; all of them if there are no more.
+
+    Each of a row's read_count reads has a hash of (seed, key, number); the n smallest stay.
+    """
+    each = rows.select(key, F.explode(F.sequence(F.lit(1).cast("long"), F.col("read_count").cast("long"))).alias("_k"), "read_count").filter("read_count > 0")
+    chosen = each.select(key, F.xxhash64(F.lit(seed), key, "_k").alias("_h"), "_k").orderBy("_h", key, "_k").limit(n)
+    return rows.drop("read_count").join(chosen.groupBy(key).agg(F.count("*").alias("read_count")), key)

@@ -65,10 +65,15 @@ def draw(reads: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
     """(pb_index, original_label, grg, row_id, times): draws with replacement, weighted by read_count.
 
     reads: row_id, original_label, grg, read_count. A draw is a number below its group's total count; it takes the read whose running
-    count covers it. Draw and read meet by (class, group, stripe of the running count), so a large group is many stripes.
+    count covers it. Draw and read meet by (class, group, stripe of the running count), so a large group is many stripes. The running
+    count goes inside 512 hash ranges of a group, then over the ranges, so a large group is many tasks too.
     """
-    w = Window.partitionBy("original_label", "grg").orderBy("row_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = reads.withColumn("hi", F.sum("read_count").over(w)).withColumn("lo", F.col("hi") - F.col("read_count"))
+    keys = ["original_label", "grg", "_range"]
+    ranged = reads.select("row_id", "original_label", "grg", "read_count").withColumn("_range", F.pmod(F.xxhash64("row_id"), F.lit(512)))
+    before = Window.partitionBy("original_label", "grg").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(*keys).agg(F.sum("read_count").alias("_n")).select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    w = Window.partitionBy(*keys).orderBy("row_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = ranged.withColumn("_upto", F.sum("read_count").over(w)).join(starts, keys).withColumn("hi", F.col("_start") + F.col("_upto")).withColumn("lo", F.col("hi") - F.col("read_count"))
     totals = reads.groupBy("original_label", "grg").agg(F.sum("read_count").alias("total"))
     stripe = 256
     striped = placed.filter("read_count > 0").withColumn("stripe", F.explode(F.sequence(F.floor(F.col("lo") / stripe), F.floor((F.col("hi") - 1) / stripe))))

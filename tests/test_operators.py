@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readloom.functions import patterns, vectors
-from readloom.operators import atlases, evaluation, intervals, labelling, predictions, ranks
+from readloom.operators import atlases, evaluation, intervals, labelers, labelling, predictions, ranks
 from readloom.operators import reads as read_ops
 
 
@@ -358,3 +358,53 @@ def test_windows_of_least_entropy(spark):
     rows = spark.createDataFrame([(1, "0101" + "1111"), (2, "2222"), (3, "01")], "id int, p string")
     got = {r.id: (r.start, r.known, r.entropy) for r in patterns.lowest_entropy_window(rows, ["id"], "p", 4, 2, 2).collect()}
     assert got == {1: (4, 4, 0.0), 2: (0, 0, None), 3: (0, 2, 1.0)}
+
+
+def test_labels_side_by_side(spark):
+    rows = [("r1", 0, "01", 0, 0, "train"), ("r1", 0, "01", 1, 0, "train"), ("r1", 0, "11", 1, 0, "test"), ("r1", 0, "01", 0, 0, "test")]
+    frame = spark.createDataFrame([(str(k), *r) for k, r in enumerate(rows)], "read_name string, name string, read_start long, methylation_ids string, original_label int, target_label int, split string").withColumn("soft_label", F.lit("own"))
+    config = {"a": {"type": "data_driven_soft", "perform_pooling": False}, "b": {"type": "archetype"}, "c": {"type": "hard_binary"}, "d": {"type": "hard_with_background"}, "e": {"type": "smoothed_hard_with_background"}}
+    got = {r.read_name: r for r in labelers.apply(frame, config, 2, ["train"]).collect()}
+    assert len(got) == 4 and all(r.soft_label == "own" for r in got.values())
+    assert [got[k].a for k in "0123"] == [[0.5, 0.5]] * 4 and got["2"].b == [0.5, 0.5]  # r1/11 is not among the training rows
+    assert [got[k].c for k in "0123"] == [1, 0, 0, 1] and [got[k].d for k in "0123"] == [0, 2, 2, 0] and len(got["0"].e) == 3
+    prior = spark.createDataFrame([(0, 0.9), (1, 0.1)], "original_label int, prior double")
+    assert {r.read_name: r.a for r in labelers.apply(frame, {"a": config["a"]}, 2, ["train"], prior, "global_prior").collect()}["2"] == [0.9, 0.1]
+    whole = {r.read_name: r.a for r in labelers.apply(frame, {"a": config["a"]}, 2).collect()}
+    assert whole["2"] == [0.0, 1.0] and abs(sum(whole["0"]) - 1) < 1e-12
+    for bad in ({}, {"a": {"type": "none"}}, {"a": {"type": "archetype", "distance_name": "edit"}}, {"a": {"type": "archetype", "ctype_prior_type": "inv_global_freq"}}):
+        with pytest.raises(ValueError):
+            labelers.apply(frame, bad, 2)
+
+
+def test_token_numbers(spark):
+    words = patterns.token_vocabulary(3)
+    assert len(words) == 69 and words[5] == "AAA" and words[68] == "TTT"
+    some = ["AAA", "ACG", "TTT", "ANA", "AC"]
+    got = spark.createDataFrame([(some,)], "t array<string>").select(patterns.token_numbers(F.col("t"), 3)).first()[0]
+    assert got == [words.index(w) if w in words else 1 for w in some]
+    rows = spark.createDataFrame([(1, "NNNN", "2222"), (2, "AC", "01"), (3, "ACGT", "2012")], "id int, input_ids string, methylation_ids string")
+    assert patterns.token_rows(rows, ["id"]).collect() == [(3, 0, ["ACG", "CGT"], "01", 2)]
+
+
+def test_thinning_and_weights(spark):
+    rows = spark.createDataFrame([(k, k % 4) for k in range(100)], "id int, read_count int")
+    got = read_ops.thinned(rows, "id", 60).collect()
+    assert sum(r.read_count for r in got) == 60 and all(1 <= r.read_count <= r.id % 4 for r in got)
+    assert sum(r.read_count for r in read_ops.thinned(rows, "id", 1000).collect()) == 150
+    assert sorted(map(tuple, got)) == sorted(map(tuple, read_ops.thinned(rows.repartition(7), "id", 60).collect()))
+    assert abs(read_ops.mean_weights(rows).agg(F.avg("weight")).first()[0] - 1) < 1e-12
+
+
+def test_codes_are_whole(spark):
+    rows = spark.createDataFrame([(1, 2)], "original_label int, target_label int")
+    assert read_ops.keep_labels(rows, spark.createDataFrame([(1, 0), (2, 1)], "old int, new int")).collect() == [(0, 1)]
+    for bad in ([(1, 0), (2, 2)], [(1, 0), (2, 0)]):
+        with pytest.raises(ValueError):
+            read_ops.keep_labels(rows, spark.createDataFrame(bad, "old int, new int"))
+
+
+def test_quantile_bins(spark):
+    rows = spark.createDataFrame([(k / 100, k % 2) for k in range(1, 101)], "confidence double, correct int")
+    table = sorted(map(tuple, evaluation.reliability(rows, 4, equal_counts=True).select("bin", "n").collect()))
+    assert table == [(0, 25), (1, 25), (2, 25), (3, 25)]
