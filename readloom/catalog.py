@@ -318,12 +318,13 @@ def alignment_flags(spark, sf_dir):
     return docs.select("doc_id", patterns.passes_flags(flag, F.col("doc_id") % 60).alias("passes"), patterns.strand_reversed(flag).alias("reversed"), patterns.contig_alias(name, F.array(F.lit("chr1"), F.lit("2"))).alias("contig"))
 
 
-@query(f"WITH {READS} SELECT DISTINCT read_name, string_agg(CASE WHEN substr(input_ids, i::INT, 2) = 'CG' THEN CASE substr(methylation_ids, i::INT, 1) WHEN '0' THEN '0' WHEN '1' THEN '1' ELSE '2' END ELSE '2' END, '' ORDER BY i) AS forward FROM (SELECT DISTINCT read_name, input_ids, methylation_ids, unnest(range(1, 33)) AS i FROM reads) GROUP BY read_name, input_ids, methylation_ids")
+@query(f"WITH {READS}, c AS (SELECT read_name, i, substr(input_ids, i::INT, 2) = 'CG' AS cg, substr(methylation_ids, i::INT, 1) AS here, substr(methylation_ids, i::INT + 1, 1) AS after FROM (SELECT DISTINCT read_name, input_ids, methylation_ids, unnest(range(1, 33)) AS i FROM reads)) SELECT read_name, string_agg(CASE WHEN cg AND here IN ('0', '1') THEN here ELSE '2' END, '' ORDER BY i) AS forward, string_agg(CASE WHEN cg AND after IN ('0', '1') THEN after ELSE '2' END, '' ORDER BY i) AS reverse FROM c GROUP BY read_name")
 def bisulfite_calls(spark, sf_dir):
-    """Calls of converted reads against a reference."""
+    """Calls of converted reads against a reference, on either strand."""
     rows = reads(spark, sf_dir).select("read_name", "input_ids", "methylation_ids").distinct()
-    observed = F.translate("methylation_ids", "012", "TCN")
-    return rows.select("read_name", patterns.call_bisulfite(F.col("input_ids"), observed, reverse=False).alias("forward")).distinct()
+    forward = patterns.call_bisulfite(F.col("input_ids"), F.translate("methylation_ids", "012", "TCN"), reverse=False)
+    return rows.select("read_name", forward.alias("forward"), patterns.call_bisulfite(F.col("input_ids"), F.translate("methylation_ids", "012", "AGN"), reverse=True).alias("reverse"))
+
 
 
 # --- predictions by region group ---------------------------------------------------------------
@@ -557,9 +558,8 @@ def cluster_ranks(spark, sf_dir):
 @query("SELECT p_partkey, (dense_rank() OVER (ORDER BY p_brand) - 1)::INT AS code FROM part")
 def region_annotations(spark, sf_dir):
     """SC13, W9: dense codes of an annotation, ranked on its distinct values and joined back."""
-    parts = table(spark, sf_dir, "part")
-    codes = parts.select("p_brand").distinct().withColumn("code", F.dense_rank().over(Window.orderBy("p_brand")) - 1)
-    return parts.join(codes, "p_brand").select("p_partkey", "code")
+    return atlases.annotation_codes(table(spark, sf_dir, "part"), "p_brand").select("p_partkey", "code")
+
 
 
 # --- evaluation --------------------------------------------------------------------------------
@@ -779,10 +779,7 @@ def group_quotas(spark, sf_dir):
 @query()
 def simulated_mixtures(spark, sf_dir):
     """Ten mixtures drawn from the reads, their weighted predictions by group."""
-    rows = predicted(spark, sf_dir).withColumn("row_id", F.xxhash64("read_name", "name")).withColumnRenamed("target_label", "grg")
-    unique = rows.groupBy("row_id", "original_label", "grg").agg(F.count("*").alias("read_count"), F.first("prediction_0").alias("prediction_0"), F.first("NCPGS").alias("NCPGS"))
+    rows = predicted(spark, sf_dir).withColumn("row_id", F.concat_ws("/", "read_name", "name", "original_label")).withColumnRenamed("target_label", "grg")
+    unique = settled(rows.groupBy("row_id", "original_label", "grg").agg(F.count("*").alias("read_count"), F.min("prediction_0").alias("prediction_0"), F.min("NCPGS").alias("NCPGS")))
     targets = simulation.target_proportions(spark, 10, CLASSES, 42)
-    groups = unique.groupBy("original_label", "grg").agg(F.sum("read_count").alias("n_reads"))
-    drawn = simulation.draw(unique, simulation.drawn_quotas(targets, groups, 5000, 42), 42)
-    weighed = drawn.join(unique.select("row_id", "prediction_0", "NCPGS"), "row_id").withColumn("w", F.col("times") * F.col("NCPGS"))
-    return rounded(weighed.groupBy("pb_index", "grg").agg((F.sum(F.col("w") * F.col("prediction_0")) / F.sum("w")).alias("prediction_0_wavg"), F.sum("times").alias("n_reads")))
+    return rounded(simulation.pseudobulk(unique, targets, ["prediction_0"], "NCPGS", 5000, 42).select("pb_index", "grg", "prediction_0_wavg", "n_reads"))

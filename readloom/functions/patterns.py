@@ -126,6 +126,12 @@ def modification_offset(tag: Column, code: str = "C+m") -> Column:
     return F.aggregate(F.slice(entries, 1, F.greatest(last, F.lit(0))), F.lit(0), lambda n, x: n + F.size(F.split(x, ",")) - 1)
 
 
+def modification_values(tag: Column, likelihoods: Column, code: str = "C+m") -> Column:
+    """Likelihoods of the code's last entry, in order; fewer if the array ends before, none without the code."""
+    first, n = modification_offset(tag, code), F.size(modification_calls(tag, code))
+    return F.when(n > 0, F.slice(likelihoods, first + 1, n)).otherwise(F.slice(likelihoods, 1, 0))
+
+
 def windows(length: Column, width: int) -> Column:
     """Starts (from 0) of windows side by side."""
     return F.when(length > 0, F.sequence(F.lit(0), F.greatest(length - 1, F.lit(0)), F.lit(width))).otherwise(F.array().cast("array<int>"))

@@ -93,6 +93,12 @@ def marker_reference(fractions: DataFrame) -> DataFrame:
     return named.groupBy("feature", "cell_type").agg(F.min("value").alias("value"))
 
 
+def annotation_codes(rows: DataFrame, column: str) -> DataFrame:
+    """rows with code: the place (from 0) of an annotation among its distinct values in order, -1 where it is null. Ranks are taken over the distinct values only."""
+    codes = rows.select(column).dropna().distinct().withColumn("code", F.dense_rank().over(Window.orderBy(column)) - 1)
+    return rows.join(codes, column, "left").na.fill(-1, ["code"])
+
+
 def cluster_ranks(means: DataFrame) -> DataFrame:
     """Rank of a cluster in its target by descending mean, ties by number. means: target, cluster, mean."""
     return means.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("mean"), "cluster")) - 1)

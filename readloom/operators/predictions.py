@@ -150,3 +150,12 @@ def duplication_factor(before: DataFrame, after: DataFrame, key: str) -> DataFra
     """(key, n_in, n_out, duplication_factor): rows that came out for each that went in; 0 if none went in."""
     both = before.groupBy(key).agg(F.count("*").alias("n_in")).join(after.groupBy(key).agg(F.count("*").alias("n_out")), key, "full").na.fill(0, ["n_in", "n_out"])
     return both.withColumn("duplication_factor", F.coalesce(F.try_divide("n_out", "n_in"), F.lit(0.0)))
+
+
+def prior_matrix(prior: DataFrame, columns: list[str], groups: int) -> DataFrame:
+    """The configured columns of a prior, by name; missing ones, or a row number other than that of the groups, raise."""
+    if missing := [c for c in columns if c not in prior.columns]:
+        raise ValueError(f"the prior lacks {', '.join(missing)}")
+    if (n := prior.count()) != groups:
+        raise ValueError(f"the prior has {n} rows for {groups} groups")
+    return prior.select(*columns)

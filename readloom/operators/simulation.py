@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import predictions
+
 
 def uniform(*key: Column | str) -> Column:
     """A number in [0, 1) from a hash of the key, the same in every run and engine that has md5."""
@@ -90,3 +92,21 @@ def draw(reads: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
 def actual_proportions(drawn: DataFrame) -> DataFrame:
     n = drawn.groupBy("pb_index", "original_label").agg(F.sum("times").alias("n"))
     return n.select("pb_index", "original_label", "n", (F.col("n") / F.sum("n").over(Window.partitionBy("pb_index"))).alias("actual"))
+
+
+def pseudobulk(reads: DataFrame, targets: DataFrame, columns: list[str], weight: str, n: int, seed: int) -> DataFrame:
+    """(pb_index, grg, <c>_wavg of columns, total_weight, n_reads): n reads of each mixture drawn and averaged by group.
+
+    reads: row_id, original_label, grg, read_count, columns and the weight; targets: pb_index, original_label, target. A read drawn
+    several times counts as often, in the means as in n_reads. Groups without a drawn read have no row: see predictions.fill_missing.
+    """
+    groups = reads.groupBy("original_label", "grg").agg(F.sum("read_count").alias("n_reads"))
+    drawn = draw(reads, drawn_quotas(require_reads(targets, groups), groups, n, seed), seed)
+    weighed = predictions.replayed(drawn, reads.select("row_id", "grg", weight, *columns)).withColumn("_w", F.col(weight) * F.col("times"))
+    return weighed.groupBy("pb_index", "grg").agg(*[predictions.weighted(c, F.greatest(F.col("_w").cast("double"), F.lit(predictions.LEAST_WEIGHT))).alias(f"{c}_wavg") for c in columns], F.sum("_w").alias("total_weight"), F.sum("times").alias("n_reads"))
+
+
+def group_index(rows: DataFrame, key: str, mapping: dict[str, int] | None = None) -> DataFrame:
+    """rows with grg: the group's number by the mapping, else the key as a number; keys that are neither raise when they are read."""
+    named = F.try_element_at(F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair]), F.col(key).cast("string")) if mapping else F.lit(None).cast("int")
+    return rows.withColumn("grg", F.coalesce(named, F.col(key).cast("string").cast("int")))

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import predictions
 from ..operators import reads as read_ops
 
 RECOVERED = "ref_name string, ref_pos long, original_seq string, methyl_seq string, ctype string"
@@ -49,12 +50,53 @@ def layout(spark: SparkSession, path: str) -> str:
     raise ValueError(f"no known layout at {path}")
 
 
+def _legacy(spark: SparkSession, stem: str) -> DataFrame:
+    """The first of stem.parquet, stem.csv and stem.txt (tab-separated) that is there. Text columns of text files stay strings."""
+    for end, sep in (("parquet", None), ("csv", ","), ("txt", "\t")):
+        fs, file = _paths(spark, f"{stem}.{end}")
+        if fs.exists(file):
+            return spark.read.csv(f"{stem}.{end}", sep=sep, header=True) if sep else spark.read.parquet(f"{stem}.{end}")
+    raise FileNotFoundError(stem)
+
+
+def predicted_reads(spark: SparkSession, path: str) -> DataFrame:
+    """Reads with predictions: Parquet with prediction_<k>, at least one."""
+    rows = spark.read.parquet(path)
+    if not predictions.prediction_columns(rows.columns):
+        raise ValueError(f"no predictions in {path}")
+    return rows
+
+
+def target_proportions(spark: SparkSession, path: str) -> DataFrame:
+    """(pb_index, original_label, target): stored targets; negative ones, or mixtures that do not sum to 1, raise."""
+    rows = spark.read.schema("pb_index long, original_label int, target double").parquet(path)
+    bad = rows.groupBy("pb_index").agg(F.sum("target").alias("s"), F.min("target").alias("least")).filter("abs(s - 1) > 1e-6 or least < 0").take(1)
+    if bad:
+        raise ValueError(f"mixture {bad[0].pb_index} is no set of proportions")
+    return rows
+
+
+def calibrated_predictions(spark: SparkSession, path: str, method: str | None = None) -> DataFrame:
+    """(method, sample, cell_type, target, predicted, calibrated) of one deconvolver or all; the filter reaches the scan."""
+    rows = spark.read.parquet(path).select("method", "sample", "cell_type", "target", "predicted", "calibrated")
+    return rows.filter(F.col("method") == method) if method is not None else rows
+
+
+def count_atlas(spark: SparkSession, path: str, cell_types: list[str]) -> DataFrame:
+    """(chromosome, name, start, end, original_label, meth, cov, beta) of a wide tab-separated atlas with <cell type>_METH and _COV; the label is the place in cell_types, beta null without coverage."""
+    fixed = "CHROM string, START long, END long, name string" + "".join(f", `{c}_METH` long, `{c}_COV` long" for c in cell_types)
+    wide = spark.read.csv(path, sep="\t", header=True, schema=fixed, nullValue="NA")
+    each = F.array(*[F.struct(F.lit(k).alias("original_label"), F.coalesce(f"{c}_METH", F.lit(0)).alias("meth"), F.coalesce(f"{c}_COV", F.lit(0)).alias("cov")) for k, c in enumerate(cell_types)])
+    long = wide.select(F.col("CHROM").alias("chromosome"), "name", F.col("START").alias("start"), F.col("END").alias("end"), F.inline(each))
+    return long.withColumn("beta", F.try_divide(F.col("meth").cast("double"), F.col("cov").cast("double")))
+
+
 def split_rows(spark: SparkSession, path: str, split: str, columns: list[str] | None = None) -> DataFrame:
     """Rows of one split; the filter and the columns reach the scan."""
     if layout(spark, path) == "columnar":
         rows = spark.read.parquet(path).filter(F.col("split") == split)
     else:
-        rows = spark.read.parquet(f"{path}/{split}.parquet")
+        rows = _legacy(spark, f"{path}/{split}")
     return rows.select(*columns) if columns else rows
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readloom.functions import patterns, vectors
-from readloom.operators import atlases, evaluation, intervals, labelers, labelling, predictions, ranks
+from readloom.operators import atlases, evaluation, intervals, labelers, labelling, predictions, ranks, simulation
 from readloom.operators import reads as read_ops
 
 
@@ -408,3 +408,30 @@ def test_quantile_bins(spark):
     rows = spark.createDataFrame([(k / 100, k % 2) for k in range(1, 101)], "confidence double, correct int")
     table = sorted(map(tuple, evaluation.reliability(rows, 4, equal_counts=True).select("bin", "n").collect()))
     assert table == [(0, 25), (1, 25), (2, 25), (3, 25)]
+
+
+def test_modification_values(spark):
+    rows = spark.createDataFrame([("C+h,1,2;C+m,0,3,1;", [9, 8, 7, 6, 5]), ("C+m,0;", [4]), ("C+h,1;", [1]), ("C+m,1,1;", [3])], "tag string, ml array<int>")
+    assert [r[0] for r in rows.select(patterns.modification_values(F.col("tag"), F.col("ml"))).collect()] == [[7, 6, 5], [4], [], [3]]
+
+
+def test_group_numbers_and_priors(spark):
+    rows = spark.createDataFrame([("liver",), ("7",)], "k string")
+    assert [r.grg for r in simulation.group_index(rows, "k", {"liver": 3}).collect()] == [3, 7]
+    prior = spark.createDataFrame([(0.5, 0.5)], "a double, b double")
+    assert predictions.prior_matrix(prior, ["b"], 1).columns == ["b"]
+    for columns, n in ((["c"], 1), (["a"], 2)):
+        with pytest.raises(ValueError):
+            predictions.prior_matrix(prior, columns, n)
+
+
+def test_codes_of_missing_annotations(spark):
+    rows = spark.createDataFrame([("b",), ("a",), (None,), ("b",)], "x string")
+    assert sorted((r.x or "", r.code) for r in atlases.annotation_codes(rows, "x").collect()) == [("", -1), ("a", 0), ("b", 1), ("b", 1)]
+
+
+def test_pure_mixture_is_its_reads(spark):
+    reads = spark.createDataFrame([(str(k), k % 2, 0, 1 + k % 3, float(k % 2), 2) for k in range(50)], "row_id string, original_label int, grg int, read_count int, p double, w int")
+    targets = spark.createDataFrame([(0, 0, 1.0), (1, 1, 1.0), (2, 0, 0.25), (2, 1, 0.75)], "pb_index long, original_label int, target double")
+    got = {r.pb_index: r for r in simulation.pseudobulk(reads, targets, ["p"], "w", 400, 1).collect()}
+    assert got[0].p_wavg == 0 and got[1].p_wavg == 1 and abs(got[2].p_wavg - 0.75) < 1e-9 and all(r.n_reads == 400 and r.total_weight == 800 for r in got.values())

@@ -172,3 +172,21 @@ def test_calibration_and_intervals_tasks(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/linear_model").filter("p < 0.01").count() == 3
     got = tasks.run(spark, "confidence-intervals", {"estimates": f"{tmp_path}/e", "output_dir": f"{tmp_path}/ci", "resamples": 500, "sheet_dir": f"{tmp_path}/ci_csv"})
     assert sorted(r.metric for r in got.collect()) == ["kl", "mae", "mse", "r2"] and got.filter("low <= mean and mean <= high").count() == 4
+
+
+def test_readers_of_results(spark, tmp_path):
+    (tmp_path / "atlas.tsv").write_text("CHROM\tSTART\tEND\tname\ta_METH\ta_COV\tb_METH\tb_COV\nchr1\t5\t6\tr1\t1\t2\t0\tNA\n")
+    got = sorted(map(tuple, files.count_atlas(spark, str(tmp_path / "atlas.tsv"), ["a", "b"]).collect()))
+    assert got == [("chr1", "r1", 5, 6, 0, 1, 2, 0.5), ("chr1", "r1", 5, 6, 1, 0, 0, None)]
+    for name, rows in (("good", [(0, 0, 0.4), (0, 1, 0.6)]), ("bad", [(0, 0, 0.4)])):
+        spark.createDataFrame(rows, "pb_index long, original_label int, target double").write.parquet(f"{tmp_path}/{name}")
+    assert files.target_proportions(spark, f"{tmp_path}/good").count() == 2
+    with pytest.raises(ValueError):
+        files.target_proportions(spark, f"{tmp_path}/bad")
+    with pytest.raises(ValueError):
+        files.predicted_reads(spark, f"{tmp_path}/good")
+    os.makedirs(tmp_path / "old")
+    (tmp_path / "old" / "train.txt").write_text("name\tp\nr1\t01\n")
+    assert files.split_rows(spark, str(tmp_path / "old"), "train").collect() == [("r1", "01")]
+    with pytest.raises(FileNotFoundError):
+        files.split_rows(spark, str(tmp_path / "old"), "test")
