@@ -128,7 +128,7 @@ def fit_hard_lookup(rows: DataFrame, classes: int, least: float = 10.0) -> DataF
     Raises where the largest is not ``least`` times the next smaller one, unless classes tie: such a table is not fit for hard calls.
     """
     counts = settled(class_counts(rows, classes))
-    soft = settled(_weighed(counts, counted_weights(counts, classes), classes).select("name", "signature", "soft_label"))
+    soft = settled(weighed(counts, counted_weights(counts, classes), classes).select("name", "signature", "soft_label"))
     most = F.array_max("soft_label")
     ties = F.size(F.filter("soft_label", lambda x: x >= most - 1e-9))
     next_one = F.coalesce(F.array_max(F.filter("soft_label", lambda x: x < most - 1e-9)), F.lit(0.0))
