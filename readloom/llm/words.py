@@ -25,12 +25,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_starts(raw: np.ndarray, offsets: np.ndarray, block: int = BLOCK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def word_starts(raw: np.ndarray, offsets: np.ndarray, block: int = BLOCK, is_word: np.ndarray = IS_WORD) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(place of a block, which of its bytes belong to words, which begin one), block by block. A text's first byte begins a word, whatever is before it."""
     begins = offsets[:-1][np.diff(offsets) > 0]
     inside = False
     for lo in range(0, len(raw), block):
-        word = IS_WORD[raw[lo : lo + block]]
+        word = is_word[raw[lo : lo + block]]
         first = word.copy()
         first[1:] &= ~word[:-1]
         if inside:
@@ -41,14 +41,14 @@ def word_starts(raw: np.ndarray, offsets: np.ndarray, block: int = BLOCK) -> Ite
         yield lo, word, first
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, block: int = BLOCK, is_word: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words of each text, first bytes of all words, their 64-bit hashes).
 
     A word's hash sums its bytes, each mixed with its place in the word, so a word may reach over blocks.
     """
     counts, starts, hashes = np.zeros(len(offsets) - 1, np.int64), [], []
     last, begun = np.uint64(0), 0  # sum and first byte of the word that is open
-    for lo, word, first in word_starts(raw, offsets, block):
+    for lo, word, first in word_starts(raw, offsets, block, is_word):
         at = np.flatnonzero(first)
         opened = np.concatenate([[begun], at + lo])
         within = np.arange(lo, lo + len(word)) - opened[np.cumsum(first, dtype=np.int32)]

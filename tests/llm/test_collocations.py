@@ -1,6 +1,10 @@
 import re
 from collections import Counter
 
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from readloom.llm import collocations
 from readloom.llm.queries import op13_collocations, table
 from tests.llm.helpers import SF, docs, odd_texts
@@ -53,5 +57,50 @@ def test_odd_rows(spark):
 
 def test_large_counts_are_exact(spark):
     counts = spark.createDataFrame([("en", 1, "a", 10**13 + 7), ("en", 1, "b", 10**13 + 9), ("en", 2, "a b", 10**13 + 1)], "lang string, size int, phrase string, a long")
-    (r,) = collocations.scored(counts, 2).collect()
+    (r,) = collocations.scored(counts).collect()
     assert r.score == 1_000_000 * (10**13 + 1) ** 2 // ((10**13 + 7) * (10**13 + 9))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="aB é.\n\t!", max_size=60), min_size=1, max_size=4), st.integers(1, 12), st.integers(2, 4))
+def test_segments_and_phrases_of_any_texts(texts, most, longest):
+    """Whatever the segments, each phrase is counted once, under a key of its own."""
+    parts = [("xy"[k % 2], part, carried) for k, t in enumerate(texts) for part, carried in collocations.segments(t.encode(), longest, most)]
+    got, seen = Counter(), {}
+    if parts:
+        s = collocations.Slice(parts, longest)
+        ends = s.counts.cumsum()
+        for k, (lang, part, _) in enumerate(parts):
+            words = part.translate(collocations.TO_SPACE).split()
+            assert len(words) == s.counts[k]
+            for size in range(1, longest + 1):
+                for i in range(len(words) - size + 1):
+                    at = ends[k] - s.counts[k] + i
+                    if s.valid[size - 1][at]:
+                        phrase = (lang, *(w.decode() for w in words[i : i + size]))
+                        got[phrase] += 1
+                        assert seen.setdefault(int(s.keys[size - 1][at]), phrase) == phrase
+    want = Counter()
+    for k, t in enumerate(texts):
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", t.translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            want.update(("xy"[k % 2], *w[i : i + n]) for n in range(1, longest + 1) for i in range(len(w) - n + 1))
+    assert got == want and len(seen) == len(want)
+
+
+def test_filters(spark):
+    keys = np.random.default_rng(1).integers(-(2**63), 2**63, 5000)
+    table = spark.createDataFrame([(int(k),) for k in keys], "key long").repartition(3)
+    for most in (collocations.MOST_BITS, 1 << 12):  # the second is too small: it passes more, and loses none
+        known = collocations.filter_of(table, most)
+        assert known.holds(keys.view(np.uint64)).all()
+    others = np.random.default_rng(2).integers(0, 2**63, 5000).view(np.uint64)
+    assert collocations.filter_of(table).holds(others).mean() < 0.05
+    assert not collocations.filter_of(table.limit(0)).holds(others).any()
+
+
+def test_a_filter_that_passes_all_changes_nothing(spark, monkeypatch):
+    rows = docs(spark, [(k, f"the big cat. the big dog the {'x' * (k % 3)} end", "a") for k in range(40)])
+    want = sorted(map(tuple, collocations.collocations(rows, least=5).collect()))
+    monkeypatch.setattr(collocations, "filter_of", lambda keys: collocations.Filter(np.full(64, ~np.uint64(0))))
+    assert want and sorted(map(tuple, collocations.collocations(rows, least=5).collect())) == want
