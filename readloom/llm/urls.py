@@ -16,6 +16,7 @@ end: those are broadcast while they take ``BROADCAST`` bytes at most, else pages
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +29,19 @@ TOLERANCE = 1e-6  # of a seed
 MARGIN = 0.01  # of a seed: one bad link of 85, or 28 links away from a bad host by hosts with no other links
 BROADCAST = 32 << 20
 SALTS = 16
-#: A link's address. What is read before it ends at the next tag, so tags that never end cost no more than their length.
-LINK = r"""(?i)<a\s[^<>]*?(?<![\w-])href\s*=\s*["']?\s*([^"'\s>]+)"""
+_VALUE = r"""(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z)|[^\s>"'][^\s>]*+)"""
+_ATTRIBUTE = rf"[\s/]*+%s[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE})?+"
+_ANY, _OTHER = (f"(?:{_ATTRIBUTE % before})*+" for before in ("", r"(?!href[\s=/>])"))
+#: One thing that begins with < at a time: a link (its address, with its quotes, is group 1), a comment, an element whose content is text, or any
+#: other tag. No quantifier goes back, so a page costs its length.
+LINK = (
+    rf"""(?is)<a(?:rea)?(?=[\s/]){_OTHER}[\s/]*+href\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+){_ANY}[\s/]*+>"""
+    r"|<!--(?:-?>|.*?(?:--!?>|\z))"
+    rf"|<(script|style|textarea|title|xmp|iframe|noembed|noframes)(?=[\s/>]){_ANY}[\s/]*+(?:>.*?(?:</\2(?=[\s/>])|\z)|\z)"
+    rf"|<[a-z/]{_ANY}[\s/]*+>?|<[!?][^>]*+>?"
+)
+# Names of character references that stand for what an address is cut at.
+NAMED = {"amp": "&", "AMP": "&", "colon": ":", "sol": "/", "bsol": "\\", "period": ".", "quest": "?", "num": "#", "commat": "@", "equals": "=", "percnt": "%", "lowbar": "_", "Tab": "\t", "NewLine": "\n", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
 ABSOLUTE = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
@@ -66,9 +78,54 @@ def judged(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> Data
     return located.withColumn("_fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("rule", F.col("_fit.rule")).withColumn("by_rule", F.col("_fit.verdict")).drop("_fit")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point, by its bytes in UTF-8; U+FFFD for 0, surrogates and what is too large."""
+
+    def last(x: Column, shift: int) -> Column:
+        return F.shiftright(x, shift).bitwiseAND(63).bitwiseOR(128)
+
+    def packed(x: Column) -> Column:
+        two = (F.shiftright(x, 6).bitwiseOR(192)) * 256 + last(x, 0)
+        three = (F.shiftright(x, 12).bitwiseOR(224)) * 65536 + last(x, 6) * 256 + last(x, 0)
+        four = (F.shiftright(x, 18).bitwiseOR(240)) * 16777216 + last(x, 12) * 65536 + last(x, 6) * 256 + last(x, 0)
+        return F.when(x < 128, x).when(x < 2048, two).when(x < 65536, three).otherwise(four)
+
+    bad = (code <= 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+    return F.decode(F.unhex(F.hex(packed(F.when(bad, F.lit(0xFFFD)).otherwise(code).cast("long")))), "UTF-8")
+
+
+def dereferenced(text: Column) -> Column:
+    """text with its numeric character references, and the named ones of NAMED, decoded."""
+    known = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+
+    def decoded(part: Column) -> Column:
+        digits = F.regexp_extract(part, r"^&#[xX]?([0-9a-fA-F]{1,12})", 1)
+        code = F.when(part.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("long")
+        named = F.try_element_at(known, F.regexp_extract(part, "^&([A-Za-z]+);", 1))
+        return F.when(part.rlike("^&#[xX]?[0-9a-fA-F]"), _let(code, _character)).otherwise(F.coalesce(named, part))
+
+    parts = F.regexp_extract_all(text, F.lit(r"&#[xX][0-9a-fA-F]++;?|&#[0-9]++;?|&[A-Za-z]++;|[^&]++|&"), F.lit(0))
+    return F.when(text.contains("&"), F.array_join(F.transform(parts, decoded), "")).otherwise(text)
+
+
+def address(value: Column) -> Column:
+    """The address of an attribute's value: without quotes, references decoded, without tabs, line ends and outer spaces, backslashes as slashes."""
+    bare = F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2")
+    return F.regexp_replace(F.translate(dereferenced(bare), "\\\t\n\r", "/"), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, n) of links between different hosts. pages: host, html. Links that name no host (with or without a scheme) stay on theirs."""
-    links = pages.filter("host <> ''").select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("url")).filter(F.col("url").rlike(ABSOLUTE))
+    """(src, dst, n) of links between different hosts. pages: host, html. Links that name no host (with or without a scheme) stay on theirs.
+
+    A link is the first href of an a or area tag. What looks like one inside a comment, a script, another attribute's value or a tag that never ends is none.
+    """
+    found = pages.filter("host <> ''").select(F.col("host").alias("src"), F.explode(F.filter(F.regexp_extract_all("html", F.lit(LINK), 1), lambda x: x != "")).alias("value"))
+    links = found.select("src", address(F.col("value")).alias("url")).filter(F.col("url").rlike(ABSOLUTE))
     return links.select("src", host_of(F.regexp_replace("url", "^//", "http://")).alias("dst")).filter("dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 

@@ -1,3 +1,5 @@
+from collections import Counter
+
 from readloom.llm import urls
 
 PAGES = "page_id long, url string, html string"
@@ -159,5 +161,86 @@ def test_tags_that_never_end_cost_their_length(spark):
     assert time.time() - began < 30
 
 
+def edges_of(spark, htmls):
+    """Hosts linked to, by page."""
+    pages = spark.createDataFrame([(f"p{k}.org", h) for k, h in enumerate(htmls)], "host string, html string")
+    out = [Counter() for _ in htmls]
+    for r in urls.host_edges(pages).collect():
+        out[int(r.src[1:-4])][r.dst] = r.n
+    return out
+
+
+LINKS = {
+    '<a href="http://x.net/">': 1, '<a title="a > b" href="http://x.net/">': 1, '<a href="http&#58;//x.net/">': 1, '<a href="http&#x3A;&sol;&#47x.net/a">': 1,
+    "<A\nHREF = 'HTTP://X.net'>": 1, "<a href=http://x.net>": 1, "<a/href=//x.net/>": 1, '<area shape=rect href="//x.net/">': 1, '<a href=" http:\\\\x.net\\y ">': 1, '<a href="ht\ntp://x.n\tet/">': 1,
+    "<a title=don't href='http://x.net'>": 1, '<a data-href="http://y.net" href="http://x.net">': 1, '<a href="http://x.net" href="http://y.net">': 1, "<a title='<b>' href=http://x.net/?a='>'>": 1,
+    "<!-- <a href='http://x.net/'> -->": 0, "<script>'<a href=http://x.net/>'</script>": 0, '<style media=">">a::after{content:"<a href=//x.net>"}</style>': 0, '<b title="<a href=http://x.net/>">': 0, "<textarea><a href=http://x.net></textarea>": 0,
+    "<abbr href='http://x.net'>": 0, "<a data-href='http://x.net'>": 0, "<a hrefs='http://x.net'>": 0, "<a href='/http://x.net'>": 0, "<a href>": 0, "<a href=''>": 0, "</a href='http://x.net'>": 0, "<a href='http://x.net'": 0, "<a href='http://x.net>": 0, "a href='http://x.net'>": 0,
+    "<!--><a href='http://x.net'>-->": 1, "<!-- a --!><a href='http://x.net'>": 1, "<script></script ><a href='http://x.net'>": 1, "<script></scripts><a href='http://x.net'></script>": 0, "<!doctype html><a href='http://x.net'>": 1, "<p <a href='http://x.net'>": 0, "< a href='http://x.net'>": 0,
+}
+
+
+def test_links_of_odd_markup(spark):
+    got = edges_of(spark, list(LINKS))
+    assert {h: sum(c.values()) for h, c in zip(LINKS, got, strict=True)} == LINKS
+    assert all(set(c) <= {"x.net"} for c in got)
+
+
+def test_links_against_a_parser(spark):
+    import html
+    import random
+    from html.parser import HTMLParser
+    from urllib.parse import urlsplit
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.found = Counter()
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "a" and (to := next((v for k, v in attrs if k == "href"), None)) and "//" in to:
+                self.found[urlsplit(to).netloc.lower()] += 1
+
+        handle_startendtag = handle_starttag
+
+    rng = random.Random(6)
+
+    def escaped(text):
+        return "".join(rng.choice([c, c, c, f"&#{ord(c)};", f"&#x{ord(c):X};"]) if c not in "&" else "&amp;" for c in text)
+
+    def value(text):
+        quote = rng.choice("\"'")
+        return quote + escaped(text.replace(quote, "")) + quote
+
+    def piece():
+        to = rng.choice(["http://h{}.net/a?b=1&c", "//h{}.com", "https://H{}.org#x", "/local/{}", "mailto:{}"]).format(rng.randrange(5))
+        attrs = [f"{k}{rng.choice(['=', ' = '])}{value(v)}" for k, v in (("title", "a > b <a href=//no.net>"), ("class", "x"), ("data-href", "http://no.org"), ("hidden", ""))]
+        rng.shuffle(attrs)
+        attrs.insert(rng.randrange(5), f"{rng.choice(['href', 'HREF', 'Href'])}={value(to)}")
+        tag = f"<{rng.choice(['a', 'A', 'b', 'link'])} {rng.choice([' ', chr(10)]).join(attrs[: rng.randint(1, 5)])}>"
+        return rng.choice(["{}", "{}", "text > {} &lt;", "<!-- {} -->", "<script>{}</script>", "<style>{}</style>", "</a>{}<br/>"]).format(tag)
+
+    pages = ["".join(piece() for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    want = []
+    for p in pages:
+        reader = Reader()
+        reader.feed(p)
+        reader.close()
+        want.append(Counter({h: n for h, n in reader.found.items() if h}))
+    assert sum(map(len, want)) > 100 and html.unescape("&#58;") == ":"
+    assert edges_of(spark, pages) == want
+
+
+def test_pages_cost_their_length(spark):
+    import time
+
+    big = 1 << 20
+    pages = ["<a href=" + " " * big, "<a href='" + "x" * big, "<a " * (big // 3), "<a href=" * (big // 8), "<a title='" * (big // 10), "<!--" * (big // 4), "<script>" * (big // 8), "<a " + "b=c " * (big // 4), "<a " + "href " * (big // 5), "<a href=x" + "/" * big, "&#" * (big // 2), "<a href='//x.net/" + "&#58;" * (big // 5) + "'>", "<" * big]
+    for p in pages:
+        began = time.time()
+        edges_of(spark, [p])
+        assert time.time() - began < 4, p[:20]
+
+
 def test_empty_table(spark):
     assert urls.filter_urls(spark.createDataFrame([], PAGES)).count() == 0
