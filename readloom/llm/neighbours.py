@@ -164,7 +164,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, lists: int = LISTS,
     vectors: vec_id, embedding. Queries are the rows whose vec_id ``every`` divides, candidates all others than
     the query's own vec_id. Vectors that are null, zero or hold null or non-finite components take no part, nor do
     null ids. A cosine needs vectors of one length: those of another than the commonest (of several the smallest) take
-    no part either. Tables with fewer than 64 k vectors are searched whole. Rows of one vec_id, equal or not, are one
+    no part either. Tables with fewer than 64 k vectors are searched whole, and by a query whose lists hold fewer than k ids. Rows of one vec_id, equal or not, are one
     result with the best of their scores, as queries and as candidates. Other columns are left out; empty tables give no rows.
     """
     rows = settle(usable(vectors).withColumn("rid", F.monotonically_increasing_id()))
@@ -174,14 +174,29 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, lists: int = LISTS,
     own = centres(unit(np.stack(sample.to_numpy())), max(1, min(lists, len(sample) // 32)))
     probed = min(len(own), math.ceil(share * len(own) + extra * math.sqrt(len(own)))) if len(sample) >= 64 * k else len(own)
 
+    found = settle(_searched(rows.withColumn("asking", F.col("vec_id") % every == 0), own, probed, k))
+    if probed < len(own):  # repeated ids may fill the probed lists: who found too few asks all
+        others = rows.select("vec_id").distinct().limit(k + 1).count() - 1
+        enough = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= min(k, others)).select(F.col("query_id").alias("vec_id"))
+        short = settle(rows.filter(F.col("vec_id") % every == 0).select("vec_id").distinct().join(enough, "vec_id", "left_anti"))
+        if short.limit(1).count():
+            asked = rows.join(short.withColumn("asking", F.lit(True)), "vec_id", "left").na.fill(False, ["asking"])
+            found = found.unionByName(_searched(asked, own, len(own), k)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _searched(rows: DataFrame, own: np.ndarray, probed: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the best of each tile, once an id. rows: vec_id, v, rid, asking; own: the centres, of which a query probes the nearest."""
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                ids, rid = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "rid"))
+                ids, rid, asking = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "rid", "asking"))
                 near = unit(matrix(batch.column("v"))) @ own.T
                 home = near.argmax(axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(ids), pa.array(rid), pa.array(np.zeros(len(ids), bool)), batch.column("v")], ["list", "vec_id", "rid", "asks", "v"])
-                ask = np.flatnonzero(ids % every == 0)
+                ask = np.flatnonzero(asking)
                 if len(ask):
                     visits = np.argsort(-near[ask], axis=1, kind="stable")[:, :probed].ravel()
                     who = np.repeat(ask, probed)
@@ -194,6 +209,4 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, lists: int = LISTS,
         dealt.join(sizes, "list").withColumn("tile", F.explode(tiles)).select("list", "tile", "vec_id", "asks", "v")
         .repartition("list", "tile").sortWithinPartitions("list", "tile", F.desc("asks"))
     )
-    found = search_tiles(met, k, len(sample[0])).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return search_tiles(met, k, own.shape[1]).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

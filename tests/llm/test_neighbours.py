@@ -102,6 +102,18 @@ def test_repeated_rows_are_one_result(spark, monkeypatch):
             assert {f[1] for f in found if f[2] < 1 - 1e-9} == {j for s, j in want if -s < 1 - 1e-9}
 
 
+def test_queries_whose_lists_one_id_fills(spark):
+    """3,000 rows of one id around the queries, 40 other ids far away: five different ids come all the same."""
+    rng = np.random.default_rng(4)
+    near, far = rng.standard_normal(16), rng.standard_normal((40, 16))
+    row = lambda v: [float(x) for x in v]
+    rows = [(0, row(near)), *[(1, row(near + 0.01 * rng.standard_normal(16))) for _ in range(3000)], *[(k + 2, row(-near + 0.3 * v)) for k, v in enumerate(far)]]
+    got = sorted((r["rank"], r.vec_id) for r in neighbours.nearest(spark.createDataFrame(rows, VECTORS)).collect())
+    exact = {i: np.float32(v).astype(float) for i, v in rows if i != 1}
+    cosine = {i: float(v @ exact[0] / np.linalg.norm(v) / np.linalg.norm(exact[0])) for i, v in exact.items() if i}
+    assert got == [(1, 1), *((k + 2, i) for k, i in enumerate(sorted(cosine, key=lambda i: (-cosine[i], i))[:4]))]
+
+
 def test_vectors_of_another_length_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [1.0, 2.0, 3.0]), (50, [1.0]), (3, [0.0, 1.0])]
     got = neighbours.nearest(spark.createDataFrame(rows, VECTORS)).collect()
