@@ -6,11 +6,13 @@ documents of good quality, a bounded sample of the labels, ``TRUSTED`` rows at m
 if the score reaches ``THRESHOLD``. Weights are whole numbers of 2^-20, so a score does not depend on
 partitions, blocks or the order of sums.
 
-Scale: two passes over the texts without shuffling them; what is shuffled is 2^16 counters a task.
+Scale: two passes over the texts without shuffling them; what is shuffled is 2^16 counters a task. Texts are read in blocks, so
+a task takes some 10 bytes a word beside the text at hand, and a few dozen a line.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import parts, schema_with, segment_sums, text_bytes, thinned
+from .words import BLOCK, covered, twice, windows, word_hashes, word_starts
 
 BUCKETS = 1 << 16
 TRUSTED = 20_000
@@ -60,11 +63,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
         both = np.zeros((2, BUCKETS), np.int64)
         for whole in batches:
             for batch in parts(whole, "text"):
-                got, after = buckets(*text_bytes(batch.column("text")))
-                both[1] += np.bincount(got, minlength=BUCKETS)
                 mark = batch.column("trusted").fill_null(False).to_numpy(zero_copy_only=False)
-                if mark.any():
-                    both[0] += np.bincount(got[np.repeat(mark, np.diff(after))], minlength=BUCKETS)
+                for first, end, got, after in trigram_blocks(*text_bytes(batch.column("text"))):
+                    both[1] += np.bincount(got, minlength=BUCKETS)
+                    if mark[first:end].any():
+                        both[0] += np.bincount(got[np.repeat(mark[first:end], np.diff(after))], minlength=BUCKETS)
         seen = np.flatnonzero(both[1])
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(both[0][seen]), pa.array(both[1][seen])], ["bucket", "target", "raw"])
 
@@ -78,62 +81,52 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     return np.rint(ratio * UNIT).astype(np.int64)
 
 
-def repeated_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_words(raw: np.ndarray, offsets: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, their code points, words in three-word windows that occur twice or more) of each text.
 
     Words and windows are told apart by 64-bit hashes of their bytes.
     """
-    rows = len(offsets) - 1
-    if not len(raw):
-        return (np.zeros(rows, np.int64),) * 3
-    word = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
-    first = word.copy()
-    first[1:] &= ~word[:-1]
-    begins = offsets[:-1][np.diff(offsets) > 0]
-    first[begins] |= word[begins]
-    starts = np.flatnonzero(first)
-    chars = segment_sums(word & ((raw & 0xC0) != 0x80), offsets)
-    words = segment_sums(first, offsets)
-    if not len(starts):
-        return words, chars, np.zeros(rows, np.int64)
-    owner = np.repeat(np.arange(rows), words)
-    # hash of a word: its bytes' random values mixed with their place, summed; white space counts nothing
-    place = np.arange(len(raw), dtype=np.int64)
-    within = (place - starts[np.maximum(np.cumsum(first) - 1, 0)]).astype(np.uint64)
-    mixed = _mix((raw.astype(np.uint64) << np.uint64(40)) ^ within)
-    mixed[~word] = 0
-    h = _mix(np.add.reduceat(mixed, starts))
-    repeats = np.zeros(len(starts), bool)
-    if len(starts) > 2:
-        whole = owner[:-2] == owner[2:]
-        w = _mix(_mix(_mix(h[:-2]) + h[1:-1]) + h[2:]) ^ _mix(owner[:-2].astype(np.uint64) + np.uint64(1))
-        at = np.flatnonzero(whole)
-        order = np.argsort(w[at], kind="stable")
-        same = w[at][order][1:] == w[at][order][:-1]
-        twice = np.zeros(len(at), bool)
-        twice[:-1] |= same
-        twice[1:] |= same
-        hit = at[order[twice]] if len(at) else at
-        for k in range(3):
-            repeats[hit + k] = True
-    return words, chars, np.bincount(owner[repeats], minlength=rows)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """Finaliser of a 64-bit hash, on whole arrays."""
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-def repeated_lines(text: str | None) -> int:
-    """Lines with a word that equal an earlier line of the text."""
-    if not text or "\n" not in text:
-        return 0
-    lines = [x for x in text.split("\n") if x.strip(" \t\n\v\f\r")]
-    return len(lines) - len(set(lines))
+    chars, repeats = np.zeros(len(offsets) - 1, np.int64), np.zeros(len(offsets) - 1, np.int64)
+    for lo, word, _ in word_starts(raw, offsets, block):
+        add_sums(chars, word & ((raw[lo : lo + len(word)] & 0xC0) != 0x80), lo, offsets)
+    words, _, hashes = word_hashes(raw, offsets, block)
+    valid = windows(hashes, words, 3, block)
+    begins = twice(hashes, valid, block)
+    del hashes, valid
+    inside = covered(begins, 3)
+    for lo in range(0, len(inside), block):
+        add_sums(repeats, inside[lo : lo + block], lo, np.concatenate([[0], np.cumsum(words)]))
+    return words, chars, repeats
+
+
+def add_sums(out: np.ndarray, values: np.ndarray, lo: int, offsets: np.ndarray) -> None:
+    """Add to out the sums of a block of values, which begins at place lo, over the segments that offsets delimit."""
+    first, end = int(np.searchsorted(offsets, lo, side="right")) - 1, int(np.searchsorted(offsets, lo + len(values)))
+    edges = np.clip(offsets[first : end + 1] - lo, 0, len(values))
+    running = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    out[first:end] += running[edges[1:]] - running[edges[:-1]]
+
+
+def trigram_blocks(raw: np.ndarray, offsets: np.ndarray, block: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, end, buckets, offsets) of the trigrams that begin in a block of bytes, by the texts that it touches; each trigram once."""
+    for lo in range(0, len(raw), block):
+        hi = min(lo + block, len(raw))
+        first, end = int(np.searchsorted(offsets, lo, side="right")) - 1, int(np.searchsorted(offsets, hi))
+        yield first, end, *buckets(raw[lo : hi + 2], np.clip(offsets[first : end + 1] - lo, 0, min(hi + 2, len(raw)) - lo))
+
+
+def repeated_lines(text: bytes) -> int:
+    """Lines with a word that equal an earlier line of the text (UTF-8). Of long lines a digest of 128 bits is kept."""
+    seen: set[bytes] = set()
+    at, lines = 0, 0
+    while at < len(text):
+        end = text.find(b"\n", at)
+        line = text[at : end if end >= 0 else len(text)]
+        at = end + 1 if end >= 0 else len(text)
+        if line.strip(b" \t\v\f\r"):
+            lines += 1
+            seen.add(line if len(line) < 24 else b"#%d#" % len(line) + hashlib.blake2b(line, digest_size=16).digest())
+    return lines - len(seen)
 
 
 def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
@@ -152,11 +145,15 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) ->
             for batch in parts(whole, "text", 2 << 20):
                 raw, offsets = text_bytes(batch.column("text"))
                 words, chars, repeats = repeated_words(raw, offsets)
-                got, after = buckets(raw, offsets)
-                llr = segment_sums(table[got], after) / UNIT / np.maximum(np.diff(after), 1)
+                symbols, ratio = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+                for first, end, got, after in trigram_blocks(raw, offsets):
+                    ratio[first:end] += segment_sums(table[got], after)
+                for lo in range(0, len(raw), BLOCK):
+                    add_sums(symbols, symbol[raw[lo : lo + BLOCK]], lo, offsets)
+                llr = ratio / UNIT / np.maximum(np.diff(offsets) - 2, 1)
                 failed = (words < MIN_WORDS) | (100 * repeats > MAX_REPEATED * words)
-                lines = np.array([repeated_lines(t) for t in batch.column("text").to_pylist()], np.int64)
-                made = [words, chars, segment_sums(symbol[raw], offsets), lines, repeats, llr, failed, ~failed & (llr >= threshold)]
+                lines = np.array([repeated_lines(raw[lo:hi].tobytes()) for lo, hi in zip(offsets[:-1], offsets[1:], strict=True)], np.int64)
+                made = [words, chars, symbols, lines, repeats, llr, failed, ~failed & (llr >= threshold)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in have), *map(pa.array, made)], [*(f.name for f in have), *new])
 
     return docs.mapInArrow(run, schema_with(have, ", ".join(f"{k} {v}" for k, v in new.items())))

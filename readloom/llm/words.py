@@ -46,8 +46,13 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, block: int = BLOCK, is_wor
 
     A word's hash sums its bytes, each mixed with its place in the word, so a word may reach over blocks.
     """
-    counts, starts, hashes = np.zeros(len(offsets) - 1, np.int64), [], []
-    last, begun = np.uint64(0), 0  # sum and first byte of the word that is open
+    counts = np.zeros(len(offsets) - 1, np.int64)
+    for lo, _, first in word_starts(raw, offsets, block, is_word):
+        at = np.flatnonzero(first) + lo
+        counts += np.bincount(np.searchsorted(offsets, at, side="right") - 1, minlength=len(counts))
+    n = int(counts.sum())
+    starts, hashes = np.empty(n, np.uint32), np.empty(n, np.uint64)
+    last, begun, done = np.uint64(0), 0, 0  # sum and first byte of the word that is open, and words that began before
     for lo, word, first in word_starts(raw, offsets, block, is_word):
         at = np.flatnonzero(first)
         opened = np.concatenate([[begun], at + lo])
@@ -56,24 +61,16 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, block: int = BLOCK, is_wor
         each[~word] = 0
         with np.errstate(over="ignore"):
             last = last + each[: at[0] if len(at) else len(each)].sum(dtype=np.uint64)
+        if done:
+            hashes[done - 1] = last
         if len(at):
-            sums = np.add.reduceat(each, at)
-            if starts:
-                hashes.append(last[None])
-            hashes.append(sums[:-1])
-            starts.append((at + lo).astype(np.uint32))
-            last, begun = sums[-1], int(at[-1]) + lo
-            counts += np.bincount(np.searchsorted(offsets, at + lo, side="right") - 1, minlength=len(counts))
-    if not starts:
-        return counts, np.zeros(0, np.uint32), np.zeros(0, np.uint64)
-    hashes.append(last[None])
-    all_starts = np.concatenate(starts)
-    starts.clear()
-    all_hashes = np.concatenate(hashes)
-    hashes.clear()
-    for lo in range(0, len(all_hashes), block):
-        all_hashes[lo : lo + block] = mixed(all_hashes[lo : lo + block])
-    return counts, all_starts, all_hashes
+            hashes[done : done + len(at)] = np.add.reduceat(each, at)
+            starts[done : done + len(at)] = at + lo
+            done += len(at)
+            last, begun = hashes[done - 1], int(at[-1]) + lo
+    for lo in range(0, n, block):
+        hashes[lo : lo + block] = mixed(hashes[lo : lo + block])
+    return counts, starts, hashes
 
 
 def windows(hashes: np.ndarray, counts: np.ndarray, size: int, block: int = BLOCK) -> np.ndarray:
@@ -99,11 +96,16 @@ def windows(hashes: np.ndarray, counts: np.ndarray, size: int, block: int = BLOC
 def twice(values: np.ndarray, valid: np.ndarray, block: int = BLOCK) -> np.ndarray:
     """Which of the valid values are there twice or more; sorts a share of the value space at a time."""
     out = np.zeros(len(values), bool)
-    bits = max(0, (len(values) // block).bit_length())
+    bits = min(16, max(0, (len(values) // block).bit_length()))
+    shares = np.zeros(len(values), np.uint8 if bits <= 8 else np.uint16)
+    for lo in range(0, len(values) if bits else 0, block):
+        shares[lo : lo + block] = values[lo : lo + block] >> np.uint64(64 - bits)
     for share in range(1 << bits):
-        at = np.flatnonzero(valid & (values >> np.uint64(64 - bits) == share)) if bits else np.flatnonzero(valid)
-        order = np.argsort(values[at], kind="stable")
-        same = values[at[order[1:]]] == values[at[order[:-1]]]
+        at = np.flatnonzero(valid & (shares == share))
+        mine = values[at]
+        order = np.argsort(mine, kind="stable")
+        mine = mine[order]
+        same = mine[1:] == mine[:-1]
         out[at[order[1:][same]]] = True
         out[at[order[:-1][same]]] = True
     return out

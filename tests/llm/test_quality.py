@@ -1,4 +1,7 @@
+import math
 import re
+import subprocess
+import sys
 from collections import Counter
 
 import pyarrow as pa
@@ -49,7 +52,7 @@ def test_counts_of_any_texts(texts):
     for k, t in enumerate(texts):
         want = brute(t)
         assert (words[k], chars[k], repeats[k]) == (want[0], want[1], want[4])
-        assert quality.repeated_lines(t) == want[3]
+        assert quality.repeated_lines((t or '').encode()) == want[3]
 
 
 @settings(max_examples=100, deadline=None)
@@ -60,6 +63,75 @@ def test_trigrams_do_not_cross_texts(texts):
     assert [got[a:b].tolist() for a, b in zip(after[:-1], after[1:], strict=True)] == alone
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="ab \né|", max_size=30)), min_size=1, max_size=5), st.integers(1, 9))
+def test_nothing_hangs_on_blocks(texts, block):
+    raw, offsets = text_bytes(pa.array(texts, pa.string()))
+    for a, b in zip(quality.repeated_words(raw, offsets, block), quality.repeated_words(raw, offsets), strict=True):
+        assert a.tolist() == b.tolist()
+    got, after = quality.buckets(raw, offsets)
+    mine = [[] for _ in texts]
+    for first, end, part, cuts in quality.trigram_blocks(raw, offsets, block):
+        for k in range(first, end):
+            mine[k] += part[cuts[k - first] : cuts[k - first + 1]].tolist()
+    assert mine == [got[a:b].tolist() for a, b in zip(after[:-1], after[1:], strict=True)]
+
+
+def trigram_counts(text):
+    """Hashed trigrams of UTF-8 bytes, one by one."""
+    b, out = (text or "").encode(), Counter()
+    for x, y, z in zip(b, b[1:], b[2:]):
+        h = ((x * 0x9E3779B1) ^ (y * 0x85EBCA77) ^ (z * 0xC2B2AE3D)) & 0xFFFFFFFF
+        out[(h ^ (h >> 15)) & 0xFFFF] += 1
+    return out
+
+
+def test_ratio_and_verdict_against_brute_force(spark):
+    """The ratio of every document, from the definition, over all documents and all trusted labels."""
+    folder = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    good = {r.doc_id for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if r.quality == 1}
+    counts = {r.doc_id: trigram_counts(r.text) for r in rows}
+    raw, target = Counter(), Counter()
+    for r in rows:
+        raw += counts[r.doc_id]
+        if r.doc_id in good:
+            target += counts[r.doc_id]
+    n, m = sum(target.values()) + 65536, sum(raw.values()) + 65536
+    weight = {k: round((math.log((target[k] + 1) / n) - math.log((raw[k] + 1) / m)) * 2**20) for k in raw}
+    got = {r.doc_id: r for r in op10_quality_rules(spark, folder).collect()}
+    for r in rows:
+        c = counts[r.doc_id]
+        llr = sum(weight[k] * v for k, v in c.items()) / 2**20 / max(1, sum(c.values()))
+        assert abs(got[r.doc_id].llr - llr) < 2e-6
+        words, *_, repeated = brute(r.text)
+        failed = words < 50 or 100 * repeated > 50 * words
+        if abs(llr - quality.THRESHOLD) > 1e-5:
+            assert got[r.doc_id].kept == (not failed and llr >= quality.THRESHOLD)
+
+
+def test_long_texts_take_bounded_memory(tmp_path):
+    """A text of 200 MB in a process of its own: less than 1 GB in all."""
+    code = """
+import resource, numpy as np, pyarrow as pa
+from readloom.llm import quality
+from readloom.llm.common import text_bytes
+rng = np.random.default_rng(0)
+words = np.array([w.encode() for w in ("alpha", "be", "gamma", "delta's", "of", "the", "\\n", "epsilon")])
+text = b" ".join(words[rng.integers(0, 8, 1 << 18)].tolist())
+big = pa.array([text * (200_000_000 // len(text))], pa.string())
+raw, offsets = text_bytes(big)
+n, chars, repeats = quality.repeated_words(raw, offsets)
+seen = sum(len(got) for _, _, got, _ in quality.trigram_blocks(raw, offsets))
+lines = quality.repeated_lines(raw.tobytes())
+assert seen == len(raw) - 2 and n[0] > 10_000_000 and repeats[0] == n[0]
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code.replace("\\\\", "\\")], capture_output=True, text=True, timeout=600)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout) < 1000
+
+
 def test_odd_rows(spark):
     rows = docs(spark, odd_texts()).selectExpr("*", "1 as llr", "'x' as kept")
     labels = spark.createDataFrame([(6, 1, 0), (None, 1, 0), (4, None, None)], "doc_id long, quality int, toxic int")
