@@ -75,10 +75,10 @@ def traits(element: str) -> tuple[int, bool, bool]:
 class Place:
     """The end of a tag path: an element like ``div.ad`` (a name and the words of class, id and role) under another place.
 
-    Paths share what they have in common, so a block costs the same however deep it stands.
+    Paths share what they have in common, so a block costs the same however deep it stands, and equal paths are one place.
     """
 
-    __slots__ = ("element", "inside", "mask", "other", "over")
+    __slots__ = ("element", "inside", "mask", "other", "over", "under")
 
     def __init__(self, element: str, over: Place | None):
         self.element, self.over = element, over
@@ -87,6 +87,15 @@ class Place:
             self.mask |= over.mask
             self.inside |= over.inside
             self.other |= over.other
+        self.under: dict[str, Place] | None = None
+
+    def place(self, element: str) -> Place:
+        """The place of an element under this one."""
+        if self.under is None:
+            self.under = {}
+        if (found := self.under.get(element)) is None:
+            found = self.under[element] = Place(element, self)
+        return found
 
     def path(self) -> tuple[str, ...]:
         out, at = [], self
@@ -99,7 +108,7 @@ class Place:
 def place_of(path: Sequence[str]) -> Place:
     at = Place("", None)
     for element in path:
-        at = Place(element, at)
+        at = at.place(element)
     return at
 
 
@@ -156,8 +165,8 @@ def blocks(page: str | None) -> list[tuple[Place, str, int]]:
 
     def close() -> None:
         nonlocal text, linked
-        if text:
-            out.append((path[-1], text, linked))
+        if text and (plain := " ".join("".join(text).split())):
+            out.append((path[-1], plain, min(linked, len(plain))))
         text, linked = [], 0  # another list: the one before may have to come back
 
     def cut(to: int, ended: bool = False) -> None:
@@ -236,7 +245,7 @@ def blocks(page: str | None) -> list[tuple[Place, str, int]]:
             if not empty:
                 words = NAME.findall(" ".join(x or y or z for x, y, z in ATTRIBUTE.findall(attrs)).lower()) if attrs else []
                 place = len(names)
-                path.append(Place(".".join([name, *words]), path[-1]))
+                path.append(path[-1].place(".".join([name, *words])))
                 names.append(name)
                 places[name].append(place)
                 if name not in INLINE:
@@ -246,8 +255,7 @@ def blocks(page: str | None) -> list[tuple[Place, str, int]]:
                 if name in UNSEEN:
                     hidden.append((place, *before))
     close()
-    found = ((where, " ".join("".join(pieces).split()), n) for where, pieces, n in out)
-    return [(where, plain, min(n, len(plain))) for where, plain, n in found if plain]
+    return out
 
 
 def weak_labels(found: list[tuple[Place, str, int]]) -> list[int] | None:
@@ -260,8 +268,9 @@ def bucket(key: str, size: int) -> int:
     return zlib.crc32(key.encode("utf-8", "surrogatepass")) % size
 
 
-def features(found: list[tuple[Place, str, int]]) -> np.ndarray:
-    """A row a block: hashed tag path, hashed words (shares), length, share of links, words, place on the page."""
+def features(found: list[tuple[Place, str, int]], first: int = 0, total: int | None = None) -> np.ndarray:
+    """A row a block: hashed tag path, hashed words (shares), length, share of links, words, place on the page. The blocks may be a part of a page: the first's number and that of all."""
+    total = total or len(found)
     x = np.zeros((len(found), PATH_SIZE + WORD_SIZE + NUMBERS), np.float32)
     masks = np.frombuffer(b"".join(place.mask.to_bytes(PATH_SIZE // 8, "little") for place, _, _ in found), np.uint8)
     x[:, :PATH_SIZE] = np.unpackbits(masks.reshape(-1, PATH_SIZE // 8), axis=1, bitorder="little")
@@ -269,7 +278,7 @@ def features(found: list[tuple[Place, str, int]]) -> np.ndarray:
         words = text.split()
         got = [bucket(w, WORD_SIZE) for w in words]
         x[k, PATH_SIZE : PATH_SIZE + WORD_SIZE] = np.bincount(got, minlength=WORD_SIZE) / len(words)
-        x[k, -NUMBERS:] = np.log1p(len(text)) / 8, linked / len(text), np.log1p(len(words)) / 6, k / len(found)
+        x[k, -NUMBERS:] = np.log1p(len(text)) / 8, linked / len(text), np.log1p(len(words)) / 6, (first + k) / total
     return x
 
 
@@ -290,11 +299,12 @@ class Labeller:
         s = 0.5 * (np.tanh(0.5 * z[:, : 3 * h]) + 1)
         return s[:, :h], s[:, h : 2 * h], s[:, 2 * h :], np.tanh(z[:, 3 * h :])
 
-    def run(self, x: np.ndarray, mask: np.ndarray, side: str) -> tuple[np.ndarray, list]:
-        """States (pages, blocks, hidden) of one direction; padding passes the state on."""
+    def run(self, x: np.ndarray, mask: np.ndarray, side: str, tape: list | None = None, start: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """States (pages, blocks, hidden) of one direction, and the last state and cell; padding passes the state on. What training needs goes onto the tape."""
         n, steps, h = x.shape[0], x.shape[1], self.hidden
         z = (x.reshape(n * steps, -1) @ self.p[f"x{side}"]).reshape(n, steps, 4 * h) + self.p[f"c{side}"]
-        state, cell, out, tape = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32), np.zeros((n, steps, h), np.float32), []
+        state, cell = start or (np.zeros((n, h), np.float32), np.zeros((n, h), np.float32))
+        out = np.zeros((n, steps, h), np.float32)
         for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
             i, f, o, g = self.gates(z[:, t] + state @ self.p[f"h{side}"], h)
             m = mask[:, t, None]
@@ -302,18 +312,19 @@ class Labeller:
             c = m * fresh + (1 - m) * cell
             tc = np.tanh(c)
             new = m * (o * tc) + (1 - m) * state
-            tape.append((t, i, f, o, g, cell, tc, state, m))
+            if tape is not None:
+                tape.append((t, i, f, o, g, cell, tc, state, m))
             state, cell = new, c
             out[:, t] = state
-        return out, tape
+        return out, (state, cell)
 
-    def forward(self, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, tuple]:
-        (hf, tf), (hb, tb) = self.run(x, mask, "f"), self.run(x, mask, "b")
-        both = np.concatenate([hf, hb], axis=2)
-        return 1 / (1 + np.exp(-np.clip((both @ self.p["out"])[..., 0] + self.p["bias"], -30, 30))), (both, tf, tb)
+    def forward(self, x: np.ndarray, mask: np.ndarray, tapes: tuple[list | None, list | None] = (None, None)) -> tuple[np.ndarray, np.ndarray]:
+        both = np.concatenate([self.run(x, mask, side, tape)[0] for side, tape in zip("fb", tapes, strict=True)], axis=2)
+        return 1 / (1 + np.exp(-np.clip((both @ self.p["out"])[..., 0] + self.p["bias"], -30, 30))), both
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        got, (both, *tapes) = self.forward(x, mask)
+        tapes: tuple[list, list] = ([], [])
+        got, both = self.forward(x, mask, tapes)
         d = ((got - y) * mask / mask.sum()).astype(np.float32)
         out = {"out": (both * d[..., None]).sum(axis=(0, 1))[:, None], "bias": np.array([d.sum()], np.float32)}
         h = self.hidden
@@ -354,21 +365,37 @@ class Labeller:
                     second[name] = 0.99 * second[name] + 0.01 * g * g
                     self.p[name] = (self.p[name] - rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
 
-    def label(self, pages: list[np.ndarray], cells: int = 1 << 15) -> list[np.ndarray]:
-        """True for article blocks, of each page. Pages of like length are padded together, ``cells`` blocks at a time."""
+    def label(self, pages: list[list[tuple[Place, str, int]]], cells: int = 1 << 15, long: int = 1 << 12) -> list[np.ndarray]:
+        """True for article blocks, of the blocks of each page. Pages of like length are padded together, ``cells`` blocks at a time; one of more than ``long`` blocks is read in parts."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
         at = 0
         while at < len(order):
+            if len(pages[order[at]]) > long:
+                out[order[at]] = self.label_long(pages[order[at]], long)
+                at += 1
+                continue
             to = at + 1
-            while to < len(order) and (to + 1 - at) * len(pages[order[to]]) <= cells:
+            while to < len(order) and len(pages[order[to]]) <= long and (to + 1 - at) * len(pages[order[to]]) <= cells:
                 to += 1
-            got, _ = self.forward(*padded([pages[k] for k in order[at:to]]))
+            got, _ = self.forward(*padded([features(pages[k]) for k in order[at:to]]))
             for row, k in enumerate(order[at:to]):
                 out[k] = got[row, : len(pages[k])] >= 0.5
             at = to
         return out
 
+    def label_long(self, page: list[tuple[Place, str, int]], part: int) -> np.ndarray:
+        """label() of one page, ``part`` blocks at a time in either direction: states are carried over, and of a block one number a direction is kept."""
+        score = np.full(len(page), self.p["bias"][0], np.float32)
+        for side, weights in zip("fb", np.split(self.p["out"], 2), strict=True):
+            state = None
+            cuts = range(0, len(page), part)
+            for lo in cuts if side == "f" else reversed(cuts):
+                x = features(page[lo : lo + part], lo, len(page))[None]
+                states, state = self.run(x, np.ones(x.shape[:2], np.float32), side, start=state)
+                score[lo : lo + part] += (states[0] @ weights)[:, 0]
+        return score >= 0
+
 
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     steps = max(map(len, pages))
@@ -457,7 +484,7 @@ def extract(pages: DataFrame, model: Labeller) -> DataFrame:
         for whole in batches:
             for batch in parts(whole, "html", 2 << 20):
                 found = [blocks(t) for t in batch.column("html").to_pylist()]
-                marks = own.label([features(x) for x in found])
+                marks = own.label(found)
                 texts = [" ".join(b[1] for b, y in zip(x, mark, strict=True) if y) for x, mark in zip(found, marks, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), pa.array(texts, pa.string())], [*(f.name for f in keep), "text"])
 

@@ -37,7 +37,7 @@ def test_held_out_layouts(spark, model):
     for r in rows[-60:]:
         found = extract.blocks(r.html)
         page, marks = extract.relaid(found, extract.weak_labels(found), rng, articles, around)
-        got = model.label([extract.features(page)])[0]
+        got = model.label([page])[0]
         wrong += sum(int(a) != b for a, b in zip(got, marks, strict=True))
         n += len(marks)
     assert wrong <= 0.02 * n
@@ -173,3 +173,36 @@ def test_ends_of_tags_against_brute_force():
             got = tags.end(at)
             assert got == old_end(page, at), (page, at)
             at = max(at + rng.randint(1, 4), got)
+
+
+def test_pages_read_in_parts_are_labelled_alike():
+    import numpy as np
+
+    model = extract.Labeller()
+    page = extract.blocks("<body><nav><a>x y</a></nav><article>" + "".join(f"<p>word{k} and {'more ' * (k % 7)}<div class=ad>buy</div>" for k in range(150)))
+    whole = model.label([page])[0]
+    assert len(page) > 250
+    for part in (1, 7, 64, 1000):
+        got = model.label([page, page[:3]], long=part)
+        assert (got[0] == whole).all() and len(got[1]) == 3
+    z, _ = model.forward(*extract.padded([extract.features(page)]))
+    assert not np.allclose(z, z[0, 0])
+
+
+def test_a_page_of_millions_of_blocks_takes_bounded_memory():
+    """10 MB of one-letter blocks: cut, described in parts, and labelled in parts, in less than 1 GB (the network on a tenth of it)."""
+    import subprocess
+    import sys
+
+    code = """
+import resource
+from readloom.llm import extract
+page = extract.blocks("<p>x" * 2_500_000)
+assert len(page) == 2_500_000 and page[0][0] is page[-1][0]
+model = extract.Labeller()
+model.label([page[:250_000]])
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=900)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout) < 1000
