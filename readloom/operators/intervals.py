@@ -5,29 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Width of a bin: about that of a region. Wider bins cost comparisons, narrower ones rows.
-BIN = 64
+#: Widths of the bins: reads up to a width, and longer than the one before, lie on its bins.
+WIDTHS = tuple(64 * 8**k for k in range(9))
 
 
-def _bins(start: Column, end: Column, width: int) -> Column:
-    return F.explode(F.sequence(F.floor(start / width), F.floor(end / width)))
-
-
-def overlap(reads: DataFrame, regions: DataFrame, width: int = BIN) -> DataFrame:
+def overlap(reads: DataFrame, regions: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """A row for each read and region with read_start < end and read_end >= start - 1 on one chromosome.
 
-    reads: chromosome, read_start, read_end, others; regions: chr, start, end, name, others. Both sides are laid on
-    bins and joined by (chromosome, bin); a pair stays only in the later of the two first bins, so it comes once
-    without a distinct. Reads and regions without a partner go.
+    reads: chromosome, read_start, read_end, others; regions: chr, start, end, name, others. A read of any length is one
+    row: it lies on the bin of its start, of the least width that is not smaller than itself. A region is laid on the bins of every width
+    where such reads may begin that reach it, so a read meets regions within a few of its own lengths, and each pair once. Reads
+    and regions without a partner go.
 
-    Spark picks the join by the sizes it measures. A chromosome is spread over its bins, so no single key grows with it.
+    Spark picks the join by the sizes it measures: a small table of regions is broadcast and reads are not shuffled at all; else they meet by
+    (chromosome, width, bin), and a bin with very many reads is split by adaptive execution.
     """
-    binned_reads = reads.withColumn("_bin", _bins(F.col("read_start"), F.col("read_end"), width))
-    binned = regions.withColumnsRenamed({"start": "region_start", "end": "region_end"}).withColumn("_bin", _bins(F.col("region_start") - 1, F.col("region_end"), width)).withColumnRenamed("chr", "_chr")
-    both = binned_reads.join(binned, (binned_reads.chromosome == binned._chr) & (binned_reads._bin == binned._bin))
-    first = F.greatest(F.floor(F.col("read_start") / width), F.floor((F.col("region_start") - 1) / width))
+    length = F.col("read_end") - F.col("read_start") + 1
+    level = sum((F.when(length > w, 1).otherwise(0) for w in widths[:-1]), F.lit(0))
+    width = F.element_at(F.array(*[F.lit(w).cast("long") for w in widths]), F.col("_level") + 1)
+    placed = reads.withColumn("_level", level).withColumn("_bin", F.floor(F.col("read_start") / width))
+    named = regions.withColumnsRenamed({"start": "region_start", "end": "region_end", "chr": "_chr"})
+    # a read of the last width may be longer than it: all bins before the region's end are its own
+    first = [F.floor((F.col("region_start") - w) / w) for w in widths[:-1]] + [F.lit(0).cast("long")]
+
+    def spots(k: int) -> Column:
+        return F.transform(F.sequence(first[k], F.floor((F.col("region_end") - 1) / widths[k])), lambda x: F.struct(F.lit(k).alias("_l"), x.alias("_b")))
+
+    laid = named.withColumn("_at", F.explode(F.flatten(F.array(*[spots(k) for k in range(len(widths))])))).select("*", "_at._l", "_at._b").drop("_at")
+    both = placed.join(laid, (F.col("chromosome") == F.col("_chr")) & (F.col("_level") == F.col("_l")) & (F.col("_bin") == F.col("_b")))
     meets = (F.col("read_start") < F.col("region_end")) & (F.col("read_end") >= F.col("region_start") - 1)
-    return both.filter(meets & (binned_reads._bin == first)).drop("_bin", "_chr")
+    return both.filter(meets).drop("_level", "_bin", "_l", "_b", "_chr")
 
 
 def merge(rows: DataFrame, keys: list[str], start: str = "start", end: str = "end", gap: int = 0, width: int = 1 << 16) -> DataFrame:

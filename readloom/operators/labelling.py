@@ -25,9 +25,9 @@ def class_counts(rows: DataFrame, classes: int, keys: tuple[str, ...] = ("name",
 
 def class_weights(rows: DataFrame) -> DataFrame:
     """(original_label, n, weight): median of the class totals over the own total."""
-    totals = rows.groupBy("original_label").agg(F.count("*").alias("n")).withColumn("_one", F.lit(1))
-    middle = totals.groupBy("_one").agg(F.median("n").alias("_m"))
-    return totals.join(middle, "_one").select("original_label", "n", (F.col("_m") / (F.col("n") + 1e-9)).alias("weight"))
+    totals = rows.groupBy("original_label").agg(F.count("*").alias("n"))
+    middle = totals.agg(F.median("n").alias("_m"))
+    return totals.join(F.broadcast(middle), F.lit(True)).select("original_label", "n", (F.col("_m") / (F.col("n") + 1e-9)).alias("weight"))
 
 
 def counted_weights(counts: DataFrame, classes: int) -> DataFrame:
@@ -43,18 +43,19 @@ def class_priors(rows: DataFrame, classes: int, kind: str = "frequency") -> Data
     codes = rows.sparkSession.range(classes).select(F.col("id").cast("int").alias("original_label"))
     n = codes.join(rows.groupBy("original_label").agg(F.count("*").alias("n")), "original_label", "left").na.fill(0, ["n"])
     value = {"uniform": F.lit(1.0), "frequency": F.col("n").cast("double"), "inverse": F.when(F.col("n") > 0, 1.0 / F.col("n")).otherwise(0.0)}[kind]
-    weighed = n.withColumn("_v", value).withColumn("_one", F.lit(1))
-    total = weighed.groupBy("_one").agg(F.sum("_v").alias("_t"))
-    return weighed.join(total, "_one").select("original_label", F.when(F.col("_t") > 0, F.col("_v") / F.col("_t")).otherwise(1.0 / classes).alias("prior"))
+    weighed = n.withColumn("_v", value)
+    total = weighed.agg(F.sum("_v").alias("_t"))
+    return weighed.join(F.broadcast(total), F.lit(True)).select("original_label", F.when(F.col("_t") > 0, F.col("_v") / F.col("_t")).otherwise(1.0 / classes).alias("prior"))
 
 
-def weighed(counts: DataFrame, weights: DataFrame, classes: int) -> DataFrame:
-    """counts with soft_label: weighted counts over their sum (all 0 if there are none)."""
-    table = weights.agg(F.map_from_entries(F.collect_list(F.struct("original_label", "weight"))).alias("_w")).withColumn("_one", F.lit(1))  # one entry a class
+def weighed(counts: DataFrame, weights: DataFrame, classes: int, keep: str | None = None) -> DataFrame:
+    """counts with soft_label: weighted counts over their sum (all 0 if there are none); the weighted counts too, under the name ``keep``."""
+    table = weights.agg(F.map_from_entries(F.collect_list(F.struct("original_label", "weight"))).alias("_w"))  # one row, an entry a class
     v = F.transform("counts", lambda c, k: c * F.coalesce(F.try_element_at(F.col("_w"), k), F.lit(0.0)))
-    joined = counts.withColumn("_one", F.lit(1)).join(table, "_one").withColumn("_v", v)
+    joined = counts.join(F.broadcast(table), F.lit(True)).withColumn("_v", v)
     total = vectors.total(F.col("_v"))
-    return joined.withColumn("soft_label", F.when(total > 0, F.transform("_v", lambda x: x / total)).otherwise(F.col("_v"))).drop("_one", "_w", "_v")
+    found = joined.withColumn("soft_label", F.when(total > 0, F.transform("_v", lambda x: x / total)).otherwise(F.col("_v"))).drop("_w")
+    return found.withColumnRenamed("_v", keep) if keep else found.drop("_v")
 
 
 def soft_labels(rows: DataFrame, classes: int) -> DataFrame:
@@ -104,11 +105,13 @@ def near_pairs(counts: DataFrame, max_distance: float, of: DataFrame | None = No
 
 def pooled_counts(counts: DataFrame, classes: int, min_reads: int = 30, max_distance: float = 0.5) -> DataFrame:
     """counts summed over a signature's neighbours in its region, nearest first (Jaccard, ties by signature), until min_reads are there; none beyond max_distance."""
-    pairs = near_pairs(counts, max_distance).join(counts.select("name", F.col("signature").alias("other"), "counts"), ["name", "other"])
     n = F.aggregate("counts", F.lit(0).cast("long"), lambda acc, x: acc + x)
+    few = counts.filter(n < min_reads).select("name", "signature")  # the others need no neighbours
+    pairs = near_pairs(counts, max_distance, few).join(counts.select("name", F.col("signature").alias("other"), "counts"), ["name", "other"])
     before = F.coalesce(F.sum("n").over(Window.partitionBy("name", "signature").orderBy("distance", "other").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     used = pairs.withColumn("n", n).withColumn("before", before).filter(F.col("before") < min_reads)
-    return used.groupBy("name", "signature").agg(F.array(*[F.sum(F.col("counts")[k]) for k in range(classes)]).alias("counts"))
+    pooled = used.groupBy("name", "signature").agg(F.array(*[F.sum(F.col("counts")[k]) for k in range(classes)]).alias("counts"))
+    return counts.filter(n >= min_reads).select("name", "signature", "counts").unionByName(pooled)
 
 
 def pooled_soft_labels(rows: DataFrame, classes: int, min_reads: int = 30, max_distance: float = 0.5) -> DataFrame:
@@ -118,24 +121,28 @@ def pooled_soft_labels(rows: DataFrame, classes: int, min_reads: int = 30, max_d
 
 
 def fit_lookup(rows: DataFrame, classes: int, min_reads: int = 30, max_distance: float = 0.41) -> DataFrame:
-    """(name, signature, counts): the model of a soft lookup. counts are soft labels: pooled over near signatures and weighed by class."""
-    return pooled_soft_labels(rows, classes, min_reads, max_distance).select("name", "signature", F.col("soft_label").alias("counts"))
+    """(name, signature, counts, label): the model of a soft lookup. counts are pooled over near signatures and weighed by class; label is what a known signature is told, their shares."""
+    base = settled(class_counts(rows, classes))
+    pooled = weighed(pooled_counts(base, classes, min_reads, max_distance), counted_weights(base, classes), classes, keep="weighted")
+    return pooled.select("name", "signature", F.col("weighted").alias("counts"), F.col("soft_label").alias("label"))
 
 
 def fit_hard_lookup(rows: DataFrame, classes: int, least: float = 10.0) -> DataFrame:
-    """(name, signature, counts): the model of a hard lookup: 1 for the class with the largest weighed count, shared by classes that tie.
+    """(name, signature, counts, label): the model of a hard lookup: 1 for the class with the largest weighed count, shared by classes that tie exactly.
 
-    Raises where the largest is not ``least`` times the next smaller one, unless classes tie: such a table is not fit for hard calls.
+    Raises where, of all reads, the largest class has less than ``least`` times the reads of the next one: hard calls want a background that dominates.
     """
-    counts = settled(class_counts(rows, classes))
-    soft = settled(weighed(counts, counted_weights(counts, classes), classes).select("name", "signature", "soft_label"))
-    most = F.array_max("soft_label")
-    ties = F.size(F.filter("soft_label", lambda x: x >= most - 1e-9))
-    next_one = F.coalesce(F.array_max(F.filter("soft_label", lambda x: x < most - 1e-9)), F.lit(0.0))
-    bad = soft.filter((ties == 1) & (most < least * next_one)).take(3)
-    if bad:
-        raise ValueError(f"signatures without a clear class: {[(r.name, r.signature) for r in bad]}")
-    return soft.select("name", "signature", F.transform("soft_label", lambda x: F.when(x >= most - 1e-9, 1.0 / ties).otherwise(0.0)).alias("counts"))
+    base = settled(class_counts(rows, classes))
+    totals = base.agg(*[F.sum(F.col("counts")[k]).alias(str(k)) for k in range(classes)]).first()
+    order = sorted(((n or 0, k) for k, n in enumerate(totals)), reverse=True)
+    if len(order) > 1 and order[0][0] < least * order[1][0]:
+        (top, a), (next_one, b) = order[:2]
+        raise ValueError(f"class {a} has {top} reads and class {b} has {next_one}: the largest class must have {least:g} times the reads of the next")
+    soft = weighed(base, counted_weights(base, classes), classes, keep="weighted")
+    most = F.array_max("weighted")
+    ties = F.size(F.filter("weighted", lambda x: x == most))
+    hard = soft.select("name", "signature", F.transform("weighted", lambda x: F.when(x == most, 1.0 / ties).otherwise(0.0)).alias("counts"))
+    return hard.withColumn("label", F.col("counts"))
 
 
 def archetype_models(rows: DataFrame, classes: int, epsilon: float = 1e-10) -> DataFrame:
@@ -169,42 +176,65 @@ def archetype_labels(rows: DataFrame, models: DataFrame, priors: DataFrame, clas
     return summed.join(prior, F.lit(True)).select("name", "signature", vectors.softmax(post).alias("probabilities"))
 
 
-def lookup(reads: DataFrame, model: DataFrame, classes: int, hard: bool = False) -> DataFrame:
-    """reads (read_name, name, signature) with prediction (array) and source: exact, 1nn (all nearest signatures of the region pooled, Jaccard), or none (region unseen: uniform, or the last class with ``hard``).
+def nearest_signatures(misses: DataFrame, model: DataFrame, within: float = 0.5) -> DataFrame:
+    """(name, signature, other): of misses (name, signature) the model's nearest signatures of their region, all that tie, among those that share a part.
 
-    model: name, signature, counts (numbers of reads, or what fit_lookup() and fit_hard_lookup() make of them). Only reads whose signature is unknown are compared with their region's signatures that share a part;
-    where none shares any, all of the region are at distance 1 and pool.
+    Neighbours up to ``within`` are found by the rarest parts; only what has none so near meets all that share any part.
     """
-    exact = model.select("name", "signature", F.col("counts").alias("hit"))
-    first = reads.join(exact, ["name", "signature"], "left")
-    misses = first.filter("hit is null").select("name", "signature").distinct()
-    parts = lambda df: df.withColumn("part", F.explode(F.split("signature", ",")))
-    m = parts(model.select("name", F.col("signature").alias("other"), F.col("signature"), "counts")).drop("signature")
-    size = lambda c: F.when(F.col(c) == "", 0).otherwise(F.size(F.split(c, ",")))
-    near = (
-        parts(misses).filter("part <> ''").join(m, ["name", "part"])
-        .groupBy("name", "signature", "other").agg(F.count("*").alias("common"), F.first("counts").alias("counts"))
-        .withColumn("distance", 1 - F.col("common") / (size("signature") + size("other") - F.col("common")))
-        .withColumn("_r", F.rank().over(Window.partitionBy("name", "signature").orderBy("distance")))
-        .filter("_r = 1")
-    )
-    pool = lambda c="counts": F.array(*[F.sum(F.col(c)[k]) for k in range(classes)])
-    nearest = near.groupBy("name", "signature").agg(pool().alias("near"))
-    region = model.groupBy("name").agg(pool().alias("all"))
-    joined = first.join(nearest, ["name", "signature"], "left").join(region, "name", "left")
+    keys = ["name", "signature"]
+    known = model.select(*keys).distinct()
+    first = near_pairs(known.unionByName(misses.select(*keys)).distinct(), within, misses.select(*keys))
+    close = settled(_closest(first.join(known.withColumnRenamed("signature", "other"), ["name", "other"], "left_semi").select(*keys, "other", "distance")))
+    parts = lambda df, c: df.withColumn("part", F.explode(F.split(c, ","))).filter("part <> ''")
+    rest = parts(misses.select(*keys).join(close.select(*keys).distinct(), keys, "left_anti"), "signature")
+    met = rest.join(parts(known.withColumnRenamed("signature", "other"), "other"), ["name", "part"]).groupBy(*keys, "other").agg(F.count("*").alias("common"))
+    size = lambda c: F.size(F.split(c, ","))
+    far = met.select(*keys, "other", (1 - F.col("common") / (size("signature") + size("other") - F.col("common"))).alias("distance"))
+    return close.unionByName(_closest(far))
+
+
+def _closest(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("_r", F.rank().over(Window.partitionBy("name", "signature").orderBy("distance"))).filter("_r = 1").select("name", "signature", "other")
+
+
+def lookup_signatures(signatures: DataFrame, model: DataFrame, classes: int, hard: bool = False) -> DataFrame:
+    """(name, signature, source, prediction) of distinct signatures (name, signature).
+
+    source: exact; 1nn: the counts of all nearest signatures of the region, summed (Jaccard; where none shares a part all of the region
+    are at distance 1); none: the region is unseen, uniform, or the last class with ``hard``. model: name, signature, counts (numbers of reads, or
+    what fit_lookup() and fit_hard_lookup() make of them), and label where a known signature has one of its own.
+    """
+    keys = ["name", "signature"]
+    own = F.col("label") if "label" in model.columns else F.col("counts")
+    first = signatures.select(*keys).distinct().join(model.select(*keys, own.cast("array<double>").alias("hit")), keys, "left")
+    misses = settled(first.filter("hit is null").select(*keys))
+    pool = F.array(*[F.sum(F.col("counts")[k].cast("double")) for k in range(classes)])
+    near = nearest_signatures(misses, model).join(model.select("name", F.col("signature").alias("other"), "counts"), ["name", "other"]).groupBy(*keys).agg(pool.alias("near"))
+    region = model.groupBy("name").agg(pool.alias("all"))
+    joined = first.join(near, keys, "left").join(region, "name", "left")
+    even = F.array(*[F.lit(1.0)] * classes)
     unseen = F.array(*[F.lit(0.0 if hard and k < classes - 1 else 1.0) for k in range(classes)])
-    chosen = F.coalesce(*[F.col(c).cast("array<double>") for c in ("hit", "near", "all")], unseen)
+    chosen = F.coalesce("hit", "near", "all", unseen)
     source = F.when(F.col("hit").isNotNull(), "exact").when(F.col("all").isNotNull(), "1nn").otherwise("none")
-    total = F.aggregate("_c", F.lit(0.0), lambda a, x: a + x)
-    return joined.withColumn("_c", chosen).withColumn("source", source).select("read_name", "name", "source", F.transform("_c", lambda x: x / total).alias("prediction"))
+    given = joined.withColumn("source", source).withColumn("_c", F.when(vectors.total(chosen) > 0, chosen).otherwise(even))
+    total = vectors.total(F.col("_c"))
+    return given.select(*keys, "source", F.transform("_c", lambda x: x / total).alias("prediction"))
+
+
+def lookup(reads: DataFrame, model: DataFrame, classes: int, hard: bool = False) -> DataFrame:
+    """(read_name, name, source, prediction) of reads (read_name, name, signature), one row each: see lookup_signatures()."""
+    found = lookup_signatures(reads, model, classes, hard)
+    return reads.select("read_name", "name", "signature").join(found, ["name", "signature"]).select("read_name", "name", "source", "prediction")
 
 
-def beta_statistics(rows: DataFrame, clip: float = 0.01) -> DataFrame:
-    """(name, original_label, n, ones, zeros, slog, slog1): what a Beta fit of the reads' rates needs, rates clipped for the logs."""
+def beta_statistics(rows: DataFrame, clip: float = 0.01, times: str | None = None) -> DataFrame:
+    """(name, original_label, n, ones, zeros, slog, slog1): what a Beta fit of the reads' rates needs, rates clipped for the logs. times: the column with the number of reads that a row stands for."""
     rate = F.least(F.greatest(F.col("M_rate"), F.lit(clip)), F.lit(1 - clip))
     known = rows.filter("NCPGS > 0")
+    w = F.col(times) if times else F.lit(1)
+    of = lambda c: F.sum(F.when(F.col("M_rate") == c, w).otherwise(0)).cast("long")
     return known.groupBy("name", "original_label").agg(
-        F.count("*").alias("n"), F.count_if(F.col("M_rate") == 1).alias("ones"), F.count_if(F.col("M_rate") == 0).alias("zeros"), F.sum("NCPGS").cast("long").alias("cpgs"), F.sum(F.log(rate)).alias("slog"), F.sum(F.log(1 - rate)).alias("slog1")
+        F.sum(w).cast("long").alias("n"), of(1).alias("ones"), of(0).alias("zeros"), F.sum(F.col("NCPGS") * w).cast("long").alias("cpgs"), F.sum(F.log(rate) * w).alias("slog"), F.sum(F.log(1 - rate) * w).alias("slog1")
     )
 
 
@@ -215,7 +245,7 @@ def added_one_beta(rows: DataFrame) -> DataFrame:
 
 
 def beta_predict(rows: DataFrame, params: DataFrame, priors: DataFrame, classes: int) -> DataFrame:
-    """(read_name, name, M, U, prediction): posterior over classes of a read with M and U known positions; 0 for a class that a region's params lack.
+    """rows (name, M, U, others) with prediction: posterior over classes of a read with M and U known positions; 0 for a class that a region's params lack. Rows of regions without params go.
 
     The Beta functions of the likelihood cancel to (eta / (eta + rho))^M (rho / (eta + rho))^U. params: name, original_label, eta, rho.
     """
@@ -225,7 +255,7 @@ def beta_predict(rows: DataFrame, params: DataFrame, priors: DataFrame, classes:
     logs = F.transform("classes", lambda c: F.col("M") * c["lm"] + F.col("U") * c["lu"] + c["lp"])
     known = F.map_from_arrays(F.transform("classes", lambda c: c["original_label"].cast("int")), vectors.softmax(logs))
     every = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda k: F.coalesce(F.try_element_at(known, k), F.lit(0.0)))
-    return joined.select("read_name", "name", "M", "U", every.alias("prediction"))
+    return joined.select(*rows.columns, every.alias("prediction"))
 
 
 def supersets(counts: DataFrame, of: DataFrame | None = None) -> DataFrame:

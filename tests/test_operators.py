@@ -23,7 +23,7 @@ def test_interval_edges(spark):
     want = {(a, n) for a, c, s, e in [("a", "chr1", 0, 9), ("b", "chr1", 20, 25), ("c", "chr2", 5, 6), ("long", "chr1", 0, 5000)] for n, rc, rs, re in [("r1", "chr1", 11, 20), ("r2", "chr1", 10, 20), ("r3", "chr1", 26, 30), ("wide", "chr1", 1, 4000)] if c == rc and s < re and e >= rs - 1}
     assert got == want
     assert intervals.overlap(reads, regions).count() == len(want)  # once each
-    assert {(r.read_name, r.name) for r in intervals.overlap(reads, regions, 7).collect()} == want
+    assert {(r.read_name, r.name) for r in intervals.overlap(reads, regions, (7, 49, 343)).collect()} == want
 
 
 def test_trim(spark):
@@ -239,14 +239,47 @@ def test_near_pairs_and_supersets(spark):
 
 def test_fitted_lookups(spark):
     rows = spark.createDataFrame([("r", "1:0", 0)] * 40 + [("r", "1:1", 1)] * 20 + [("r", "2:1", 0)] * 2 + [("r", "2:1", 1)], "name string, signature string, original_label int")
-    soft = {r.signature: r.counts for r in labelling.fit_lookup(rows, 2).collect()}
-    assert soft["1:0"] == [1.0, 0.0] and [round(x, 6) for x in soft["2:1"]] == [0.5, 0.5]  # 2 x 31.5 / 42, 1 x 31.5 / 21
-    hard = labelling.fit_hard_lookup(rows, 2)
-    assert {r.signature: r.counts for r in hard.collect()} == {"1:0": [1.0, 0.0], "1:1": [0.0, 1.0], "2:1": [0.5, 0.5]}
+    model = labelling.fit_lookup(rows, 2)
+    soft = {r.signature: (r.label, [round(x, 6) for x in r.counts]) for r in model.collect()}
+    assert soft["1:0"] == ([1.0, 0.0], [30.0, 0.0])  # 40 x 31.5 / 42
+    assert [round(x, 6) for x in soft["2:1"][0]] == [0.5, 0.5] and soft["2:1"][1] == [1.5, 1.5]  # 2 x 31.5 / 42, 1 x 31.5 / 21
+    few = spark.createDataFrame([("r", "1:0", 0)] * 300 + [("r", "1:1", 1)] * 20 + [("r", "2:1", 0)] * 2, rows.schema)
+    hard = labelling.fit_hard_lookup(few, 2)
+    assert {r.signature: r.counts for r in hard.collect()} == {"1:0": [1.0, 0.0], "1:1": [0.0, 1.0], "2:1": [1.0, 0.0]}
     reads = spark.createDataFrame([("a", "r", "1:1"), ("b", "q", "1:1")], "read_name string, name string, signature string")
     assert {r.read_name: r.prediction for r in labelling.lookup(reads, hard, 2, hard=True).collect()} == {"a": [0.0, 1.0], "b": [0.0, 1.0]}
+
+
+def test_hard_lookups_want_a_class_that_dominates_all_reads(spark):
+    schema = "name string, signature string, original_label int"
     with pytest.raises(ValueError):
-        labelling.fit_hard_lookup(rows.unionByName(spark.createDataFrame([("r", "3:1", 0), ("r", "3:1", 1), ("r", "3:1", 1)], rows.schema)), 2)
+        labelling.fit_hard_lookup(spark.createDataFrame([("r", "1:0", 0)] * 50 + [("r", "1:1", 1)] * 50, schema), 2)
+    mixed = [("r", "1:0", 0)] * 960 + [("r", "1:1", 1)] * 49 + [("r", "2:1", 0)] * 40 + [("r", "2:1", 1)]
+    assert labelling.fit_hard_lookup(spark.createDataFrame(mixed, schema), 2).count() == 3  # one signature may be mixed
+
+
+def test_the_nearest_pool_weighted_counts(spark):
+    """Neighbours with 40 and 400 reads at one distance: the larger weighs ten times as much."""
+    rows = [("r", "1:0,2:1", 0)] * 40 + [("r", "1:0,3:1", 1)] * 400 + [("q", "9:1", 0)] * 360
+    model = labelling.fit_lookup(spark.createDataFrame(rows, "name string, signature string, original_label int"), 2)
+    reads = spark.createDataFrame([("a", "r", "1:0"), ("b", "r", "1:0,2:1"), ("c", "r", "1:0,2:0,4:1,5:1")], "read_name string, name string, signature string")
+    got = {r.read_name: (r.source, [round(x, 6) for x in r.prediction]) for r in labelling.lookup(reads, model, 2).collect()}
+    assert got == {"a": ("1nn", [0.090909, 0.909091]), "b": ("exact", [1.0, 0.0]), "c": ("1nn", [0.090909, 0.909091])}
+
+
+def test_nearest_signatures(spark):
+    rng = random.Random(8)
+    draw = lambda: ",".join(sorted(rng.sample("abcdefghijklmnop", rng.randint(0, 7))))
+    model, asked = sorted({draw() for _ in range(60)}), sorted({draw() for _ in range(60)})
+    asked = [s for s in asked if s not in model]
+    parts = lambda s: set(s.split(",")) - {""}
+    apart = lambda a, b: 1 - len(parts(a) & parts(b)) / len(parts(a) | parts(b))
+    want = set()
+    for a in asked:
+        best = min(apart(a, m) for m in model)
+        want |= {(a, m) for m in model if apart(a, m) == best and best < 1}
+    table = lambda xs: spark.createDataFrame([("r", x) for x in xs], "name string, signature string")
+    assert {(r.signature, r.other) for r in labelling.nearest_signatures(table(asked), table(model)).collect()} == want
 
 
 def test_labels_of_reads_without_one(spark):
