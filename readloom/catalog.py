@@ -111,12 +111,12 @@ def trimmed_reads(spark, sf_dir):
     return read_ops.trim(intervals.overlap(reads(spark, sf_dir), regions(spark, sf_dir))).select("read_name", "name", "read_start", "read_end", "input_ids", "methylation_ids")
 
 
-@query(f"WITH {PREPARED} SELECT read_name, name, M::INT AS M, U::INT AS U, state, (original_label = target_label)::INT AS hard, CASE WHEN original_label = target_label THEN original_label ELSE 7 END::INT AS with_background, round((CASE WHEN (CASE WHEN original_label = target_label THEN original_label ELSE 7 END) = 7 THEN 0.9 ELSE 0 END) + 0.0125, 6)::DOUBLE AS smoothed_background FROM prepared")
+@query(f"WITH {PREPARED}, b AS (SELECT *, CASE WHEN original_label = target_label THEN original_label ELSE 7 END AS back FROM prepared) SELECT read_name, name, M::INT AS M, U::INT AS U, state, (original_label = target_label)::INT AS hard, back::INT AS with_background, {', '.join(f'round((back = {k})::INT * 0.9 + 0.0125, 6)::DOUBLE AS smoothed_{k}' for k in range(8))} FROM b")
 def hard_labels(spark, sf_dir):
-    """Prepared reads with hard, background and smoothed labels."""
+    """Prepared reads with hard, background and smoothed labels, whole vectors."""
     a, b = F.col("original_label"), F.col("target_label")
-    rows = prepared(spark, sf_dir)
-    return rounded(rows.select("read_name", "name", "M", "U", "state", read_ops.hard_binary(a, b).alias("hard"), read_ops.hard_with_background(a, b, CLASSES).cast("int").alias("with_background"), F.element_at(read_ops.smoothed_with_background(a, b, CLASSES), CLASSES + 1).alias("smoothed_background")))
+    rows = prepared(spark, sf_dir).withColumn("smoothed", read_ops.smoothed_with_background(a, b, CLASSES))
+    return rounded(rows.select("read_name", "name", "M", "U", "state", read_ops.hard_binary(a, b).alias("hard"), read_ops.hard_with_background(a, b, CLASSES).cast("int").alias("with_background"), *[F.col("smoothed")[k].alias(f"smoothed_{k}") for k in range(CLASSES + 1)]))
 
 
 @query(f"""WITH {PREPARED}, f AS (SELECT name, direction, original_label, round(count(*) FILTER (WHERE state = direction) / count(*)::DOUBLE, 3) AS x FROM prepared WHERE NCPGS >= 4 GROUP BY ALL)
@@ -380,11 +380,19 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SCORES = "s AS (SELECT c_custkey, [((c_custkey * k) % 1000) / 500.0 - 0.7 FOR k IN [37, 91, 53, 77]]::DOUBLE[] AS v FROM customer)"
 
 
-@query(f"WITH {_SCORES}, e AS (SELECT c_custkey, [exp(x - list_max(v)) FOR x IN v] AS e, [greatest(x, 0) FOR x IN v] AS p, [least(greatest(x, 0), 1) FOR x IN v] AS c, v FROM s) SELECT c_custkey, round(e[1] / list_sum(e), 6) AS softmax_0, round(p[1] / greatest(list_sum(p), 1e-12), 6)::DOUBLE AS normalised_0, round(CASE WHEN list_sum(p) > 0 THEN p[1] / list_sum(p) ELSE 0.25 END, 6)::DOUBLE AS uniform_0, round(c[1], 6)::DOUBLE AS clipped_0, (list_position(v, list_max(v)) - 1)::INT AS argmax FROM e")
+_KINDS = {
+    "softmax": "e[{k}] / list_sum(e)", "normalised": "p[{k}] / greatest(list_sum(p), 1e-12)", "uniform": "CASE WHEN list_sum(p) > 0 THEN p[{k}] / list_sum(p) ELSE 0.25 END",
+    "none": "c[{k}]", "clip_normalize": "p[{k}] / CASE WHEN list_sum(p) = 0 THEN 1 ELSE list_sum(p) END",
+}
+
+
+@query(f"WITH {_SCORES}, e AS (SELECT c_custkey, [exp(x - list_max(v)) FOR x IN v] AS e, [greatest(x, 0) FOR x IN v] AS p, [least(greatest(x, 0), 1) FOR x IN v] AS c, v FROM s) SELECT c_custkey, {', '.join(f'round({sql.format(k=k + 1)}, 6)::DOUBLE AS {name}_{k}' for name, sql in _KINDS.items() for k in range(4))}, (list_position(v, list_max(v)) - 1)::INT AS argmax FROM e")
 def vector_transforms(spark, sf_dir):
-    """Softmax and normalised outputs."""
+    """Softmax, normalised outputs and every transform, whole vectors."""
     v = F.col("v")
-    return rounded(_scores(spark, sf_dir).select("c_custkey", vectors.softmax(v)[0].alias("softmax_0"), vectors.normalised(v)[0].alias("normalised_0"), vectors.normalised_or_uniform(v)[0].alias("uniform_0"), vectors.transformed(v, "none")[0].alias("clipped_0"), vectors.argmax(v).alias("argmax")))
+    made = {"softmax": vectors.transformed(v, "softmax"), "normalised": vectors.normalised(v), "uniform": vectors.normalised_or_uniform(v), "none": vectors.transformed(v, "none"), "clip_normalize": vectors.transformed(v, "clip_normalize")}
+    rows = _scores(spark, sf_dir).select("c_custkey", vectors.argmax(v).alias("argmax"), *[c.alias(name) for name, c in made.items()])
+    return rounded(rows.select("c_custkey", "argmax", *[F.col(name)[k].alias(f"{name}_{k}") for name in made for k in range(4)]))
 
 
 @query(f"WITH {_SCORES}, u AS (SELECT c_custkey, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY x DESC, i) AS k, sum(x) OVER (PARTITION BY c_custkey ORDER BY x DESC, i ROWS UNBOUNDED PRECEDING) AS c FROM u), t AS (SELECT c_custkey, max_by((c - 1) / k, k) AS shift FROM r WHERE x > (c - 1) / k GROUP BY c_custkey) SELECT c_custkey, i::INT AS i, round(greatest(x - shift, 0), 6)::DOUBLE AS x FROM u JOIN t USING (c_custkey)")
@@ -410,10 +418,12 @@ def class_weights(spark, sf_dir):
     return rounded(labelling.class_weights(prepared(spark, sf_dir)))
 
 
-@query(f"WITH {PREPARED}, n AS (SELECT k AS original_label, (SELECT count(*) FROM prepared p WHERE p.original_label = k) AS n FROM range(9) r(k)) SELECT original_label::INT AS original_label, round(n / (SELECT sum(n) FROM n), 6)::DOUBLE AS prior FROM n")
+@query(f"WITH {PREPARED}, n AS (SELECT k AS original_label, (SELECT count(*) FROM prepared p WHERE p.original_label = k) AS n FROM range(9) r(k)) SELECT kind, original_label::INT AS original_label, round(CASE kind WHEN 'uniform' THEN 1 / 9.0::DOUBLE WHEN 'frequency' THEN n / (SELECT sum(n) FROM n) ELSE CASE WHEN n > 0 THEN 1 / n::DOUBLE ELSE 0 END / (SELECT sum(1 / n::DOUBLE) FROM n WHERE n > 0) END, 6)::DOUBLE AS prior FROM n CROSS JOIN (VALUES ('uniform'), ('frequency'), ('inverse')) v(kind)")
 def class_priors(spark, sf_dir):
-    """AG19: frequencies as priors, absent classes at 0."""
-    return rounded(labelling.class_priors(prepared(spark, sf_dir), 9))
+    """AG19: uniform, by frequency and by its inverse, absent classes at 0 in the latter two."""
+    rows = settled(prepared(spark, sf_dir).select("original_label"))
+    out = [labelling.class_priors(rows, 9, kind).withColumn("kind", F.lit(kind)) for kind in ("uniform", "frequency", "inverse")]
+    return rounded(out[0].unionByName(out[1]).unionByName(out[2]))
 
 
 _WEIGHTS = "n AS (SELECT original_label, count(*) AS n FROM signed GROUP BY ALL), w AS (SELECT original_label, (SELECT median(n) FROM n) / (n + 1e-9) AS w FROM n)"
@@ -453,7 +463,7 @@ def pooled_signatures(spark, sf_dir):
 SELECT name, signature, {', '.join(f"round(v{k} / ({' + '.join(f'v{j}' for j in _CLASSES)}), 6)::DOUBLE AS s_{k}" for k in _CLASSES)} FROM v""")
 def fitted_lookup(spark, sf_dir):
     """The table of a soft lookup, counts pooled over near signatures and weighed by class."""
-    return rounded(labelling.fit_lookup(signed(spark, sf_dir), CLASSES).select("name", "signature", *_vector("counts", "s")))
+    return rounded(labelling.fit_lookup(signed(spark, sf_dir), CLASSES).select("name", "signature", *_vector("label", "s")))
 
 
 @query()
@@ -776,10 +786,28 @@ def group_quotas(spark, sf_dir):
     return simulation.quotas(targets, _groups(spark, sf_dir), 5000)
 
 
-@query()
+def _uniform(*key: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(f'({k})::VARCHAR' for k in key)})), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+@query(f"""WITH {PREDICTED}, un AS (SELECT concat_ws('/', read_name, name, original_label::VARCHAR) AS row_id, original_label, target_label AS grg, count(*) AS read_count, min(prediction_0) AS p, min(NCPGS) AS c FROM predicted GROUP BY ALL),
+gr AS (SELECT original_label, grg, sum(read_count)::BIGINT AS total FROM un GROUP BY ALL), ev AS (SELECT grg, row_number() OVER (ORDER BY grg) - 1 AS place FROM (SELECT DISTINCT grg FROM gr)),
+gd AS (SELECT pb, k, row_number() OVER (PARTITION BY pb ORDER BY {_uniform('42', "'o'", 'pb', 'k')}, k) AS place, 1 + floor({_uniform('42', "'k'", 'pb')} * {CLASSES}) AS many FROM range(10) a(pb), range({CLASSES}) b(k)),
+ch AS (SELECT pb, k, {_uniform('42', "'w'", 'pb', 'k')} + 1e-9 AS w FROM gd WHERE place <= many), ta AS (SELECT pb, k AS original_label, floor(w / sum(w) OVER (PARTITION BY pb) * 5000)::BIGINT AS n FROM ch),
+dr AS (SELECT pb, original_label, floor({_uniform('42', "'g'", 'pb', 'original_label', 'j')} * (SELECT count(*) FROM ev))::BIGINT AS place FROM (SELECT *, unnest(range(1, n + 1)) AS j FROM ta)),
+dc AS (SELECT pb, original_label, grg, count(*) AS q FROM dr JOIN ev USING (place) GROUP BY ALL),
+lo AS (SELECT pb, original_label, sum(q) AS lost FROM dc ANTI JOIN gr USING (original_label, grg) GROUP BY ALL), gs AS (SELECT original_label, count(*) AS many FROM gr GROUP BY ALL),
+qu AS (SELECT ta.pb, ta.original_label, gr.grg, total, coalesce(q, 0) + floor(coalesce(lost, 0) / many)::BIGINT AS quota FROM ta JOIN gr USING (original_label) JOIN gs USING (original_label) LEFT JOIN dc USING (pb, original_label, grg) LEFT JOIN lo USING (pb, original_label)),
+du AS (SELECT pb, original_label, grg, floor({_uniform('42', 'pb', 'original_label', 'grg', 'j')} * total)::BIGINT AS u FROM (SELECT *, unnest(range(1, quota + 1)) AS j FROM qu)),
+ru AS (SELECT *, sum(read_count) OVER (PARTITION BY original_label, grg ORDER BY substr(md5(row_id), 1, 2), row_id) AS hi FROM un),
+hi AS (SELECT pb, original_label, grg, p, c, count(*) AS times FROM du JOIN ru USING (original_label, grg) WHERE u < hi AND u >= hi - read_count GROUP BY pb, original_label, grg, row_id, p, c)
+SELECT pb AS pb_index, grg, round(sum(greatest(c * times, 1e-10) * p) / sum(greatest(c * times, 1e-10)), 6) AS prediction_0_wavg, sum(times)::BIGINT AS n_reads FROM hi GROUP BY pb, grg""")
 def simulated_mixtures(spark, sf_dir):
     """Ten mixtures drawn from the reads, their weighted predictions by group."""
     rows = predicted(spark, sf_dir).withColumn("row_id", F.concat_ws("/", "read_name", "name", "original_label")).withColumnRenamed("target_label", "grg")
     unique = settled(rows.groupBy("row_id", "original_label", "grg").agg(F.count("*").alias("read_count"), F.min("prediction_0").alias("prediction_0"), F.min("NCPGS").alias("NCPGS")))
     targets = simulation.target_proportions(spark, 10, CLASSES, 42)
     return rounded(simulation.pseudobulk(unique, targets, ["prediction_0"], "NCPGS", 5000, 42).select("pb_index", "grg", "prediction_0_wavg", "n_reads"))
+
+
+from . import catalog_baselines  # noqa: E402, F401  (registers further queries)

@@ -17,6 +17,15 @@ def load(path: str) -> dict:
         return json.load(f)
 
 
+def setting(text: str) -> tuple[str, object]:
+    """(key, value) of KEY=VALUE; a value that is JSON is read as such, all else is a string."""
+    key, value = text.split("=", 1)
+    try:
+        return key, json.loads(value)
+    except json.JSONDecodeError:
+        return key, value
+
+
 def main(args: list[str] | None = None) -> int:
     from .plans import tasks
 
@@ -27,7 +36,7 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--dry-run", action="store_true")
     got = parser.parse_args(args)
     try:
-        config = load(got.config) | dict(x.split("=", 1) for x in got.set)
+        config = load(got.config) | dict(setting(x) for x in got.set)
         tasks.validate(got.task, config)
         if got.dry_run:
             return 0

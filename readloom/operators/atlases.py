@@ -120,6 +120,13 @@ def feature_mask(ratios: DataFrame, cutoff: float = 1.1, diagonal: bool = True,
     return ratios.filter(keep)
 
 
+def mask_disagreement(masks: DataFrame) -> DataFrame:
+    """(grg, pred, splits, kept, disagrees): in how many splits each feature is, and whether only in some of them. masks: split, grg, pred (kept features), a row each."""
+    splits = masks.select("split").distinct().agg(F.count("*").alias("splits"))
+    each = masks.select("split", "grg", "pred").distinct().groupBy("grg", "pred").agg(F.count("*").alias("kept"))
+    return each.join(F.broadcast(splits), F.lit(True)).select("grg", "pred", "splits", "kept", (F.col("kept") < F.col("splits")).alias("disagrees"))
+
+
 def top_features(ratios: DataFrame, n: int) -> DataFrame:
     """The n best features, those on the diagonal first."""
     order = Window.orderBy(F.desc((F.col("grg") == F.col("pred")).cast("int")), F.desc("ratio"), "grg", "pred")

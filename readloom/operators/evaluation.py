@@ -43,6 +43,19 @@ def worst_class(rows: DataFrame) -> DataFrame:
     return per.groupBy("method").agg(F.max_by("cell_type", F.struct(F.col("mae"), -F.col("cell_type"))).alias("cell_type"), F.max("mae").alias("mae"))
 
 
+def summary(rows: DataFrame) -> DataFrame:
+    """By method r2, the limits of agreement, those of the cell type with the widest ones (the first of equals), mae, mse and kl: the rows of a result sheet.
+
+    rows: as for deconvolution_metrics. A method of one sample has null limits by cell type.
+    """
+    d = F.col("predicted") - F.col("target")
+    per = rows.groupBy("method", "cell_type").agg(F.avg(d).alias("_b"), F.stddev_samp(d).alias("_s"))
+    widest = per.groupBy("method").agg(F.max(F.struct(F.col("_s"), -F.col("cell_type"), F.col("_b"))).alias("_w"))
+    worst = widest.select("method", (F.col("_w._b") - 1.96 * F.col("_w._s")).alias("worst_class_loa_lower"), (F.col("_w._b") + 1.96 * F.col("_w._s")).alias("worst_class_loa_upper"))
+    whole = deconvolution_metrics(rows).withColumnsRenamed({"low": "loa_lower", "high": "loa_upper"})
+    return whole.join(worst, "method").select("method", "r2", "loa_lower", "loa_upper", "worst_class_loa_lower", "worst_class_loa_upper", "mae", "mse", "kl")
+
+
 def confusion(rows: DataFrame, weight: Column | None = None) -> DataFrame:
     """(truth, predicted, n)."""
     return rows.groupBy("truth", "predicted").agg(F.sum(weight if weight is not None else F.lit(1.0)).alias("n"))

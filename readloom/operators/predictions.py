@@ -34,6 +34,31 @@ def aggregate(rows: DataFrame, keys: list[str], columns: list[str], weight: str,
     )
 
 
+def partial(rows: DataFrame, keys: list[str], columns: list[str], weight: str, times: str | None = None) -> DataFrame:
+    """What merged() needs of a part of the rows: sums by group. Parts may come in any order; a part that is there twice counts twice. Rows with a null key go.
+
+    times: the column with the number of reads that a row stands for.
+    """
+    n = F.col(times).cast("long") if times else F.lit(1).cast("long")
+    w = F.greatest(F.col(weight).cast("double"), F.lit(LEAST_WEIGHT)) * n
+    each = []
+    for c in columns:
+        v = nan_as_null(F.col(c))
+        each += [F.sum(v * n).alias(f"{c}_sum"), F.sum(F.when(v.isNotNull(), n)).alias(f"{c}_n"), F.sum(w * v).alias(f"{c}_wsum"), F.bool_or(v.isNull()).alias(f"{c}_broken")]
+    return rows.dropna(subset=keys).groupBy(*keys).agg(*each, F.sum(w).alias("total_weight"), F.sum(F.col(weight).cast("double") * n).alias("raw_weight"), F.sum(n).alias("n_reads"))
+
+
+def merged(states: DataFrame, keys: list[str], columns: list[str], raw_total: bool = False) -> DataFrame:
+    """aggregate() of all rows from the partial() states of their parts."""
+    total = F.sum("total_weight")
+    return states.groupBy(*keys).agg(
+        *[(F.sum(f"{c}_sum") / F.sum(f"{c}_n")).alias(f"{c}_avg") for c in columns],
+        *[F.when(F.bool_or(f"{c}_broken"), F.lit(float("nan"))).otherwise(F.sum(f"{c}_wsum") / total).alias(f"{c}_wavg") for c in columns],
+        (F.sum("raw_weight") if raw_total else total).alias("total_weight"),
+        F.sum("n_reads").cast("long").alias("n_reads"),
+    )
+
+
 def fill_missing(groups: DataFrame, dimension: DataFrame, key: str, prediction_columns: list[str], strategy: str, weight: float) -> DataFrame:
     """All groups of the dimension: those without rows get 1/K ('uniform_number') or 0 ('zeroes') as predictions, label -1, the given total_weight and 0 elsewhere."""
     if strategy not in ("uniform_number", "zeroes"):

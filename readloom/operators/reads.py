@@ -204,14 +204,21 @@ def merge_mates(reads: DataFrame, keys: list[str]) -> DataFrame:
 
 def mean_weights(rows: DataFrame) -> DataFrame:
     """rows with weight: their read_count over the mean read_count of all."""
-    return rows.withColumn("_one", F.lit(1)).join(rows.agg(F.avg("read_count").alias("_mean")).withColumn("_one", F.lit(1)), "_one").withColumn("weight", F.col("read_count") / F.col("_mean")).drop("_one", "_mean")
+    return rows.join(F.broadcast(rows.agg(F.avg("read_count").alias("_mean"))), F.lit(True)).withColumn("weight", F.col("read_count") / F.col("_mean")).drop("_mean")
 
 
 def thinned(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n of the reads that rows stand for, without replacement, as rows with the read_count that is left; all of them if there are no more.
 
-    Each of a row's read_count reads has a hash of (seed, key, number); the n smallest stay.
+    Each of a row's read_count reads has a hash of (seed, key, number); the n smallest stay. Only the reads in a share of the hashes that
+    holds n of them, and hardly more, are put in order.
     """
     each = rows.select(key, F.explode(F.sequence(F.lit(1).cast("long"), F.col("read_count").cast("long"))).alias("_k"), "read_count").filter("read_count > 0")
-    chosen = each.select(key, F.xxhash64(F.lit(seed), key, "_k").alias("_h"), "_k").orderBy("_h", key, "_k").limit(n)
+    hashed = each.select(key, F.xxhash64(F.lit(seed), key, "_k").alias("_h"), "_k")
+    total = rows.agg(F.sum(F.greatest(F.col("read_count"), F.lit(0)))).first()[0] or 0
+    share = (n + 8 * n**0.5 + 8) / total if total else 1.0
+    few = hashed if share >= 1 else hashed.filter(F.col("_h") < int(-(1 << 63) + share * (1 << 64)))
+    if share < 1 and few.limit(n).count() < n:  # less likely than 10^-14
+        few = hashed
+    chosen = few.orderBy("_h", key, "_k").limit(n)
     return rows.drop("read_count").join(chosen.groupBy(key).agg(F.count("*").alias("read_count")), key)

@@ -63,32 +63,77 @@ def require_reads(targets: DataFrame, groups: DataFrame) -> DataFrame:
     return targets
 
 
-def draw(reads: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
-    """(pb_index, original_label, grg, row_id, times): draws with replacement, weighted by read_count.
+STRIPE = 256
+
+
+def stripes(reads: DataFrame) -> DataFrame:
+    """(original_label, grg, stripe, lo, hi, row_id): where each read lies in the running count of its group, a row for each stripe of it that it touches.
 
-    reads: row_id, original_label, grg, read_count. A draw is a number below its group's total count; it takes the read whose running
-    count covers it. Draw and read meet by (class, group, stripe of the running count), so a large group is many stripes. The running
-    count goes inside 512 hash ranges of a group, then over the ranges, so a large group is many tasks too.
+    reads: row_id, original_label, grg, read_count. The running count goes inside 256 hash ranges of a group, then over the ranges, so a
+    large group is many tasks. Settle it where it serves several draws.
     """
     keys = ["original_label", "grg", "_range"]
-    ranged = reads.select("row_id", "original_label", "grg", "read_count").withColumn("_range", F.pmod(F.xxhash64("row_id"), F.lit(512)))
+    ranged = reads.select("row_id", "original_label", "grg", "read_count").withColumn("_range", F.substring(F.md5(F.col("row_id").cast("string")), 1, 2))
     before = Window.partitionBy("original_label", "grg").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy(*keys).agg(F.sum("read_count").alias("_n")).select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    starts = ranged.groupBy(*keys).agg(F.sum("read_count").alias("_n"))
+    starts = starts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     w = Window.partitionBy(*keys).orderBy("row_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = ranged.withColumn("_upto", F.sum("read_count").over(w)).join(starts, keys).withColumn("hi", F.col("_start") + F.col("_upto")).withColumn("lo", F.col("hi") - F.col("read_count"))
+    at = F.explode(F.sequence(F.floor(F.col("lo") / STRIPE), F.floor((F.col("hi") - 1) / STRIPE)))
+    return placed.filter("read_count > 0").withColumn("stripe", at).select("original_label", "grg", "stripe", "lo", "hi", "row_id")
+
+
+def draw(reads: DataFrame, wanted: DataFrame, seed: int, striped: DataFrame | None = None) -> DataFrame:
+    """(pb_index, original_label, grg, row_id, times): draws with replacement, weighted by read_count.
+
+    A draw is a number below its group's total count; it takes the read whose running count covers it. Draw and read meet by (class,
+    group, stripe of the running count), so a large group is many stripes. striped: stripes() of the reads, if they are there already.
+    """
+    striped = stripes(reads) if striped is None else striped
     totals = reads.groupBy("original_label", "grg").agg(F.sum("read_count").alias("total"))
-    stripe = 256
-    striped = placed.filter("read_count > 0").withColumn("stripe", F.explode(F.sequence(F.floor(F.col("lo") / stripe), F.floor((F.col("hi") - 1) / stripe))))
     draws = (
         wanted.filter("quota > 0").join(totals, ["original_label", "grg"])
         .withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("quota"))))
         .withColumn("u", F.floor(uniform(F.lit(seed), "pb_index", "original_label", "grg", "k") * F.col("total")))
-        .withColumn("stripe", F.floor(F.col("u") / stripe))
+        .withColumn("stripe", F.floor(F.col("u") / STRIPE))
     )
-    hit = draws.join(striped.select("original_label", "grg", "stripe", "lo", "hi", "row_id"), ["original_label", "grg", "stripe"]).filter("lo <= u and u < hi")
+    hit = draws.join(striped, ["original_label", "grg", "stripe"]).filter("lo <= u and u < hi")
     return hit.groupBy("pb_index", "original_label", "grg", "row_id").agg(F.count("*").alias("times"))
 
 
+def stored(spark, path: str) -> DataFrame:
+    """The drawn mixtures of a folder, whether it has a log of ranges or is one table."""
+    from ..sources import commits
+
+    return commits.read(spark, path)
+
+
+def count_draws(rows: DataFrame, n: int, seed: int) -> DataFrame:
+    """(row_id, times): n draws with replacement of rows (row_id, read_count), as likely as the reads they stand for."""
+    one = rows.select("row_id", F.lit(0).alias("original_label"), F.lit(0).alias("grg"), "read_count")
+    wanted = rows.sparkSession.createDataFrame([(0, 0, 0, n)], "pb_index long, original_label int, grg int, quota long")
+    return draw(one, wanted, seed).select("row_id", "times")
+
+
+def balanced_batches(rows: DataFrame, batch_size: int, background: float = 0.3, samples: int | None = None, seed: int = 42) -> DataFrame:
+    """(batch, row_id, times): full batches of int(batch_size * background) background reads and else reads on target, drawn with replacement by their counts.
+
+    rows: row_id, on_target, read_count. There are as many batches as the reads on target fill, or as ``samples`` draws need. No row on target, or none of the
+    background where batches hold some, raises.
+    """
+    off = int(batch_size * background)
+    sizes = {r.on_target: r.n for r in rows.groupBy("on_target").agg(F.sum("read_count").alias("n")).collect()}  # two rows
+    if batch_size - off < 1 or not sizes.get(True):
+        raise ValueError("balanced batches need reads on target in every batch")
+    if off and not sizes.get(False):
+        raise ValueError("balanced batches need background reads")
+    n = -(-samples // batch_size) if samples else -(-sizes[True] // (batch_size - off))
+    grouped = rows.select("row_id", F.col("on_target").cast("int").alias("original_label"), F.lit(0).alias("grg"), "read_count")
+    kinds = F.explode(F.array(F.struct(F.lit(1).alias("original_label"), F.lit(batch_size - off).cast("long").alias("quota")), F.struct(F.lit(0).alias("original_label"), F.lit(off).cast("long").alias("quota"))))
+    wanted = rows.sparkSession.range(n).select(F.col("id").alias("pb_index"), kinds.alias("_k")).select("pb_index", "_k.original_label", F.lit(0).alias("grg"), "_k.quota")
+    return draw(grouped, wanted, seed).select(F.col("pb_index").alias("batch"), "row_id", "times")
+
+
 def actual_proportions(drawn: DataFrame) -> DataFrame:
     n = drawn.groupBy("pb_index", "original_label").agg(F.sum("times").alias("n"))
     return n.select("pb_index", "original_label", "n", (F.col("n") / F.sum("n").over(Window.partitionBy("pb_index"))).alias("actual"))

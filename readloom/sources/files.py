@@ -23,10 +23,12 @@ def recovered_reads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parsed_reads(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet or tab-separated parsed reads in the common form; without a name a read is named by a hash of its row."""
+    """Parquet or tab-separated parsed reads in the common form, with the name of their file where they have none; without a name a read is named by a digest of its row."""
     raw = spark.read.csv(path, sep="\t", header=True, schema=PARSED) if ".csv" in path or path.endswith((".tsv", ".txt")) else spark.read.parquet(path)
     if "read_name" not in raw.columns:
-        raw = raw.withColumn("read_name", F.hex(F.xxhash64(*raw.columns)))
+        raw = raw.withColumn("read_name", F.md5(F.to_json(F.struct(*raw.columns), {"ignoreNullFields": "false"})))
+    if "file" not in raw.columns:
+        raw = raw.withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
     named = raw.withColumnsRenamed({"seq": "input_ids", "methylation_encoding": "methylation_ids"})
     if "read_end" not in named.columns:
         named = named.withColumn("read_end", F.col("read_start") + F.length("input_ids") - 1)
@@ -144,8 +146,12 @@ def marker_tables(tables: list[DataFrame]) -> DataFrame:
 
 
 def write_buckets(rows: DataFrame, path: str) -> None:
-    """Parquet by region_bucket, rows sorted by name within a file; the key stays a column too."""
-    rows.withColumn("bucket", F.col("region_bucket")).repartition("region_bucket").sortWithinPartitions("name").write.partitionBy("region_bucket").parquet(path)
+    """Parquet by region_bucket, rows sorted by name within a file; the key stays a column too.
+
+    Files are ranges of (bucket, name, start), so a bucket, or a name with most of the rows, is as many tasks and files as it needs.
+    """
+    order = ["region_bucket", "name", *(c for c in ("read_start",) if c in rows.columns)]
+    rows.withColumn("bucket", F.col("region_bucket")).repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("region_bucket").parquet(path)
 
 
 def _paths(spark: SparkSession, *paths: str) -> tuple:
@@ -212,6 +218,15 @@ def write_sheet(rows: DataFrame, path: str, places: int = 4) -> None:
     rows.select(*rounded).orderBy(*[c for c, t in rows.dtypes if t not in ("double", "float")]).write.csv(path, header=True)
 
 
+def proportions_sheet(rows: DataFrame, names: DataFrame, classifier: str, calibrator: str | None = None) -> DataFrame:
+    """(FileName, CellType, Classifier, Deconvolver, Calibrator, PredictedProportion) of proportions (sample, cell_type, method, proportion); names: label, cell_type. A calibrator column of rows stands before the argument."""
+    called = names.select(F.col("label").alias("cell_type"), F.col("cell_type").alias("CellType"))
+    kind = F.col("calibrator") if "calibrator" in rows.columns else F.lit(calibrator)
+    return rows.join(F.broadcast(called), "cell_type").select(
+        F.col("sample").cast("string").alias("FileName"), "CellType", F.lit(classifier).alias("Classifier"), F.col("method").alias("Deconvolver"), kind.cast("string").alias("Calibrator"), F.col("proportion").alias("PredictedProportion")
+    )  # a row a cell type is broadcast
+
+
 def listed_files(files: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(files that groups list, files that it does not, listed ones that are not there), by file."""
     named = groups.select("file").distinct()

@@ -20,7 +20,7 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = aggregates.read_files(spark, f"{tmp_path}/in", rows.schema)
     aggregates.aggregate_stream(stream, ["g"], ["v"], "w", f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     key = lambda df: sorted(tuple(round(x, 9) for x in r) for r in df.collect())
-    assert key(spark.read.parquet(f"{tmp_path}/out")) == key(predictions.aggregate(rows, ["g"], ["v"], "w"))
+    assert key(aggregates.latest(spark, f"{tmp_path}/out")) == key(predictions.aggregate(rows, ["g"], ["v"], "w"))
 
 
 def test_append_stream_keeps_its_schema(spark, tmp_path):
@@ -28,7 +28,7 @@ def test_append_stream_keeps_its_schema(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/in")
     schema = spark.createDataFrame([], "id long, missing string").schema
     aggregates.append_stream(aggregates.read_files(spark, f"{tmp_path}/in", rows.schema), schema, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
-    got = spark.read.parquet(f"{tmp_path}/out")
+    got = aggregates.read_states(spark, f"{tmp_path}/out")
     assert got.columns == ["id", "missing"] and got.count() == 10
 
 
@@ -105,9 +105,9 @@ def test_tasks(spark, tmp_path):
 
     labelling.class_counts(signed(spark, SF), 7).write.parquet(f"{tmp_path}/model")
     r.select("read_name", "chromosome", "read_start", F.col("input_ids").alias("seq"), F.col("methylation_ids").alias("methylation_encoding")).write.parquet(f"{tmp_path}/parsed")
-    got = tasks.run(spark, "inference", {"input": f"{tmp_path}/parsed", "regions": f"{tmp_path}/regions", "model": f"{tmp_path}/model", "output_dir": f"{tmp_path}/inferred"})
+    got = tasks.run(spark, "inference", {"sample": "all", "input": f"{tmp_path}/parsed", "regions": f"{tmp_path}/regions", "model": f"{tmp_path}/model", "output_dir": f"{tmp_path}/inferred"})
     assert got.count() == 7 and all(abs(sum(x[f"prediction_{k}_avg"] for k in range(7)) - 1) < 1e-9 for x in got.collect())
-    solved = tasks.run(spark, "inference", {"input": f"{tmp_path}/parsed", "regions": f"{tmp_path}/regions", "model": f"{tmp_path}/fit_lookup/model", "profiles": f"{tmp_path}/fit_lookup/profiles", "classes": 2, "output_dir": f"{tmp_path}/solved"}).collect()
+    solved = tasks.run(spark, "inference", {"sample": "all", "input": f"{tmp_path}/parsed", "regions": f"{tmp_path}/regions", "model": f"{tmp_path}/fit_lookup/model", "profiles": f"{tmp_path}/fit_lookup/profiles", "classes": 2, "output_dir": f"{tmp_path}/solved"}).collect()
     assert {(x["method"], x.cell_type) for x in solved} == {(m, k) for m in ("nnls", "psls") for k in (0, 1)}
     assert all(abs(sum(x.proportion for x in solved if x["method"] == m) - 1) < 1e-9 for m in ("nnls", "psls"))
 
