@@ -285,6 +285,12 @@ def kmer_strings(spark, sf_dir):
     return rows.select("read_name", patterns.complement(F.col("input_ids")).alias("complement"), patterns.kmers(F.col("input_ids"), 3).alias("kmers"), patterns.collapse(states).alias("state"))
 
 
+@query(f"WITH {PREPARED}, w AS (SELECT read_name, name, read_start, input_ids, methylation_ids, unnest(CASE WHEN length(methylation_ids) > 10 THEN range(0, length(methylation_ids), 10) ELSE [0] END) AS s FROM prepared), c AS (SELECT read_name, name, read_start, substr(input_ids, (s + 1)::INT, 10) AS input_ids, substr(methylation_ids, (s + 1)::INT, 10) AS methylation_ids FROM w) SELECT *, (length(methylation_ids) - length(replace(replace(methylation_ids, '0', ''), '1', '')))::INT AS num_cpgs FROM c")
+def split_reads(spark, sf_dir):
+    """TV1: reads of more than ten positions in pieces, with their known positions; coordinates stay."""
+    return read_ops.split_long(prepared(spark, sf_dir).select("read_name", "name", "read_start", "input_ids", "methylation_ids"), 10)
+
+
 @query("WITH f AS (SELECT doc_id, coalesce(text, '') AS t FROM documents) SELECT doc_id, s AS start, substr(t, (s + 1)::INT, 300) AS part FROM (SELECT doc_id, t, unnest(range(0, length(t), 300)) AS s FROM f)")
 def text_windows(spark, sf_dir):
     """TV1, TV2: windows side by side over whole texts."""
@@ -361,14 +367,12 @@ def chunks_to_reads(spark, sf_dir):
     return rounded(predictions.chunks_to_reads(predicted(spark, sf_dir), "read_name", ["prediction_0", "prediction_1"], "NCPGS"))
 
 
-@query(f"WITH {PREDICTED} SELECT read_name, name, CASE WHEN prediction_0 >= prediction_1 AND prediction_0 >= prediction_2 THEN 0 WHEN prediction_1 >= prediction_2 THEN 1 ELSE 2 END AS prediction, round(greatest(prediction_0, prediction_1, prediction_2), 6) AS confidence FROM predicted")
+@query(f"WITH {PREDICTED} SELECT read_name, name, CASE WHEN prediction_0 >= prediction_1 AND prediction_0 >= prediction_2 THEN 0 WHEN prediction_1 >= prediction_2 THEN 1 ELSE 2 END AS prediction, round(greatest(prediction_0, prediction_1, prediction_2), 6) AS confidence, original_label = target_label AS is_cell_informative_region, (M + U)::INT AS total_marked_cpgs, 'U' AS direction, read_start FROM predicted")
 def final_predictions(spark, sf_dir):
-    """First largest prediction and its value."""
-    index, most = predictions.final_prediction(["prediction_0", "prediction_1", "prediction_2"])
-    return rounded(predicted(spark, sf_dir).select("read_name", "name", index.alias("prediction"), most.alias("confidence")))
-
-
-# --- vectors -----------------------------------------------------------------------------------
+    """Read-level output: first largest prediction and its value, on-target flag, known positions, trimmed start."""
+    rows = predicted(spark, sf_dir).withColumn("trimmed_start", F.col("read_start")).drop("read_start")
+    got = predictions.annotated_predictions(rows, ["prediction_0", "prediction_1", "prediction_2"])
+    return rounded(got.select("read_name", "name", "prediction", "confidence", "is_cell_informative_region", "total_marked_cpgs", "direction", "read_start"))
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:

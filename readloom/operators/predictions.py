@@ -121,6 +121,26 @@ def final_prediction(columns: list[str]) -> tuple[Column, Column]:
     return index, most
 
 
+def annotated_predictions(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """rows as read-level output: is_cell_informative_region (own label is the region's), prediction and confidence (first largest), total_marked_cpgs, direction U, and the trimmed coordinates where there are some.
+
+    What needs a column that rows lack is left out; a chr column is called chromosome unless there is one.
+    """
+    have, out = set(rows.columns), rows
+    if {"original_label", "target_label"} <= have:
+        out = out.withColumn("is_cell_informative_region", F.col("original_label") == F.col("target_label"))
+    if known := [c for c in columns if c in have]:
+        index, most = final_prediction(known) if len(known) > 1 else (F.lit(0), F.col(known[0]))
+        out = out.withColumns({"prediction": index, "confidence": most})
+    if {"M", "U"} <= have:
+        out = out.withColumn("total_marked_cpgs", F.col("M") + F.col("U"))
+    for end in ("start", "end"):
+        if f"trimmed_{end}" in have:
+            out = out.withColumn(f"read_{end}", F.col(f"trimmed_{end}"))
+    out = out.withColumn("direction", F.lit("U"))
+    return out.withColumnRenamed("chr", "chromosome") if "chr" in have and "chromosome" not in have else out
+
+
 def prediction_columns(names: list[str]) -> list[str]:
     """prediction_<digits> in numeric order, then methylation_level."""
     found = sorted((c for c in names if c.startswith("prediction_") and c.removeprefix("prediction_").isdigit()), key=lambda c: int(c.removeprefix("prediction_")))

@@ -72,6 +72,17 @@ def annotate(rows: DataFrame) -> DataFrame:
     return rows.select("*", patterns.count_of(p, "1").alias("M"), patterns.count_of(p, "0").alias("U"), patterns.informative(p).alias("NCPGS"), patterns.methylation_rate(p).alias("M_rate"), patterns.read_state(p).alias("state"))
 
 
+def split_long(rows: DataFrame, width: int) -> DataFrame:
+    """rows (input_ids, methylation_ids, others) with num_cpgs (known positions): reads longer than width as pieces side by side, a row each. Coordinates stay those of the read; empty and null patterns stay one row (null: no known positions)."""
+    starts = F.when(F.length("methylation_ids") > width, patterns.windows(F.length("methylation_ids"), width)).otherwise(F.array(F.lit(0)))
+    cut = rows.withColumn("_at", F.explode(starts))
+    for c in ("input_ids", "methylation_ids"):
+        whole = F.length("methylation_ids") > width
+        cut = cut.withColumn(f"_{c}", F.when(whole, F.substring(F.col(c), F.col("_at") + 1, F.lit(width))).otherwise(F.col(c)))
+    cut = cut.withColumns({c: F.col(f"_{c}") for c in ("input_ids", "methylation_ids")}).drop("_at", "_input_ids", "_methylation_ids")
+    return cut.withColumn("num_cpgs", F.coalesce(patterns.informative(F.col("methylation_ids")), F.lit(0)))
+
+
 def hard_binary(label: Column, target: Column) -> Column:
     return (label == target).cast("int")
 

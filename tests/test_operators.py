@@ -26,6 +26,12 @@ def test_interval_edges(spark):
     assert {(r.read_name, r.name) for r in intervals.overlap(reads, regions, (7, 49, 343)).collect()} == want
 
 
+def test_split_long(spark):
+    rows = spark.createDataFrame([("a", "ACGTA", "01201"), ("b", "AC", "22"), ("c", "", ""), ("d", None, None)], "read_name string, input_ids string, methylation_ids string")
+    got = [tuple(r) for r in read_ops.split_long(rows, 2).collect()]
+    assert got == [("a", "AC", "01", 2), ("a", "GT", "20", 1), ("a", "A", "1", 1), ("b", "AC", "22", 0), ("c", "", "", 0), ("d", None, None, 0)]
+
+
 def test_trim(spark):
     row = spark.createDataFrame([("chr1", 5, 14, "ACGTACGTAC", "0120120120", 9, 12)], "chromosome string, read_start long, read_end long, input_ids string, methylation_ids string, region_start long, region_end long")
     r = read_ops.trim(row).first()
