@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -60,10 +61,31 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_FOLDERS: list[list[str]] = []
+
+
+@contextmanager
+def noted_folders() -> Iterator[list[str]]:
+    """Paths of the tables that settle_wide() writes inside; whoever asks removes them when nothing reads them any more."""
+    _FOLDERS.append([])
+    try:
+        yield _FOLDERS[-1]
+    finally:
+        _FOLDERS.pop()
+
+
+def remove_folders(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def settle_wide(df: DataFrame) -> DataFrame:
     """Cut the lineage of a table that carries texts: a compressed Parquet table in the shared folder."""
     at = f"{shared_dir(df.sparkSession).rstrip('/')}/readloom-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    if _FOLDERS:
+        _FOLDERS[-1].append(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
