@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.llm import bpe, mixing, quality, simhash, toxicity
-from readloom.llm.common import settle, settle_wide
+from readloom.llm.common import noted_folders, remove_folders, settle, settle_wide
 from readloom.llm.queries import table, word_bpe
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -79,10 +79,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each result written as Parquet in the shared folder and read as the next one's docs."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages over documents, each result written as Parquet in the shared folder and read as the next one's docs.
+
+    What a stage read and wrote on its way is removed when its result is written; the result of the last but one, which the last one
+    reads, stays.
+    """
+    docs, before = table(spark, sf_dir, "documents"), []
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = settle_wide(docs)
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        with noted_folders() as made:
+            docs = settle_wide(stage(spark, docs, sf_dir))
+        remove_folders(spark, [*before, *made[:-1]])
+        before = made[-1:]
     return docs
