@@ -66,3 +66,19 @@ def test_one_of_each_group_stays(spark):
     same = [(3, "a b c d e", "x"), (2, "a b c d e", "x"), (2, "a b c d e", "x"), (None, "a b c d e", "x"), (None, "only this one", "y"), (None, "only this one", "y")]
     got = p.near_duplicates(spark, docs(spark, same), SF).collect()
     assert sorted((str(r.doc_id), r.text) for r in got) == [("2", "a b c d e"), ("None", "only this one")]
+
+
+def test_a_run_leaves_the_last_stage_input_only(spark):
+    """The stages one by one, each written and read again, give what run() gives; of what was written on the way one table is left."""
+    from pathlib import Path
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(folder.glob("readloom-*"))
+    got = p.run(spark, SF)
+    left = set(folder.glob("readloom-*")) - before
+    rows = sorted((r.doc_id, r.ids_sha256) for r in got.collect())
+    assert len(left) == 1 and rows
+    docs_ = table(spark, SF, "documents")
+    for _, stage in p.STAGES:
+        docs_ = p.settle_wide(stage(spark, docs_, SF))
+    assert sorted((r.doc_id, r.ids_sha256) for r in docs_.collect()) == rows
