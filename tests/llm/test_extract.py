@@ -31,7 +31,7 @@ def test_all_pages_of_the_table(spark, model):
 def test_held_out_layouts(spark, model):
     rows = spark.read.parquet(f"{SF}/pages.parquet").collect()
     rng, wrong, n = random.Random(123), 0, 0
-    # layouts that training never draws
+    # paths that no training layout has; their names are among those that training knows
     around = ("nav ol li a", "div.banner p", "div.popup p", "footer.site p", "aside div.related p", "section.comments div.comment p", "form div label")
     articles = ("article div p", "main section p", "main article div p", "article section div.text p")
     for r in rows[-60:]:
