@@ -26,6 +26,16 @@ def test_interval_edges(spark):
     assert {(r.read_name, r.name) for r in intervals.overlap(reads, regions, (7, 49, 343)).collect()} == want
 
 
+def test_many_regions_are_not_broadcast(spark):
+    """The estimate of a narrow table of regions is small, whatever the bins make of it: no collecting at the driver."""
+    regions = spark.range(60_000).select(F.lit("chr1").alias("chr"), (F.col("id") * 16 + 1).alias("start"), (F.col("id") * 16 + 8).alias("end"), F.col("id").cast("string").alias("name"))
+    reads = spark.range(1000).select(F.col("id").alias("read_name"), F.lit("chr1").alias("chromosome"), (F.col("id") * 160).alias("read_start"), (F.col("id") * 160 + 7).alias("read_end"))
+    both = intervals.overlap(reads, regions)
+    assert "BroadcastExchange" not in both._jdf.queryExecution().sparkPlan().toString() and "BroadcastHashJoin" not in both._jdf.queryExecution().sparkPlan().toString()
+    assert both.count() == 1000
+    assert "BroadcastHashJoin" in intervals.overlap(reads, regions.limit(50))._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_split_long(spark):
     rows = spark.createDataFrame([("a", "ACGTA", "01201"), ("b", "AC", "22"), ("c", "", ""), ("d", None, None)], "read_name string, input_ids string, methylation_ids string")
     got = [tuple(r) for r in read_ops.split_long(rows, 2).collect()]
