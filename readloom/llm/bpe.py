@@ -6,8 +6,8 @@ the last token of what is before it. Two tokens may stand side by side if mergin
 two again. A prefix that many words share is so encoded once, and a word's ids follow from its last
 token back to its beginning.
 
-Spark partitions the work: texts are encoded where they are read, nothing is shuffled, and each worker
-keeps a bounded table of encoded words.
+Spark partitions the work: texts are encoded where they are read, nothing is shuffled, and each task
+keeps a bounded table of encoded words; its worker keeps the vocabulary only.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import parts, schema_with
 
-#: Words of a generation; a worker keeps this one and the one before.
-KEPT = 250_000
+#: Words of a generation; a task keeps this one and the one before.
+KEPT = 100_000
 BLOCK = 2 << 20
 
 # Characters whose lower case, classes and NFC form are the same in every version of Unicode: texts of these alone need no library.
@@ -232,6 +232,11 @@ class WordBpe:
             self.learn(new)
         return [list(map(self.known.__getitem__, x)) for x in cut]
 
+    def release(self) -> None:
+        """Forget the words: idle workers would hold them beside the tasks of later stages."""
+        for table in (self.known, self.before, self.jump, self.sound):
+            table.clear()
+
 
 _LOADED: dict[str, WordBpe] = {}
 
@@ -253,14 +258,18 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = loaded(path)
-        for whole in batches:
-            for batch in parts(whole, "text", BLOCK):
-                found = own.encode([t or "" for t in batch.column("text").to_pylist()])
-                flat = np.fromiter(chain.from_iterable(x[0] for words in found for x in words), np.int32)
-                sizes = [sum(len(x[0]) for x in words) for words in found]
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
-                decoded = pa.array([" ".join([x[1] for x in words]) for words in found], pa.string())
-                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), ids, decoded], [*(f.name for f in keep), "ids", "decoded"])
+        try:
+            for whole in batches:
+                for batch in parts(whole, "text", BLOCK):
+                    found = own.encode([t or "" for t in batch.column("text").to_pylist()])
+                    flat = np.fromiter(chain.from_iterable(x[0] for words in found for x in words), np.int32)
+                    sizes = [sum(len(x[0]) for x in words) for words in found]
+                    ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
+                    decoded = pa.array([" ".join([x[1] for x in words]) for words in found], pa.string())
+                    yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), ids, decoded], [*(f.name for f in keep), "ids", "decoded"])
+        finally:
+            own.release()
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, schema_with(keep, "ids array<int>, decoded string"))
 

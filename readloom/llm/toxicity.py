@@ -156,18 +156,25 @@ def g_statistic(pos: Column, neg: Column) -> Column:
     return out
 
 
-def counted(sample: DataFrame, entries: Callable[[str | None], set], names: list[str]) -> DataFrame:
-    """(names, a, c): in how many toxic and clean documents of sample (text, toxic) each entry is."""
+def counted(sample: DataFrame, entries: Callable[[str | None], set], names: list[str], most: int = 1 << 15) -> DataFrame:
+    """(names, a, c): in how many toxic and clean documents of sample (text, toxic) each entry is. A task passes on its counts when it holds ``most`` entries."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                seen[int(toxic > 0)].update(entries(text))
+        for whole in batches:
+            for batch in parts(whole, "text"):
+                for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                    seen[int(toxic > 0)].update(entries(text))
+                    if len(seen[0]) + len(seen[1]) >= most:
+                        yield passed_on(seen)
+                        seen = {0: Counter(), 1: Counter()}
+        yield passed_on(seen)
+
+    def passed_on(seen: dict[int, Counter]) -> pa.RecordBatch:
         rows = list(seen[0].keys() | seen[1].keys())
         columns = list(zip(*rows, strict=True)) or [()] * len(names) if len(names) > 1 else [rows]
         made = [pa.array(x, pa.string()) for x in columns] + [pa.array([seen[k][x] for x in rows], pa.int64()) for k in (1, 0)]
-        yield pa.RecordBatch.from_arrays(made, [*names, "a", "c"])
+        return pa.RecordBatch.from_arrays(made, [*names, "a", "c"])
 
     schema = ", ".join(f"{x} string" for x in names) + ", a long, c long"
     return sample.mapInArrow(count, schema).groupBy(*names).agg(F.sum("a").alias("a"), F.sum("c").alias("c"))

@@ -63,3 +63,16 @@ def test_query_columns(spark, library):
         want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(said.encode()).hexdigest()))
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert bpe.digests(bpe.encode(docs(spark, []).select("doc_id", "text"), word_bpe())).count() == 0
+
+
+def test_workers_keep_the_vocabulary_only(spark):
+    """What a task has learned is gone when it ends, so that later stages of a pipeline have the memory."""
+    import pyarrow as pa
+
+    def held(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(t) for w in bpe._LOADED.values() for t in (w.known, w.before, w.jump, w.sound))])], ["n"])
+
+    assert bpe.encode(docs(spark, odd_texts()).repartition(4), word_bpe()).count() == len(odd_texts())
+    bpe.encode(docs(spark, odd_texts()).repartition(4), word_bpe()).write.format("noop").mode("overwrite").save()
+    assert {r.n for r in spark.range(0, 64, 1, 4).mapInArrow(held, "n long").collect()} <= {0}

@@ -148,3 +148,9 @@ def test_odd_rows(spark):
     assert len(got) == len(odd_texts()) and all(0 <= r.score <= 1 for r in got)
     empty = toxicity.fit(docs(spark, []), labels.limit(0))
     assert empty.weights == {} and toxicity.score(docs(spark, []), empty).count() == 0
+
+
+def test_counts_passed_on_in_parts_are_the_same(spark):
+    rows = spark.createDataFrame([(f"word{k % 7} other{k % 3} {t}", k % 2) for k, t in enumerate("abcdefgh" * 4)] + [(None, 1), ("", 0)], "text string, toxic int").coalesce(1)
+    whole = {tuple(r) for r in toxicity.counted(rows, toxicity.terms, ["term"]).collect()}
+    assert whole and {tuple(r) for r in toxicity.counted(rows, toxicity.terms, ["term"], most=5).collect()} == whole
