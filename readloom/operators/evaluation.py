@@ -80,8 +80,12 @@ def classifier_metrics(rows: DataFrame, weight: Column | None = None) -> DataFra
 
 def bin_of(x: Column, bins: int) -> Column:
     """Equal-width bins (lo, hi] of [0, 1], 0 in the first: the number of inner edges below x, edges as they are computed."""
-    edges = F.array(*[F.lit(k / bins) for k in range(1, bins)])
-    return F.size(F.filter(edges, lambda e: e < x))
+    return edges_below([F.lit(k / bins) for k in range(1, bins)], x)
+
+
+def edges_below(edges: list[Column], x: Column) -> Column:
+    """The number of edges below x, 0 where it is null."""
+    return sum((F.when(e < x, 1).otherwise(0) for e in edges), F.lit(0))
 
 
 def reliability(rows: DataFrame, bins: int = 10, equal_counts: bool = False) -> DataFrame:
@@ -90,7 +94,7 @@ def reliability(rows: DataFrame, bins: int = 10, equal_counts: bool = False) ->
     if equal_counts:
         one = rows.select("confidence", "correct", F.lit(1).alias("_one"))
         edges = ranks.quantiles(one, ["_one"], "confidence", [k / bins for k in range(1, bins)])
-        binned = one.join(edges, "_one").withColumn("bin", F.size(F.filter("q", lambda e: e < F.col("confidence"))))
+        binned = one.join(F.broadcast(edges), "_one").withColumn("bin", edges_below([F.col("q")[k] for k in range(bins - 1)], F.col("confidence")))  # one row
     return binned.groupBy("bin").agg(F.count("*").alias("n"), F.avg("confidence").alias("confidence"), F.avg("correct").alias("accuracy"))
 
 
@@ -106,11 +110,12 @@ def calibration_errors(rows: DataFrame, bins: int = 10, least: int = 1, equal_co
 def classwise_error(rows: DataFrame, bins: int = 10, equal_counts: bool = False) -> DataFrame:
     """One row: classwise_ece, the mean over labels of the calibration error of the label's own probability. rows: label, confidence, correct (0 or 1).
 
-    Bins are of equal width, or between quantiles of a label's confidences (equal edges hold nothing between them).
+    Bins are of equal width, or between quantiles of a label's confidences (equal edges hold nothing between them). The edges, a
+    row a label, are broadcast: dealt by label the rows would be as many tasks as there are labels.
     """
     if equal_counts:
         edges = ranks.quantiles(rows, ["label"], "confidence", [k / bins for k in range(1, bins)])
-        binned = rows.join(edges, "label").withColumn("bin", F.size(F.filter("q", lambda e: e < F.col("confidence"))))
+        binned = rows.join(F.broadcast(edges), "label").withColumn("bin", edges_below([F.col("q")[k] for k in range(bins - 1)], F.col("confidence")))
     else:
         binned = rows.withColumn("bin", bin_of(F.col("confidence"), bins))
     table = binned.groupBy("label", "bin").agg(F.count("*").alias("n"), F.abs(F.avg("confidence") - F.avg("correct")).alias("gap"))
