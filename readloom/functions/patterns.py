@@ -168,12 +168,14 @@ def contains_all(whole: Column, part: Column) -> Column:
 def best_window(rows: DataFrame, keys: list[str], pattern: str, width: int) -> DataFrame:
     """(keys, start, known): the window with most known positions, the first of equals; rows without a known position go.
 
-    A row a window, scored in generated code and combined before the shuffle.
+    A row stays one row: its windows are numbers of known positions and starts, the largest is kept, and numbers are combined by hash, not sorted.
     """
-    start = F.explode(F.sequence(F.lit(0), F.greatest(F.length(pattern) - width, F.lit(0))))
-    known = F.length(F.replace(F.substring(F.col(pattern), F.col("start") + 1, F.lit(width)), F.lit("2"), F.lit("")))
-    best = rows.withColumn("start", start).withColumn("known", known).filter("known > 0").groupBy(*keys).agg(F.min(F.struct((-F.col("known")).alias("k"), F.col("start").alias("s"))).alias("b"))
-    return best.select(*keys, F.col("b.s").alias("start"), (-F.col("b.k")).cast("int").alias("known"))
+    starts = F.sequence(F.lit(0), F.greatest(F.length(pattern) - width, F.lit(0)))
+    known = lambda s: F.length(F.replace(F.substring(F.col(pattern), s + 1, F.lit(width)), F.lit("2"), F.lit(""))).cast("long")
+    last = (1 << 32) - 1
+    own = F.array_max(F.transform(starts, lambda s: known(s) * (last + 1) + (last - s)))  # more known positions first, then the smaller start
+    best = rows.select(*keys, own.alias("_b")).groupBy(*keys).agg(F.max("_b").alias("_b")).filter(F.col("_b") > last)
+    return best.select(*keys, (last - F.col("_b").bitwiseAND(last)).cast("int").alias("start"), F.shiftright("_b", 32).cast("int").alias("known"))
 
 
 def lowest_entropy_window(rows: DataFrame, keys: list[str], pattern: str, width: int, least: int = 5, stride: int = 50, factor: float = 0.1) -> DataFrame:
