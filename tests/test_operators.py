@@ -484,3 +484,51 @@ def test_pure_mixture_is_its_reads(spark):
     targets = spark.createDataFrame([(0, 0, 1.0), (1, 1, 1.0), (2, 0, 0.25), (2, 1, 0.75)], "pb_index long, original_label int, target double")
     got = {r.pb_index: r for r in simulation.pseudobulk(reads, targets, ["p"], "w", 400, 1).collect()}
     assert got[0].p_wavg == 0 and got[1].p_wavg == 1 and abs(got[2].p_wavg - 0.75) < 1e-9 and all(r.n_reads == 400 and r.total_weight == 800 for r in got.values())
+
+
+def test_bisulfite_calls_of_many_cgs(spark):
+    """Against the definition by position, with CGs at either end, none, and reads shorter than the reference."""
+    rng = random.Random(3)
+    rows = [("".join(rng.choice("ACG") for _ in range(rng.randint(0, 24))), "".join(rng.choice("ACGTN") for _ in range(rng.randint(0, 26)))) for _ in range(200)] + [("CGCG", "CACG"), (None, "CG"), ("ACG", None)]
+
+    def want(ref, read, shift, yes, no):
+        if ref is None:
+            return None
+        at = lambda k: read[k + shift : k + shift + 1] if read else ""
+        return "".join(("1" if at(k) == yes else "0" if at(k) == no else "2") if ref[k : k + 2] == "CG" else "2" for k in range(len(ref))) or "2"
+
+    table = spark.createDataFrame(rows, "a string, b string")
+    got = table.select("a", "b", patterns.call_bisulfite(F.col("a"), F.col("b"), False).alias("f"), patterns.call_bisulfite(F.col("a"), F.col("b"), True).alias("r")).collect()
+    assert all(r.f == want(r.a, r.b, 0, "C", "T") and r.r == want(r.a, r.b, 1, "G", "A") for r in got) and len(got) == 203
+    step = patterns.call_bisulfite(F.col("a"), F.col("b"), False)
+    assert "sequence(" not in table.select(step)._jdf.queryExecution().optimizedPlan().toString()  # no step by position
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_windows_stay_rows_of_their_read(spark):
+    """Best windows are found without a row a window, and numbers are combined by hash."""
+    rng = random.Random(5)
+    rows = [(k % 150, "".join(rng.choice("0122") for _ in range(rng.randint(0, 20)))) for k in range(300)] + [(900, "2222222222"), (901, None)]
+    table = spark.createDataFrame(rows, "id int, p string")
+    best = patterns.best_window(table, ["id"], "p", 4)
+    want = {}
+    for k, p in rows:
+        for s in range(max(len(p or "") - 4, 0) + 1):
+            n = sum(c != "2" for c in (p or "")[s : s + 4])
+            if n and (k not in want or (-n, s) < want[k]):
+                want[k] = (-n, s)
+    assert {r.id: (-r.known, r.start) for r in best.collect()} == want
+    assert "Generate" not in _plan(best) and "SortAggregate" not in _plan(best)
+    low = patterns.lowest_entropy_window(table, ["id"], "p", 4, 2, 2)
+    assert "Generate" not in _plan(low) and low.count() == 152
+
+
+def test_kmers_of_a_read_are_made_once(spark):
+    rows = spark.createDataFrame([(1, "ACGTNACGTAC", "01201201201"), (2, "NNN", "012"), (3, "AC", "01"), (4, "ACG", "0")], "id int, input_ids string, methylation_ids string")
+    windows = patterns.token_rows(rows, ["id"], 3, 3, 2)
+    got = sorted((r.id, r.start, " ".join(r.tokens), r.states, r.ncpgs_marked) for r in windows.collect())
+    assert got == [(1, 0, "ACG CGT ACG", "120", 2), (1, 2, "ACG CGT GTA", "012", 2), (1, 3, "CGT GTA TAC", "120", 2), (4, 0, "ACG", "", 0)]
+    assert windows._jdf.queryExecution().optimizedPlan().toString().lower().count("contains(") == 1
