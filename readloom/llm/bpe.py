@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import parts, schema_with
 
 #: Words of a generation; a task keeps this one and the one before.
-KEPT = 100_000
+KEPT = 150_000
 BLOCK = 2 << 20
 
 # Characters whose lower case, classes and NFC form are the same in every version of Unicode: texts of these alone need no library.
@@ -74,7 +74,7 @@ class WordBpe:
             body = t[: len(t) - len(self.end)] if closes else t
             if body and all(c in self.byte_of for c in body):
                 (self.closing if closes else self.inside)[bytes(self.byte_of[c] for c in body)] = i
-        self.sound: dict[tuple[int, int], bool] = {}
+        self.sound: dict[int, bool] = {}
         for table, closes in ((self.inside, False), (self.closing, True)):
             for body in [b for b, i in table.items() if self.merge(b, closes) != [i]]:
                 del table[body]  # no text is ever encoded to it
@@ -141,7 +141,7 @@ class WordBpe:
         Undo the merges that made the two, the latest first: whatever then faces each other at the border
         was there while all earlier merges ran, and must not be a pair that one of those would take.
         """
-        key = (left, right)
+        key = left << 32 | right
         if (known := self.sound.get(key)) is not None:
             return known
         ok, a, b, until = True, left, right, float("inf")
@@ -163,44 +163,54 @@ class WordBpe:
         return ok
 
     def learn(self, words: set[str]) -> None:
-        """Encode words into ``known`` by a depth-first walk through their trie."""
-        root: dict = {}
-        for w in words:
-            node = root
-            for b in w.encode("utf-8", "surrogatepass"):
-                node = node.setdefault(b, {})
-            node[-1] = w
+        """Encode words into ``known`` by a depth-first walk through their trie.
+
+        The words in the order of their bytes are that walk: what a word shares with the one before it is the path that
+        stays, so the nodes need not be built.
+        """
         known, beside, sound, text_of, size_of = self.known, self.beside, self.sound, self.text_of, self.size_of
         jump, ends_inside, ends_closing = self.jump, self.ends_inside, self.ends_closing
         last: list[int] = [-1]  # last token of the prefix of each length on the path
-        stack = [(0, 0, b, child) for b, child in root.items()]
-        while stack:
-            depth, state, byte, node = stack.pop()
-            del last[depth + 1 :]
-            end = depth + 1
-            state = to if (to := jump.get(state << 8 | byte)) is not None else self.advance(state, byte)
-            word = node.pop(-1, None)
-            if word is not None:
-                for size, t in ends_closing[state]:
-                    at = end - size
-                    if at == 0 or ((p := last[at]) >= 0 and (ok if (ok := sound.get((p, t))) is not None else beside(p, t))):
-                        ids = [t]
-                        while at:
-                            ids.append(last[at])
-                            at -= size_of[last[at]]
-                        ids.reverse()
-                        known[word] = (tuple(ids), " ".join([text_of[i] for i in ids]))
-                        break
-            if node:
-                token = -1
-                for size, t in ends_inside[state]:
-                    at = end - size
-                    if at == 0 or ((p := last[at]) >= 0 and (ok if (ok := sound.get((p, t))) is not None else beside(p, t))):
-                        token = t
-                        break
-                last.append(token)
-                for b, child in node.items():
-                    stack.append((end, state, b, child))
+        states = [0]
+        before = b""
+        for word in sorted(words):  # the order of code points is that of their bytes
+            body = word.encode("utf-8", "surrogatepass")
+            end = 0
+            for x, y in zip(before, body):
+                if x != y:
+                    break
+                end += 1
+            before, size_of_body = body, len(body)
+            del states[end + 1 :]
+            del last[end + 1 :]
+            state = states[end]
+            while True:
+                if len(last) <= end:  # the node has children: what follows stands after its last token
+                    token = -1
+                    for size, t in ends_inside[state]:
+                        at = end - size
+                        if at == 0 or ((p := last[at]) >= 0 and (ok if (ok := sound.get(p << 32 | t)) is not None else beside(p, t))):
+                            token = t
+                            break
+                    last.append(token)
+                if end == size_of_body:
+                    break
+                byte = body[end]
+                state = to if (to := jump.get(state << 8 | byte)) is not None else self.advance(state, byte)
+                states.append(state)
+                end += 1
+                if end == size_of_body:
+                    break
+            for size, t in ends_closing[state]:
+                at = end - size
+                if at == 0 or ((p := last[at]) >= 0 and (ok if (ok := sound.get(p << 32 | t)) is not None else beside(p, t))):
+                    ids = [t]
+                    while at:
+                        ids.append(last[at])
+                        at -= size_of[last[at]]
+                    ids.reverse()
+                    known[word] = (tuple(ids), " ".join([text_of[i] for i in ids]))
+                    break
 
     def pieces(self, text: str) -> list[str]:
         """Words of a text, special tokens as they are."""
@@ -262,9 +272,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             for whole in batches:
                 for batch in parts(whole, "text", BLOCK):
                     found = own.encode([t or "" for t in batch.column("text").to_pylist()])
-                    flat = np.fromiter(chain.from_iterable(x[0] for words in found for x in words), np.int32)
-                    sizes = [sum(len(x[0]) for x in words) for words in found]
-                    ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
+                    ids = [tuple(chain.from_iterable([x[0] for x in words])) for words in found]
+                    flat = np.fromiter(chain.from_iterable(ids), np.int32)
+                    ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(flat))
                     decoded = pa.array([" ".join([x[1] for x in words]) for words in found], pa.string())
                     yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), ids, decoded], [*(f.name for f in keep), "ids", "decoded"])
         finally:
