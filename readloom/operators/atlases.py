@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns
+from ..session import by_region
 from . import ranks
 
 
@@ -83,7 +84,7 @@ def marker_samples(states: DataFrame, markers: DataFrame) -> DataFrame:
     states: sample, name, M, U, count; markers: name, direction. Markers that a sample has no reads of are not among its rows.
     """
     share = F.when(F.col("direction") == "U", F.col("U")).otherwise(F.col("M")) / F.col("count")
-    known = states.join(markers.select("name", "direction").distinct(), "name").filter("count > 0")
+    known = states.join(by_region(markers.select("name", "direction").distinct()), "name").filter("count > 0")
     return known.select("sample", F.concat_ws("/", "name", "direction").alias("feature"), share.alias("value"), (F.col("count") * F.col("count")).cast("double").alias("weight"))
 
 

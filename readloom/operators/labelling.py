@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns, vectors
-from ..session import settled
+from ..session import by_region, settled
 from .atlases import positions
 
 
@@ -334,4 +334,4 @@ def annotate_regions(reads: DataFrame, regions: DataFrame, codes: DataFrame, ali
     matched = F.coalesce(F.try_element_at(known, F.col("target")), "target") if aliases else F.col("target")
     named = regions.select("name", "target", *extra).withColumn("target_matched", matched)
     coded = named.join(codes.select(F.col("cell_type").alias("target_matched"), F.col("label").cast("int").alias("target_label")), "target_matched")
-    return reads.drop("target", "target_matched", "target_label", *extra).join(coded, "name")
+    return reads.drop("target", "target_matched", "target_label", *extra).join(by_region(coded), "name")
