@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import patterns
 from ..session import by_region
 from . import ranks
 
@@ -28,7 +27,8 @@ def uxm_atlas(prepared: DataFrame, classes: int, min_cpgs: int = 4) -> DataFrame
 
 def positions(rows: DataFrame, *keep: str) -> DataFrame:
     """(keep, pos, state): a row for each known position."""
-    return rows.select(*keep, F.explode(patterns.signature(F.col("read_start"), F.col("methylation_ids"))).alias("_s")).select(*keep, "_s.pos", "_s.state")
+    each = rows.select(*keep, "read_start", F.posexplode(F.split("methylation_ids", "")).alias("_i", "_s")).filter("_s in ('0', '1')")
+    return each.select(*keep, (F.col("read_start") + F.col("_i")).cast("long").alias("pos"), F.col("_s").cast("int").alias("state"))
 
 
 def cpg_counts(prepared: DataFrame) -> DataFrame:
