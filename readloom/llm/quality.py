@@ -112,7 +112,8 @@ def trigram_blocks(raw: np.ndarray, offsets: np.ndarray, block: int = BLOCK) ->
     for lo in range(0, len(raw), block):
         hi = min(lo + block, len(raw))
         first, end = int(np.searchsorted(offsets, lo, side="right")) - 1, int(np.searchsorted(offsets, hi))
-        yield first, end, *buckets(raw[lo : hi + 2], np.clip(offsets[first : end + 1] - lo, 0, min(hi + 2, len(raw)) - lo))
+        to = min(hi + 2, int(offsets[end]))  # no further than the last text that begins in the block
+        yield first, end, *buckets(raw[lo:to], np.clip(offsets[first : end + 1] - lo, 0, to - lo))
 
 
 def repeated_lines(text: bytes) -> int:

@@ -149,3 +149,16 @@ def test_scores_do_not_hang_on_partitions(spark):
     a = quality.score(table, quality.fit(table, labels)).select("doc_id", "llr").collect()
     b = quality.score(table.repartition(9), quality.fit(table.repartition(5), labels)).select("doc_id", "llr").collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_texts_that_end_at_a_block(spark):
+    for more in (0, 1, 2):
+        texts = ["a" * 50, "b" * (50 + more), "c" * 90]
+        raw, offsets = text_bytes(pa.array(texts))
+        assert sum(len(got) for _, _, got, _ in quality.trigram_blocks(raw, offsets, 100)) == sum(map(len, texts)) - 6
+        assert all(len(got) == after[-1] for _, _, got, after in quality.trigram_blocks(raw, offsets, 100))
+    # a trusted text whose last byte, or the one after it, is the last of a block
+    for more in (0, 1):
+        table = docs(spark, [(0, "x y " * ((quality.BLOCK + more) // 4) + "z" * more, "en"), (1, "w" * 100, "en")])
+        labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+        assert quality.score(table.coalesce(1), quality.fit(table.coalesce(1), labels)).count() == 2
