@@ -38,10 +38,11 @@ def cpg_counts(prepared: DataFrame) -> DataFrame:
 
 
 def cpg_atlas(prepared: DataFrame, classes: int) -> DataFrame:
-    """Wide form: <k>_meth and <k>_cov by cell type, 0 where nothing was read; one pivot for both."""
-    long = cpg_counts(prepared)
-    wide = long.groupBy("chromosome", "name", "start", "end").pivot("original_label", list(range(classes))).agg(F.sum("meth").alias("meth"), F.sum("cov").alias("cov"))
-    return wide.na.fill(0)
+    """Wide form: <k>_meth and <k>_cov by cell type, 0 where nothing was read; one aggregate, so a position is shuffled as one row and not again to be laid out."""
+    own = lambda k, v, c: F.sum(F.when(F.col("original_label") == k, v).otherwise(0)).cast("long").alias(f"{k}_{c}")
+    each = [own(k, v, c) for k in range(classes) for v, c in ((F.col("state"), "meth"), (F.lit(1), "cov"))]
+    wide = positions(prepared, "chromosome", "name", "original_label").groupBy("chromosome", "name", "pos").agg(*each)
+    return wide.withColumns({"start": F.col("pos"), "end": F.col("pos") + 1}).select("chromosome", "name", "start", "end", *wide.columns[3:])
 
 
 def atlas_regions(cpgs: DataFrame) -> DataFrame:
