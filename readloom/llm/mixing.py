@@ -158,12 +158,13 @@ def slots(sources: DataFrame, shard: int, seed: int) -> DataFrame:
         .select("sid", "k", F.row_number().over(Window.orderBy(F.xxhash64("sid", "k", F.lit(seed)), "sid", "k")).alias("e"))
     )
     late = excess.join(short, "e").select("shard", "sid", F.col("k").alias("first"), F.lit(1).cast("long").alias("keep"))
-    # dealt by shard before the runs become slots: otherwise a source's slots all come from the task of its window
+    # dealt by shard before the runs become slots: otherwise a source's slots all come from the task of its window; joined before it, too,
+    # since Spark takes the slots to be as few as the runs and would send them through the driver
     return (
         kept.unionByName(late)
+        .join(sources.select("sid", "blocks"), "sid")
         .repartition(max(spark.sparkContext.defaultParallelism, total >> 20), "shard")
         .withColumn("k", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("keep") - 1)))
-        .join(sources.select("sid", "blocks"), "sid")
         .select("shard", "sid", F.expr("k div blocks").alias("epoch"), permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.col("sid"), seed).alias("block"))
     )
 
@@ -182,7 +183,7 @@ def spans(made: Mix) -> DataFrame:
 def taken(made: Mix) -> DataFrame:
     """rows with source_size, target and taken: the words that the mix takes of each, repeats counted."""
     times = made.slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
-    per_row = spans(made).join(times, ["sid", "block"]).groupBy("rid").agg(F.sum(F.col("length") * F.col("times")).alias("taken"))
+    per_row = spans(made).join(times.hint("merge"), ["sid", "block"]).groupBy("rid").agg(F.sum(F.col("length") * F.col("times")).alias("taken"))
     return (
         made.rows.join(per_row, "rid", "left")
         .join(made.sources.select("sid", "source_size", "target"), "sid")
@@ -203,7 +204,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     sized = settle(numbered.select("rid", "doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("th")))
     made = _mix(sized, **({"weights": WEIGHTS, "share": 1.5, "cap": 2.0, "block": BLOCK, "shard": SHARD, "seed": 11} | how))
     pieces = (
-        spans(made).join(made.slots, ["sid", "block"])
+        spans(made).join(made.slots.hint("merge"), ["sid", "block"])  # slots look as few as their runs
         .groupBy("rid", "epoch").agg(F.array_sort(F.collect_list(F.struct("at", "length"))).alias("pieces"), F.sum("length").alias("words"))
     )
     pieces = pieces.join(made.rows.select("rid", "size"), "rid").withColumn("pieces", F.when(F.col("words") < F.col("size"), F.col("pieces")))

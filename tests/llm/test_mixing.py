@@ -155,3 +155,12 @@ def test_mixed_documents_hold_the_taken_words(spark):
         assert r.n_chars == len(r.text)
     assert {k: v for k, v in want.items() if v} == dict(got)
     assert DOCS
+
+
+def test_slots_are_not_taken_for_their_runs(spark):
+    """Slots come of runs by an explode, which Spark's estimates know nothing of: no join behind it may broadcast them."""
+    made = mixing.mix(docs(spark, odd_texts()))
+    plan = made.slots._jdf.queryExecution().analyzed().toString().splitlines()
+    exploded = next(k for k, line in enumerate(plan) if "Generate explode(sequence(first" in line)
+    assert not any("Join" in line for line in plan[:exploded])
+    assert "ResolvedHint (strategy=merge)" in mixing.taken(made)._jdf.queryExecution().analyzed().toString()
