@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import parts, schema_with
 
 #: Words of a generation; a task keeps this one and the one before.
-KEPT = 150_000
-BLOCK = 2 << 20
+KEPT = 100_000
+BLOCK = 1 << 20
 
 # Characters whose lower case, classes and NFC form are the same in every version of Unicode: texts of these alone need no library.
 PLAIN = re.compile("[\x00-\x1b\x20-\x84\x86-įı-ſ–—‘’“”•…€]*")
@@ -81,8 +81,8 @@ class WordBpe:
         self.suffixes()
         self.jump: dict[int, int] = {}
         self.size_of = {i: len(b) for table in (self.inside, self.closing) for b, i in table.items()}
-        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.before: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}  # ids only: what they say is in the vocabulary
+        self.before: dict[str, tuple[int, ...]] = {}
 
     def suffixes(self) -> None:
         """States of an Aho-Corasick automaton over the entries' bytes; per state the entries that end there, longest first."""
@@ -168,7 +168,7 @@ class WordBpe:
         The words in the order of their bytes are that walk: what a word shares with the one before it is the path that
         stays, so the nodes need not be built.
         """
-        known, beside, sound, text_of, size_of = self.known, self.beside, self.sound, self.text_of, self.size_of
+        known, beside, sound, size_of = self.known, self.beside, self.sound, self.size_of
         jump, ends_inside, ends_closing = self.jump, self.ends_inside, self.ends_closing
         last: list[int] = [-1]  # last token of the prefix of each length on the path
         states = [0]
@@ -209,7 +209,7 @@ class WordBpe:
                         ids.append(last[at])
                         at -= size_of[last[at]]
                     ids.reverse()
-                    known[word] = (tuple(ids), " ".join([text_of[i] for i in ids]))
+                    known[word] = tuple(ids)
                     break
 
     def pieces(self, text: str) -> list[str]:
@@ -228,12 +228,20 @@ class WordBpe:
 
     def encode(self, texts: list[str]) -> list[list[tuple[tuple[int, ...], str]]]:
         """For each text its words' (ids, decoded)."""
+        return [[(ids, self.decode(ids)) for ids in words] for words in self.ids(texts)]
+
+    def decode(self, ids: Iterable[int]) -> str:
+        """The tokens' strings, one space between."""
+        return " ".join(map(self.text_of.__getitem__, ids))
+
+    def ids(self, texts: list[str]) -> list[list[tuple[int, ...]]]:
+        """For each text its words' ids."""
         cut = [self.pieces(t) for t in texts]
         if len(self.known) > KEPT:
             self.before, self.known = self.known, {}
             self.jump.clear()
         for content, i in self.special.items():
-            self.known[content] = ((i,), content)
+            self.known[content] = (i,)
         new = set().union(*cut) - self.known.keys()
         for w in new & self.before.keys():
             self.known[w] = self.before[w]
@@ -271,11 +279,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         try:
             for whole in batches:
                 for batch in parts(whole, "text", BLOCK):
-                    found = own.encode([t or "" for t in batch.column("text").to_pylist()])
-                    ids = [tuple(chain.from_iterable([x[0] for x in words])) for words in found]
-                    flat = np.fromiter(chain.from_iterable(ids), np.int32)
-                    ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(flat))
-                    decoded = pa.array([" ".join([x[1] for x in words]) for words in found], pa.string())
+                    made = [list(chain.from_iterable(words)) for words in own.ids([t or "" for t in batch.column("text").to_pylist()])]
+                    flat = np.fromiter(chain.from_iterable(made), np.int32)
+                    ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, made)]), pa.int32()), pa.array(flat))
+                    decoded = pa.array(map(own.decode, made), pa.string())
                     yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), ids, decoded], [*(f.name for f in keep), "ids", "decoded"])
         finally:
             own.release()

@@ -93,3 +93,10 @@ def test_words_are_learned_without_a_built_trie(own):
     tracemalloc.stop()
     assert len(own.known) == len(words)
     assert peak - held < 20 * len(words)
+
+
+def test_a_known_word_is_its_ids_only(own):
+    """What tokens say is in the vocabulary, so a table of words holds no texts beside them (pipeline was stopped at 3,000 MB of an executor)."""
+    (words,) = own.encode(["some words, some <|endoftext|> more"])
+    assert all(type(i) is int for ids in own.known.values() for i in ids)
+    assert all(said == " ".join(own.text_of[i] for i in ids) for ids, said in words)
